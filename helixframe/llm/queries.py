@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, language, mixing, packing, urls
+from helixframe.llm import chat, language, mixing, neardup, packing, urls
 from helixframe.session import table
 
 
@@ -21,6 +21,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.by_radius(table(spark, sf_dir, "documents"), radius=3, size=3)
+    return found.select("doc_id", neardup.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", language.held_out(docs).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
+        "op5_neardup": op5_neardup,
         "op6_language": op6_language,
         "op9_mixing": op9_mixing,
         "op10_urls": op10_urls,
