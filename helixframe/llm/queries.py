@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, language, mixing, neardup, packing, urls
+from helixframe.llm import chat, language, mixing, neardup, packing, substring, urls
 from helixframe.session import table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=20)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
 
@@ -48,6 +53,13 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP3 = r"""
 WITH c AS (SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, text FROM conversations),
 calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text,
@@ -100,12 +112,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring": op1_substring,
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
         "op5_neardup": op5_neardup,
         "op6_language": op6_language,
         "op9_mixing": op9_mixing,
         "op10_urls": op10_urls,
+        "pipeline": pipeline,
     }
 
 
