@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, language, mixing, neardup, packing, substring, urls
+from helixframe.llm import ann, chat, language, lmscore, mixing, neardup, packing, substring, topk, urls
 from helixframe.session import table
 
 
@@ -17,6 +17,12 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return lmscore.score(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
 
@@ -36,6 +42,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", language.held_out(docs).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, cycle=(1, 2, 3), epochs=3, keep=["doc_id"])
@@ -76,6 +90,27 @@ SELECT conv_id, call_id, turn, result_turn, status, CAST(NULL AS BIGINT) AS dept
 FROM v
 """
 
+OP7 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP1 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS s, words FROM w WHERE len(words) >= 20),
+g AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 19], ' ')) AS h FROM i),
+m AS (SELECT doc_id, s, (doc_id, s) > min((doc_id, s)) OVER (PARTITION BY h) AS late FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM m WHERE late),
+k AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, (x, n) -> NOT list_contains(gone, n)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
 OP9 = r"""
 WITH d AS (SELECT doc_id, coalesce('s' || source, 'z') AS src, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                   md5('mix ' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS k FROM documents),
@@ -113,10 +148,13 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
+        "op2_lmscore": op2_lmscore,
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
         "op5_neardup": op5_neardup,
         "op6_language": op6_language,
+        "op7_topk": op7_topk,
+        "op8_ann": op8_ann,
         "op9_mixing": op9_mixing,
         "op10_urls": op10_urls,
         "pipeline": pipeline,
@@ -124,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3, "op9_mixing": OP9, "op10_urls": OP10}
+    return {"op1_substring": OP1, "op3_chat": OP3, "op7_topk": OP7, "op9_mixing": OP9, "op10_urls": OP10}
