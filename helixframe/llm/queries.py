@@ -91,8 +91,8 @@ FROM v
 """
 
 OP7 = r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
@@ -107,7 +107,7 @@ m AS (SELECT doc_id, s, (doc_id, s) > min((doc_id, s)) OVER (PARTITION BY h) AS
 c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM m WHERE late),
 k AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, (x, n) -> NOT list_contains(gone, n)) END, ' ')) AS kept_sha256
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, n: NOT list_contains(gone, n)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
