@@ -41,3 +41,45 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Edges with a < b, weights of repeats summed, loops gone."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return edges.filter("a <> b").groupBy(low.alias("a"), high.alias("b")).agg(F.sum("w").alias("w"))
+
+
+def cut_cost(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: weight between different parts over all weight, 0 if there is none. parts: node, part."""
+    e = undirected(edges)
+    p = e.join(parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
+    severed, total = F.coalesce(F.sum(F.when(F.col("pa") != F.col("pb"), F.col("w"))), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))
+    return p.agg(severed.alias("severed"), total.alias("total")).withColumn("cost", F.when(F.col("total") == 0, 0.0).otherwise(F.col("severed") / F.col("total")))
+
+
+def hubs(edges: DataFrame, peers: int = 3) -> DataFrame:
+    """Nodes with at least that many different neighbours."""
+    e = undirected(edges)
+    both = e.select(F.col("a").alias("node"), F.col("b").alias("peer")).union(e.select("b", "a"))
+    return both.groupBy("node").agg(F.count_distinct("peer").alias("peers")).filter(F.col("peers") >= peers)
+
+
+def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that touch none of the nodes."""
+    n = nodes.select("node")
+    return edges.join(n, F.col("a") == F.col("node"), "left_anti").join(n, F.col("b") == F.col("node"), "left_anti")
+
+
+def partition_by_class(nodes: DataFrame) -> DataFrame:
+    """class, members sorted, from node and class."""
+    return nodes.groupBy("class").agg(F.array_sort(F.collect_set("node")).alias("members"))
+
+
+def split_verdict(edges: DataFrame, parts: DataFrame, most: float) -> str:
+    """ACCEPT if the parts cover every node and their cut costs at most `most`, else HOLD: when in doubt nothing is split."""
+    e = undirected(edges)
+    ends = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    if not ends.join(parts, "node", "left_anti").isEmpty() or not parts.groupBy("node").count().filter("count > 1").isEmpty():
+        return "HOLD"
+    cost = cut_cost(edges, parts).first()
+    return "ACCEPT" if cost.total and cost.cost <= most else "HOLD"
