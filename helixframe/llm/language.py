@@ -24,6 +24,8 @@ SLOTS, HASHES = 1 << 20, 3
 SHARE = 0.5
 MAX_LANGUAGES = 63
 NONE = "und"
+#: Trigrams of a language that a task holds before it counts them.
+PIECE = 1 << 20
 
 _letters: np.ndarray | None = None
 
@@ -104,14 +106,23 @@ def train(docs: DataFrame) -> Model:
     driver gets at most SLOTS masks, whatever the corpus holds.
     """
 
+    def count(lang: str, grams: list[np.ndarray]) -> pa.RecordBatch:
+        kinds, n = np.unique(np.concatenate(grams), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(trigrams(text))
+            held: dict[str, int] = {}
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                lang, grams = lang.as_py(), trigrams(text.as_py())
+                by.setdefault(lang, []).append(grams)
+                held[lang] = held.get(lang, 0) + len(grams)
+                if held[lang] > PIECE:
+                    yield count(lang, by.pop(lang))
+                    held[lang] = 0
             for lang, grams in by.items():
-                kinds, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                yield count(lang, grams)
 
     known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text")
     counts = known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -148,7 +159,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            made = [own.predict(t) for t in batch.column(columns.index("text")).to_pylist()]
+            made = [own.predict(t.as_py()) for t in batch.column(columns.index("text"))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.float64())], names=[*columns, "__lang", "__score"]
             )
