@@ -179,8 +179,8 @@ def summary(merged: DataFrame) -> DataFrame:
 
 def concordance(merged: DataFrame) -> DataFrame:
     """Shared equal calls over shared calls."""
-    same = F.count_if("branch = 'equal'")
-    differ = F.count_if("branch in ('palindrome', 'flip', 'mismatch')")
+    same = F.count_if(F.col("branch") == "equal")
+    differ = F.count_if(F.col("branch").isin("palindrome", "flip", "mismatch"))
     return merged.agg(same.alias("shared"), differ.alias("discordant"), (same / F.nullif(same + differ, F.lit(0))).alias("rate"))
 
 

@@ -37,7 +37,7 @@ def counters(gated: DataFrame) -> DataFrame:
 
 
 def by_chromosome(gated: DataFrame) -> DataFrame:
-    return gated.groupBy("chrom").agg(F.count_if("keep").alias("kept"), F.count_if("not keep").alias("dropped"))
+    return gated.groupBy("chrom").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"))
 
 
 def empty_partitions(manifest: DataFrame, scanned: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def call_comparison(variants: DataFrame, calls: DataFrame, consensus: DataFrame)
 
 def profile_sex(qc: DataFrame, runs: DataFrame) -> DataFrame:
     """One row: M or F if chip runs say only that, else ambiguous."""
-    own = qc.join(runs.filter(c("source").isin("23andme", "ancestry")).select("run_id"), "run_id").agg(F.count_if("sex_inferred = 'M'").alias("m"), F.count_if("sex_inferred = 'F'").alias("f"))
+    own = qc.join(runs.filter(c("source").isin("23andme", "ancestry")).select("run_id"), "run_id").agg(F.count_if(c("sex_inferred") == "M").alias("m"), F.count_if(c("sex_inferred") == "F").alias("f"))
     return own.select(F.when((c("m") > 0) & (c("f") == 0), "M").when((c("f") > 0) & (c("m") == 0), "F").otherwise("ambiguous").alias("sex"))
 
 
