@@ -32,7 +32,7 @@ TEXTS = {
                CASE l_linenumber % 3 WHEN 0 THEN '23andme' WHEN 1 THEN 'ancestry' ELSE 'beagle_imputed' END AS source,
                min(CASE WHEN l_returnflag = 'A' THEN ref_allele ELSE alt_allele END) AS allele_1,
                max(CASE WHEN l_linestatus = 'F' THEN ref_allele ELSE alt_allele END) AS allele_2,
-               min(l_quantity) < 2 AS is_no_call, max(l_discount) * 10 AS r2, min(l_suppkey) AS k
+               min(l_quantity) < 2 OR min(l_partkey) % 23 = 0 AS is_no_call, max(l_discount) * 10 AS r2, min(l_suppkey) AS k
         FROM lineitem JOIN s_variants v ON v.variant_id = l_partkey WHERE (l_suppkey + l_partkey) % 9 < 1 GROUP BY 1, 2""",
     "s_calls": """
         SELECT variant_id * 4 + CASE source WHEN '23andme' THEN 1 WHEN 'ancestry' THEN 2 ELSE 3 END AS call_id, variant_id, source,
@@ -196,4 +196,6 @@ def duckdb_with(text: str) -> str:
     head = ", ".join(f"{n} AS ({TEXTS[n].replace('{list}', 'list_value').strip()})" for n in done)
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

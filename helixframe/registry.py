@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import catalog
+from helixframe.plans import catalog, catalog_more  # noqa: F401  catalog_more registers its queries
 
 queries = catalog.queries
 oracle_sql = catalog.oracle_sql

@@ -29,8 +29,8 @@ def detect_build(lines: DataFrame) -> DataFrame:
 
 def _fields(lines: DataFrame, columns: int) -> DataFrame:
     cells = lines.filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t"))
-    cells = cells.filter((F.size("f") >= columns) & (F.lower(F.col("f")[0]) != "rsid"))
-    return cells.withColumns({"chrom": X.chromosome(F.col("f")[1]), "pos": X.to_int(F.col("f")[2]), "rsid": F.nullif(F.trim(F.col("f")[0]), F.lit(""))})
+    cells = cells.filter((F.size("f") >= columns) & (F.lower(F.get("f", F.lit(0))) != "rsid"))
+    return cells.withColumns({"chrom": X.chromosome(F.get("f", F.lit(1))), "pos": X.to_int(F.get("f", F.lit(2))), "rsid": F.nullif(F.trim(F.get("f", F.lit(0))), F.lit(""))})
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -39,13 +39,13 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 def calls_a(lines: DataFrame) -> DataFrame:
     """rsid, chrom, pos, allele_1, allele_2, is_no_call from layout A: rsid, chromosome, position, genotype."""
-    rows = _kept(_fields(lines, 4)).withColumn("g", X.genotype_cell(F.col("f")[3]))
+    rows = _kept(_fields(lines, 4)).withColumn("g", X.genotype_cell(F.get("f", F.lit(3))))
     return rows.select("rsid", "chrom", "pos", F.col("g.a1").alias("allele_1"), F.col("g.a2").alias("allele_2"), F.col("g.no_call").alias("is_no_call"))
 
 
 def calls_b(lines: DataFrame) -> DataFrame:
     """As calls_a from layout B: rsid, chromosome, position, allele1, allele2; one uncallable allele blanks both."""
-    rows = _kept(_fields(lines, 5)).withColumns({"x": X.allele(F.col("f")[3]), "y": X.allele(F.col("f")[4])})
+    rows = _kept(_fields(lines, 5)).withColumns({"x": X.allele(F.get("f", F.lit(3))), "y": X.allele(F.get("f", F.lit(4)))})
     nc = (F.col("x") == "") | (F.col("y") == "")
     blank = lambda c: F.when(nc, "").otherwise(F.col(c))
     return rows.select("rsid", "chrom", "pos", blank("x").alias("allele_1"), blank("y").alias("allele_2"), nc.alias("is_no_call"))

@@ -53,7 +53,7 @@ def accession_chromosome(contig: Column) -> Column:
 def variants(lines: DataFrame) -> DataFrame:
     """dbSNP records: the ALT list, class, genes and whether a clinical significance is given."""
     f = F.split("value", "\t")
-    r = lines.filter(~F.col("value").startswith("#")).select(accession_chromosome(f[0]).alias("chrom"), X.to_int(f[1]).alias("pos_grch38"), F.get(f, F.lit(2)).alias("id"), F.get(f, F.lit(3)).alias("ref_allele"), F.split(F.get(f, F.lit(4)), ",").alias("alt_alleles"), F.get(f, F.lit(7)).alias("info"))
+    r = lines.filter(~F.col("value").startswith("#")).select(accession_chromosome(F.get(f, F.lit(0))).alias("chrom"), X.to_int(F.get(f, F.lit(1))).alias("pos_grch38"), F.get(f, F.lit(2)).alias("id"), F.get(f, F.lit(3)).alias("ref_allele"), F.split(F.get(f, F.lit(4)), ",").alias("alt_alleles"), F.get(f, F.lit(7)).alias("info"))
     names = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
     vc = X.info_value(F.col("info"), "VC")
     genes = F.transform(X.split_list(X.info_value(F.col("info"), "GENEINFO"), "\\|"), lambda g: F.element_at(F.split(g, ":"), 1))
