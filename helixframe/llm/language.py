@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from helixframe.llm import worker
+
 #: Slots of the filter (a power of two) and slots that a trigram sets.
 SLOTS, HASHES = 1 << 20, 3
 #: A trigram belongs to a language if its rate there is at least this part of its highest rate.
@@ -111,6 +113,7 @@ def train(docs: DataFrame) -> Model:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("language")
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             held: dict[str, int] = {}
@@ -157,6 +160,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("language")
         own = Model(*sent.value)
         for batch in batches:
             made = [own.predict(t.as_py()) for t in batch.column(columns.index("text"))]

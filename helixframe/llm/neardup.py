@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm import worker
 from helixframe.llm.words import split
 from helixframe.operators.graph import connected_components
 from helixframe.session import Scratch
@@ -93,6 +94,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, node: the 64-bit SimHash of every row as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("neardup")
         for batch in batches:
             made = [_signed(majority(shingle_hashes(t, size))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "node"])
@@ -112,6 +114,7 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
         return _signed(node), sign, keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("neardup")
         for batch in batches:
             nodes, signs, keys = zip(*map(one, batch.column(1).to_pylist()), strict=True) if len(batch) else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -170,6 +173,7 @@ def links(rows: DataFrame, most: int, everything: bool = False) -> DataFrame:
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("neardup")
         left: pa.Table | None = None
 
         def compare(table: pa.Table) -> pa.RecordBatch:
@@ -238,6 +242,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """node and the sorted distinct shingle hashes (little-endian) of rows with __node and __text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("neardup")
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             own = pa.array([_signed(xxhash.xxh3_64_intdigest(x)) for x in sets], pa.int64())
@@ -252,6 +257,7 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("neardup")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):

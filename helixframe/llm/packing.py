@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm import worker
+
 END = 1
 #: Windows of a group, and the longest piece of a remainder as a part of a window.
 GROUP_WINDOWS, PIECES = 128, 4
@@ -162,14 +164,10 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    worker.enter("packing")
+    return worker.keep("packing", path, lambda: Encoder(path))
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

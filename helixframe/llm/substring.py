@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from helixframe.llm import worker
 from helixframe.llm.words import split
 from helixframe.session import Scratch
 
@@ -158,6 +159,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     """anchor, d, at of every run; at holds 24 bits of the text's hash, 32 of the first window, 8 of the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("substring")
         for batch in batches:
             hashes, ids, ats = [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -178,6 +180,7 @@ def _regions(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     listed = runs.groupBy("d").agg(F.collect_list(F.struct("anchor", "at")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("substring")
         for whole in batches:
             for start in range(0, len(whole), 500):
                 batch = whole.slice(start, 500)
@@ -209,6 +212,7 @@ def _verdicts(distinct: DataFrame, length: int) -> DataFrame:
     dealt = distinct.repartition("anchor").sortWithinPartitions("anchor", "d", "first").select("anchor", "region", "region_hash", "d", "first", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("substring")
         held: list[tuple] = []
         out: list[tuple] = []
 
@@ -308,6 +312,7 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     where = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("substring")
         for whole in batches:
             for start in range(0, len(whole), 500):
                 batch = whole.slice(start, 500)
