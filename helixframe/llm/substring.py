@@ -260,8 +260,10 @@ def find_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     runs = scratch.save(_occurrences(docs, length), "runs")
     twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    again = scratch.save(runs.join(twice, "anchor", "left_semi"), "again")
+    # the counts are a table of their own, so that the join can split an anchor that holds many of the runs
+    again = scratch.save(runs.join(scratch.save(twice, "twice"), "anchor", "left_semi"), "again")
     scratch.drop("runs")
+    scratch.drop("twice")
     regions = scratch.save(_regions(docs, again, length).withColumn("region_hash", F.xxhash64("region")), "regions")
     scratch.drop("again")
     first = F.shiftrightunsigned("at", 8).bitwiseAND(F.lit(0xFFFFFFFF))
