@@ -87,15 +87,15 @@ def counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fold(background: DataFrame, target: DataFrame) -> DataFrame:
-    """gram, diff: -log P_target + log P_background of the last byte of each n-gram of the background.
+def fold(both: DataFrame) -> DataFrame:
+    """gram, diff: -log P_target + log P_background of the last byte of each n-gram of both (gram, b, t).
+
+    b and t are the counts of background and target.
 
     P = KEEP * f_5 + (1 - KEEP) * (KEEP * f_3 + (1 - KEEP) * (KEEP * f_1 + (1 - KEEP) / 256)),
     f_k the share of the k-gram among those of its context; where a model has
     not seen the context, the lower orders stand for it.
     """
-    both = background.select("gram", F.col("n").alias("b")).join(target.select("gram", F.col("n").alias("t")), "gram", "left")
-    both = both.select("gram", "b", F.coalesce("t", F.lit(0)).alias("t"))
     low = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
     named = both.select("*", F.shiftright("gram", 8).alias("c5"), low(MIDDLE).alias("g3"), low(1).alias("g1"))
     sums = lambda df, key, tag: df.groupBy(key).agg(F.sum("b").alias(f"b_{tag}"), F.sum("t").alias(f"t_{tag}"))
@@ -188,6 +188,10 @@ def score(docs: DataFrame, target: DataFrame, broadcast: int = BROADCAST) -> Dat
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    table = scratch.save(fold(counts(plain.select("text")), counts(target.select(F.col("text").cast("string")))), "table")
+    # the counts are read by several branches of fold(), so they are written once
+    background = scratch.save(counts(plain.select("text")).withColumnRenamed("n", "b"), "background")
+    wanted = scratch.save(counts(target.select(F.col("text").cast("string").alias("text"))).withColumnRenamed("n", "t"), "target")
+    both = scratch.save(background.join(wanted, "gram", "left").select("gram", "b", F.coalesce("t", F.lit(0)).alias("t")), "both")
+    table = scratch.save(fold(both), "table")
     scored = _scored(plain, table) if table.count() <= broadcast else _scored_by_shuffle(plain, table)
     return scored.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens")).otherwise(0.0).alias("score"))
