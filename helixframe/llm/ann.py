@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import vectors
+from helixframe.session import Scratch
 
 TABLES, M, WIDTH = 4, 4, 1.6
 #: Rows of the sample that the number of probes is fitted on, its queries, and the share of neighbours to find.
@@ -103,7 +104,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         x = np.asarray(sample.flatten()).reshape(-1, dim)
         plans[dim] = norm, fit(x, Hashes(dim, norm), k)
 
-    def spread(query: bool):
+    def spread(query: bool, home: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = {d: Hashes(d, norm) for d, (norm, _) in plans.items()}
             for whole in batches:
@@ -120,7 +121,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                         data = [v.tobytes() for v in np.ascontiguousarray(x).astype("<f8")]
                         for t in range(TABLES):
                             if query:
-                                moved = cells[:, t, None] + probes(place[:, t] - cells[:, t], plans[dim][1])
+                                moved = cells[:, t, None] + probes(place[:, t] - cells[:, t], 1 if home else plans[dim][1])
                             else:
                                 moved = cells[:, t, None]
                             n = moved.shape[1]
@@ -136,46 +137,63 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
         return run
 
+    scratch = Scratch(table.sparkSession)
     schema = "dim int, t int, bucket binary, id long, data binary"
     index = rows.select("id", "x", "dim").mapInArrow(spread(False), schema)
-    asked = rows.filter(is_query).dropDuplicates(["id"]).select("id", "x", "dim").mapInArrow(spread(True), schema)
+    queries = rows.filter(is_query).dropDuplicates(["id"]).select("id", "x", "dim")
+    own = queries.mapInArrow(spread(True, True), schema).withColumn("floor", F.lit(None).cast("double"))
+    # a query's k-th score in its own buckets is a floor for all its probes: no task gives what lies below it
+    near = _compared(index, own, k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    floors = scratch.save(near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")), "floors")
+    asked = queries.mapInArrow(spread(True), schema).join(floors, "id", "left").select("dim", "t", "bucket", "id", "data", "floor")
+    found = _compared(index, asked, k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each task's pairs that share a bucket, the best k of each query not below its floor.
+
+    index and asked have dim, t, bucket, id, data; asked also floor (or null).
+    """
     held = index.groupBy("dim", "t", "bucket").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("v_cells"))
     wanted = asked.groupBy("dim", "t", "bucket").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_cells"))
     cells = held.join(wanted, ["dim", "t", "bucket"])
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     run_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = index.join(cells, ["dim", "t", "bucket"]).select("dim", "t", "bucket", part("v_cells").alias("i"), run_of("q_cells").alias("j"), F.lit(1).alias("kind"), "id", "data")
-    q = asked.join(cells, ["dim", "t", "bucket"]).select("dim", "t", "bucket", run_of("v_cells").alias("i"), part("q_cells").alias("j"), F.lit(0).alias("kind"), "id", "data")
+    none = F.lit(None).cast("double").alias("floor")
+    v = index.join(cells, ["dim", "t", "bucket"]).select("dim", "t", "bucket", part("v_cells").alias("i"), run_of("q_cells").alias("j"), F.lit(1).alias("kind"), "id", "data", none)
+    q = asked.join(cells, ["dim", "t", "bucket"]).select("dim", "t", "bucket", run_of("v_cells").alias("i"), part("q_cells").alias("j"), F.lit(0).alias("kind"), "id", "data", "floor")
     dealt = q.unionByName(v).repartition("dim", "t", "bucket", "i", "j").sortWithinPartitions("dim", "t", "bucket", "i", "j", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _Best(k)
-        key, ids, rows_, kinds = None, [], [], []
+        key, ids, rows_, floors = None, [], [], []
 
         def close() -> None:
-            n = sum(1 for x in kinds if x == 0)
+            n = len(floors)
             if 0 < n < len(ids):
                 x = np.frombuffer(b"".join(rows_), "<f8").reshape(len(ids), -1)
                 names = np.array(ids)
-                state.add(names[:n], x[:n], names[n:], x[n:])
+                least = np.array([-np.inf if f is None else f for f in floors])
+                state.add(names[:n], x[:n], least, names[n:], x[n:])
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for dim, t, bucket, i, j, kind, name, data in zip(*columns, strict=True):
+            for dim, t, bucket, i, j, kind, name, data, floor in zip(*columns, strict=True):
                 if (dim, t, bucket, i, j) != key:
                     close()
-                    key, ids, rows_, kinds = (dim, t, bucket, i, j), [], [], []
+                    key, ids, rows_, floors = (dim, t, bucket, i, j), [], [], []
                 ids.append(name)
                 rows_.append(data)
-                kinds.append(kind)
+                if kind == 0:
+                    floors.append(floor)
             if state.full():
                 yield state.give()
         close()
         yield state.give()
 
-    found = dealt.mapInArrow(compare, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(compare, "query_id long, vec_id long, score double").distinct()
 
 
 class _Best:
@@ -195,8 +213,9 @@ class _Best:
     def full(self) -> bool:
         return self.packed > self.LIMIT // 2
 
-    def add(self, q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray) -> None:
-        least = np.array([self.floor.get(i, -np.inf) for i in q_ids.tolist()])
+    def add(self, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, v_ids: np.ndarray, v: np.ndarray) -> None:
+        """Compare all q with all v. least: scores below which a query wants none."""
+        least = np.maximum(least, [self.floor.get(i, -np.inf) for i in q_ids.tolist()])
         rough = q @ v.T
         slack = 1e-9 * (1 + np.abs(rough).max())
         i, j = np.nonzero(rough >= (least - slack)[:, None])
@@ -205,7 +224,8 @@ class _Best:
         for at in range(0, len(i), 100_000):
             a, b = i[at : at + 100_000], j[at : at + 100_000]
             exact = (q[a] * v[b]).sum(axis=1)  # one order of additions for every pair, unlike a matrix product
-            self.parts.append((q_ids[a], v_ids[b], exact))
+            good = exact >= least[a]
+            self.parts.append((q_ids[a][good], v_ids[b][good], exact[good]))
         self.held += len(i)
         if self.held > self.packed + 200_000:
             self._pack()
