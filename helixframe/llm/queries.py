@@ -20,7 +20,8 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-    return lmscore.score(docs, docs.join(good, "doc_id", "left_semi"))
+    # labels grow with the documents, so they are never broadcast
+    return lmscore.score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
