@@ -10,7 +10,9 @@ mask and meet in its table: no pair within the radius is missed.
 Similarity mode: a Jaccard similarity of 0.8 over word shingles moves about 15 %
 of a SimHash's bits, far more than a radius that tables can cover. Documents
 there meet by short sketches of their shingles (pairs of minima), are compared by
-a 256-bit SimHash, and each link is verified on the full shingle sets.
+a 256-bit SimHash, and each link is verified on the full shingle sets. Where a
+bucket is too crowded for all its pairs, those that the SimHash ranks first are
+tried first; the components that are then left in it are compared in full.
 
 Documents with equal fingerprints or shingle sets are one node from the start,
 so a group of copies of any size costs one node.
@@ -39,6 +41,8 @@ BLOCK = 2048
 ALL_PAIRS, NEAREST = 16, 4
 #: Similarity mode: sketches of two minima each, and the 256-bit distance up to which a pair is verified.
 SKETCHES, SLACK = 10, 60
+#: Shingle sets of a cell of a crowded bucket, in bytes, about half of what it holds.
+CELL_BYTES = 1 << 23
 #: Shingles that are counted at once.
 CHUNK = 1 << 16
 
@@ -210,9 +214,8 @@ def links(rows: DataFrame, most: int, everything: bool = False) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_components(made: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, node, component_id of each row of made: the smallest doc_id of all rows in the node's component."""
-    roots = connected_components(edges)
+def _with_components(made: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, node, component_id of each row of made: the smallest doc_id of all rows in the node's component. roots: node, component."""
     first = nodes.select("node", "least").join(roots, "node")
     of_root = first.groupBy("component").agg(F.min("least").alias("__least"))
     linked = first.join(of_root, "component").select("node", F.col("__least").alias("linked"))
@@ -235,7 +238,14 @@ def by_radius(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("node").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(radius))])
     sign = F.unhex(F.lpad(F.hex("node"), 16, "0"))
     edges = scratch.save(links(nodes.select(F.explode(keys).alias("key"), "node", sign.alias("sign")), radius), "links")
-    return _with_components(made, nodes, edges)
+    return _with_components(made, nodes, connected_components(edges))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """__node and __text of some of the nodes."""
+    chosen = nodes.join(some, "node").select(F.col("node").alias("__node"), F.col("least").alias("__least"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__least"), F.col("text").cast("string").alias("__text"))
+    return texts.join(chosen, texts["__least"].eqNullSafe(chosen["__least"])).select("__node", "__text")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -269,6 +279,77 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def missing_links(root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) between members of different components, as many as it takes to join all that any pair links.
+
+    Every pair whose components are not yet joined is compared. No set is empty.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    label, mark, out = np.unique(root, return_inverse=True)[1], np.zeros(len(kinds), np.int32), []
+    for i in range(len(sets) - 1):
+        if (label[i + 1 :] == label[i]).all():
+            continue
+        own = flat[starts[i] : ends[i]]
+        mark[own] = 1
+        same = np.add.reduceat(mark[flat[ends[i] :]], starts[i + 1 :] - ends[i])
+        mark[own] = 0
+        for j in (np.flatnonzero(same >= similarity * (sizes[i] + sizes[i + 1 :] - same)) + i + 1).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _crowded(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root of the buckets of over ALL_PAIRS nodes that hold more than one component. rows: key, node."""
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > ALL_PAIRS).select("key")
+    named = rows.join(many, "key").join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return named.join(mixed, "key")
+
+
+def _missed(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the components of each crowded bucket that any pair of its nodes links.
+
+    A bucket is dealt out as pairs of blocks, as in links; sets go to the cells
+    and are compared there, and a cell gives fewer links than it has nodes.
+    """
+    rows = crowded.join(sets.filter(F.length("shingles") > 0), "node")
+    blocks = F.ceil(F.greatest(F.sum(F.length("shingles")) / CELL_BYTES, F.count("*") / BLOCK)).cast("int")
+    held = rows.groupBy("key").agg(blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = F.expr("transform(sequence(0, blocks - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own)))")
+    dealt = rows.join(held, "key").withColumn("own", own).select("key", F.explode(cells).alias("cell"), "node", "root", "shingles").select("key", "cell.i", "cell.j", "node", "root", "shingles")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("neardup")
+        cell, node, root, sets_ = None, [], [], []
+
+        def compare() -> pa.RecordBatch:
+            x = np.array(missing_links(np.array(root), sets_, similarity), np.int64).reshape(-1, 2)
+            at = np.array(node, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at[x[:, 0]]), pa.array(at[x[:, 1]])], names=["a", "b"])
+
+        for batch in batches:
+            key, i, j, n, r = (batch.column(c).to_pylist() for c in range(5))
+            for k, row in enumerate(zip(key, i, j, strict=True)):
+                if row != cell:
+                    if len(node) > 1:
+                        yield compare()
+                    cell, node, root, sets_ = row, [], [], []
+                node.append(n[k])
+                root.append(r[k])
+                sets_.append(np.frombuffer(batch.column(5)[k].as_py(), "<u8"))
+        if len(node) > 1:
+            yield compare()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, node, component_id of every row: linked if the Jaccard similarity of the shingle sets is at least that.
 
@@ -279,14 +360,19 @@ def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Da
     scratch = Scratch(docs.sparkSession)
     made = scratch.save(sketches(docs, size), "sketches")
     nodes = scratch.save(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("sign").alias("sign"), F.any_value("keys").alias("keys")), "nodes")
-    near = scratch.save(links(nodes.select(F.explode("keys").alias("key"), "node", "sign"), SLACK, True), "near")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "sign")
+    near = scratch.save(links(keyed, SLACK, True), "near")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    chosen = nodes.join(ends, "node").select(F.col("node").alias("__node"), F.col("least").alias("__least"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__least"), F.col("text").cast("string").alias("__text"))
-    own = texts.join(chosen, texts["__least"].eqNullSafe(chosen["__least"])).select("__node", "__text")
-    sets = _shingle_sets(own, size)
+    sets = _shingle_sets(_texts(docs, nodes, ends), size)
     edges = scratch.save(_verified(near, sets, similarity), "links")
-    return _with_components(made.select("doc_id", "node"), nodes, edges)
+    roots = connected_components(edges)
+    crowded = scratch.save(_crowded(keyed.select("key", "node"), roots), "crowded")
+    if not crowded.isEmpty():
+        sets = scratch.save(_shingle_sets(_texts(docs, nodes, crowded.select("node").distinct()), size), "sets")
+        missed = scratch.save(_missed(crowded, sets, similarity), "missed")
+        if not missed.isEmpty():
+            roots = connected_components(edges.unionByName(missed))
+    return _with_components(made.select("doc_id", "node"), nodes, roots)
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:

@@ -104,3 +104,20 @@ def test_empty(spark, fn):
     assert fn(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fn(spark.createDataFrame([(None, "a b c d e f"), (None, "g h")], "doc_id long, text string")).collect()
     assert [r.component_id for r in one] == [None, None]
+
+
+def test_crowded_buckets_of_texts_near_the_bound_against_all_pairs(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(104)]
+    data = []
+    for i in range(44):
+        w = list(words)
+        w[1], w[rnd.randrange(8, 98)] = f"x{i}", f"y{i}"  # two of these are at 0.79, or over 0.8 where their second words are near
+        data.append((i, " ".join(w)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.by_similarity(docs).collect()}
+    sets = {i: shingles(t) for i, t in data}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = components(sorted(sets), pairs)
+    assert 2 < len(set(want.values())) < 30
+    assert got == want
