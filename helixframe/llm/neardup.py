@@ -106,8 +106,13 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long")
 
 
+def _mark():
+    """Tells the rows of one doc_id, or of none, apart by their text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, node (hash of the shingle set), sign (256-bit SimHash), keys (sketches) of every row."""
+    """doc_id, mark (hash of the text), node (hash of the shingle set), sign (256-bit SimHash), keys (sketches) of every row."""
 
     def one(text: str | None) -> tuple[int, bytes, list[int]]:
         h = np.unique(shingle_hashes(text, size))
@@ -122,11 +127,11 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
         for batch in batches:
             nodes, signs, keys = zip(*map(one, batch.column(1).to_pylist()), strict=True) if len(batch) else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "sign", "keys"]
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "sign", "keys"]
             )
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, node long, sign binary, keys array<long>")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark().alias("mark"))
+    return plain.mapInArrow(run, "doc_id long, mark long, node long, sign binary, keys array<long>")
 
 
 def _distance(signs: np.ndarray, i: int) -> np.ndarray:
@@ -242,10 +247,11 @@ def by_radius(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
-    """__node and __text of some of the nodes."""
-    chosen = nodes.join(some, "node").select(F.col("node").alias("__node"), F.col("least").alias("__least"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__least"), F.col("text").cast("string").alias("__text"))
-    return texts.join(chosen, texts["__least"].eqNullSafe(chosen["__least"])).select("__node", "__text")
+    """__node and __text of some of the nodes, by the doc_id and mark of their first row."""
+    chosen = nodes.join(some, "node").select(F.col("node").alias("__node"), F.col("least").alias("__least"), F.col("mark").alias("__mark"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__least"), F.col("text").cast("string").alias("__text"), _mark().alias("__mark"))
+    same = (texts["__mark"] == chosen["__mark"]) & texts["__least"].eqNullSafe(chosen["__least"])
+    return texts.join(chosen, same).select("__node", "__text")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -257,7 +263,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             own = pa.array([_signed(xxhash.xxh3_64_intdigest(x)) for x in sets], pa.int64())
             made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
-            yield made.filter(pc.equal(own, batch.column(0)))  # a doc_id may stand for several texts
+            yield made.filter(pc.equal(own, batch.column(0)))  # a mark may stand for several texts
 
     return docs.select("__node", "__text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
@@ -350,16 +356,13 @@ def _missed(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """doc_id, node, component_id of every row: linked if the Jaccard similarity of the shingle sets is at least that.
-
-    Rows as in by_radius. Rows without words have equal, empty shingle sets and
-    are copies of each other. A pair at the similarity bound shares a sketch with
-    probability 1 - (1 - similarity**2)**SKETCHES, 0.99996 at 0.8.
-    """
+def _similar(docs: DataFrame, similarity: float, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, node), nodes (node, least and mark of the first row by doc_id, nulls last) and roots (node, component) of linked nodes."""
     scratch = Scratch(docs.sparkSession)
     made = scratch.save(sketches(docs, size), "sketches")
-    nodes = scratch.save(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("sign").alias("sign"), F.any_value("keys").alias("keys")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    nodes = made.groupBy("node").agg(first, F.any_value("sign").alias("sign"), F.any_value("keys").alias("keys"))
+    nodes = scratch.save(nodes.select("node", F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark"), "sign", "keys"), "nodes")
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "sign")
     near = scratch.save(links(keyed, SLACK, True), "near")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
@@ -372,17 +375,33 @@ def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Da
         missed = scratch.save(_missed(crowded, sets, similarity), "missed")
         if not missed.isEmpty():
             roots = connected_components(edges.unionByName(missed))
-    return _with_components(made.select("doc_id", "node"), nodes, roots)
+    return made.select("doc_id", "node"), nodes, roots
+
+
+def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """doc_id, node, component_id of every row: linked if the Jaccard similarity of the shingle sets is at least that.
+
+    Rows as in by_radius. Rows without words have equal, empty shingle sets and
+    are copies of each other. A pair at the similarity bound shares a sketch with
+    probability 1 - (1 - similarity**2)**SKETCHES, 0.99996 at 0.8.
+    """
+    return _with_components(*_similar(docs, similarity, size))
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of docs of which each group of near-duplicates keeps one: that of its smallest doc_id.
 
-    Columns are those of docs. Repeated rows of one doc_id are copies, one stays.
+    Columns are those of docs. Repeated rows of one doc_id and text are copies,
+    one stays; rows of one doc_id, or of none, whose texts are not near-duplicates
+    all stay. A row without doc_id is kept only where its whole group has none.
     """
-    kept = by_similarity(docs, similarity, size).select(F.col("component_id").alias("__keep")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["__keep"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    _, nodes, roots = _similar(docs, similarity, size)
+    root = F.coalesce("component", "node")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node", "mark")).alias("first")
+    kept = nodes.join(roots, "node", "left").groupBy(root.alias("root")).agg(first).select(F.col("first.least").alias("__keep"), F.col("first.mark").alias("__kept"))
+    rows = docs.withColumn("__mark", _mark())
+    same = (rows["__mark"] == kept["__kept"]) & rows["doc_id"].cast("long").eqNullSafe(kept["__keep"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__mark"]).select(*docs.columns)
 
 
 def hex_fingerprint(node: str = "node"):

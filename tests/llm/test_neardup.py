@@ -121,3 +121,12 @@ def test_crowded_buckets_of_texts_near_the_bound_against_all_pairs(spark):
     want = components(sorted(sets), pairs)
     assert 2 < len(set(want.values())) < 30
     assert got == want
+
+
+def test_survivors_without_a_doc_id_or_with_a_shared_one(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, text("c") + " end"), (1, text("c")), (2, text("d")), (2, text("e")), (2, text("e")), (3, text("e") + " end"), (4, text("f"))]
+    kept = neardup.deduplicate(spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, a int").repartition(3)).collect()
+    want = [(None, text("a")), (None, text("b")), (1, text("c")), (2, text("d")), (2, text("e")), (4, text("f"))]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
+    assert all(r.a == 7 for r in kept)
