@@ -4,6 +4,10 @@ One slot array serves all languages: bit l of a slot is the Bloom bit of languag
 l, so ANDing the slots of a trigram returns at once the bitmask of all languages
 that may contain it. A document's per-language popcounts over its trigrams,
 corrected for each language's false-positive rate, decide.
+
+The slots are sized by the trigrams that the languages keep. Where that would
+make too large an array, the most frequent trigrams are a sorted table that goes
+to every task, and the others meet the documents' in a join: exact counts.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from helixframe.llm import worker
+from helixframe.session import Scratch
 
-#: Slots of the filter (a power of two) and slots that a trigram sets.
-SLOTS, HASHES = 1 << 20, 3
+#: Least slots of a filter (a power of two), slots that a trigram sets, and the false-positive rate that a filter may have for a language.
+SLOTS, HASHES, FALSE = 1 << 20, 3, 0.02
+#: 64-bit words of the largest filter, and of the table of frequent trigrams where no filter of that size does.
+WORDS = 1 << 22
 #: A trigram belongs to a language if its rate there is at least this part of its highest rate.
 SHARE = 0.5
 MAX_LANGUAGES = 63
@@ -57,41 +64,70 @@ def trigrams(text: str | None) -> np.ndarray:
     return grams[codes[1:-1] != 0]
 
 
-def slots(grams: np.ndarray) -> list[np.ndarray]:
-    """The slot numbers of each trigram, one array for each hash."""
+def slots(grams: np.ndarray, of: int) -> list[np.ndarray]:
+    """The slot numbers, of so many, of each trigram, one array for each hash."""
     h = grams * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     step = (h >> np.uint64(40)) | np.uint64(1)
-    return [((h + np.uint64(i) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((h + np.uint64(i) * step) & np.uint64(of - 1)).astype(np.int64) for i in range(HASHES)]
+
+
+def slots_needed(most: int) -> int:
+    """Slots (a power of two) that hold so many trigrams of a language at a false-positive rate of at most FALSE."""
+    least = most * HASHES / -np.log1p(-(FALSE ** (1 / HASHES)))
+    return max(SLOTS, 1 << int(np.ceil(np.log2(max(1.0, least)))))
 
 
 @dataclass
 class Model:
-    """languages by bit, in order; filter: one 64-bit mask for each slot."""
+    """languages by bit, in order; filter: the mask of each slot, as 64-bit words.
+
+    With grams, there is no filter: these are sorted trigrams, filter has their
+    masks, and rare (gram, mask) has all other trigrams.
+    """
 
     languages: list[str]
     filter: np.ndarray
+    grams: np.ndarray | None = None
+    rare: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        bits = np.array([np.count_nonzero(self.filter & np.uint64(1 << i)) for i in range(len(self.languages))])
-        self.false = (bits / SLOTS) ** HASHES
+        if self.grams is None:
+            self.false = (self._bits(self.filter) / len(self.filter)) ** HASHES
+        else:
+            self.false = np.zeros(len(self.languages))
+
+    def _bits(self, masks: np.ndarray) -> np.ndarray:
+        """Masks that have each language's bit."""
+        return np.array([np.count_nonzero(masks[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.languages))], dtype=float)
+
+    def frequent(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the sorted table, and which trigrams are there."""
+        at = np.minimum(np.searchsorted(self.grams, grams), max(0, len(self.grams) - 1))
+        return at, self.grams[at] == grams if len(self.grams) else np.zeros(len(grams), bool)
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Trigrams that each language contains, corrected for false positives."""
-        a, *more = slots(grams)
+        """Trigrams that each language contains, corrected for false positives; those of rare are left out."""
+        if self.grams is not None:
+            at, there = self.frequent(grams)
+            return self._bits(self.filter[at[there]])
+        a, *more = slots(grams, len(self.filter))
         mask = self.filter[a]
         for b in more:
             mask &= self.filter[b]
-        seen = np.array([np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(self.languages))], dtype=float)
-        return np.clip((seen - len(grams) * self.false) / (1 - self.false), 0, None)
+        full = self.false >= 1  # such a filter tells nothing
+        return np.where(full, 0, np.clip((self._bits(mask) - len(grams) * self.false) / np.where(full, 1, 1 - self.false), 0, None))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None, rare: list | None = None) -> tuple[str, float]:
+        """Language and score; rare: (bit, n) of the text's trigrams that only the rare ones have."""
         grams = trigrams(text)
         if not len(grams) or not self.languages:
             return NONE, 0.0
         counts = self.counts(grams)
+        for x in rare or ():
+            counts[x["bit"]] += x["n"]
         best = int(counts.argmax())  # ties: the first language
         return self.languages[best], float(min(1.0, counts[best] / len(grams)))
 
@@ -104,8 +140,8 @@ def held_out(docs: DataFrame):
 def train(docs: DataFrame) -> Model:
     """Fit on text and lang of docs; rows with a null in either give nothing.
 
-    All trigrams of all rows are counted. A filter's slots are bounded, so the
-    driver gets at most SLOTS masks, whatever the corpus holds.
+    All trigrams of all rows are counted. The driver gets at most WORDS words of
+    masks, whatever the corpus holds; trigrams beyond stay in a table.
     """
 
     def count(lang: str, grams: list[np.ndarray]) -> pa.RecordBatch:
@@ -134,41 +170,86 @@ def train(docs: DataFrame) -> Model:
     languages = sorted(totals)
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; a mask holds {MAX_LANGUAGES}")
-    filter_ = np.zeros(SLOTS, np.uint64)
-    if languages:
-        each = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.struct(F.lit(i).alias("bit"), F.lit(float(max(1, totals[lang]))).alias("total")))])
-        rated = counts.select("gram", each[F.col("lang")]["bit"].alias("bit"), (F.col("n") / each[F.col("lang")]["total"]).alias("rate"))
-        best = rated.groupBy("gram").agg(F.collect_list(F.struct("bit", "rate")).alias("all"), F.max("rate").alias("most"))
-        kept = F.expr(f"aggregate(filter(all, x -> x.rate >= {SHARE} * most), 0L, (m, x) -> m | shiftleft(1L, x.bit))")
-        masks = best.select("gram", kept.alias("mask"))
-
-        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                grams, mask = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                for at in slots(grams):
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask)], names=["slot", "mask"])
-
-        for batch in masks.mapInArrow(put, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
-            filter_[batch.column(0).to_numpy()] |= batch.column(1).to_numpy().view(np.uint64)
+    words = max(1, -(-len(languages) // 64))
+    if not languages:
+        counts.unpersist()
+        return Model(languages, np.zeros((SLOTS, words), np.uint64))
+    spark = docs.sparkSession
+    each = spark.createDataFrame([(lang, i, float(max(1, totals[lang]))) for i, lang in enumerate(languages)], "lang string, bit int, total double")
+    rated = counts.join(F.broadcast(each), "lang").select("gram", "bit", (F.col("n") / F.col("total")).alias("rate"), "n")
+    best = rated.groupBy("gram").agg(F.collect_list(F.struct("bit", "rate")).alias("all"), F.max("rate").alias("most"), F.sum("n").alias("n"))
+    kept = best.select("gram", "n", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * most), x -> x.bit)").alias("bits"))
+    mask = F.array(*[F.expr(f"aggregate(filter(bits, x -> x div 64 = {w}), 0L, (m, x) -> m | shiftleft(1L, x % 64))") for w in range(words)])
+    masks = Scratch(spark).save(kept.select("gram", "n", mask.alias("mask"), "bits"), "trigrams")
     counts.unpersist()
+    of = slots_needed(masks.select(F.explode("bits").alias("bit")).groupBy("bit").count().agg(F.max("count")).first()[0] or 0)
+    if of * words > WORDS:
+        # frequent ones by powers of two of their counts, as many whole powers as fit
+        power, room, least = F.floor(F.log2("n")), WORDS // 4 // (1 + words), 64
+        for row in sorted(masks.groupBy(power.alias("power")).count().collect(), reverse=True):
+            room -= row["count"]
+            if room < 0:
+                break
+            least = row["power"]
+        table = masks.filter(power >= least).select("gram", "mask").toArrow()
+        grams = table.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(grams)
+        own = np.array(table.column(1).combine_chunks().flatten().to_numpy(), np.int64).view(np.uint64).reshape(-1, words)
+        return Model(languages, own[order], grams[order], masks.filter(power < least).select("gram", "bits"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(0).to_numpy().view(np.uint64)
+            for at in slots(grams, of):
+                yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns[1:]], names=["slot", *names])
+
+    names = [f"mask{w}" for w in range(words)]
+    parts = masks.select("gram", *[F.col("mask")[w].alias(name) for w, name in enumerate(names)])
+    slotted = parts.mapInArrow(put, "slot long, " + ", ".join(f"{name} long" for name in names)).groupBy("slot").agg(*[F.bit_or(name).alias(name) for name in names])
+    filter_ = np.zeros((of, words), np.uint64)
+    for batch in slotted.toArrow().to_batches():
+        for w in range(words):
+            filter_[batch.column(0).to_numpy(), w] |= batch.column(1 + w).to_numpy().view(np.uint64)
     return Model(languages, filter_)
 
 
+def _rare_counts(docs: DataFrame, model: Model, sent) -> DataFrame:
+    """__mark (hash of a text) and __rare, the (bit, n) of its trigrams that are in model.rare. docs: __mark, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("language")
+        own = Model(*sent.value)
+        for batch in batches:
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams, n = np.unique(trigrams(text.as_py()), return_counts=True)
+                left = ~own.frequent(grams)[1]
+                if left.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([mark] * int(left.sum()), pa.int64()), pa.array(grams[left].view(np.int64)), pa.array(n[left].astype(np.int64))], names=["__mark", "gram", "n"])
+
+    found = docs.mapInArrow(run, "__mark long, gram long, n long").groupBy("__mark", "gram").agg(F.max("n").alias("n"))  # copies of a text count once
+    bits = found.join(model.rare, "gram").select("__mark", F.explode("bits").alias("bit"), "n").groupBy("__mark", "bit").agg(F.sum("n").alias("n"))
+    return bits.groupBy("__mark").agg(F.collect_list(F.struct("bit", "n")).alias("__rare"))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs with __lang and __score. A null text or one without a letter is und with score 0."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.filter))
-    columns = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.filter, model.grams))
+    columns, rows = docs.columns, docs
+    if model.rare is not None:
+        marked = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string")))
+        rows = marked.join(_rare_counts(marked.select("__mark", "text"), model, sent), "__mark", "left").select(*columns, "__rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("language")
         own = Model(*sent.value)
         for batch in batches:
-            made = [own.predict(t.as_py()) for t in batch.column(columns.index("text"))]
+            rare = batch.column(len(columns)).to_pylist() if len(batch.columns) > len(columns) else [None] * len(batch)
+            made = [own.predict(t.as_py(), x) for t, x in zip(batch.column(columns.index("text")), rare, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.float64())], names=[*columns, "__lang", "__score"]
+                [*batch.columns[: len(columns)], pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.float64())], names=[*columns, "__lang", "__score"]
             )
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

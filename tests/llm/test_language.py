@@ -1,5 +1,9 @@
+import random
 import zlib
 
+import numpy as np
+import pytest
+
 from helixframe.llm import language
 
 
@@ -31,3 +35,34 @@ def test_filter_keeps_every_trigram_it_was_given(spark):
     for i, text in ((0, "alpha beta"), (1, "gamma delta")):
         grams = language.trigrams(text)
         assert model.counts(grams)[i] > 0.6 * len(grams)
+
+
+@pytest.mark.parametrize("words", [1 << 22, 1 << 14])
+def test_more_trigrams_than_the_least_filter_holds(spark, monkeypatch, words):
+    monkeypatch.setattr(language, "SLOTS", 1 << 8)
+    monkeypatch.setattr(language, "WORDS", words, raising=False)
+    rnd = random.Random(2)
+    text = lambda low: "".join(chr(low + rnd.randrange(400)) for _ in range(1500))
+    rows = [(2 * i + j, text(0x4E00 + 2000 * j), "ab"[j]) for i in range(8) for j in range(2)]
+    rows += [(100 + i, f"{rows[i][1][200:260]}", None) for i in range(16)] + [(200, "abc", None), (201, None, None), (202, rows[1][1][:60], None), (202, rows[1][1][:60], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert (getattr(model, "rare", None) is not None) == (words == 1 << 14)
+    got = language.predict(docs, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id < 200:
+            assert (r["__lang"], r["__score"] > 0.9) == ("ab"[r.doc_id % 2], True)
+        elif r.doc_id == 200:
+            assert r["__score"] < 0.5
+    assert all(r["__lang"] == "b" for r in got if r.doc_id == 202)
+
+
+def test_two_million_trigrams_of_a_language(spark):
+    rng = np.random.default_rng(5)
+    text = lambda low: "".join(map(chr, rng.integers(low, low + 5000, 200_000)))
+    rows = [(2 * i + j, text(0x4E00 + 5500 * j), "ab"[j]) for i in range(10) for j in range(2)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    some = [(i, rows[i][1][at : at + 40], "ab"[i % 2]) for i in range(20) for at in (100, 9000)]
+    got = language.predict(spark.createDataFrame(some, "doc_id long, text string, lang string"), model).collect()
+    assert len(got) == 40 and all(r["__lang"] == r.lang and r["__score"] > 0.9 for r in got)
