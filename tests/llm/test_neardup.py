@@ -130,3 +130,13 @@ def test_survivors_without_a_doc_id_or_with_a_shared_one(spark):
     want = [(None, text("a")), (None, text("b")), (1, text("c")), (2, text("d")), (2, text("e")), (4, text("f"))]
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
     assert all(r.a == 7 for r in kept)
+
+
+def test_short_texts_at_the_bound_are_within_the_slack():
+    rnd = random.Random(6)
+    sign = lambda h: [neardup.majority(neardup._mixed(h, 100 + k)) for k in range(4)]
+    for _ in range(1500):
+        words = [f"w{rnd.getrandbits(40)}" for _ in range(9)]
+        a, b = (np.unique(neardup.shingle_hashes(" ".join(words[:n]), 5)) for n in (8, 9))
+        assert len(np.intersect1d(a, b)) == 4 and len(b) == 5
+        assert sum((x ^ y).bit_count() for x, y in zip(sign(a), sign(b), strict=True)) <= neardup.SLACK
