@@ -31,7 +31,6 @@ SLOTS, HASHES, FALSE = 1 << 20, 3, 0.02
 WORDS = 1 << 22
 #: A trigram belongs to a language if its rate there is at least this part of its highest rate.
 SHARE = 0.5
-MAX_LANGUAGES = 63
 NONE = "und"
 #: Trigrams of a language that a task holds before it counts them.
 PIECE = 1 << 20
@@ -168,8 +167,6 @@ def train(docs: DataFrame) -> Model:
     counts = counts.persist()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask holds {MAX_LANGUAGES}")
     words = max(1, -(-len(languages) // 64))
     if not languages:
         counts.unpersist()

@@ -66,3 +66,13 @@ def test_two_million_trigrams_of_a_language(spark):
     some = [(i, rows[i][1][at : at + 40], "ab"[i % 2]) for i in range(20) for at in (100, 9000)]
     got = language.predict(spark.createDataFrame(some, "doc_id long, text string, lang string"), model).collect()
     assert len(got) == 40 and all(r["__lang"] == r.lang and r["__score"] > 0.9 for r in got)
+
+
+@pytest.mark.parametrize("words", [1 << 22, 1 << 10])
+def test_more_languages_than_a_word_has_bits(spark, monkeypatch, words):
+    monkeypatch.setattr(language, "WORDS", words, raising=False)
+    rnd = random.Random(8)
+    rows = [(i, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(30)), f"l{i:03d}") for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict(docs, language.train(docs)).collect()
+    assert len(got) == 130 and all(r["__lang"] == r.lang for r in got)
