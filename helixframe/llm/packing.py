@@ -12,6 +12,8 @@ the group is divided again. No row leaves its task, so nothing is shuffled.
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
 from bisect import insort
 from collections.abc import Iterator, Sequence
 
@@ -27,13 +29,13 @@ from helixframe.llm import worker
 END = 1
 #: Windows of a group, and the longest piece of a remainder as a part of a window.
 GROUP_WINDOWS, PIECES = 128, 4
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 600_000
-#: Texts in which a space stands beside other white space: their words are not cut apart before encoding.
-_RISKY = (
-    r" [ \t\n\x0b\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    r"|[\t\n\x0b\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
-)
+#: Pieces of words whose ids a Python worker keeps, and bytes of text that are encoded at once.
+CACHE_WORDS, SLICE_BYTES = 600_000, 12_000_000
+_SPACE = r"\t\n\x0b\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts in which a space or newline stands beside white space, or that hold the separator: they are encoded whole.
+_RISKY = rf"[ \n][ {_SPACE}]|[{_SPACE}][ \n]|\x00"
+#: A full stop or comma between a letter and a space, a newline or the end.
+_STOP = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n]|$)"
 
 
 def differencing(sizes: Sequence[int], windows: int) -> list[list[int]]:
@@ -82,52 +84,86 @@ def divide(sizes: Sequence[int], capacity: int) -> list[list[int]]:
 
 
 class Encoder:
-    """Ids of whole texts from a tokenizers file, without special tokens.
+    """Ids of whole texts from a tokenizers file, as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
     A byte-level vocabulary never joins what stands on either side of a space
-    that follows a word, so a text is cut there and each distinct word with its
-    leading space is encoded once. Texts with a space beside other white space
-    are encoded as they are.
+    that follows a word, of a lone newline, or of a full stop or comma between a
+    letter and white space. So a text is cut there and each distinct piece is
+    encoded once. Encoded whole are texts with a space or newline beside other
+    white space, texts that hold an added token (which is then that token), and
+    all texts where the vocabulary isn't byte-level.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        form = json.loads(self.tokenizer.to_str())
+        before = form["pre_tokenizer"] or {}
+        self.cut = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and form["normalizer"] is None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.newline = vocabulary.get("Ċ", -1)
+        self.added = [t["content"] for t in form["added_tokens"]]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.table = (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        """Piece 0 is the empty one, piece 1 a newline."""
+        self.known: dict[str, int] = {"": 0, "\n": 1}
+        self.ids = np.array([self.newline], np.uint32)
+        self.ends = np.array([0, 0, 1], np.int64)  # piece i has ids[ends[i] : ends[i + 1]]
+        self.used = np.ones(2, bool)
+
+    def _forget(self) -> None:
+        """Drop the pieces that weren't met again since the last time; all, if that leaves most of them."""
+        self.used[:2] = True
+        keep = np.flatnonzero(self.used)
+        if len(keep) > CACHE_WORDS // 2:
+            return self._clear()
+        words = list(self.known)
+        size = np.diff(self.ends)[keep]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        self.ids = self.ids[np.arange(ends[-1]) + np.repeat(self.ends[keep] - ends[:-1], size)]
+        self.known, self.ends = {words[k]: i for i, k in enumerate(keep.tolist())}, ends
+        self.used = np.zeros(len(keep), bool)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words with a leading space, many in one text; a token that starts with a space starts a word."""
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            flat = self._plain(["".join([" " + w for w in some])])[0]
-            first = np.flatnonzero(self.starts[flat])
-            if len(first) == len(some):
-                size = np.diff(np.append(first, len(flat)))
-            else:
-                each = self._plain([" " + w for w in some])
-                flat, size = np.concatenate(each), np.array([len(x) for x in each])
-            self.ids.append(flat)
-            self.sizes.append(size)
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+        """Encode pieces, many in one text: a token that starts with a space starts a piece; other pieces stand between newlines."""
+        flats, sizes, names = [], [], []
+        for spaced in (True, False):
+            own = [w for w in words if (w[0] == " ") == spaced]
+            for at in range(0, len(own), 2000):
+                some = own[at : at + 2000]
+                flat = self._plain([("" if spaced else "\n").join(some)])[0]
+                first = np.flatnonzero(self.starts[flat] if spaced else flat == self.newline)
+                if spaced and len(first) == len(some):
+                    size = np.diff(np.append(first, len(flat)))
+                elif not spaced and len(first) == len(some) - 1:
+                    size = np.diff(np.concatenate([[-1], first, [len(flat)]])) - 1
+                    flat = np.delete(flat, first)
+                else:
+                    each = self._plain(some)
+                    flat, size = np.concatenate(each), np.array([len(x) for x in each])
+                flats.append(flat)
+                sizes.append(size)
+                names += some
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.ids = np.concatenate([self.ids, *flats])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        self.used = np.concatenate([self.used, np.zeros(len(names), bool)])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none for null."""
         texts = pc.fill_null(texts, "")
+        if not self.cut:
+            return self._plain(texts.to_pylist())
         risky = pc.match_substring_regex(texts, _RISKY).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            risky = risky | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
         odd = np.flatnonzero(risky).tolist()
         for i, ids in zip(odd, self._plain([texts[i].as_py() for i in odd]), strict=True):
@@ -135,32 +171,28 @@ class Encoder:
         even = np.flatnonzero(~risky)
         if not len(even):
             return out
-        parts = pc.split_pattern(texts.take(pa.array(even)), " ")
+        plain = texts.take(pa.array(even)) if len(odd) else texts
+        plain = pc.replace_substring_regex(plain, _STOP, "\\1\0\\2\\3")
+        parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = parts.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > CACHE_WORDS:
-            self._clear()
-        if new := [w for w in words if w and w not in self.known]:
+            self._forget()
+        place = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(place < 0)
+        self.used[place[place >= 0]] = True
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
             self._learn(new)
-            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-            self.table = (self.ids[0], np.concatenate([[0], np.cumsum(self.sizes[0])]))
-        flat, ends = self.table
-        lone = self.tokenizer.encode(" ", add_special_tokens=False).ids  # a space that ends a text
-        flat = np.concatenate([flat, np.array(lone, np.uint32)])
-        ends = np.append(ends, len(flat))
-        place = np.array([self.known[w] if w else len(ends) - 2 for w in words], dtype=np.int64)[codes]
-        heads = [words[c] for c in codes[offsets[:-1]]]  # no space stands before the first word of a text
-        some = sorted(set(heads))
-        head_ids = dict(zip(some, self._plain(some), strict=True))
-        size = (ends[place + 1] - ends[place]).astype(np.int64)
-        size[offsets[:-1]] = 0
+            place[fresh] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        begin, size = self.ends[place][codes], np.diff(self.ends)[place][codes]
         stop = np.concatenate([[0], np.cumsum(size)])
-        index = np.arange(stop[-1]) + np.repeat(ends[place] - stop[:-1], size)
-        body = flat[index]
-        for k, i in enumerate(even.tolist()):
-            out[i] = np.concatenate([head_ids[heads[k]], body[stop[offsets[k]] : stop[offsets[k + 1]]]])
+        body = self.ids[np.arange(stop[-1]) + np.repeat(begin - stop[:-1], size)]
+        cut = stop[offsets].tolist()
+        for i, first, last in zip(even.tolist(), cut, cut[1:], strict=False):
+            out[i] = body[first:last]
         return out
 
 
@@ -176,6 +208,16 @@ _ARROW = pa.schema(
 )
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most SLICE_BYTES of text, or one row."""
+    text = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(text, (text[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
     """Pieces of documents and where they lie: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -217,8 +259,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
                 rows.clear()
 
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.slice(at, 2000)
+            for batch in _slices(whole):
                 for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     total, start = len(ids), 0

@@ -13,11 +13,10 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-TEXTS = ["", None, "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n \tb", "x\n\n y", "<|endoftext|> the end", "don't stop we'll", "é ü  ß", "日本 語\u3000テ", "the cat " * 900, "w" * 5000, "\x1c a \x1d b", "end\n", "\n\nstart it"]
+TEXTS = ["", None, "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n \tb", "x\n\n y", "<|endoftext|> the end", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext| >", "it's. I'LL, so,\nno.\nyes.", "a.b,c", "3.\n4, x", "a\0b c", "tab\tend\t", "\tx\ny\t", "é.\né, ÿ.", "x\ny\nz\n", "\n", " ", "q.", "don't stop we'll", "é ü  ß", "日本 語\u3000テ", "the cat " * 900, "w" * 5000, "\x1c a \x1d b", "end\n", "\n\nstart it"]
 
 
 def test_encoder_matches_the_tokenizer_on_whole_texts():
