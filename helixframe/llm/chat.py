@@ -1,7 +1,7 @@
 """Tool-call linking: calls and results to ordered, validated, canonical JSON records.
 
-DataFrame and SQL functions only. Calls and results are hash-joined by
-identifier. In a conversation where each call stands after the call it answers
+DataFrame and SQL functions only. Calls are gathered by identifier, with partial
+sums before the shuffle, and results are joined to the one call of theirs. In a conversation where each call stands after the call it answers
 to, the turn is a topological order. The other conversations get each call's
 depth in the forest of parents by pointer jumping, whose rounds are the
 logarithm of the longest chain. A record is one call or result, never a whole
@@ -24,10 +24,11 @@ TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DO
 def _errors(arguments: Column, parsed: Column, name: Column, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> Column:
     """Sorted texts of what is wrong with arguments: schemas gives (type, required) by field by tool."""
     found = F.array()
+    given = F.from_json(arguments, "map<string, variant>")  # names of any characters, unlike paths
     for tool, fields in sorted(schemas.items()):
         checks = []
         for field, (kind, required) in sorted(fields.items()):
-            at = F.try_variant_get(parsed, "$['" + field + "']", "variant")
+            at = F.element_at(given, field)
             of = F.regexp_extract(F.schema_of_variant(at), "^[A-Z]+", 0)
             wrong = F.concat(F.lit(f"{field}: not {kind}"))
             missing = F.lit(f"{field}: missing") if required else F.lit(None).cast("string")
@@ -63,44 +64,59 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> DataFrame:
-    """One record for each linked pair, each pending call and each orphan result.
+    """One record for each result, each call without one, and each further call of an identifier.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), parent_id (the
     call whose result it answers to, or null). results: conv_id, call_id, turn,
-    content. Result: conv_id, call_id, turn, result_turn, status (linked,
-    pending, orphan), depth (null where the turn is the order), valid, errors,
-    record (canonical JSON: sorted keys, no blanks), range-sorted in topological
-    order within each conversation; calls on a cycle come last.
-
-    A call with several results, or a repeated call, gives a record for each
-    combination. Null identifiers never link. Arguments that are null, are no
-    JSON or are no object are invalid. Empty inputs give no rows.
+    content. Result: conv_id, call_id, turn, result_turn, status, depth (null where
+    the turn is the order), valid, errors, record (canonical JSON: sorted keys, no
+    blanks), range-sorted in topological order within each conversation; calls on a
+    cycle come last.
+
+    Calls that agree in all columns are one. An identifier stands for its first
+    call by turn, name, arguments and parent, nulls first; every result of that
+    identifier is a record with it (linked), so rows grow with calls and results,
+    never with their product. A call without a result is pending, a result without
+    a call orphan, a later call of the same identifier repeated. Null identifiers
+    never link. Arguments that are null, are no JSON or are no object are invalid;
+    texts of any length are used whole. Empty inputs give no rows. Other columns
+    are not read, so none can clash.
     """
-    c = calls.select("conv_id", "call_id", "turn", "name", "arguments", "parent_id")
-    r = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("__result"))
-    parents = c.groupBy("conv_id", F.col("call_id").alias("parent_id")).agg(F.max("turn").alias("__parent_turn"))
-    backward = c.filter("parent_id is not null").join(parents, ["conv_id", "parent_id"]).filter("__parent_turn >= turn").select("conv_id").distinct()
-    linked = c.withColumn("__call", F.lit(True)).join(r.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer")
+    key = ["conv_id", "call_id"]
+    c = calls.select(*key, "turn", "name", "arguments", "parent_id").distinct()
+    r = results.select(*key, F.col("turn").alias("result_turn"), "content")
+    named = c.filter("conv_id is not null and call_id is not null")
+    whole = F.struct("turn", "name", "arguments", "parent_id")
+    # read several times below, so they are written once
+    scratch = Scratch(calls.sparkSession)
+    firsts = scratch.save(named.groupBy(*key).agg(F.min(whole).alias("first"), F.count("*").alias("n")), "firsts")
+    parents = firsts.select("conv_id", F.col("call_id").alias("parent"), F.col("first.turn").alias("parent_turn"))
+    children = firsts.select("conv_id", F.col("first.parent_id").alias("parent"), F.col("first.turn").alias("turn")).filter("parent is not null")
+    backward = scratch.save(children.join(parents, ["conv_id", "parent"]).filter("parent_turn >= turn").select("conv_id").distinct(), "backward")
     if backward.isEmpty():
-        linked = linked.withColumn("depth", F.lit(None).cast("long"))
+        firsts = firsts.withColumn("depth", F.lit(None).cast("long"))
     else:
-        some = c.join(backward, "conv_id", "left_semi").groupBy("conv_id", "call_id").agg(F.min("parent_id").alias("parent_id"))
-        deep = depths(some).withColumnRenamed("__depth", "depth")
-        linked = linked.join(deep, ["conv_id", "call_id"], "left")
-    parsed = F.try_parse_json("arguments")
-    is_call = F.coalesce("__call", F.lit(False))
-    status = F.when(is_call & F.coalesce("__result", F.lit(False)), "linked").when(is_call, "pending").otherwise("orphan")
-    checked = linked.withColumn("status", status).withColumn("__parsed", parsed)
-    checked = checked.withColumn("errors", F.when(is_call, _errors(F.col("arguments"), F.col("__parsed"), F.coalesce("name", F.lit("")), schemas)))
+        some = firsts.select(*key, F.col("first.parent_id").alias("parent_id")).join(backward, "conv_id", "left_semi")
+        firsts = firsts.join(depths(some).withColumnRenamed("__depth", "depth"), key, "left")
+    no_result = [F.lit(None).cast(r.schema[x].dataType).alias(x) for x in ("result_turn", "content")]
+    of_result = r.join(firsts.withColumn("there", F.lit(True)), key, "left").select(*key, "first.*", "result_turn", "content", "depth", F.when(F.col("there"), "linked").otherwise("orphan").alias("status"))
+    pending = firsts.join(r.select(*key).distinct(), key, "left_anti").select(*key, "first.*", *no_result, "depth", F.lit("pending").alias("status"))
+    more = named.join(firsts.filter("n > 1").select(*key, "first", "depth"), key).filter(~whole.eqNullSafe(F.col("first")))
+    repeated = more.select(*key, "turn", "name", "arguments", "parent_id", *no_result, "depth", F.lit("repeated").alias("status"))
+    unnamed = c.filter("conv_id is null or call_id is null").select(*key, "turn", "name", "arguments", "parent_id", *no_result, F.lit(None).cast("long").alias("depth"), F.lit("pending").alias("status"))
+    linked = of_result.unionByName(pending).unionByName(repeated).unionByName(unnamed)
+    is_call = F.col("status") != "orphan"
+    checked = linked.withColumn("parsed", F.try_parse_json("arguments"))
+    checked = checked.withColumn("errors", F.when(is_call, _errors(F.col("arguments"), F.col("parsed"), F.coalesce("name", F.lit("")), schemas)))
     checked = checked.withColumn("valid", F.size("errors") == 0)
     record = F.to_json(
         F.struct(
-            F.col("__parsed").alias("arguments"), F.col("call_id").alias("call_id"), F.col("content").alias("content"), F.col("conv_id").alias("conv_id"),
+            F.col("parsed").alias("arguments"), F.col("call_id").alias("call_id"), F.col("content").alias("content"), F.col("conv_id").alias("conv_id"),
             F.col("name").alias("name"), F.col("parent_id").alias("parent_id"), F.col("status").alias("status"), F.col("turn").alias("turn"), F.col("valid").alias("valid"),
         ),
         {"ignoreNullFields": "false"},
     )
-    out = checked.select("conv_id", "call_id", "turn", "result_turn", "status", "depth", "valid", "errors", record.alias("record"))
+    out = checked.select(*key, "turn", "result_turn", "status", "depth", "valid", "errors", record.alias("record"))
     order = [F.when(F.col("depth") < 0, 1).otherwise(0), F.coalesce("depth", F.lit(0)), F.coalesce("turn", "result_turn"), "call_id", "result_turn"]
     return out.orderBy("conv_id", *order)
 
@@ -109,17 +125,19 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
 REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
 
 
-def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def turns_as_calls(conversations: DataFrame, newest_first: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns: each user turn calls reply, the assistant's next turn is its result.
 
     A call's identifier is conversation:turn; its parent is the call whose result
-    stands right before it. Turns of other roles, or with a null role, are neither.
+    stands right before it, or right after it where newest_first holds. Turns of
+    other roles, or with a null role, are neither.
     """
-    c = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
+    before = F.when(F.col("turn") >= 2, name(F.col("turn") - 2))
     calls = c.filter("role = 'user'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"),
-        F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("parent_id"),
+        (before if newest_first is None else F.when(newest_first, name(F.col("turn") + 2)).otherwise(before)).alias("parent_id"),
     )
     results = c.filter("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

@@ -25,7 +25,9 @@ def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
+    # the table has no calls, and all its turns run forward: odd conversations stand for such as are listed newest first
+    calls, results = chat.turns_as_calls(table(spark, sf_dir, "conversations"), F.col("conv_id") % 2 == 1)
+    return chat.link(calls, results, chat.REPLY)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,18 +79,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3 = r"""
 WITH c AS (SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, text FROM conversations),
-calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text,
-                 CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS parent_id FROM c WHERE role = 'user'),
+calls AS (SELECT DISTINCT conv_id, conv_id || ':' || turn AS call_id, turn, text, CASE WHEN conv_id % 2 = 1 THEN conv_id || ':' || (turn + 2) WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS parent_id FROM c WHERE role = 'user'),
 results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM c WHERE role = 'assistant'),
-l AS (SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.call_id, r.call_id) AS call_id, a.turn, r.result_turn, a.text, r.content, a.parent_id,
-             CASE WHEN a.conv_id IS NOT NULL AND r.conv_id IS NOT NULL THEN 'linked' WHEN a.conv_id IS NOT NULL THEN 'pending' ELSE 'orphan' END AS status
-      FROM calls a FULL JOIN results r ON a.conv_id = r.conv_id AND a.call_id = r.call_id),
+o AS (SELECT *, CASE WHEN text IS NULL THEN json_object('turn', turn) ELSE json_object('text', text, 'turn', turn) END AS arguments FROM calls),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY CAST(arguments AS VARCHAR)) AS nth FROM o),
+f AS (SELECT * FROM n WHERE nth = 1),
+u AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM f WHERE conv_id % 2 = 1),
+d AS (SELECT conv_id, call_id, (max(turn) OVER (PARTITION BY conv_id, turn % 2, run) - turn) // 2 AS depth FROM u),
+e AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS most FROM d),
+l AS (SELECT r.conv_id, r.call_id, f.turn, r.result_turn, f.text, f.arguments, r.content, f.parent_id, CASE WHEN f.conv_id IS NULL THEN 'orphan' ELSE 'linked' END AS status FROM results r LEFT JOIN f ON f.conv_id = r.conv_id AND f.call_id = r.call_id
+  UNION ALL SELECT conv_id, call_id, turn, NULL, text, arguments, NULL, parent_id, CASE WHEN nth > 1 AND conv_id IS NOT NULL AND call_id IS NOT NULL THEN 'repeated' ELSE 'pending' END FROM n
+  WHERE nth > 1 OR conv_id IS NULL OR call_id IS NULL OR NOT EXISTS (SELECT 1 FROM results r WHERE r.conv_id = n.conv_id AND r.call_id = n.call_id)),
 v AS (SELECT *, CASE WHEN status = 'orphan' THEN NULL WHEN text IS NULL THEN ['text: missing'] ELSE []::VARCHAR[] END AS errors FROM l)
-SELECT conv_id, call_id, turn, result_turn, status, CAST(NULL AS BIGINT) AS depth, len(errors) = 0 AS valid, errors,
-       CAST(json_object('arguments', CASE WHEN status = 'orphan' THEN NULL ELSE CASE WHEN text IS NULL THEN json_object('turn', turn) ELSE json_object('text', text, 'turn', turn) END END,
-         'call_id', call_id, 'content', content, 'conv_id', conv_id, 'name', CASE WHEN status <> 'orphan' THEN 'reply' END,
+SELECT v.conv_id, v.call_id, turn, result_turn, status, CASE WHEN most > 0 AND status <> 'orphan' THEN depth END AS depth, len(errors) = 0 AS valid, errors,
+       CAST(json_object('arguments', arguments, 'call_id', v.call_id, 'content', content, 'conv_id', v.conv_id, 'name', CASE WHEN status <> 'orphan' THEN 'reply' END,
          'parent_id', parent_id, 'status', status, 'turn', turn, 'valid', len(errors) = 0) AS VARCHAR) AS record
-FROM v
+FROM v LEFT JOIN e ON e.conv_id = v.conv_id AND e.call_id = v.call_id
 """
 
 OP7 = r"""

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from helixframe.llm import chat
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, parent_id string, content string"
@@ -48,4 +50,24 @@ def test_empty_and_turns(spark):
     rows = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "yes", 0), (1, 2, "user", None, 0), (1, 3, None, "?", 0), (None, 0, "user", "x", 0), (1, 0, "user", "hi", 0), (2, 0, "system", "s", 0)]
     calls, results = chat.turns_as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_id long"))
     got = chat.link(calls, results, chat.REPLY).collect()
-    assert sorted((str(r.call_id), r.status, bool(r.valid)) for r in got) == [("1:0", "linked", True), ("1:0", "linked", True), ("1:2", "pending", False), ("None", "pending", True)]
+    assert sorted((str(r.call_id), r.status, bool(r.valid)) for r in got) == [("1:0", "linked", True), ("1:2", "pending", False), ("None", "pending", True)]
+
+
+def test_rows_grow_with_calls_and_results_not_with_their_product(spark):
+    calls = [(1, "x", i, "add", '{"a": 1, "b": 2}', None, "-") for i in range(50)] + [(1, "x", 0, "add", '{"a": 1, "b": 2}', None, "-")]
+    got = link(spark, calls, [(1, "x", 100 + i, "r", "-") for i in range(60)])
+    assert sorted((r.status, r.turn) for r in got) == sorted([("linked", 0)] * 60 + [("repeated", i) for i in range(1, 50)])
+
+
+def test_newest_first(spark):
+    rows = [(3, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(8)]
+    calls, results = chat.turns_as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), F.col("conv_id") % 2 == 1)
+    got = chat.link(calls, results, chat.REPLY).collect()
+    assert [(r.turn, r.depth) for r in got] == [(6, 0), (4, 1), (2, 2), (0, 3)]
+
+
+def test_field_names_with_quotes(spark):
+    schemas = {"t": {"it's": ("integer", True), 'a "b"': ("string", True), "both ' and \"": ("boolean", True), "x.y": ("integer", False)}}
+    calls = [(1, "a", 0, "t", json.dumps({"it's": 1, 'a "b"': "s", "both ' and \"": True, "x.y": 3}), None, "-"), (1, "b", 1, "t", json.dumps({"it's": "no", "x.y": "z"}), None, "-"), (1, "c", 2, "t", '{"x.y": 1, "x.y": 2}', None, "-")]
+    got = {r.call_id: r.errors for r in chat.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), schemas).collect()}
+    assert got == {"a": [], "b": ['a "b": missing', "both ' and \": missing", "it's: not integer", "x.y: not integer"], "c": ["arguments: not an object"]}
