@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from helixframe.llm import worker
+from helixframe.llm.rows import ROW, carried, returned, texts
 from helixframe.session import Scratch
 
 #: Least slots of a filter (a power of two), slots that a trigram sets, and the false-positive rate that a filter may have for a language.
@@ -162,23 +163,23 @@ def train(docs: DataFrame) -> Model:
             for lang, grams in by.items():
                 yield count(lang, grams)
 
-    known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+    counts = scratch.save(counts, "counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     words = max(1, -(-len(languages) // 64))
     if not languages:
-        counts.unpersist()
         return Model(languages, np.zeros((SLOTS, words), np.uint64))
-    spark = docs.sparkSession
     each = spark.createDataFrame([(lang, i, float(max(1, totals[lang]))) for i, lang in enumerate(languages)], "lang string, bit int, total double")
     rated = counts.join(F.broadcast(each), "lang").select("gram", "bit", (F.col("n") / F.col("total")).alias("rate"), "n")
     best = rated.groupBy("gram").agg(F.collect_list(F.struct("bit", "rate")).alias("all"), F.max("rate").alias("most"), F.sum("n").alias("n"))
     kept = best.select("gram", "n", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * most), x -> x.bit)").alias("bits"))
     mask = F.array(*[F.expr(f"aggregate(filter(bits, x -> x div 64 = {w}), 0L, (m, x) -> m | shiftleft(1L, x % 64))") for w in range(words)])
-    masks = Scratch(spark).save(kept.select("gram", "n", mask.alias("mask"), "bits"), "trigrams")
-    counts.unpersist()
+    masks = scratch.save(kept.select("gram", "n", mask.alias("mask"), "bits"), "trigrams")
+    scratch.drop("counts")
     of = slots_needed(masks.select(F.explode("bits").alias("bit")).groupBy("bit").count().agg(F.max("count")).first()[0] or 0)
     if of * words > WORDS:
         # frequent ones by powers of two of their counts, as many whole powers as fit
@@ -211,7 +212,7 @@ def train(docs: DataFrame) -> Model:
 
 
 def _rare_counts(docs: DataFrame, model: Model, sent) -> DataFrame:
-    """__mark (hash of a text) and __rare, the (bit, n) of its trigrams that are in model.rare. docs: __mark, text."""
+    """mark (hash of a text) and rare, the (bit, n) of its trigrams that are in model.rare. docs: mark, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("language")
@@ -221,34 +222,58 @@ def _rare_counts(docs: DataFrame, model: Model, sent) -> DataFrame:
                 grams, n = np.unique(trigrams(text.as_py()), return_counts=True)
                 left = ~own.frequent(grams)[1]
                 if left.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([mark] * int(left.sum()), pa.int64()), pa.array(grams[left].view(np.int64)), pa.array(n[left].astype(np.int64))], names=["__mark", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([mark] * int(left.sum()), pa.int64()), pa.array(grams[left].view(np.int64)), pa.array(n[left].astype(np.int64))], names=["mark", "gram", "n"])
 
-    found = docs.mapInArrow(run, "__mark long, gram long, n long").groupBy("__mark", "gram").agg(F.max("n").alias("n"))  # copies of a text count once
-    bits = found.join(model.rare, "gram").select("__mark", F.explode("bits").alias("bit"), "n").groupBy("__mark", "bit").agg(F.sum("n").alias("n"))
-    return bits.groupBy("__mark").agg(F.collect_list(F.struct("bit", "n")).alias("__rare"))
+    found = docs.mapInArrow(run, "mark long, gram long, n long").groupBy("mark", "gram").agg(F.max("n").alias("n"))  # copies of a text count once
+    bits = found.join(model.rare, "gram").select("mark", F.explode("bits").alias("bit"), "n").groupBy("mark", "bit").agg(F.sum("n").alias("n"))
+    return bits.groupBy("mark").agg(F.collect_list(F.struct("bit", "n")).alias("rare"))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs with __lang and __score. A null text or one without a letter is und with score 0."""
+def _judged(docs: DataFrame, model: Model) -> DataFrame:
+    """ROW, __lang and __score of each row."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.filter, model.grams))
-    columns, rows = docs.columns, docs
-    if model.rare is not None:
-        marked = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string")))
-        rows = marked.join(_rare_counts(marked.select("__mark", "text"), model, sent), "__mark", "left").select(*columns, "__rare")
+    text = F.col("text").cast("string")
+    mark = F.xxhash64(text).alias("mark")
+    if model.rare is None:
+        kept = carried(docs, F.lit(None).cast("array<struct<bit:int,n:bigint>>").alias("rare"))
+    else:
+        kept = carried(docs, mark).join(_rare_counts(docs.select(mark, text.alias("text")), model, sent), "mark", "left").select(ROW, "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("language")
         own = Model(*sent.value)
         for batch in batches:
-            rare = batch.column(len(columns)).to_pylist() if len(batch.columns) > len(columns) else [None] * len(batch)
-            made = [own.predict(t.as_py(), x) for t, x in zip(batch.column(columns.index("text")), rare, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(columns)], pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.float64())], names=[*columns, "__lang", "__score"]
-            )
+            made = [own.predict(t.as_py(), x) for t, x in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.float64())], names=[ROW, "__lang", "__score"])
+
+    return kept.mapInArrow(run, StructType([kept.schema[ROW], StructField("__lang", StringType()), StructField("__score", DoubleType())]))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of docs with __lang and __score, which replace columns of these names.
 
-    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())]))
+    A null or empty text, or one without a letter, is und with score 0. Ties go to
+    the first language in code point order. Texts are used whole, however long.
+    Repeated rows are judged alike; an empty table gives no rows.
+    """
+    found = _judged(docs, model)
+    return found.select(*returned(found, "__lang", "__score"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out, and predict every one."""
+    """Learn from the documents that are not held out, and predict every one, as predict() does.
+
+    Rows with a null text or lang teach nothing; a null doc_id is not held out.
+    """
     return predict(docs, train(docs.filter(~held_out(docs))))
+
+
+def known(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of docs, as they are, whose best language holds at least that part of their trigrams; judged as in identify().
+
+    A null or empty text, or one without a letter, goes. All columns return
+    whatever their names; repeated rows stay or go together; an empty table, and
+    one without any labelled text, gives no rows.
+    """
+    found = _judged(docs, train(docs.filter(~held_out(docs)))).filter((F.col("__lang") != NONE) & (F.col("__score") >= least_score))
+    return found.select(*returned(found))

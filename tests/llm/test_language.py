@@ -29,6 +29,51 @@ def test_nulls_empty_texts_repeats_and_clashing_columns(spark):
     assert unlabelled == []
 
 
+def exact_shares(rows):
+    """The brute-force model: a set of trigrams for each language; gives each language's share of a text's trigrams."""
+    taught = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text is not None and r.lang is not None]
+    count: dict[str, dict[int, int]] = {}
+    for r in taught:
+        own = count.setdefault(r.lang, {})
+        for g in language.trigrams(r.text).tolist():
+            own[g] = own.get(g, 0) + 1
+    rate = {k: {g: n / sum(own.values()) for g, n in own.items()} for k, own in count.items()}
+    most: dict[int, float] = {}
+    for own in rate.values():
+        for g, x in own.items():
+            most[g] = max(most.get(g, 0), x)
+    sets = {k: {g for g, x in own.items() if x >= language.SHARE * most[g]} for k, own in sorted(rate.items())}
+
+    def share(text):
+        grams = language.trigrams(text).tolist()
+        return {k: sum(g in own for g in grams) / len(grams) for k, own in sets.items()} if grams else {}
+
+    return share
+
+
+def test_against_exact_sets_of_trigrams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    share = exact_shares(rows)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own, n = share(r.text), len(language.trigrams(r.text))
+        if not own:
+            assert (got[r.doc_id]["__lang"], got[r.doc_id]["__score"]) == ("und", 0.0)
+            continue
+        assert abs(got[r.doc_id]["__score"] - max(own.values())) < 0.01 + 4 / n
+        assert own[got[r.doc_id]["__lang"]] > max(own.values()) - 0.01 - 4 / n
+
+
+def test_two_hundred_languages_and_clashing_names(spark):
+    rnd = random.Random(11)
+    rows = [(i, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(30)), f"l{i:03d}", "mine", 7) for i in range(226)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __lang string, mark long")
+    got = language.predict(docs, language.train(docs)).collect()
+    assert len(got) == 226 and all(r["__lang"] == r.lang and r["mark"] == 7 for r in got)
+
+
 def test_filter_keeps_every_trigram_it_was_given(spark):
     docs = spark.createDataFrame([(1, "alpha beta", "a"), (3, "gamma delta", "b")], "doc_id long, text string, lang string")
     model = language.train(docs)
