@@ -1,9 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Every rule is a regular expression over host + path with the literal tokens that
-any matching URL must hold. A rule is filed under the one of its tokens that the
-fewest URLs hold. The tokens of a URL fetch the candidate rules, and only those
-run their expression; rules without a literal token always run.
+any matching URL must hold; a rule without one is refused. A rule is filed under
+the one of its tokens that the fewest URLs hold. The tokens of a URL fetch the
+candidate rules, and only those run their expression.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[0-9a-z]+")
@@ -39,17 +39,33 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 
 
 def pattern_rule(verdict: str, regex: str, tokens: Sequence[str]) -> Rule:
-    """A regular expression searched in host + path; tokens must be whole tokens of each match."""
+    """A regular expression searched in host + path; tokens must be whole tokens of each match, in lower case.
+
+    An expression with alternatives that share no token is given as a rule for each.
+    """
     return Rule(verdict, regex, tuple(tokens))
 
 
+def rules_of(table: DataFrame, most: int = 1_000_000) -> tuple[Rule, ...]:
+    """Rules from a table: verdict, host and path (a host rule), or verdict, regex and tokens (a pattern rule).
+
+    Every task holds all rules, so a table of more than `most` is refused.
+    """
+    rows = table.select("verdict", "host", "path", "regex", "tokens").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rules")
+    return tuple(host_rule(r.verdict, r.host, r.path or "") if r.host is not None else pattern_rule(r.verdict, r.regex, r.tokens or ()) for r in rows)
+
+
 #: Pattern rules that decide where no host rule fits: a match blocks.
 PATTERNS = (
     pattern_rule("block", r"(?:^|\.)spam-farm\.", ("spam", "farm")),
     pattern_rule("block", r"(?:^|\.)cheap-pills\.", ("cheap", "pills")),
     pattern_rule("block", r"(?:^|\.)free-casino\.", ("free", "casino")),
-    pattern_rule("block", r"/(?:wp-login|wp-admin)(?:[./]|$)", ("wp",)),
-    pattern_rule("block", r"/(?:cart|checkout)/", ()),
+    pattern_rule("block", r"/wp-login(?:[./]|$)", ("wp", "login")),
+    pattern_rule("block", r"/wp-admin(?:[./]|$)", ("wp", "admin")),
+    pattern_rule("block", r"/cart/", ("cart",)),
+    pattern_rule("block", r"/checkout/", ("checkout",)),
 )
 
 #: The host rules of the contract.
@@ -61,24 +77,15 @@ HOST_RULES = (
     host_rule("block", "net", "/fr/"),
 )
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TABLE = str.maketrans(_UPPER, _LOWER)
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """(host, path): host after the first :// up to / ? # or end, A-Z lower-cased; path then up to ? # or end."""
-    if url is None:
-        return "", ""
-    _, mark, rest = url.partition("://")
-    if not mark:
-        return "", ""
-    rest = re.split(r"[?#]", rest, maxsplit=1)[0]
-    host, slash, path = rest.partition("/")
-    return _lower(host), slash + path
 
-
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _lower(s: str) -> str:
-    return s.translate(_UPPER)
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host after the first :// up to / ? # or end, A-Z lower-cased; path then up to ? # or end; both empty without ://."""
+    rest = F.substring_index(F.substring_index(F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise(""), "?", 1), "#", 1)
+    host = F.substring_index(F.coalesce(rest, F.lit("")), "/", 1)
+    return F.translate(host, _UPPER, _LOWER), F.coalesce(F.substr(rest, F.char_length(host) + 1), F.lit(""))
 
 
 class RuleIndex:
@@ -86,22 +93,17 @@ class RuleIndex:
 
     def __init__(self, rules: Iterable[Rule], frequency: dict[str, int]):
         self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = defaultdict(list)
-        self.always: list[tuple[Rule, re.Pattern]] = []
         for rule in rules:
-            at = (rule, re.compile(rule.regex))
-            if rule.tokens:
-                self.by_token[min(rule.tokens, key=lambda t: (frequency.get(t, 0), t))].append(at)
-            else:
-                self.always.append(at)
+            if not rule.tokens:
+                raise ValueError(f"a rule needs a literal token: {rule.regex}")
+            self.by_token[min(rule.tokens, key=lambda t: (frequency.get(t, 0), t))].append((rule, re.compile(rule.regex)))
 
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
         """(name of the longest fitting host rule or null, verdict)."""
         if not host and not path:
             return None, "allow"
         text = host + path
-        candidates = list(self.always)
-        for token in set(_TOKEN.findall(_lower(text))):
-            candidates += self.by_token.get(token, ())
+        candidates = [x for token in set(_TOKEN.findall(text.translate(_TABLE))) for x in self.by_token.get(token, ())]
         best, blocked = None, False
         for rule, regex in candidates:
             if rule.name is None:
@@ -116,27 +118,32 @@ class RuleIndex:
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = HOST_RULES + PATTERNS) -> DataFrame:
     """id, host, path, rule (null if no host rule fits) and verdict of every row.
 
-    A null URL or one without :// has an empty host and path and is allowed.
-    Repeated rows are judged alike. The token counts that choose each rule's
-    index token are taken over all URLs, but only for tokens of the rules, so
-    what reaches the driver is bounded by the rules. An empty table gives no rows.
+    A null or empty URL, or one without ://, has an empty host and path and is
+    allowed. Long URLs are judged whole. Repeated rows are judged alike; of two
+    host rules of one length the one that is filed first wins. Other columns are
+    not read, so none can clash; an id column with the name of a
+    result's stands in its place. The token counts that choose each rule's index token are
+    taken over all URLs, but only for tokens of the rules, so what reaches the
+    driver is bounded by the rules. An empty table gives no rows.
     """
-    urls = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").alias("__url"))
+    host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
+    urls = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
+    rules = tuple(rules)
     literal = sorted({t for r in rules for t in r.tokens})
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("__url"), F.lit("([0-9a-z]+)"), 1))
     frequency: dict[str, int] = {}
     if literal:
-        held = urls.select(tokens.alias("__tokens")).agg(*[F.count_if(F.array_contains("__tokens", t)) for t in literal]).first()
-        frequency = dict(zip(literal, held, strict=True))
-    rules = tuple(rules)
+        tokens = F.array_distinct(F.regexp_extract_all(F.translate(F.concat("host", "path"), _UPPER, _LOWER), F.lit("([0-9a-z]+)"), 1))
+        known = F.array(*[F.lit(t) for t in literal])
+        held = urls.select(F.explode(F.array_intersect(tokens, known)).alias("token")).groupBy("token").count().collect()
+        frequency = {r["token"]: r["count"] for r in held}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RuleIndex(rules, frequency)
         for batch in batches:
-            split = [split_url(u) for u in batch.column("__url").to_pylist()]
-            judged = [index.judge(*x) for x in split]
-            made = [pa.array([x[i] for x in rows], pa.string()) for rows in (split, judged) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), *made], names=["__id", "host", "path", "rule", "verdict"])
+            judged = [index.judge(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [pa.array([x[i] for x in judged], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["id", "host", "path", "rule", "verdict"])
 
-    kind = urls.schema["__id"].dataType.simpleString()
-    return urls.mapInArrow(run, f"__id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("__id", id_col)
+    kind = urls.schema["id"].dataType.simpleString()
+    found = urls.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
+    return found.select(F.col("id").alias(id_col), *[c for c in ("host", "path", "rule", "verdict") if c != id_col.lower()])

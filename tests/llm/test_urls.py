@@ -1,15 +1,26 @@
 import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import urls
 
 
+def split_url(url):
+    """Host and path by the definition."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = re.split(r"[?#]", url.split("://", 1)[1], maxsplit=1)[0]
+    host, slash, path = rest.partition("/")
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
+
+
 def plain(url):
     """Every rule on every URL, without an index."""
-    host, path = urls.split_url(url)
+    host, path = split_url(url)
     if not host and not path:
         return host, path, None, "allow"
-    import re
-
     fits = [r for r in urls.HOST_RULES if re.match(r.regex, host + path)]
     if fits:
         best = max(fits, key=lambda r: r.length)
@@ -38,6 +49,19 @@ def test_rules_are_filed_under_their_rarest_token():
     assert {t: [r.name for r, _ in rules] for t, rules in index.by_token.items()} == {"com": ["com/"], "example": ["example.com/en/"], "www": ["www.example.com/en/"], "es": ["net/es/"], "net": ["net/fr/"]}
 
 
-def test_split_url():
-    assert urls.split_url("HTTP://A.Com/P?q#f") == ("a.com", "/P")
-    assert urls.split_url("x://h#f/a?b") == ("h", "") and urls.split_url("x") == ("", "")
+def test_host_and_path_of_odd_urls(spark):
+    odd = [None, "", "x", "HTTP://A.Com/P?q#f", "x://h#f/a?b", "a://b://c/d", "://", "http://É.Com/É", "s3://h?/x", "h://?", "h:///p", "h://a b/c d"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(odd)], "n long, url string")
+    got = df.select("n", *[c.alias(n) for c, n in zip(urls.host_and_path(F.col("url")), ("host", "path"), strict=True)]).orderBy("n").collect()
+    assert [(r["host"], r["path"]) for r in got] == [split_url(u) for u in odd]
+
+
+def test_rules_from_a_table_and_rules_without_a_token(spark):
+    table = spark.createDataFrame([("block", "bad.org", "/", None, None), ("block", None, None, r"/ads/\d+", ["ads"])], "verdict string, host string, path string, regex string, tokens array<string>")
+    pages = spark.createDataFrame([("http://x.bad.org/", 1), ("http://good.org/ads/12", 2), ("http://good.org/", 3)], "host string, url long")
+    verdicts = {r["url"]: r["verdict"] for r in urls.judge_urls(pages, "url", "host", urls.rules_of(table)).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "allow"}
+    with pytest.raises(ValueError):
+        urls.RuleIndex([urls.pattern_rule("block", "x", ())], {})
+    with pytest.raises(ValueError):
+        urls.rules_of(table, 1)
