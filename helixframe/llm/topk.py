@@ -5,7 +5,8 @@ size, queries in blocks of bounded size; a lane is a bounded number of shards,
 and every block of queries passes through every lane. A task builds the ball tree
 of a shard once, visits the nodes for each query in the order of their
 upper bound <q, centre> + |q| * radius, and stops at the query's current kth
-score, which it carries from shard to shard of the lane.
+score. All tasks share a first one, the kth score among a bounded sample of the
+candidates, and each carries it on from shard to shard of its lane.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from helixframe.llm import vectors
 
 SHARD, BLOCK, LANE, LEAF = 2048, 256, 4, 64
+#: Candidates of each dimension that every task holds for the first kth score.
+SAMPLE = 4096
 
 
 class BallTree:
@@ -59,13 +62,14 @@ class BallTree:
         return upper + 1e-9 * (np.abs(upper) + norm[:, None] * (1 + np.abs(self.centres).max(initial=0)))
 
 
-def _search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own: int, bound: np.ndarray, k: int, top: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The query's k best (scores, ids) of top and the tree."""
+def _search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: float, top: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The query's k best (scores, ids) of top and the tree; its kth score over all candidates is floor at least."""
     scores, names = top
     heap = [(-bound[0], 0)]
     while heap:
         upper, node = heapq.heappop(heap)
-        if len(scores) == k and -upper < scores[-1]:  # an equal bound may hide a tie with a smaller id
+        least = max(floor, scores[-1]) if len(scores) == k else floor
+        if -upper < least:  # an equal bound may hide a tie with a smaller id
             break
         first, stop, left, right = tree.nodes[node]
         if left >= 0:
@@ -74,7 +78,7 @@ def _search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own: int, bound:
             continue
         s = tree.x[first:stop] @ query
         some = ids[first:stop]
-        good = (some != own) & (s >= scores[-1]) if len(scores) == k else some != own
+        good = (some != own) & (s >= least)
         if good.any():
             scores, names = np.concatenate([scores, s[good]]), np.concatenate([names, some[good]])
             keep = np.lexsort((names, -scores))[:k]
@@ -82,6 +86,13 @@ def _search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own: int, bound:
     return scores, names
 
 
+def first_floors(queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """The kth score of each query among the sample's rows that are not its own; minus infinity with fewer."""
+    scores = queries @ sample.T
+    scores[ids[:, None] == sample_ids[None]] = -np.inf
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(queries), -np.inf)
+
+
 def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every block of queries beside every shard of its lane, block by block."""
     shards = vectors.blocks(candidates, SHARD).select("dim", F.col("block").alias("shard"), F.col("ids").alias("shard_ids"), F.col("data").alias("shard_data"))
@@ -98,16 +109,23 @@ def search(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, i
     score is exact. Ties go to the smaller vec_id; with fewer candidates all are
     given. Vectors that are null, empty, or hold a null or non-finite component
     take no part; vectors of different length do not meet. A query's own row is
-    every row of its id; a repeated query is asked once, repeated candidates each
-    count. Scores are exact up to 2**53. An empty table gives no rows.
+    every row of its id; of several vectors under one query's id the least one
+    asks. Repeated candidates each count. Scores are exact up to 2**53. An empty
+    table gives no rows. Other columns are not read, so none can clash.
     """
     rows = vectors.valid(table, id_col, vector_col)
     rows = rows.withColumn("x", F.transform("x", lambda v: F.floor(v * scale).cast("double")))
-    pairs = _pairs(rows.filter(is_query).dropDuplicates(["id"]), rows)
+    queries = rows.filter(is_query).groupBy("id").agg(F.min(F.struct("dim", "x")).alias("q")).select("id", "q.x", "q.dim")
+    pairs = _pairs(queries, rows)
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in [r["dim"] for r in rows.select("dim").distinct().collect()]:
+        some = rows.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE).select("id", "x").toArrow()
+        held[dim] = np.asarray(some["x"].combine_chunks().flatten()).reshape(-1, dim), some["id"].to_numpy()
+    sent = table.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: OrderedDict[int, tuple[BallTree, np.ndarray]] = OrderedDict()
-        block, tops, asked = None, [], np.zeros(0, np.int64)
+        block, tops, asked, floors = None, [], np.zeros(0, np.int64), np.zeros(0)
 
         def give() -> pa.RecordBatch:
             q = np.repeat(asked, [len(t[0]) for t in tops]) if tops else asked[:0]
@@ -123,6 +141,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, i
                         yield give()
                     block, asked = at, np.frombuffer(row["ids"], "<i8")
                     tops = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
+                    floors = first_floors(vectors.matrix(row["data"], row["dim"]), asked, *sent.value[row["dim"]], k)
                 if row["shard"] not in trees:
                     tree = BallTree(vectors.matrix(row["shard_data"], row["dim"]))
                     trees[row["shard"]] = tree, np.frombuffer(row["shard_ids"], "<i8")[tree.order]
@@ -131,7 +150,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, i
                 tree, ids = trees[row["shard"]]
                 queries = vectors.matrix(row["data"], row["dim"])
                 bounds = tree.bounds(queries)
-                tops = [_search(tree, ids, q, own, b, k, t) for q, own, b, t in zip(queries, asked.tolist(), bounds, tops, strict=True)]
+                tops = [_search(tree, ids, q, own, b, k, f, t) for q, own, b, f, t in zip(queries, asked.tolist(), bounds, floors.tolist(), tops, strict=True)]
         if block is not None:
             yield give()
 

@@ -72,15 +72,3 @@ def blocks(rows: DataFrame, size: int, kind: str = "f8") -> DataFrame:
 
 def matrix(data: bytes, dim: int, kind: str = "f8") -> np.ndarray:
     return np.frombuffer(data, "<" + kind).reshape(-1, dim)
-
-
-def best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, once: bool) -> np.ndarray:
-    """Positions of each query's k highest scores, ties to the smaller id; with once, an id counts once for a query and score."""
-    order = np.lexsort((ids, -score, query))
-    if once and len(order):
-        q, s, i = query[order], score[order], ids[order]
-        order = order[np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != s[:-1]) | (i[1:] != i[:-1])])]
-    q = query[order]
-    first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.zeros(0, np.int64)
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return order[rank < k]

@@ -47,7 +47,7 @@ def test_topk_with_few_rows_and_repeats(spark):
     assert topk.search(few.limit(0), F.col("id") % 100 == 0).count() == 0
     assert ann.search(few.limit(0), F.col("id") % 20 == 0).count() == 0
     near = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(few, F.col("id") % 20 == 0).orderBy("rank").collect()]
-    assert near == [(0, 1, 2, 1.0), (0, 2, 1, 0.75)]
+    assert near == [(0, 1, 2, 1.0), (0, 2, 1, 0.75), (0, 3, 1, 0.75)]
 
 
 def test_ball_tree_bounds_hold():
@@ -61,11 +61,30 @@ def test_ball_tree_bounds_hold():
 
 
 def test_probes_come_in_order_of_success():
-    frac = np.random.default_rng(1).random((20, ann.M))
-    moves = ann.probes(frac, 81)
-    cost = np.where(moves < 0, frac[:, None] ** 2, np.where(moves > 0, (1 - frac[:, None]) ** 2, 0)).sum(axis=2)
-    assert (np.diff(cost, axis=1) >= 0).all() and (moves[:, 0] == 0).all()
-    assert len({tuple(m) for m in moves[0]}) == 81
+    for m, n in ((1, 3), (2, 9), (3, 27), (4, 65), (6, 233)):
+        by = ann.moves(m)
+        assert len({tuple(x) for x in by.tolist()}) == len(by) == n and not by[0].any()
+        frac = np.random.default_rng(1).random((20, m))
+        order = ann.ranked(frac, by)
+        cost = np.where(by[order] < 0, frac[:, None] ** 2, np.where(by[order] > 0, (1 - frac[:, None]) ** 2, 0)).sum(axis=2)
+        assert (np.diff(cost, axis=1) >= -1e-12).all() and (order[:, 0] == 0).all()
+
+
+def test_shape_grows_with_the_rows_and_clustered_vectors_meet_few():
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal((40, 32))
+    x = centre[rng.integers(0, 40, 4096)] + 0.15 * rng.standard_normal((4096, 32))
+    norm = float(np.sqrt((x**2).sum(axis=1).max()))
+    small, large = ann.fit(x, norm, 20, 4096), ann.fit(x, norm, 20, 4096 * 1000)
+    assert small[3] < 0.3 and large[3] < 0.15 and large[2] > small[2]
+
+
+def test_repeated_rows_and_rows_of_one_id(spark):
+    rows = [(0, [1.0, 0.0], 0, 0), (1, [0.5, 0.5], 0, 0), (1, [0.5, 0.5], 0, 0), (1, [0.25, 0.0], 0, 0), (2, [0.9, 0.0], 0, 0), (0, [0.0, 1.0], 0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for got in (ann.search(df, F.col("id") == 0), topk.search(df, F.col("id") == 0, scale=4)):
+        seen = [(r.query_id, r["rank"], r.vec_id) for r in got.orderBy("rank").collect()]
+        assert seen == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 2)]  # [0, 1] asks, the least vector of the two
 
 
 @pytest.mark.parametrize("cells", [8192, 64])
@@ -82,7 +101,7 @@ def test_ann_recall_ties_and_scores(spark, monkeypatch, cells):
     d = x.astype(np.float64)
     for q, rows in got.items():
         rows.sort()
-        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and q not in {r[1] for r in rows}
+        assert [r[0] for r in rows] == list(range(1, 21)) and q not in {r[1] for r in rows}
         for _, v, s in rows:
             assert math.isclose(s, float(d[q] @ d[v]), rel_tol=1e-12, abs_tol=1e-12)
         assert [(-s, v) for _, v, s in rows] == sorted((-s, v) for _, v, s in rows)
