@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from helixframe.llm import worker
+from helixframe.llm.rows import ROW, returned, texts
 from helixframe.llm.words import split
 from helixframe.session import Scratch
 
@@ -147,12 +148,15 @@ def repeated_windows(regions: list[bytes], length: int) -> list[int]:
     return out
 
 
-def _tag(text: str | None) -> int:
-    return 0 if text is None else xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) >> 8
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """d, tag, text and more columns: d is the doc_id, tag 24 bits of the text's hash, which tell rows of one doc_id apart.
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.col("text").cast("string").alias("text"))
+    A row without doc_id has a d of its own from its text's hash, from 2**62 upwards.
+    """
+    of = F.col("text").cast("string")
+    mark = F.xxhash64(of)
+    d = F.coalesce(F.col("doc_id").cast("long"), mark.bitwiseAND(F.lit(_LAST >> 1)).bitwiseOR(F.lit(1 << 62)))
+    return docs.select(d.alias("d"), F.shiftrightunsigned(mark, 40).alias("tag"), of.alias("text"), *more)
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
@@ -162,22 +166,27 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
         worker.enter("substring")
         for batch in batches:
             hashes, ids, ats = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 anchor, first, windows = anchor_runs(split(text), length)
                 if len(anchor):
                     hashes.append(anchor)
                     ids.append(np.full(len(anchor), d))
-                    ats.append((np.uint64(_tag(text)) << np.uint64(40)) | (first.astype(np.uint64) << np.uint64(8)) | windows.astype(np.uint64))
+                    ats.append((np.uint64(tag) << np.uint64(40)) | (first.astype(np.uint64) << np.uint64(8)) | windows.astype(np.uint64))
             if hashes:
                 made = [np.concatenate(hashes).view(np.int64), np.concatenate(ids), np.concatenate(ats).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["anchor", "d", "at"])
 
-    return docs.mapInArrow(run, "anchor long, d long, at long")
+    return docs.select("d", "tag", "text").mapInArrow(run, "anchor long, d long, at long")
+
+
+def _of_rows(rows: DataFrame, *columns: str, name: str) -> DataFrame:
+    """d, tag and the different structs of columns of each (d, tag), as an array; copies of a row give one entry."""
+    return rows.groupBy("d", F.shiftrightunsigned("at", 40).alias("tag")).agg(F.collect_set(F.struct(*columns)).alias(name))
 
 
 def _regions(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """anchor, region (its words joined by one space), d, at of every run in runs."""
-    listed = runs.groupBy("d").agg(F.collect_list(F.struct("anchor", "at")).alias("runs"))
+    listed = _of_rows(runs, "anchor", "at", name="runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("substring")
@@ -191,17 +200,16 @@ def _regions(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                 for i, (d, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                     words, (lo, hi) = split(text), offsets[i : i + 2]
                     at = ats[lo:hi]
-                    own = (at >> np.uint64(40)) == np.uint64(_tag(text))
                     first = ((at >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     stop = first + (at & np.uint64(255)).astype(np.int64) + length - 1
-                    out[0].extend(anchors[lo:hi][own].tolist())
-                    out[1].extend([b" ".join(words[a:b]) for a, b in zip(first[own].tolist(), stop[own].tolist(), strict=True)])
-                    out[2].extend([d] * int(own.sum()))
-                    out[3].extend(at[own].view(np.int64).tolist())
+                    out[0].extend(anchors[lo:hi].tolist())
+                    out[1].extend([b" ".join(words[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
+                    out[2].extend([d] * len(at))
+                    out[3].extend(at.view(np.int64).tolist())
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["anchor", "region", "d", "at"])
 
-    return docs.join(listed, "d").select("d", "text", "runs").mapInArrow(run, "anchor long, region binary, d long, at long")
+    return docs.join(listed, ["d", "tag"]).select("d", "text", "runs").mapInArrow(run, "anchor long, region binary, d long, at long")
 
 
 def _verdicts(distinct: DataFrame, length: int) -> DataFrame:
@@ -254,7 +262,7 @@ def _verdicts_by_content(distinct: DataFrame, length: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
-    """d, marks (at, bits) by document: the windows of each run that occur earlier. docs has d and text."""
+    """d, tag, marks (at, bits) by document: the windows of each run that occur earlier. docs: d, tag, text."""
     if not 1 <= length <= 120:
         raise ValueError("length is 1 to 120 words")
     scratch = Scratch(docs.sparkSession)
@@ -277,7 +285,7 @@ def find_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     every = F.expr("shiftleft(1L, cast(at & 255 as int)) - 1")
     bits = F.when((F.col("d") == F.col("vd")) & (first == F.col("vf")), F.col("bits")).otherwise(every)
     marked = regions.select("anchor", "region_hash", "d", "at").join(verdicts, ["anchor", "region_hash"]).select("d", "at", bits.alias("bits")).filter("bits <> 0")
-    return scratch.save(marked.groupBy("d").agg(F.collect_list(F.struct("at", "bits")).alias("marks")), "marks")
+    return scratch.save(_of_rows(marked, "at", "bits", name="marks"), "marks")
 
 
 def _covered(at: np.ndarray, bits: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -294,24 +302,11 @@ def _covered(at: np.ndarray, bits: np.ndarray, n: int, length: int) -> np.ndarra
 _ADDED = [StructField("__n_words", LongType()), StructField("__n_removed", LongType()), StructField("__kept", StringType()), StructField("__text", StringType()), StructField("__spans", ArrayType(ArrayType(LongType())))]
 
 
-def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
-    """The columns of docs with what is left of each text.
-
-    Removed is every word covered by a window of `length` consecutive words whose
-    words also start earlier: in a smaller doc_id, or earlier in the same
-    document; windows are judged on the texts as given. Added columns: __n_words,
-    __n_removed, __kept (kept words joined by one space), __text (the text
-    without the removed spans; unchanged if there are none; null stays null) and
-    __spans (pairs of first and last-plus-one word removed).
-
-    A null or empty text has no words. A null doc_id comes after all others.
-    Rows that share a doc_id are one place: a window is no repeat of itself in a
-    repeated row, each of which gives a row. An empty table gives no rows.
-    """
-    columns = docs.columns
-    marks = find_repeats(_keyed(docs), length).select(F.col("d").alias("__d"), F.col("marks").alias("__marks"))
-    both = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(marks, "__d", "left").select(*[F.col(f"`{c}`") for c in columns], "__marks")
-    where = columns.index("text")
+def _stripped(docs: DataFrame, length: int) -> DataFrame:
+    """ROW and the added columns of remove_repeats()."""
+    keyed = _keyed(docs)
+    marks = find_repeats(keyed, length)
+    both = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)).drop("text").join(marks, ["d", "tag"], "left").select(ROW, "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("substring")
@@ -319,13 +314,12 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
             for start in range(0, len(whole), 500):
                 batch = whole.slice(start, 500)
                 out: list[list] = [[], [], [], [], []]
-                for text, marks in zip(batch.column(where).to_pylist(), batch.column(len(columns)), strict=True):
+                for text, marks in zip(texts(batch.column(0)).to_pylist(), batch.column(1), strict=True):
                     words = split(text)
                     gone = np.zeros(len(words), bool)
                     if marks.is_valid:
                         at, bits = (marks.values.field(i).to_numpy().view(np.uint64) for i in (0, 1))
-                        own = (at >> np.uint64(40)) == np.uint64(_tag(text))
-                        gone = _covered(at[own], bits[own], len(words), length)
+                        gone = _covered(at, bits, len(words), length)
                     removed, kept, left, spans = int(gone.sum()), words, text, []
                     if removed:
                         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -336,9 +330,47 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int64())))
                 made = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*columns, *(f.name for f in _ADDED)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[ROW, *(f.name for f in _ADDED)])
+
+    return both.mapInArrow(run, StructType([both.schema[ROW], *_ADDED]))
 
-    return both.mapInArrow(run, StructType([*docs.schema.fields, *_ADDED]))
+
+def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
+    """The columns of docs with what is left of each text.
+
+    Removed is every word covered by a window of `length` consecutive words whose
+    words also start earlier: in a smaller doc_id, or earlier in the same
+    document; windows are judged on the texts as given. Added columns, which
+    replace columns of these names: __n_words, __n_removed, __kept (kept words
+    joined by one space), __text (the text without the removed spans; unchanged if
+    there are none; null stays null) and __spans (pairs of first and last-plus-one
+    word removed).
+
+    A null or empty text has no words; a long text is one row of up to 2**32
+    words, used whole. Rows without doc_id come after all others, in the order of
+    their text's hash. Rows that share a doc_id are one place: a window is no
+    repeat of itself in a repeated row, each of which gives a row; such rows are
+    told apart by 24 bits of their text's hash. An empty table gives no rows.
+    """
+    found = _stripped(docs, length)
+    return found.select(*returned(found, *[f.name for f in _ADDED]))
+
+
+def strip(docs: DataFrame, length: int = 20) -> DataFrame:
+    """The rows of docs with their texts less the repeats, found as in remove_repeats(); a row that was nothing else goes.
+
+    n_chars, if there is such a column, follows the text where that changed. All
+    other columns return as they are, whatever their names. Null and empty texts
+    stay. An empty table gives no rows.
+    """
+    found = _stripped(docs, length)
+    changed = F.col("__n_removed") > 0
+    found = found.filter(~changed | (F.col("__n_removed") < F.col("__n_words")))
+    kinds = {f.name.lower(): f.dataType for f in docs.schema.fields}
+    new = {"text": F.col("__text").cast(kinds["text"])}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(changed, F.length("__text")).otherwise(F.col(ROW).getField("n_chars")).cast(kinds["n_chars"])
+    return found.select(*[new.get(c.lower(), F.col(ROW).getField(c)).alias(c) for c in docs.columns])
 
 
 def _without(text: bytes, spans: list[list[int]]) -> bytes:
