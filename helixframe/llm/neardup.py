@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import worker
+from helixframe.llm.rows import ROW, carried, returned
 from helixframe.llm.words import split
 from helixframe.operators.graph import connected_components
 from helixframe.session import Scratch
@@ -394,17 +395,22 @@ def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Da
 def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of docs of which each group of near-duplicates keeps one: that of its smallest doc_id.
 
-    Columns are those of docs. Repeated rows of one doc_id and text are copies,
-    one stays; rows of one doc_id, or of none, whose texts are not near-duplicates
-    all stay. A row without doc_id is kept only where its whole group has none.
+    Columns are those of docs, whatever their names. Repeated rows of one doc_id
+    and text are copies, one stays; rows of one doc_id, or of none, whose texts are
+    not near-duplicates all stay. A row without doc_id is kept only where its whole
+    group has none. Null and empty texts, and texts without words, are copies of
+    each other. Texts are used whole. An empty table gives no rows.
     """
     _, nodes, roots = _similar(docs, similarity, size)
     root = F.coalesce("component", "node")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node", "mark")).alias("first")
-    kept = nodes.join(roots, "node", "left").groupBy(root.alias("root")).agg(first).select(F.col("first.least").alias("__keep"), F.col("first.mark").alias("__kept"))
-    rows = docs.withColumn("__mark", _mark())
-    same = (rows["__mark"] == kept["__kept"]) & rows["doc_id"].cast("long").eqNullSafe(kept["__keep"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__mark"]).select(*docs.columns)
+    kept = nodes.join(roots, "node", "left").groupBy(root.alias("root")).agg(first).select(F.col("first.least").alias("keep"), F.col("first.mark").alias("kept"))
+    # rows of one doc_id and text differ only in their other columns; the least hash of these decides
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]))
+    rows = carried(docs, F.col("doc_id").cast("long").alias("id"), _mark().alias("mark"), F.xxhash64(others).alias("order"))
+    same = (rows["mark"] == kept["kept"]) & rows["id"].eqNullSafe(kept["keep"])
+    found = rows.join(kept, same, "left_semi").groupBy("id", "mark").agg(F.min_by(ROW, "order").alias(ROW))
+    return found.select(*returned(found))
 
 
 def hex_fingerprint(node: str = "node"):

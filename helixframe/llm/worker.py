@@ -6,8 +6,12 @@ against the memory of the next; it goes as soon as another operator runs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 
+import pyarrow as pa
+
 _kept: dict[tuple, object] = {}
 
 
@@ -17,6 +21,9 @@ def enter(owner: str) -> None:
         for k in others:
             del _kept[k]
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another libc keeps what it has
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def keep(owner: str, name: str, make):
