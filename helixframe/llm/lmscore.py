@@ -1,197 +1,247 @@
 """LM scoring by cross-entropy difference.
 
-A target and a background n-gram model of the same form are counted over whole
-corpora: interpolated models of orders ORDER, 3 and 1 over bytes, which is one
-closed vocabulary for both, so no token is unknown to either. A document's score is
-the mean over its tokens of -log P_target + log P_background; lower is closer to
-the target.
-
-Both models are folded into one table, the loss difference of each n-gram of the
-background. It grows with the corpus. Up to BROADCAST rows it is sent to the
-tasks; beyond that, each piece of the corpus sends its different n-grams to the
-table by a shuffle and gets their sums back. Both ways give the same scores.
+A target and a background n-gram model are counted over whole corpora, the
+background over all documents and the target over those that are named. They are
+matched: both are interpolated models of orders 5, 3 and 1 over bytes, which is
+one closed vocabulary for both, so no token is unknown to either; and the counts
+of the larger one are scaled to the size of the smaller, so that neither leans on
+its lower orders more than the other for want of text. A document is scored by
+models that leave its own counts out. Its score is the mean over its tokens of
+-log P_target + log P_background; lower is closer to the target.
+
+The table of n-grams grows with the corpus, so it is never broadcast. Documents
+are written once as pieces of bounded size; a piece asks for its different
+n-grams by a shuffle join, and the answers meet the piece's texts again in one
+task. There is this one way at every size, and a lost executor repeats from the
+written pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.session import Scratch
 
-ORDER, MIDDLE, KEEP = 5, 3, 0.7
-#: Rows of the folded table that are broadcast (16 bytes each).
-BROADCAST = 8_000_000
-#: Bytes of text that are counted at once.
-PIECE = 1 << 22
+ORDER, MIDDLE = 5, 3
+#: Tokens that the lower order's estimate counts for at each order.
+MASS = 8.0
+#: Bytes of text that are counted and scored as one; a longer text comes in parts of this size.
+PART = 1 << 20
+#: Bytes of text that ask for their n-grams together.
+PIECE = 1 << 23
 
+_PARTS = pa.schema(
+    [("piece", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("target", pa.bool_()), ("lead", pa.int32()), ("data", pa.binary())]
+)
+_PARTS_SQL = "piece long, row long, part int, doc_id long, target boolean, lead int, data binary"
+_COUNTS = ("b5", "t5", "bc5", "tc5", "b3", "t3", "bc3", "tc3")
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end at each byte of the texts, each begun with zero bytes, and where each text's start."""
+
+def grams(texts: list[bytes], leads: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte of the texts, and where each text's begin and end.
+
+    A text is begun with zero bytes; its first lead bytes are only context.
+    """
     pad = b"\0" * (ORDER - 1)
     data = np.frombuffer(b"".join([pad + t for t in texts]), np.uint8).astype(np.uint64)
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    ends = np.cumsum(size + ORDER - 1)
+    size, lead = np.array([len(t) for t in texts], dtype=np.int64), np.array(leads, dtype=np.int64)
     keys = np.zeros(max(0, len(data) - ORDER + 1), np.uint64)
     for i in range(ORDER):
         keys = (keys << np.uint64(8)) | data[i : i + len(keys)]
-    real = np.ones(len(keys) + ORDER - 1, bool)  # n-grams that span two texts end in the zeros of the second
-    for i in range(ORDER - 1):
-        real[np.clip(ends[:-1] + i, 0, len(real) - 1)] = False
-    real = real[ORDER - 1 :]
-    return keys[real[: len(keys)]], np.concatenate([[0], np.cumsum(size)])
-
-
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
-    """Lists of (row, bytes, bytes of context before) of about PIECE bytes; a longer text comes in parts."""
-    rows, parts, before, held = [], [], [], 0
-    for row, text in enumerate(texts):
-        data = b"" if text is None else text.encode("utf-8", "surrogatepass")
-        for at in range(0, max(1, len(data)), PIECE):
-            lead = min(at, ORDER - 1)
-            rows.append(row)
-            parts.append(data[at - lead : at + PIECE])
-            before.append(lead)
-            held += len(parts[-1])
-            if held >= PIECE:
-                yield rows, parts, before
-                rows, parts, before, held = [], [], [], 0
-    if rows:
-        yield rows, parts, before
-
-
-def _keys(parts: list[bytes], before: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """grams() of the parts without those that end in their leading context."""
-    keys, ends = grams(parts)
-    if any(before):
-        keep = np.ones(len(keys), bool)
-        for at, lead in zip(ends[:-1].tolist(), before, strict=True):
-            keep[at : at + lead] = False
-        keys, ends = keys[keep], ends - np.concatenate([[0], np.cumsum(before)])
-    return keys, ends
-
-
-def counts(texts: DataFrame) -> DataFrame:
-    """gram, n over the one text column of all rows."""
+    own = np.maximum(size - lead, 0)
+    ends = np.concatenate([[0], np.cumsum(own)])
+    first = np.cumsum(size + ORDER - 1) - size - (ORDER - 1) + lead
+    return keys[np.arange(ends[-1]) + np.repeat(first - ends[:-1], own)], ends
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """piece, row, part, doc_id, target, lead, data: the texts of docs (doc_id, text, target) in parts, numbered by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        base = (task.partitionId() if task else 0) << 40
+        piece, row, held, out = base, base, 0, []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PARTS, strict=True)], schema=_PARTS)
+            out.clear()
+            return made
+
         for batch in batches:
-            for _, parts, before in _pieces(batch.column(0).to_pylist()):
-                kinds, n = np.unique(_keys(parts, before)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            for doc, text, target in zip(*(c for c in batch.columns), strict=True):
+                data = b"" if not text.is_valid else text.as_py().encode("utf-8", "surrogatepass")
+                for k, at in enumerate(range(0, max(1, len(data)), PART)):
+                    lead = min(at, ORDER - 1)
+                    out.append((piece, row, k, doc.as_py(), target.as_py(), lead, data[at - lead : at + PART]))
+                    held += len(out[-1][-1])
+                    if held >= PIECE:
+                        yield flush()
+                        piece, held = piece + 1, 0
+                row += 1
+            if out:
+                yield flush()
+
+    return docs.select("doc_id", "text", "target").mapInArrow(run, _PARTS_SQL)
+
+
+def _chunks(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Columns of rows (..., lead, data), about PART bytes at a time."""
+    held, out = 0, []
+    for row in rows:
+        out.append(row)
+        held += len(row[-1])
+        if held >= PART:
+            yield tuple(zip(*out, strict=True))
+            held, out = 0, []
+    if out:
+        yield tuple(zip(*out, strict=True))
+
+
+def _columns(table) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in table.columns), strict=True)
+
+
+def counts(parts: DataFrame) -> DataFrame:
+    """gram, b, t: how often each n-gram occurs in all parts, and in those of the target."""
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for target, lead, data in _chunks(x for batch in batches for x in _columns(batch)):
+            keys, ends = grams(data, lead)
+            flag = np.repeat(np.array(target, np.uint64), np.diff(ends))
+            kinds, n = np.unique((keys << np.uint64(1)) | flag, return_counts=True)
+            flag = (kinds & np.uint64(1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((kinds >> np.uint64(1)).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(n * flag)], names=["gram", "b", "t"])
 
+    made = parts.select("target", "lead", "data").mapInArrow(run, "gram long, b long, t long")
+    return made.groupBy("gram").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
 
-def fold(both: DataFrame) -> DataFrame:
-    """gram, diff: -log P_target + log P_background of the last byte of each n-gram of both (gram, b, t).
 
-    b and t are the counts of background and target.
+def model(both: DataFrame) -> DataFrame:
+    """gram and what its two models say of it: counts of the 5-gram, its context, its last 3-gram and that one's context.
 
-    P = KEEP * f_5 + (1 - KEEP) * (KEEP * f_3 + (1 - KEEP) * (KEEP * f_1 + (1 - KEEP) / 256)),
-    f_k the share of the k-gram among those of its context; where a model has
-    not seen the context, the lower orders stand for it.
+    both: gram, b, t. At most 256 n-grams share a context, 65,536 a 3-gram.
     """
-    low = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-    named = both.select("*", F.shiftright("gram", 8).alias("c5"), low(MIDDLE).alias("g3"), low(1).alias("g1"))
-    sums = lambda df, key, tag: df.groupBy(key).agg(F.sum("b").alias(f"b_{tag}"), F.sum("t").alias(f"t_{tag}"))
-    threes = sums(named, "g3", "3").withColumn("c3", F.shiftright("g3", 8)).withColumn("g1", F.col("g3").bitwiseAND(F.lit(255)))
-    ones = sums(threes.select("g1", F.col("b_3").alias("b"), F.col("t_3").alias("t")), "g1", "1")
-    total = ones.agg(F.coalesce(F.sum("b_1"), F.lit(0)), F.coalesce(F.sum("t_1"), F.lit(0))).first()
-    twos = sums(threes.select("c3", F.col("b_3").alias("b"), F.col("t_3").alias("t")), "c3", "c3")
-    lower = threes.join(twos, "c3").join(ones, "g1").withColumns({"b_0": F.lit(total[0]), "t_0": F.lit(total[1])})
-
-    def mixed(n, of, rest):
-        return F.when(F.col(of) > 0, KEEP * F.col(n) / F.col(of) + (1 - KEEP) * rest).otherwise(rest)
-
-    for m in "bt":
-        lower = lower.withColumn(f"p_{m}", mixed(f"{m}_3", f"{m}_c3", mixed(f"{m}_1", f"{m}_0", F.lit(1 / 256))))
-    high = named.join(sums(named, "c5", "c5"), "c5").join(lower.select("g3", "p_b", "p_t"), "g3")
-    p = {m: mixed(m, f"{m}_c5", F.col(f"p_{m}")) for m in "bt"}
-    return high.select("gram", (F.log(p["b"]) - F.log(p["t"])).alias("diff"))
-
-
-def _scored(docs: DataFrame, table: DataFrame) -> DataFrame:
-    got = table.toArrow()
-    keys, diff = got["gram"].to_numpy(), got["diff"].to_numpy()
-    order = np.argsort(keys)
-    sent = docs.sparkSession.sparkContext.broadcast((keys[order], diff[order]))
+    sums = lambda df, key, tag, b="b", t="t": df.groupBy(key).agg(F.sum(b).alias(f"b{tag}"), F.sum(t).alias(f"t{tag}"))
+    named = both.select("gram", F.col("b").alias("b5"), F.col("t").alias("t5"), F.shiftright("gram", 8).alias("c5"), F.col("gram").bitwiseAND(F.lit((1 << 8 * MIDDLE) - 1)).alias("g3"))
+    threes = sums(named, "g3", "3", "b5", "t5").withColumn("c3", F.shiftright("g3", 8))
+    lower = threes.join(sums(threes, "c3", "c3", "b3", "t3"), "c3").drop("c3")
+    return named.join(sums(named, "c5", "c5", "b5", "t5"), "c5").join(lower, "g3").select("gram", *_COUNTS)
+
+
+def _asked(parts: DataFrame) -> DataFrame:
+    """piece, gram: the different n-grams of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value = sent.value
-        for batch in batches:
-            n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for rows, parts, before in _pieces(batch.column(1).to_pylist()):
-                found, ends = _keys(parts, before)
-                kinds, back = np.unique(found, return_inverse=True)
-                loss = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(known, kinds.view(np.int64))][back])])
-                np.add.at(n, rows, np.diff(ends))
-                np.add.at(total, rows, loss[ends[1:]] - loss[ends[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], names=["doc_id", "n_tokens", "total"])
+        now, kinds = None, []
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, total double")
+        def flush() -> pa.RecordBatch:
+            own = np.unique(np.concatenate(kinds)).astype(np.int64)
+            kinds.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), now)), pa.array(own)], names=["piece", "gram"])
 
+        for piece, lead, data in _chunks(x for batch in batches for x in _columns(batch)):
+            at = 0
+            while at < len(piece):  # a chunk may hold the end of one piece and the start of the next
+                stop = next((i for i in range(at, len(piece)) if piece[i] != piece[at]), len(piece))
+                if kinds and piece[at] != now:
+                    yield flush()
+                now = piece[at]
+                kinds.append(np.unique(grams(data[at:stop], lead[at:stop])[0]))
+                at = stop
+        if kinds:
+            yield flush()
 
-def _scored_by_shuffle(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """As _scored. A row goes out for each piece and different n-gram with the texts that hold it and how often."""
-    from pyspark import TaskContext
+    return parts.select("piece", "lead", "data").mapInArrow(run, "piece long, gram long")
 
-    schema = "gram long, piece long, rows array<int>, times array<int>"
 
-    def walk(batches: Iterator[pa.RecordBatch]):
-        task = TaskContext.get()
-        base = (task.partitionId() if task else 0) << 40
-        for b, batch in enumerate(batches):
-            for i, (rows, parts, before) in enumerate(_pieces(batch.column(1).to_pylist())):
-                yield base + (b << 16) + i, batch.column(0), rows, *_keys(parts, before)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, _, rows, keys, ends in walk(batches):
-            row = np.repeat(np.array(rows, np.int32), np.diff(ends))
-            order = np.lexsort((row, keys))
-            keys, row = keys[order], row[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])])[: len(keys)]
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(keys))).astype(np.int32)
-            keys, row = keys[at], row[at]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-            ends_ = pa.array(np.append(first, len(keys)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends_, pa.array(x)) for x in (row, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.full(len(first), piece)), *lists], names=["gram", "piece", "rows", "times"])
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, ids, rows, _, ends in walk(batches):
-            made = [pa.array(np.full(len(rows), piece)), pa.array(rows, pa.int32()), ids.take(pa.array(rows)), pa.array(np.diff(ends))]
-            yield pa.RecordBatch.from_arrays(made, names=["piece", "row", "doc_id", "n"])
-
-    joined = docs.mapInArrow(send, schema).join(table, "gram").select("piece", "diff", F.arrays_zip("rows", "times").alias("at"))
-    sums = joined.select("piece", "diff", F.explode("at").alias("at")).groupBy("piece", F.col("at.rows").alias("row")).agg(F.sum(F.col("diff") * F.col("at.times")).alias("part"))
-    parts = docs.mapInArrow(name, "piece long, row int, doc_id long, n long").join(sums, ["piece", "row"], "left")
-    # a text longer than a piece has several parts, all of one batch
-    whole = parts.groupBy(F.shiftright("piece", 16).alias("batch"), "doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("total"))
-    return whole.select("doc_id", "n_tokens", "total")
-
-
-def score(docs: DataFrame, target: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+def _runs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: the sum of n over each run of one key, and the number of each entry's run."""
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    at = np.flatnonzero(new)
+    return np.add.reduceat(n, at) if len(at) else n[:0], np.cumsum(new) - 1
+
+
+def losses(keys: np.ndarray, ends: np.ndarray, target: np.ndarray, known: np.ndarray, table: np.ndarray, ones: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
+    """Each text's sum of -log P_target + log P_background over its n-grams, its own counts left out.
+
+    known: sorted n-grams, table their _COUNTS, ones 256 x 2 counts of bytes in
+    background and target, scale the factors of their counts.
+    """
+    row = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(ends))
+    both = np.sort((row << np.uint64(8 * ORDER)) | keys)
+    m, run = _runs(both, np.ones(len(both)))
+    both = both[np.concatenate([[True], run[1:] != run[:-1]])[: len(both)]]
+    row, gram = (both >> np.uint64(8 * ORDER)).astype(np.int64), both & np.uint64((1 << 8 * ORDER) - 1)
+    context, run = _runs(both >> np.uint64(8), m)
+    own = [None, None, context[run], m]  # of the 3-gram, its context, the context, the 5-gram
+    three = (row.astype(np.uint64) << np.uint64(8 * MIDDLE)) | (gram & np.uint64((1 << 8 * MIDDLE) - 1))
+    order = np.argsort(three, kind="stable")
+    for i, shift in ((0, 0), (1, 8)):
+        held, run = _runs(three[order] >> np.uint64(shift), m[order])
+        own[i] = np.empty(len(m))
+        own[i][order] = held[run]
+    last = (gram & np.uint64(255)).astype(np.int64)
+    alone = np.bincount(row * 256 + last, weights=m, minlength=256 * (len(ends) - 1))[row * 256 + last]
+    size = np.diff(ends)[row]
+    seen = table[np.searchsorted(known, gram.astype(np.int64))].astype(float)
+    total, logs = ones.sum(axis=0), []
+    for k, s in enumerate(scale):
+        mine = 1.0 if k == 0 else target[row].astype(float)
+        of = lambda n, less, mine=mine, s=s: s * (n - mine * less)
+        p = (of(ones[last, k], alone) + MASS / 256) / (of(total[k], size) + MASS)
+        p = (of(seen[:, 4 + k], own[0]) + MASS * p) / (of(seen[:, 6 + k], own[1]) + MASS)
+        p = (of(seen[:, k], own[3]) + MASS * p) / (of(seen[:, 2 + k], own[2]) + MASS)
+        logs.append(np.log(p))
+    out = np.zeros(len(ends) - 1)
+    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+    if len(at):
+        out[row[at]] = np.add.reduceat(m * (logs[0] - logs[1]), at)
+    return out
+
+
+def score(docs: DataFrame, is_target: Column) -> DataFrame:
     """doc_id, n_tokens, score of every row of docs (doc_id, text).
 
-    target: the rows of docs, or other texts, that the target model is counted
-    on (column text). Texts of target should be in docs; n-grams of the target
-    alone never occur in a scored text. A null or empty text has 0 tokens and
-    score 0. Repeated rows count as often as they occur and each get a row. An
-    empty target scores every document by the background against the uniform
-    model; an empty docs gives no rows.
+    is_target is a condition on columns of docs that names the rows of the target
+    corpus; null is false. A null or empty text has 0 tokens and score 0. Repeated
+    rows count as often as they occur and each get a row; only a row's own counts
+    are left out of its score. Of a text of over PART bytes, each part of that
+    size leaves out its own counts. Without any target, or with an empty one, both
+    models are uniform and all scores are 0. An empty docs gives no rows. Columns
+    of other names are not read, so none can clash.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    # the counts are read by several branches of fold(), so they are written once
-    background = scratch.save(counts(plain.select("text")).withColumnRenamed("n", "b"), "background")
-    wanted = scratch.save(counts(target.select(F.col("text").cast("string").alias("text"))).withColumnRenamed("n", "t"), "target")
-    both = scratch.save(background.join(wanted, "gram", "left").select("gram", "b", F.coalesce("t", F.lit(0)).alias("t")), "both")
-    table = scratch.save(fold(both), "table")
-    scored = _scored(plain, table) if table.count() <= broadcast else _scored_by_shuffle(plain, table)
-    return scored.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens")).otherwise(0.0).alias("score"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
+    parts = scratch.save(pieces(plain), "parts")
+    both = scratch.save(counts(parts), "counts")
+    ones = np.zeros((256, 2))
+    for r in both.groupBy(F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).collect():  # at most 256 rows
+        ones[r["byte"]] = r["b"], r["t"]
+    least = ones.sum(axis=0).min()
+    scale = tuple(float(least / n) if n else 0.0 for n in ones.sum(axis=0))
+    table = scratch.save(model(both), "model")
+    scratch.drop("counts")
+    answers = _asked(parts).join(table, "gram").select("piece", "gram", *_COUNTS)
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        grams_, at = np.unique(known.column("gram").to_numpy(), return_index=True)
+        held = np.column_stack([known.column(c).to_numpy()[at] for c in _COUNTS]) if len(at) else np.zeros((0, len(_COUNTS)), np.int64)
+        out = []
+        for row, part, doc, target, lead, data in _chunks(_columns(texts.select(["row", "part", "doc_id", "target", "lead", "data"]))):
+            keys, ends = grams(data, lead)
+            total = losses(keys, ends, np.array(target), grams_, held, ones, scale)
+            out.append(pa.table([pa.array(row, pa.int64()), pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(np.diff(ends)), pa.array(total)], names=["row", "part", "doc_id", "n", "total"]))
+        return pa.concat_tables(out)
+
+    scored = parts.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(run, "row long, part int, doc_id long, n long, total double")
+    # the parts of a long text are added up in their order, so that every run gives the same sum
+    whole = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "total"))).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["total"])
+    return whole.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).otherwise(0.0).alias("score"))

@@ -18,10 +18,11 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-    # labels grow with the documents, so they are never broadcast
-    return lmscore.score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
+    # labels grow with the documents, so they are never broadcast; documents without an id are spread by their text
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("salt")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", salt)
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("good")).distinct()
+    return lmscore.score(docs.join(good.hint("merge"), ["doc_id", "salt"], "left"), F.col("good"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
