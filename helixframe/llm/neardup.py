@@ -236,7 +236,9 @@ def by_radius(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     smallest doc_id reachable, the row's own included. Null and empty texts have
     fingerprint 0 and are linked like any other. A null doc_id takes part; it is
     a component's id only where no row of the component has one. Repeated rows
-    each give a row. An empty table gives no rows. Texts are used whole.
+    each give a row; of equal doc_ids no order matters. An empty table gives no
+    rows. Texts are used whole, however long. Other columns than doc_id and text
+    are not read, so none can clash.
     """
     scratch = Scratch(docs.sparkSession)
     made = scratch.save(fingerprints(docs, size), "fingerprints")

@@ -91,6 +91,7 @@ def test_repeated_rows_and_rows_of_one_id(spark):
 def test_ann_recall_ties_and_scores(spark, monkeypatch, cells):
     monkeypatch.setattr(ann, "VECTORS", cells)
     monkeypatch.setattr(ann, "QUERIES", cells)
+    monkeypatch.setattr(ann, "SHAPES", ann.SHAPES[8:16])
     x, df = make(spark, clusters=12)
     got = {}
     for r in ann.search(df, F.col("id") % 20 == 0).collect():
