@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import vectors
 
-SHARD, BLOCK, LANE, LEAF = 2048, 256, 4, 64
+SHARD, BLOCK, LANE, LEAF = 2048, 256, 4, 16
 #: Candidates of each dimension that every task holds for the first kth score.
 SAMPLE = 4096
 
@@ -48,9 +48,14 @@ class BallTree:
         self.nodes.append((first, stop, -1, -1))
         part = x[self.order[first:stop]]
         if stop - first > LEAF:
-            wide = int(np.ptp(part, axis=0).argmax())
-            middle = (stop - first) // 2
-            self.order[first:stop] = self.order[first:stop][np.argpartition(part[:, wide], middle)]
+            # two rows far apart share the others, or the rows are halved along their line
+            a = part[((part - part.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+            b = part[((part - a) ** 2).sum(axis=1).argmax()]
+            along = part @ (b - a)
+            middle = int((along <= (a + b) @ (b - a) / 2).sum())
+            if not 0.1 * len(part) <= middle <= 0.9 * len(part):
+                middle = len(part) // 2
+            self.order[first:stop] = self.order[first:stop][np.argsort(along, kind="stable")]
             left, right = self._split(x, first, first + middle), self._split(x, first + middle, stop)
             self.nodes[at] = (first, stop, left, right)
         return at
@@ -61,8 +66,17 @@ class BallTree:
         upper = queries @ self.centres.T + norm[:, None] * self.radii
         return upper + 1e-9 * (np.abs(upper) + norm[:, None] * (1 + np.abs(self.centres).max(initial=0)))
 
+    def least_bounds(self, upper: np.ndarray) -> np.ndarray:
+        """The smallest bound of each node's leaves: where none can be left out, a node is scored as a whole."""
+        low = upper.copy()
+        for at in range(len(self.nodes) - 1, -1, -1):  # children stand after their parents
+            _, _, left, right = self.nodes[at]
+            if left >= 0:
+                low[:, at] = np.minimum(low[:, left], low[:, right])
+        return low
 
-def _search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: float, top: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+
+def _search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own: int, bound: np.ndarray, low: np.ndarray, k: int, floor: float, top: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The query's k best (scores, ids) of top and the tree; its kth score over all candidates is floor at least."""
     scores, names = top
     heap = [(-bound[0], 0)]
@@ -72,7 +86,7 @@ def _search(tree: BallTree, ids: np.ndarray, query: np.ndarray, own: int, bound:
         if -upper < least:  # an equal bound may hide a tie with a smaller id
             break
         first, stop, left, right = tree.nodes[node]
-        if left >= 0:
+        if left >= 0 and low[node] < least:
             heapq.heappush(heap, (-bound[left], left))
             heapq.heappush(heap, (-bound[right], right))
             continue
@@ -150,7 +164,8 @@ def search(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, i
                 tree, ids = trees[row["shard"]]
                 queries = vectors.matrix(row["data"], row["dim"])
                 bounds = tree.bounds(queries)
-                tops = [_search(tree, ids, q, own, b, k, f, t) for q, own, b, f, t in zip(queries, asked.tolist(), bounds, floors.tolist(), tops, strict=True)]
+                lows = tree.least_bounds(bounds)
+                tops = [_search(tree, ids, *x[:4], k, *x[4:]) for x in zip(queries, asked.tolist(), bounds, lows, floors.tolist(), tops, strict=True)]
         if block is not None:
             yield give()
 
