@@ -1,6 +1,8 @@
 """Domain tables derived from the driver's tables, as one SQL text for both engines.
 
 The rules are plain arithmetic on keys, so Spark and DuckDB give the same rows.
+Every table is made of all rows of the tables that it reads: keys vary values,
+never which rows are read.
 A text may name {list} for the array constructor; tables it reads are found by
 name, and `spark_table` or `duckdb_with` supplies them in order.
 """
@@ -19,7 +21,7 @@ TEXTS = {
     "s_variants": """
         SELECT CAST(p_partkey AS BIGINT) AS variant_id,
                CASE p_partkey % 25 WHEN 22 THEN 'X' WHEN 23 THEN 'Y' WHEN 24 THEN 'MT' ELSE CAST(p_partkey % 25 + 1 AS VARCHAR(9)) END AS chrom,
-               CAST(10000 + floor(floor(p_partkey / 25) / 2) * 137 AS BIGINT) AS pos_grch38,
+               CAST(10000 + floor(floor(p_partkey / 25) / 2) * 137 + CASE WHEN CAST(floor(p_partkey / 50) AS BIGINT) % 5 = 0 THEN 60 ELSE 0 END AS BIGINT) AS pos_grch38,
                substr('ACGT', 1 + CAST(p_size % 4 AS INT), 1) AS ref_allele,
                substr('ACGT', 1 + CAST(floor(p_size / 4) AS INT) % 4, 1) AS alt_allele,
                CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 41 = 0 THEN CAST(p_partkey % 22 + 1 AS VARCHAR(9)) || ':' || CAST(p_partkey AS VARCHAR(9)) || ':A:G'
@@ -29,17 +31,18 @@ TEXTS = {
         FROM part""",
     "s_calls0": """
         SELECT v.variant_id,
-               CASE l_linenumber % 3 WHEN 0 THEN '23andme' WHEN 1 THEN 'ancestry' ELSE 'beagle_imputed' END AS source,
-               min(CASE WHEN l_returnflag = 'A' THEN ref_allele ELSE alt_allele END) AS allele_1,
-               max(CASE WHEN l_linestatus = 'F' THEN ref_allele ELSE alt_allele END) AS allele_2,
-               min(l_quantity) < 2 OR min(l_partkey) % 23 = 0 AS is_no_call, max(l_discount) * 10 AS r2, min(l_suppkey) AS k
-        FROM lineitem JOIN s_variants v ON v.variant_id = l_partkey WHERE (l_suppkey + l_partkey) % 9 < 1 GROUP BY 1, 2""",
+               CASE substr('abcabdcabceabcabfabcabcabc', 1 + CAST(l_partkey % 26 AS INT), 1) WHEN 'd' THEN '23andme' WHEN 'e' THEN 'ancestry' WHEN 'f' THEN 'beagle_imputed'
+                 ELSE CASE l_linenumber % CASE WHEN l_partkey % 5 = 0 THEN 2 ELSE 3 END WHEN 0 THEN '23andme' WHEN 1 THEN 'ancestry' ELSE 'beagle_imputed' END END AS source,
+               min(CASE WHEN l_partkey % 4 = 0 OR l_returnflag = 'A' THEN ref_allele ELSE alt_allele END) AS allele_1,
+               max(CASE WHEN l_partkey % 3 = 0 OR l_linestatus = 'F' THEN ref_allele ELSE alt_allele END) AS allele_2,
+               (min(l_suppkey) + min(l_partkey)) % 7 = 0 OR min(l_partkey) % 23 = 0 AS is_no_call, max(l_discount) * 10 AS r2, min(l_suppkey) + max(l_orderkey) AS k
+        FROM lineitem JOIN s_variants v ON v.variant_id = l_partkey GROUP BY 1, 2""",
     "s_calls": """
         SELECT variant_id * 4 + CASE source WHEN '23andme' THEN 1 WHEN 'ancestry' THEN 2 ELSE 3 END AS call_id, variant_id, source,
                CASE WHEN source = 'ancestry' AND variant_id % 5 = 0 THEN translate(allele_1, 'ACGT', 'TGCA') ELSE allele_1 END AS allele_1,
                CASE WHEN source = 'ancestry' AND variant_id % 5 = 0 THEN translate(allele_2, 'ACGT', 'TGCA') ELSE allele_2 END AS allele_2,
                is_no_call, source = 'beagle_imputed' AS is_imputed,
-               CASE WHEN source = 'beagle_imputed' THEN r2 END AS imputation_r2, k % 29 <> 0 AS is_active
+               CASE WHEN source = 'beagle_imputed' THEN r2 END AS imputation_r2, k % 29 <> 0 AND variant_id % 31 <> 0 AS is_active
         FROM s_calls0""",
     "s_siblings": """
         SELECT variant_id * 2 + i AS variant_id, chrom, pos_grch38 + variant_id * 1000 AS pos_grch38,
@@ -65,7 +68,7 @@ TEXTS = {
                CAST(l_linenumber % 5 AS SMALLINT) AS star_rating,
                CASE l_returnflag WHEN 'A' THEN {list}(l_linestatus || '1', l_returnflag || '2') WHEN 'N' THEN {list}(CAST(l_linenumber AS VARCHAR(3)), l_linestatus || '1') END AS conditions,
                CAST(CASE WHEN l_suppkey % 4 = 0 THEN 1 ELSE 2 END AS BIGINT) AS source_version_id
-        FROM lineitem JOIN s_variants v ON v.variant_id = l_partkey WHERE l_orderkey % 3 = 0""",
+        FROM lineitem JOIN s_variants v ON v.variant_id = l_partkey""",
     "s_gwas": """
         SELECT CAST(o_orderkey AS BIGINT) AS association_id, 'GCST' || CAST(o_custkey % 50 AS VARCHAR(9)) AS study_accession, 'rs' || CAST(o_custkey AS VARCHAR(9)) AS rsid,
                CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS trait_name, 'EFO_' || CAST(o_orderkey % 40 AS VARCHAR(9)) AS trait_id,
@@ -79,15 +82,15 @@ TEXTS = {
                CAST(NULL AS DOUBLE) AS af_asj, p_size / 2048.0e0 AS af_eas, p_retailprice / 300000 AS af_fin, CAST(NULL AS DOUBLE) AS af_mid, CASE WHEN p_size % 2 = 0 THEN p_size / 1024.0e0 END AS af_nfe,
                p_retailprice / 500000 AS af_sas, p_retailprice / 700000 AS af_oth, CASE WHEN p_partkey % 9 = 0 THEN 'AC0' ELSE 'PASS' END AS filter_status,
                CAST(CASE WHEN p_partkey % 5 = 0 THEN 5 ELSE 6 END AS BIGINT) AS source_version_id
-        FROM part JOIN s_variants v ON v.variant_id = p_partkey WHERE p_partkey % 4 <> 1""",
+        FROM part JOIN s_variants v ON v.variant_id = p_partkey""",
     "s_pharmgkb": """
         SELECT CAST(p_partkey AS BIGINT) AS pharmgkb_id, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE 'rs' || CAST(p_partkey - p_partkey % 3 AS VARCHAR(9)) END AS rsid, p_brand AS gene_symbol,
                CASE WHEN p_partkey % 6 = 0 THEN '*' || CAST(p_size AS VARCHAR(3)) END AS star_allele, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS drug_name,
                CAST(1 + p_size % 4 AS VARCHAR(3)) || CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS evidence_level, CAST(CASE WHEN p_partkey % 7 = 1 THEN 7 ELSE 8 END AS BIGINT) AS source_version_id
-        FROM part WHERE p_partkey % 2 = 0""",
+        FROM part""",
     "s_aliases": """
-        SELECT CAST(p_partkey AS BIGINT) AS alias_id, 'rs' || CAST(p_partkey AS VARCHAR(9)) AS alias_rsid, 'rs' || CAST(p_partkey + 1 AS VARCHAR(9)) AS current_rsid,
-               CAST(CASE WHEN p_partkey % 3 = 0 THEN 9 ELSE 10 END AS BIGINT) AS source_version_id FROM part WHERE p_partkey % 11 = 0""",
+        SELECT CAST(p_partkey AS BIGINT) AS alias_id, CASE WHEN p_partkey % 11 = 0 THEN 'rs' ELSE 'rs9' END || CAST(p_partkey AS VARCHAR(9)) AS alias_rsid, 'rs' || CAST(p_partkey + 1 AS VARCHAR(9)) AS current_rsid,
+               CAST(CASE WHEN p_partkey % 3 = 0 THEN 9 ELSE 10 END AS BIGINT) AS source_version_id FROM part""",
     "s_dbsnp": """
         SELECT v.variant_id AS dbsnp_id, 'rs' || CAST(v.variant_id AS VARCHAR(9)) AS rsid, v.chrom, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE v.pos_grch38 END AS pos_grch38,
                CASE WHEN p_partkey % 3 = 0 THEN v.ref_allele ELSE v.alt_allele END AS ref_allele,
@@ -111,17 +114,17 @@ TEXTS = {
         SELECT CAST(c_custkey AS BIGINT) AS derived_pgs_id, 'PGS' || CAST(c_custkey % 60 AS VARCHAR(5)) AS pgs_id, CAST(c_custkey % 101 AS BIGINT) AS percentile, c_acctbal / 1000 AS z_score, c_custkey % 6 = 0 AS low_coverage, c_custkey % 7 <> 0 AS is_active FROM customer""",
     "s_scores": """
         SELECT CAST(c_custkey AS BIGINT) AS score_record_id, 'PGS' || CAST(c_custkey AS VARCHAR(5)) AS pgs_id, c_mktsegment AS trait_reported, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'cat' || CAST(c_nationkey AS VARCHAR(3)) END AS trait_category,
-               CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'PM' || CAST(c_nationkey AS VARCHAR(3)) END AS publication_pmid, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS performance_auc, CAST(13 AS BIGINT) AS source_version_id FROM customer WHERE c_custkey <= 80
-        UNION ALL SELECT CAST(c_custkey + 1000 AS BIGINT), 'PGS' || CAST(c_custkey AS VARCHAR(5)), 'older', NULL, NULL, NULL, CAST(99 AS BIGINT) FROM customer WHERE c_custkey <= 20""",
+               CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'PM' || CAST(c_nationkey AS VARCHAR(3)) END AS publication_pmid, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS performance_auc, CAST(13 AS BIGINT) AS source_version_id FROM customer
+        UNION ALL SELECT CAST(c_custkey + 100000000 AS BIGINT), 'PGS' || CAST(c_custkey AS VARCHAR(5)), 'older', NULL, NULL, NULL, CAST(99 AS BIGINT) FROM customer""",
     "s_carrier": """
         SELECT CAST(s_suppkey AS BIGINT) AS derived_carrier_id, 'G' || CAST(s_nationkey AS VARCHAR(3)) AS gene_symbol, s_name AS condition_name, CASE WHEN s_suppkey % 2 = 0 THEN 'carrier' ELSE 'clear' END AS carrier_status, s_suppkey % 3 <> 0 AS is_active FROM supplier""",
     "s_acmg": """
-        SELECT CAST(p_partkey AS BIGINT) AS derived_acmg_id, p_brand AS gene_symbol, CAST(p_partkey AS BIGINT) AS variant_id, CASE WHEN p_size % 2 = 0 THEN 'het' ELSE 'hom' END AS zygosity, p_size % 5 <> 0 AS is_active FROM part WHERE p_partkey % 40 = 0""",
+        SELECT CAST(p_partkey AS BIGINT) AS derived_acmg_id, p_brand AS gene_symbol, CAST(p_partkey AS BIGINT) AS variant_id, CASE WHEN p_size % 2 = 0 THEN 'het' ELSE 'hom' END AS zygosity, p_size % 5 <> 0 AS is_active FROM part""",
     "s_insights": """
         SELECT md5('i' || CAST(o_orderkey AS VARCHAR(12))) AS insight_id, CASE o_orderkey % 4 WHEN 0 THEN 'pgx' WHEN 1 THEN 'prs' WHEN 2 THEN 'trait' ELSE 'carrier' END AS insight_type,
                CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS actionability, CASE o_orderkey % 5 WHEN 0 THEN '1A' WHEN 1 THEN '2B' WHEN 2 THEN '3' WHEN 3 THEN '1B' END AS evidence_tier,
                CAST(o_orderkey % 100 AS BIGINT) AS confidence_pct, CASE o_orderkey % 3 WHEN 0 THEN 'increased_risk' WHEN 1 THEN 'decreased_risk' ELSE 'neutral' END AS effect_direction, o_orderkey % 9 <> 0 AS is_active, CAST(o_orderkey AS BIGINT) AS k
-        FROM orders WHERE o_orderkey % 2 = 0""",
+        FROM orders""",
     "s_insight_genes": "SELECT insight_id, 'G' || CAST(k % 37 AS VARCHAR(5)) AS gene_symbol FROM s_insights UNION ALL SELECT insight_id, 'G' || CAST(k % 11 AS VARCHAR(5)) FROM s_insights WHERE k % 6 = 0",
     "s_insight_variants": "SELECT insight_id, k % 200 AS variant_id FROM s_insights WHERE k % 3 <> 1 UNION ALL SELECT insight_id, k % 90 AS variant_id FROM s_insights WHERE k % 5 = 0",
     "s_insight_traits": "SELECT insight_id, 'T' || CAST(k % 60 AS VARCHAR(5)) AS trait_id FROM s_insights WHERE k % 4 <> 2 UNION ALL SELECT insight_id, 'T' || CAST(k % 13 AS VARCHAR(5)) FROM s_insights WHERE k % 10 = 0",
@@ -130,7 +133,7 @@ TEXTS = {
                md5(CAST(user_id AS VARCHAR(9))) AS external_payload_hash, event_type AS action_type FROM events""",
     "s_jobs": """
         SELECT CAST(o_orderkey AS BIGINT) AS job_id, CASE o_orderkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status, CAST(o_custkey % 5 AS INT) AS priority,
-               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 1000 AS BIGINT) END AS scheduled_for, CAST(o_custkey AS BIGINT) AS created_at FROM orders WHERE o_orderkey % 20 < 8""",
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 1000 AS BIGINT) END AS scheduled_for, CAST(o_custkey AS BIGINT) AS created_at FROM orders""",
     "s_medications": "SELECT CAST(s_suppkey AS BIGINT) AS medication_id, s_name AS drug_name, CAST(s_nationkey % 4 AS INT) AS pgx_warning_count, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS is_active FROM supplier",
     "s_phenotypes": "SELECT CAST(n_nationkey AS BIGINT) AS phenotype_id, n_name AS name, CASE WHEN n_regionkey % 2 = 0 THEN 'numeric' ELSE 'text' END AS value_type FROM nation",
     "s_observations": "SELECT CAST(event_id AS BIGINT) AS observation_id, CAST(user_id % 20 AS BIGINT) AS phenotype_id, CAST(event_id % 500 AS BIGINT) AS observed_at, event_type AS value_text FROM events",
@@ -140,8 +143,8 @@ TEXTS = {
                CASE WHEN event_id % 3 = 0 THEN {list}('PR-' || CAST(user_id % 10 AS VARCHAR(9)), 'PR-' || CAST(user_id + 1 AS VARCHAR(9))) ELSE {list}('PR-' || CAST(user_id % 4 AS VARCHAR(9))) END AS depends_on
         FROM events""",
     "s_edges": """
-        SELECT 's' || CAST(l_suppkey AS VARCHAR(9)) AS a, 'p' || CAST(l_partkey AS VARCHAR(9)) AS b, CAST(l_linenumber AS BIGINT) AS w FROM lineitem WHERE l_partkey % 17 = 0 AND l_suppkey % 3 = 0
-        UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR(9)), 's' || CAST(l_suppkey AS VARCHAR(9)), CAST(1 AS BIGINT) FROM lineitem WHERE l_partkey % 34 = 0 AND l_suppkey % 3 = 0
+        SELECT 's' || CAST(l_suppkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)) AS a, 'p' || CAST(l_partkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)) AS b, CAST(l_linenumber AS BIGINT) AS w FROM lineitem
+        UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)), 's' || CAST(l_suppkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)), CAST(l_partkey % 3 AS BIGINT) FROM lineitem
         UNION ALL SELECT 's1', 's1', CAST(5 AS BIGINT)""",
     "s_chip_a": """
         SELECT v.variant_id AS line_no, CASE WHEN v.variant_id % 101 = 0 THEN '# This data file uses build 37' WHEN v.variant_id % 103 = 0 THEN 'rsid' || chr(9) || 'chromosome' || chr(9) || 'position' || chr(9) || 'genotype'
