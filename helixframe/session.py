@@ -28,13 +28,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_open: list[Scratch] = []
+
+
+def release() -> None:
+    """Delete the scratch tables of all queries so far; call it when their results have been written or collected."""
+    while _open:
+        _open.pop().clear()
+
+
 class Scratch:
-    """Tables written under the shared folder, to cut lineage and to be read more than once."""
+    """Tables written under the shared folder, to cut lineage and to be read more than once.
+
+    A result is read lazily from them, so they stay until release() or the end of the driver.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/helixframe-{uuid.uuid4().hex}"
-        atexit.register(self._drop, self.root)
+        _open.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it back; the shuffles that made it can then go."""
@@ -43,6 +55,9 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()  # lets the context cleaner remove shuffle files of the finished write
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        self._drop(self.root)
+
     def drop(self, name: str) -> None:
         self._drop(f"{self.root}/{name}")
 
@@ -57,6 +72,9 @@ class Scratch:
             return
 
 
+atexit.register(release)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
