@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,6 @@ from helixframe.functions import expr as X
 from helixframe.operators.canonical import dbsnp_alts
 
 POSITION = ["chrom", "pos_grch38"]
-_COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
 def canonical_flags(variants: DataFrame, dbsnp: DataFrame, pointers: DataFrame) -> DataFrame:
@@ -32,83 +30,68 @@ def mechanism(c_ref: Column, c_alt: Column, ref: Column, alt: Column) -> Column:
     return F.when((ref == "N") & (alt == "N"), "no_call").when(hom & in_c(base), "hom_same").when(hom & in_c(X.complement(base)), "hom_opp").when(two & same, "swap").when(two & flip, "strandflip")
 
 
-def _mechanism(s: tuple[str, str], n: tuple[str, str]) -> str | None:
-    own, opposite = set(s), {x.translate(_COMPLEMENT) for x in s}
-    if n == ("N", "N"):
-        return "no_call"
-    if not set(n) <= set("ACGT"):
-        return None
-    if n[0] == n[1]:
-        return "hom_same" if n[0] in own else "hom_opp" if n[0] in opposite else None
-    return "swap" if set(n) == own else "strandflip" if set(n) == opposite else None
-
-
-def fold(rows: list[dict]) -> list[dict]:
-    """Actions for the rows of one position, in the order of ids: keep, survivor, absorb, drop or a reason to skip.
-
-    A row has variant_id, ref_allele, alt_allele, is_canonical, sources (of active
-    calls), chip (an active chip call), same and opposite (all real calls fit the
-    alleles of the strand). A row is absorbed only if its sources and those
-    already absorbed are different.
-    """
-    rows = sorted(rows, key=lambda r: r["variant_id"])
-    out = {r["variant_id"]: (None, None, "keep") for r in rows}
-    canon = [r for r in rows if r["is_canonical"]]
-    if len({frozenset((r["ref_allele"], r["alt_allele"])) for r in canon}) >= 2:
-        for r in rows:
-            if (r["ref_allele"], r["alt_allele"]) == ("N", "N"):
-                out[r["variant_id"]] = (canon[0]["variant_id"], "no_call", "drop")
-            elif not r["is_canonical"]:
-                out[r["variant_id"]] = (None, None, "genotype_mismatch")
-    else:
-        two = [r for r in rows if r["ref_allele"] != r["alt_allele"] and {r["ref_allele"], r["alt_allele"]} <= set("ACGT")]
-        pick = canon[:1] if len(canon) == 1 else sorted(two, key=lambda r: (not r["chip"], r["variant_id"]))[:1]
-        if not pick:
-            out = {k: (None, None, "degenerate") for k in out}
-        for s in pick:
-            alleles, met = (s["ref_allele"], s["alt_allele"]), set(s["sources"])
-            absorbed = False
-            for r in rows:
-                how = None if r is s else _mechanism(alleles, (r["ref_allele"], r["alt_allele"]))
-                if how is None:
-                    continue
-                if how != "no_call" and alleles[1] == alleles[0].translate(_COMPLEMENT):
-                    verdict = "palindromic"
-                elif met & set(r["sources"]):
-                    verdict = "source_collision"
-                elif not r["calls_" + ("opposite" if how in ("strandflip", "hom_opp") else "same")](set(alleles)):
-                    verdict = "genotype_mismatch"
-                else:
-                    verdict, absorbed = "absorb", True
-                    met |= set(r["sources"])
-                out[r["variant_id"]] = (s["variant_id"] if verdict == "absorb" else None, how, verdict)
-            if absorbed:
-                out[s["variant_id"]] = (s["variant_id"], None, "survivor")
-    return [{"variant_id": k, "survivor_id": v[0], "mechanism": v[1], "action": v[2]} for k, v in out.items()]
-
-
-def plan(flagged: DataFrame, calls: DataFrame) -> DataFrame:
+def plan(flagged: DataFrame, calls: DataFrame, sources: int = 3) -> DataFrame:
     """variant_id, survivor_id, mechanism, action for every row of a crowded position.
 
-    The walk over a position depends on its order, so each position is folded in
-    Python; positions are natural-key buckets of a few rows.
+    The rows of a position are walked in the order of ids. Where dbSNP has two
+    sites or more there, no-calls drop and rows that it lacks are mismatches.
+    Otherwise the one canonical row survives, or else the first heterozygous one,
+    those with a chip call first; without any the position is degenerate. A row
+    that repeats the survivor is absorbed if the alleles are no palindrome, its
+    sources and those absorbed before are different, and all its real calls fit
+    the alleles on its strand.
+
+    A row without active calls never collides, and each row absorbed with some
+    takes at least one source, so at most `sources` rows change what is taken:
+    the walk is as many rounds of a minimum over the position, in one shuffle.
     """
     active = calls.filter("is_active").groupBy("variant_id").agg(
         F.array_sort(F.collect_set("source")).alias("sources"), F.bool_or(~F.col("source").endswith("_imputed")).alias("chip"),
         F.collect_set(F.when(~F.col("is_no_call"), F.concat(F.coalesce("allele_1", F.lit("")), F.coalesce("allele_2", F.lit(""))))).alias("genotypes"),
     )
-    rows = flagged.join(active, "variant_id", "left").select("variant_id", *POSITION, "ref_allele", "alt_allele", "is_canonical", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), F.coalesce("chip", F.lit(False)).alias("chip"), F.coalesce("genotypes", F.array().cast("array<string>")).alias("genotypes"))
-
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        members = bucket.to_dict("records")
-        for m in members:
-            texts = [set(g) for g in m["genotypes"]]
-            m["calls_same"] = lambda own, t=texts: all(g <= own for g in t)
-            m["calls_opposite"] = lambda own, t=texts: all({x.translate(_COMPLEMENT) for x in g} <= own for g in t)
-        out = pd.DataFrame(fold(members))
-        return out.astype({"survivor_id": "Int64"})
-
-    return rows.groupBy(*POSITION).applyInPandas(run, "variant_id long, survivor_id long, mechanism string, action string")
+    none = F.array().cast("array<string>")
+    c, w, here = F.col, Window.partitionBy(*POSITION), ["variant_id", *POSITION, "ref_allele", "alt_allele", "is_canonical"]
+    rows = flagged.join(active, "variant_id", "left").select(*here, F.coalesce("sources", none).alias("sources"), F.coalesce("chip", F.lit(False)).alias("chip"), F.coalesce("genotypes", none).alias("genotypes"))
+    two = (c("ref_allele") != c("alt_allele")) & c("ref_allele").isin(*"ACGT") & c("alt_allele").isin(*"ACGT")
+    rows = rows.withColumns(
+        {
+            "sites": F.size(F.collect_set(F.when(c("is_canonical"), X.pair(c("ref_allele"), c("alt_allele")))).over(w)),
+            "canonical": F.sum(c("is_canonical").cast("int")).over(w),
+            "first": F.min(F.when(c("is_canonical"), c("variant_id"))).over(w),
+            "het": F.min(F.when(two, F.struct(~c("chip"), c("variant_id").alias("id")))).over(w)["id"],
+        }
+    )
+    many = c("sites") >= 2
+    rows = rows.withColumn("survivor", F.when(~many, F.when(c("canonical") == 1, c("first")).otherwise(c("het"))))
+    is_s = c("variant_id") == c("survivor")
+    rows = rows.withColumn("s", F.max(F.when(is_s, F.struct("ref_allele", "alt_allele", "sources"))).over(w))
+    rows = rows.withColumn("how", F.when(~is_s, mechanism(c("s.ref_allele"), c("s.alt_allele"), c("ref_allele"), c("alt_allele"))))
+    opposite, outside = c("how").isin("strandflip", "hom_opp"), F.concat(F.lit("^["), c("s.ref_allele"), c("s.alt_allele"), F.lit("]*$"))
+    fits = F.forall("genotypes", lambda g: F.regexp_like(F.when(opposite, X.complement(g)).otherwise(g), outside))
+    palindrome = (c("how") != "no_call") & (c("s.alt_allele") == X.complement(c("s.ref_allele")))
+    rows = rows.withColumns({"fits": fits, "palindrome": palindrome, "met": c("s.sources"), "last": F.lit(None).cast("long")})
+    taker = c("how").isNotNull() & ~c("palindrome") & c("fits") & (F.size("sources") > 0)
+    before = [c("s.sources")]
+    for k in range(sources):
+        free = taker & ~F.arrays_overlap("sources", "met") & (c("last").isNull() | (c("variant_id") > c("last")))
+        rows = rows.withColumn(f"at{k}", F.min(F.when(free, c("variant_id"))).over(w))
+        rows = rows.withColumn(f"took{k}", F.max(F.when(c("variant_id") == c(f"at{k}"), c("sources"))).over(w))
+        rows = rows.withColumns({"met": F.concat("met", F.coalesce(f"took{k}", none)), "last": F.coalesce(f"at{k}", "last")})
+        before.append(F.when(c(f"at{k}") < c("variant_id"), c(f"took{k}")).otherwise(none))
+    collides = F.arrays_overlap("sources", F.concat(*before))
+    walked = F.when(c("palindrome"), "palindromic").when(collides, "source_collision").when(~c("fits"), "genotype_mismatch").otherwise("absorb")
+    rows = rows.withColumn("verdict", F.when(c("how").isNotNull(), walked))
+    absorbed = F.coalesce(F.bool_or(c("verdict") == "absorb").over(w), F.lit(False))
+    no_call = (c("ref_allele") == "N") & (c("alt_allele") == "N")
+    action = (
+        F.when(many, F.when(no_call, "drop").when(c("is_canonical"), "keep").otherwise("genotype_mismatch"))
+        .when(c("survivor").isNull(), "degenerate")
+        .when(is_s, F.when(c("absorbed"), "survivor").otherwise("keep"))
+        .otherwise(F.coalesce("verdict", F.lit("keep")))
+    )
+    rows = rows.withColumn("absorbed", absorbed).withColumn("action", action)
+    to = F.when(c("action") == "drop", c("first")).when(c("action").isin("absorb", "survivor"), c("survivor"))
+    return rows.select("variant_id", to.alias("survivor_id"), F.when(c("action") == "drop", "no_call").when(~many, c("how")).alias("mechanism"), "action")
 
 
 def collapsed_calls(calls: DataFrame, plan_: DataFrame) -> DataFrame:

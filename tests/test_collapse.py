@@ -24,15 +24,27 @@ def test_mapping_kinds(spark, pointers):
     assert len(keys) == len(set(keys)) == 6
 
 
-def test_fold_of_a_position():
-    row = lambda i, r, a, canon=False, sources=("23andme",), chip=True, fits=True: {"variant_id": i, "ref_allele": r, "alt_allele": a, "is_canonical": canon, "sources": list(sources), "chip": chip, "calls_same": lambda _: fits, "calls_opposite": lambda _: fits}
-    act = lambda rows: {x["variant_id"]: (x["survivor_id"], x["action"]) for x in collapse.fold(rows)}
-    assert act([row(1, "A", "G", True), row(2, "G", "A", sources=["ancestry"]), row(3, "T", "C", sources=["ancestry"]), row(4, "A", "A", sources=["beagle_imputed"])]) == {1: (1, "survivor"), 2: (1, "absorb"), 3: (None, "source_collision"), 4: (1, "absorb")}
-    assert act([row(1, "A", "T", True), row(2, "T", "A", sources=["ancestry"]), row(3, "N", "N", sources=[])]) == {1: (1, "survivor"), 2: (None, "palindromic"), 3: (1, "absorb")}
-    assert act([row(1, "A", "G", True), row(2, "A", "C", True), row(3, "N", "N"), row(4, "T", "C")]) == {1: (None, "keep"), 2: (None, "keep"), 3: (1, "drop"), 4: (None, "genotype_mismatch")}
-    assert act([row(5, "A", "A"), row(6, "A", "A")]) == {5: (None, "degenerate"), 6: (None, "degenerate")}
-    assert act([row(1, "A", "G", chip=False, sources=["beagle_imputed"]), row(2, "G", "A")]) == {1: (2, "absorb"), 2: (2, "survivor")}
-    assert act([row(1, "A", "G", True), row(2, "T", "T", sources=["ancestry"], fits=False)])[2] == (None, "genotype_mismatch")
+def test_plan_of_a_position(spark):
+    f = "variant_id long, chrom string, pos_grch38 long, ref_allele string, alt_allele string, rsid string, is_canonical boolean"
+
+    def act(*rows):
+        """Rows (id, ref, alt, canonical, sources, genotype or None): survivor and action by id."""
+        flagged = [(i, "1", 10, r, a, None, canon) for i, r, a, canon, _, _ in rows]
+        calls = [(i * 10 + k, i, s, None if g is None else g[0], None if g is None else g[1], g is None, True) for i, _, _, _, sources, g in rows for k, s in enumerate(sources)]
+        calls += [(999, 1, "ancestry", "A", "A", False, False)]  # not active
+        plan = collapse.plan(spark.createDataFrame(flagged, f), spark.createDataFrame(calls, C))
+        return {x.variant_id: (x.survivor_id, x.action) for x in plan.collect()}
+
+    T, A, I = "23andme", "ancestry", "beagle_imputed"
+    assert act((1, "A", "G", True, [T], "AG"), (2, "G", "A", False, [A], "AA"), (3, "T", "C", False, [A], "TC"), (4, "A", "A", False, [I], "AA")) == {1: (1, "survivor"), 2: (1, "absorb"), 3: (None, "source_collision"), 4: (1, "absorb")}
+    assert act((1, "A", "T", True, [T], "AT"), (2, "T", "A", False, [A], "AT"), (3, "N", "N", False, [], None)) == {1: (1, "survivor"), 2: (None, "palindromic"), 3: (1, "absorb")}
+    assert act((1, "A", "G", True, [T], "AG"), (2, "A", "C", True, [T], "AC"), (3, "N", "N", False, [T], None), (4, "T", "C", False, [T], "TC")) == {1: (None, "keep"), 2: (None, "keep"), 3: (1, "drop"), 4: (None, "genotype_mismatch")}
+    assert act((5, "A", "A", False, [T], "AA"), (6, "A", "A", False, [T], "AA")) == {5: (None, "degenerate"), 6: (None, "degenerate")}
+    assert act((1, "A", "G", False, [I], "AG"), (2, "G", "A", False, [T], "AG")) == {1: (2, "absorb"), 2: (2, "survivor")}
+    assert act((1, "A", "G", True, [T], "AG"), (2, "T", "T", False, [A], "CC")) == {1: (1, "survivor"), 2: (1, "absorb")}
+    assert act((1, "A", "G", True, [T], "AG"), (2, "T", "T", False, [A], "AA"))[2] == (None, "genotype_mismatch")
+    # what was absorbed before decides: the third row meets the second one's sources, the fourth is free again
+    assert act((1, "A", "G", True, [], None), (2, "G", "A", False, [T, A], "AG"), (3, "A", "A", False, [A, I], "AA"), (4, "G", "G", False, [I], "GG"), (5, "T", "C", False, [], None)) == {1: (1, "survivor"), 2: (1, "absorb"), 3: (None, "source_collision"), 4: (1, "absorb"), 5: (1, "absorb")}
 
 
 def test_collapsed_tables(spark, pointers):
