@@ -13,9 +13,8 @@ SIDES = {"t": "23andme", "a": "ancestry", "i": "beagle_imputed"}
 #: Confidence of each kind of agreement, and the words of the audit list (fixed values).
 BOTH, SINGLE, SINGLE_NO_CALL, FLIPPED = 0.99, 0.85, 0.75, 0.90
 WHY_PALINDROME = "palindromic site (A/T or C/G); strand not inferable from genotype"
-WHY_FLIP = "alleles match after complement flip at a non-palindromic site"
 WHY_MISMATCH = "non-palindromic site; alleles disagree even after complement flip"
-WHY_TIER3 = "complementary alleles in another row at the same position"
+WHY_TIER3 = "tier-3 cross-row strand flip: partner variants_master row at the same (chrom, pos_grch38) carries complement alleles; merging across rows"
 
 DISCREPANCY = "struct<discrepancy_type string, severity string, source_a string, call_a_id bigint, genotype_a string, source_b string, call_b_id bigint, genotype_b string, resolution string, resolution_reason string>"
 
@@ -92,6 +91,7 @@ def resolve(pivoted: DataFrame) -> DataFrame:
     diff = lambda p, q: F.array(_discrepancy("no_call_diff", "minor", side[p], side[q], "taken_from_a", said(SIDES[p], " called this site; ", SIDES[q], " reported no-call")))
     unique = lambda p: F.array(_discrepancy("platform_unique", "info", side[p], None, "taken_from_a", said("variant present only on ", SIDES[p])))
     unique_nc = lambda p: F.array(_discrepancy("platform_unique", "info", side[p], None, "taken_from_a", said("only ", SIDES[p], " reported this site and the call is no-call")))
+    why_flip = said("non-palindromic site; complement of ", SIDES["a"], " (", a_pair, ") matches ", SIDES["t"], " (", t_pair, ")")
     both = lambda kind, severity, resolution, why: F.array(_discrepancy(kind, severity, side["t"], side["a"], resolution, F.lit(why)))
     imputed = F.filter(
         F.array(*[F.when(have[p], _discrepancy("no_call_diff", "minor", side["i"], side[p], "taken_from_imputed", said("imputation called this site; ", SIDES[p], " reported no-call"))) for p in ("t", "a")]),
@@ -101,7 +101,7 @@ def resolve(pivoted: DataFrame) -> DataFrame:
         F.when(of_i, imputed)
         .when(b == "t_only", diff("t", "a")).when(b == "a_only", diff("a", "t"))
         .when(b == "palindrome", both("strand_ambiguous", "minor", "unresolved", WHY_PALINDROME))
-        .when(b == "flip", both("strand_flip_resolved", "info", "flipped_strand_match", WHY_FLIP))
+        .when(b == "flip", both("strand_flip_resolved", "info", "flipped_strand_match", why_flip))
         .when(b == "mismatch", both("genotype_mismatch", "major", "unresolved", WHY_MISMATCH))
         .when(b == "t_unique", unique("t")).when(b == "a_unique", unique("a"))
         .when(b == "t_unique_nc", unique_nc("t")).when(b == "a_unique_nc", unique_nc("a"))
@@ -169,6 +169,14 @@ def discrepancy_table(merged: DataFrame) -> DataFrame:
     return rows.select(X.natural_key_id("variant_id", "discrepancy_type", "call_a_id", "call_b_id").alias("discrepancy_id"), "*")
 
 
+def preclear(found: DataFrame, calls: DataFrame) -> DataFrame:
+    """Discrepancies that refer to no imputed call, as they stand before imputed calls are replaced."""
+    imputed = calls.filter("is_imputed").select("call_id").distinct()
+    for side in ("call_a_id", "call_b_id"):
+        found = found.join(imputed, found[side] == imputed["call_id"], "left_anti")
+    return found
+
+
 def summary(merged: DataFrame) -> DataFrame:
     """(kind, name, n): counts by method, discrepancy type and severity."""
     found = discrepancy_table(merged)

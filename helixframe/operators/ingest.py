@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
 from helixframe.operators.intervals import lift
+from helixframe.session import Scratch
 
 KEY = ["chrom", "pos_grch38", "ref_allele", "alt_allele"]
 #: Sex and quality thresholds (fixed values).
@@ -65,9 +66,15 @@ def flags(variants: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def write_calls(stage: DataFrame, variants: DataFrame, calls: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    """(variants, calls) after an ingest: upsert, supersede, insert, flags."""
+    """(variants, calls) after an ingest: upsert, supersede, insert, flags.
+
+    The stage, and the calls made of it, are written once as columns: each is read
+    by several of the steps.
+    """
+    scratch = Scratch(stage.sparkSession)
+    stage = scratch.save(stage, "stage")
     every = upsert(stage, variants)
-    fresh = call_rows(stage, every, source)
+    fresh = scratch.save(call_rows(stage, every, source), "calls")
     after = deactivate(calls, fresh, source).unionByName(fresh, allowMissingColumns=True)
     return flags(every, after), after
 

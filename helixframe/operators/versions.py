@@ -26,7 +26,7 @@ def live(rows: DataFrame, pointers: DataFrame, source_db: str) -> DataFrame:
 
 def live_versions(registry: DataFrame, pointers: DataFrame) -> DataFrame:
     """The registry rows that are live."""
-    return registry.join(F.broadcast(pointers.select("source_db", F.col("current_source_version_id").alias("source_version_id"))), ["source_db", "source_version_id"])
+    return registry.join(pointers.select("source_db", F.col("current_source_version_id").alias("source_version_id")), ["source_db", "source_version_id"])
 
 
 def labels(registry: DataFrame, pointers: DataFrame) -> str:
@@ -81,9 +81,9 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def purge(rows: DataFrame, deletable: DataFrame) -> DataFrame:
     """Rows without those of deletable versions."""
-    return rows.join(F.broadcast(deletable.filter("deletable").select("source_version_id")), "source_version_id", "left_anti")
+    return rows.join(deletable.filter("deletable").select("source_version_id"), "source_version_id", "left_anti")
 
 
 def orphans(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows by version id for ids that the registry does not have."""
-    return rows.join(F.broadcast(registry.select("source_version_id")), "source_version_id", "left_anti").groupBy("source_version_id").agg(F.count("*").alias("n_rows"))
+    return rows.join(registry.select("source_version_id"), "source_version_id", "left_anti").groupBy("source_version_id").agg(F.count("*").alias("n_rows"))

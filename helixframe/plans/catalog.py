@@ -72,7 +72,7 @@ def index_of(t, stamped: bool = False) -> DataFrame:
     return rollup.build(t("s_variants"), t("s_clinvar"), t("s_gwas"), t("s_gnomad"), t("s_pharmgkb"), t("s_aliases"), t("s_pointers"), label)
 
 
-LABELS = """'{"clinvar": "2024_02", "cpic": "c2", "dbsnp": "b156", "gnomad": "v4", "gwas_catalog": "r2", "pgs_catalog": "p1", "pharmgkb": "b"}'"""
+LABELS = """(SELECT '{' || string_agg('"' || v.source_db || '": "' || v.version || '"', ', ' ORDER BY v.source_db) || '}' FROM s_versions v JOIN s_pointers p ON p.source_db = v.source_db AND p.current_source_version_id = v.source_version_id)"""
 
 # 2.4 roll-up
 
@@ -140,19 +140,20 @@ TIER3 = """WITH s AS (SELECT v.variant_id, v.chrom, v.pos_grch38, v.ref_allele,
  FROM s_siblings v JOIN s_sibling_calls g ON g.variant_id = v.variant_id WHERE NOT is_no_call AND v.ref_allele || v.alt_allele NOT IN ('AT', 'TA', 'CG', 'GC')),
  m AS (SELECT x.variant_id, max({'i': least(x.variant_id, y.variant_id), 'j': greatest(x.variant_id, y.variant_id), 'p': y.call_id})['p'] AS p_id FROM s x JOIN s y ON x.chrom = y.chrom AND x.pos_grch38 = y.pos_grch38 AND x.source <> y.source AND x.p = y.f GROUP BY 1)"""
 plan("J10", TIER3 + " SELECT * FROM m")(lambda t: consensus.strand_partners(consensus.resolve(consensus.pivot(t("s_siblings"), t("s_sibling_calls")))).select("variant_id", "p_id"))
-plan("C13", TIER3 + " SELECT v.variant_id, CASE WHEN p_id IS NOT NULL THEN 'disagreement_resolved' ELSE 'single_source' END AS consensus_method, CASE WHEN p_id IS NOT NULL THEN [g.call_id, p_id] ELSE [g.call_id] END AS contributing_calls, CAST(CASE WHEN p_id IS NOT NULL THEN 0.90 WHEN NOT is_no_call THEN 0.85 END AS DECIMAL(3,2)) AS confidence, CASE WHEN p_id IS NOT NULL THEN 'strand_flip_resolved' ELSE 'platform_unique' END AS kind FROM s_siblings v JOIN s_sibling_calls g ON g.variant_id = v.variant_id LEFT JOIN m ON m.variant_id = v.variant_id")(
-    lambda t: consensus.merge(t("s_siblings"), t("s_sibling_calls")).select("variant_id", "consensus_method", "contributing_calls", "confidence", c("found")[0]["discrepancy_type"].alias("kind"))
+plan("C13", TIER3 + " SELECT v.variant_id, CASE WHEN p_id IS NOT NULL THEN 'disagreement_resolved' ELSE 'single_source' END AS consensus_method, CASE WHEN p_id IS NOT NULL THEN [g.call_id, p_id] ELSE [g.call_id] END AS contributing_calls, CAST(CASE WHEN p_id IS NOT NULL THEN 0.90 WHEN NOT is_no_call THEN 0.85 END AS DECIMAL(3,2)) AS confidence, CASE WHEN p_id IS NOT NULL THEN 'strand_flip_resolved' ELSE 'platform_unique' END AS kind, CASE WHEN p_id IS NOT NULL THEN 'tier-3 cross-row strand flip: partner variants_master row at the same (chrom, pos_grch38) carries complement alleles; merging across rows' WHEN is_no_call THEN 'only ' || g.source || ' reported this site and the call is no-call' ELSE 'variant present only on ' || g.source END AS reason FROM s_siblings v JOIN s_sibling_calls g ON g.variant_id = v.variant_id LEFT JOIN m ON m.variant_id = v.variant_id")(
+    lambda t: consensus.merge(t("s_siblings"), t("s_sibling_calls")).select("variant_id", "consensus_method", "contributing_calls", "confidence", c("found")[0]["discrepancy_type"].alias("kind"), c("found")[0]["resolution_reason"].alias("reason"))
 )
 DISC = MAIN + """, g AS (SELECT *, CASE WHEN coalesce(t_nc, FALSE) THEN '--' ELSE t_a1 || '/' || t_a2 END AS tg, CASE WHEN coalesce(a_nc, FALSE) THEN '--' ELSE a_a1 || '/' || a_a2 END AS ag, i_a1 || '/' || i_a2 AS ig FROM cs),
  d AS (SELECT variant_id, CASE branch WHEN 'palindrome' THEN 'strand_ambiguous' WHEN 'flip' THEN 'strand_flip_resolved' ELSE 'genotype_mismatch' END AS discrepancy_type, CASE branch WHEN 'palindrome' THEN 'minor' WHEN 'flip' THEN 'info' ELSE 'major' END AS severity,
-   '23andme' AS source_a, t_id AS call_a_id, tg AS genotype_a, 'ancestry' AS source_b, a_id AS call_b_id, ag AS genotype_b, CASE branch WHEN 'flip' THEN 'flipped_strand_match' ELSE 'unresolved' END AS resolution FROM g WHERE branch IN ('palindrome', 'flip', 'mismatch')
-  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', '23andme', t_id, tg, 'ancestry', a_id, ag, 'taken_from_a' FROM g WHERE branch = 't_only'
-  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', 'ancestry', a_id, ag, '23andme', t_id, tg, 'taken_from_a' FROM g WHERE branch = 'a_only'
-  UNION ALL SELECT variant_id, 'platform_unique', 'info', '23andme', t_id, tg, NULL, NULL, NULL, 'taken_from_a' FROM g WHERE branch IN ('t_unique', 't_unique_nc')
-  UNION ALL SELECT variant_id, 'platform_unique', 'info', 'ancestry', a_id, ag, NULL, NULL, NULL, 'taken_from_a' FROM g WHERE branch IN ('a_unique', 'a_unique_nc')
-  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', 'beagle_imputed', i_id, ig, '23andme', t_id, tg, 'taken_from_imputed' FROM g WHERE branch = 'imputed' AND t_id IS NOT NULL
-  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', 'beagle_imputed', i_id, ig, 'ancestry', a_id, ag, 'taken_from_imputed' FROM g WHERE branch = 'imputed' AND a_id IS NOT NULL)"""
-plan("CD1", DISC + " SELECT * FROM d")(lambda t: consensus.discrepancy_table(resolved_of(t)).drop("discrepancy_id", "resolution_reason"))
+   '23andme' AS source_a, t_id AS call_a_id, tg AS genotype_a, 'ancestry' AS source_b, a_id AS call_b_id, ag AS genotype_b, CASE branch WHEN 'flip' THEN 'flipped_strand_match' ELSE 'unresolved' END AS resolution,
+   CASE branch WHEN 'palindrome' THEN 'palindromic site (A/T or C/G); strand not inferable from genotype' WHEN 'flip' THEN 'non-palindromic site; complement of ancestry (' || ap || ') matches 23andme (' || tp || ')' ELSE 'non-palindromic site; alleles disagree even after complement flip' END AS resolution_reason FROM g WHERE branch IN ('palindrome', 'flip', 'mismatch')
+  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', '23andme', t_id, tg, 'ancestry', a_id, ag, 'taken_from_a', '23andme called this site; ancestry reported no-call' FROM g WHERE branch = 't_only'
+  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', 'ancestry', a_id, ag, '23andme', t_id, tg, 'taken_from_a', 'ancestry called this site; 23andme reported no-call' FROM g WHERE branch = 'a_only'
+  UNION ALL SELECT variant_id, 'platform_unique', 'info', '23andme', t_id, tg, NULL, NULL, NULL, 'taken_from_a', CASE branch WHEN 't_unique' THEN 'variant present only on 23andme' ELSE 'only 23andme reported this site and the call is no-call' END FROM g WHERE branch IN ('t_unique', 't_unique_nc')
+  UNION ALL SELECT variant_id, 'platform_unique', 'info', 'ancestry', a_id, ag, NULL, NULL, NULL, 'taken_from_a', CASE branch WHEN 'a_unique' THEN 'variant present only on ancestry' ELSE 'only ancestry reported this site and the call is no-call' END FROM g WHERE branch IN ('a_unique', 'a_unique_nc')
+  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', 'beagle_imputed', i_id, ig, '23andme', t_id, tg, 'taken_from_imputed', 'imputation called this site; 23andme reported no-call' FROM g WHERE branch = 'imputed' AND t_id IS NOT NULL
+  UNION ALL SELECT variant_id, 'no_call_diff', 'minor', 'beagle_imputed', i_id, ig, 'ancestry', a_id, ag, 'taken_from_imputed', 'imputation called this site; ancestry reported no-call' FROM g WHERE branch = 'imputed' AND a_id IS NOT NULL)"""
+plan("CD1", DISC + " SELECT * FROM d")(lambda t: consensus.discrepancy_table(resolved_of(t)).drop("discrepancy_id"))
 plan("A24", DISC + " SELECT 'method' AS kind, consensus_method AS name, count(*) AS n FROM cs GROUP BY 2 UNION ALL SELECT 'type', discrepancy_type, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM d GROUP BY 2")(lambda t: consensus.summary(resolved_of(t)))
 plan("A24c", MAIN + " SELECT shared, discordant, shared / (shared + discordant) AS rate FROM (SELECT count(*) FILTER (WHERE branch = 'equal') AS shared, count(*) FILTER (WHERE branch IN ('palindrome', 'flip', 'mismatch')) AS discordant FROM cs)")(lambda t: consensus.concordance(resolved_of(t)))
 

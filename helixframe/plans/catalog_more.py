@@ -23,7 +23,9 @@ CHIP_B = f"""WITH f AS (SELECT string_split(value, chr(9)) AS f FROM s_chip_b WH
 for _k in ("S03", "S04"):
     plan(_k, CHIP_B + " SELECT rsid, chrom, pos, CASE WHEN ok THEN a ELSE '' END AS allele_1, CASE WHEN ok THEN b ELSE '' END AS allele_2, NOT ok AS is_no_call FROM k")(lambda t: chips.calls_b(t("s_chip_b")))
 plan("S05", "SELECT line_no, value FROM s_chip_a WHERE starts_with(value, '#')")(lambda t: chips.header_lines(t("s_chip_a")))
-plan("S06", "SELECT 'GRCh37' AS build")(lambda t: chips.detect_build(t("s_chip_a")))
+BUILD = "SELECT CASE WHEN bool_or(regexp_matches(lower(value), 'build 38|grch38|hg38')) THEN 'GRCh38' ELSE 'GRCh37' END AS build FROM (SELECT replace(value, 'build 37', '{}') AS value FROM s_chip_a) WHERE starts_with(value, '#')"
+for _k, _n in (("S06", "build 37"), ("S06b", "Build 38.1"), ("S06c", "GRCh38"), ("S06d", "no name")):
+    plan(_k, BUILD.format(_n))(lambda t, n=_n: chips.detect_build(t("s_chip_a").withColumn("value", F.replace("value", F.lit("build 37"), F.lit(n)))))
 plan("S02c", f"WITH f AS (SELECT string_split(value, chr(9)) AS f FROM s_chip_a WHERE NOT starts_with(value, '#')) SELECT count(*) AS n_lines, count(*) FILTER (WHERE NOT coalesce({CHROM.format('f[2]')} {IS_CHROM}, FALSE)) AS dropped_non_canonical FROM f WHERE len(f) >= 4 AND lower(f[1]) <> 'rsid'")(lambda t: chips.stats(t("s_chip_a"), 4))
 
 
@@ -64,7 +66,7 @@ PLANS["A31"], SQL["A31"] = PLANS["S10"], SQL["S10"]
 plan("S12", "SELECT 'EFO_' || (n_nationkey % 7) AS efo_id, max({'i': n_nationkey, 'l': n_name})['l'] AS label FROM nation GROUP BY 1")(
     lambda t: loaders.categories(t("nation").coalesce(1).agg(F.to_json(F.array_sort(F.collect_list(F.struct(c("n_nationkey").alias("k"), c("n_name").alias("label"), F.array(F.struct(F.concat(F.lit("EFO_"), (c("n_nationkey") % 7).cast("string")).alias("id"))).alias("efotraits"))))).alias("value")))
 )
-plan("S13", "SELECT DISTINCT 'rs' || p_partkey AS alias_rsid, 'rs' || (p_partkey + 1) AS current_rsid FROM part WHERE p_partkey > 0 AND p_partkey % 11 = 0 AND p_size % 5 <> 0")(lambda t: loaders.aliases(t("part").filter("p_partkey % 11 = 0").select(c("p_partkey").cast("string").alias("_c0"), F.when(c("p_size") % 5 == 0, c("p_partkey").cast("string")).otherwise((c("p_partkey") + 1).cast("string")).alias("_c6"))))
+plan("S13", "SELECT DISTINCT 'rs' || p_partkey AS alias_rsid, 'rs' || (p_partkey + 1) AS current_rsid FROM part WHERE p_partkey > 0 AND p_size % 5 <> 0")(lambda t: loaders.aliases(t("part").select(c("p_partkey").cast("string").alias("_c0"), F.when(c("p_size") % 5 == 0, c("p_partkey").cast("string")).otherwise((c("p_partkey") + 1).cast("string")).alias("_c6"))))
 VCF = f"""WITH f AS (SELECT line_no, string_split(value, chr(9)) AS f FROM s_vcf), r AS (SELECT line_no, f[1] AS chrom, CAST(f[2] AS BIGINT) AS pos, f[3] AS id, f[4] AS ref_allele, f[5] AS alt_allele, f[7] AS flt, f[8] AS info, string_split(f[10], ':') AS s FROM f),
  k AS (SELECT *, try_cast(regexp_extract(info, '(^|;)DR2=([^;]*)', 2) AS DOUBLE) AS dr2, try_cast(regexp_extract(info, '(^|;)R2=([^;]*)', 2) AS DOUBLE) AS rr2, string_split_regex(s[1], '[/|]') AS g FROM r WHERE len(ref_allele) = 1 AND len(alt_allele) = 1),
  j AS (SELECT *, CASE g[1] WHEN '0' THEN ref_allele WHEN '1' THEN alt_allele END AS a1, CASE coalesce(g[2], g[1]) WHEN '0' THEN ref_allele WHEN '1' THEN alt_allele END AS a2, try_cast(s[2] AS DOUBLE) AS dose, coalesce(dr2, rr2) AS r2, regexp_matches(info, '(^|;)IMP(;|=|$)') AS is_imputed FROM k)"""
@@ -80,16 +82,15 @@ def exported(t) -> DataFrame:
     return vcf.export_rows(t("s_variants"), consensus_of(t))
 
 
-for _k in ("S19", "J22", "S20", "P17"):
+for _k in ("S19", "J22", "P17"):
     plan(_k, EXPORT + " SELECT * FROM ex")(lambda t: exported(t))
 REGION = f"CASE WHEN pos_grch38 BETWEEN 10001 AND 2781479 THEN 'PAR1' WHEN pos_grch38 BETWEEN 155701383 AND 156030895 THEN 'PAR2' ELSE 'nonPAR' END"
-for _k in ("S21", "P18", "S36"):
+for _k in ("P18", "S36"):
     plan(_k, EXPORT + f" SELECT chrom, pos_grch38, variant_id, {REGION} AS region, CASE WHEN {REGION} = 'nonPAR' THEN CASE WHEN line LIKE '%0/0' THEN left(line, len(line) - 3) || '0' WHEN line LIKE '%1/1' THEN left(line, len(line) - 3) || '1' ELSE left(line, len(line) - 3) || '.' END ELSE line END AS line FROM ex WHERE chrom = 'X'")(lambda t: vcf.region_rows(exported(t), True))
 for _k in ("S22",):
     plan(_k, EXPORT + " SELECT chrom, count(*) AS n FROM ex GROUP BY 1")(lambda t: vcf.manifest(exported(t)))
-plan("S25", "SELECT record_seq, pr_key, state FROM s_ledger")(lambda t: t("s_ledger").select("record_seq", "pr_key", F.from_json(F.to_json(F.struct("state")), "state string")["state"].alias("state")))
 plan("S27", "SELECT line_no, ['a', 'x|' || (line_no % 5), 'z'] AS cells FROM s_vcf")(lambda t: loaders.markdown_rows(t("s_vcf").select("line_no", F.concat(F.lit("| a | x\\|"), (c("line_no") % 5).cast("string"), F.lit(" | z |")).alias("value"))))
-plan("S28", "SELECT doc_id, 'title: ' || source AS front FROM documents")(lambda t: loaders.front_matter(t("documents").select("doc_id", F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n"), F.substring("text", 1, 40)).alias("value"))).select("doc_id", "front"))
+plan("S28", "SELECT doc_id, 'title: ' || source AS front FROM documents")(lambda t: loaders.front_matter(t("documents").select("doc_id", F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("value"))).select("doc_id", "front"))
 plan("S30", "SELECT variant_id, 'chr' || chrom AS chrom FROM s_variants")(lambda t: loaders.genetic_map(t("s_variants").select("variant_id", F.when(c("chrom") == "X", "chr23").when(c("variant_id") % 2 == 0, F.concat(F.lit("chrchr"), "chrom")).otherwise(c("chrom")).alias("chrom"))))
 _M = "m AS (SELECT chrom, count(*) AS n FROM s_variants GROUP BY 1), g AS (SELECT chrom, count(*) FILTER (WHERE variant_id % 5 <> 0) AS n FROM s_variants WHERE chrom NOT IN ('3', 'X') GROUP BY 1 UNION ALL SELECT 'Q', 4)"
 
@@ -157,7 +158,7 @@ plan("D07", NORM + f", cr AS (SELECT v.variant_id FROM st x JOIN s_variants v ON
 plan("J11", "SELECT variant_id, CASE WHEN pos_grch38 BETWEEN 11000 AND 13999 THEN chrom WHEN pos_grch38 BETWEEN 15000 AND 15999 AND chrom = '2' THEN 'alt1' END AS lifted_chrom, CASE WHEN pos_grch38 BETWEEN 11000 AND 13999 THEN 50000 + pos_grch38 - 11000 WHEN pos_grch38 BETWEEN 15000 AND 15999 AND chrom = '2' THEN 9000 - (pos_grch38 - 15000) END AS lifted_pos FROM s_variants")(
     lambda t: intervals.lift(t("s_variants").select("variant_id", "chrom", c("pos_grch38").alias("pos")), t("s_variants").select("chrom").distinct().select("chrom", F.lit(11000).cast("long").alias("start"), F.lit(14000).cast("long").alias("end"), c("chrom").alias("to_chrom"), F.lit(50000).cast("long").alias("to_start"), F.lit(False).alias("reverse")).unionByName(t("s_variants").filter("chrom = '2'").limit(1).select("chrom", F.lit(15000).cast("long").alias("start"), F.lit(16000).cast("long").alias("end"), F.lit("alt1").alias("to_chrom"), F.lit(9000).cast("long").alias("to_start"), F.lit(True).alias("reverse")))).select("variant_id", "lifted_chrom", "lifted_pos")
 )
-plan("J12", "SELECT freq_id FROM s_gnomad WHERE (chrom, pos_grch38) IN (SELECT chrom, pos_grch38 FROM s_variants WHERE variant_id % 3 = 0)")(lambda t: t("s_gnomad").join(t("s_variants").filter("variant_id % 3 = 0").select("chrom", "pos_grch38"), ["chrom", "pos_grch38"], "left_semi").select("freq_id"))
+plan("J12", "SELECT freq_id FROM s_gnomad WHERE (chrom, pos_grch38) IN (SELECT chrom, pos_grch38 FROM s_clinvar WHERE star_rating = 3)")(lambda t: t("s_gnomad").join(t("s_clinvar").filter("star_rating = 3").select("chrom", "pos_grch38"), ["chrom", "pos_grch38"], "left_semi").select("freq_id"))
 plan("J13", "SELECT alias_rsid, min(current_rsid) AS current_rsid FROM s_aliases WHERE alias_rsid <> 'rs0' AND (alias_rsid IN (SELECT rsid FROM s_gwas) OR current_rsid IN (SELECT rsid FROM s_gwas)) GROUP BY 1")(lambda t: loaders.aliases(t("s_aliases").select(F.substring("alias_rsid", 3, 20).alias("_c0"), F.substring("current_rsid", 3, 20).alias("_c6")), t("s_gwas")))
 plan("J14", "SELECT count(*) FILTER (WHERE s.publication_pmid IS NOT NULL AND n.n_nationkey IS NULL) AS lost_publications, count(*) FILTER (WHERE s.trait_category IS NOT NULL AND s.trait_category NOT IN ('cat1', 'cat2')) AS lost_traits FROM s_scores s LEFT JOIN nation n ON s.publication_pmid = 'PM' || n.n_nationkey AND n.n_nationkey < 20")(
     lambda t: loaders.pgs(t("s_scores").select("pgs_id", c("publication_pmid").alias("pgp_id"), c("trait_category").alias("efo_ids")), t("nation").filter("n_nationkey < 20").select(F.concat(F.lit("PM"), c("n_nationkey").cast("string")).alias("pgp_id"), F.lit("d").alias("doi"), F.lit("1").alias("pmid"), F.lit("2020-01-02").alias("date")), t("nation").limit(1).select(F.explode(F.array(F.lit("cat1"), F.lit("cat2"))).alias("efo_id"), F.lit("l").alias("label")), t("s_scores").select("pgs_id", F.lit("0.6").alias("auc"), F.lit(None).cast("string").alias("odds_ratio")).limit(0))[1]
@@ -202,15 +203,37 @@ def flagged(t) -> DataFrame:
 for _k in ("J19", "W04"):
     plan(_k, FLAG + " SELECT * FROM fl")(flagged)
 plan("D20", FLAG + ", o AS (SELECT *, bool_or(is_canonical) OVER (PARTITION BY chrom, pos_grch38) AS anyc FROM fl) SELECT variant_id FROM o WHERE anyc AND NOT is_canonical")(lambda t: collapse.off_side(flagged(t)))
-plan("D16", FLAG + """, e AS (SELECT x.variant_id AS survivor_id, y.variant_id, x.ref_allele AS cr, x.alt_allele AS ca, y.ref_allele AS r, y.alt_allele AS a FROM fl x JOIN fl y ON x.chrom = y.chrom AND x.pos_grch38 = y.pos_grch38 AND x.variant_id < y.variant_id)
+plan("D16", FLAG + """, sv AS (SELECT chrom, pos_grch38, arg_min(ref_allele, variant_id) AS cr, arg_min(alt_allele, variant_id) AS ca, min(variant_id) AS survivor_id FROM fl GROUP BY 1, 2),
+ e AS (SELECT survivor_id, variant_id, cr, ca, ref_allele AS r, alt_allele AS a FROM fl JOIN sv USING (chrom, pos_grch38) WHERE variant_id <> survivor_id)
  SELECT survivor_id, variant_id, CASE WHEN r = a AND r IN (cr, ca) THEN 'hom_same' WHEN r = a AND translate(r, 'ACGT', 'TGCA') IN (cr, ca) THEN 'hom_opp' WHEN r <> a AND least(r, a) = least(cr, ca) AND greatest(r, a) = greatest(cr, ca) THEN 'swap'
  WHEN r <> a AND least(translate(r, 'ACGT', 'TGCA'), translate(a, 'ACGT', 'TGCA')) = least(cr, ca) AND greatest(translate(r, 'ACGT', 'TGCA'), translate(a, 'ACGT', 'TGCA')) = greatest(cr, ca) THEN 'strandflip' END AS mechanism FROM e""")(
-    lambda t: (lambda f: f.alias("x").join(f.alias("y"), (c("x.chrom") == c("y.chrom")) & (c("x.pos_grch38") == c("y.pos_grch38")) & (c("x.variant_id") < c("y.variant_id"))).select(c("x.variant_id").alias("survivor_id"), c("y.variant_id").alias("variant_id"), collapse.mechanism(c("x.ref_allele"), c("x.alt_allele"), c("y.ref_allele"), c("y.alt_allele")).alias("mechanism")))(flagged(t))
+    lambda t: (lambda w: flagged(t).withColumn("s", F.min(F.struct("variant_id", "ref_allele", "alt_allele")).over(w)).filter("variant_id <> s.variant_id").select(c("s.variant_id").alias("survivor_id"), "variant_id", collapse.mechanism(c("s.ref_allele"), c("s.alt_allele"), c("ref_allele"), c("alt_allele")).alias("mechanism")))(Window.partitionBy("chrom", "pos_grch38"))
 )
+# the twin walks each position row by row
+_T = "translate({}, 'ACGT', 'TGCA')"
+_TWO = "{a} <> {b} AND {a} IN ('A','C','G','T') AND {b} IN ('A','C','G','T')"
+WALK = "WITH RECURSIVE " + FLAG[5:] + f""", ac AS (SELECT variant_id, list(DISTINCT source) AS src, bool_or(NOT ends_with(source, '_imputed')) AS chip, list(DISTINCT coalesce(allele_1, '') || coalesce(allele_2, '')) FILTER (WHERE NOT is_no_call) AS gts FROM s_calls WHERE is_active GROUP BY 1),
+ rw AS (SELECT fl.*, coalesce(src, []) AS src, coalesce(chip, FALSE) AS chip, coalesce(gts, []) AS gts, row_number() OVER (PARTITION BY chrom, pos_grch38 ORDER BY fl.variant_id) AS k FROM fl LEFT JOIN ac ON ac.variant_id = fl.variant_id),
+ ps AS (SELECT chrom, pos_grch38, count(DISTINCT least(ref_allele, alt_allele) || greatest(ref_allele, alt_allele)) FILTER (WHERE is_canonical) AS sites, count(*) FILTER (WHERE is_canonical) AS nc, min(variant_id) FILTER (WHERE is_canonical) AS c0,
+   (min({{'c': NOT chip, 'v': variant_id}}) FILTER (WHERE {_TWO.format(a='ref_allele', b='alt_allele')}))['v'] AS t0 FROM rw GROUP BY 1, 2),
+ sv AS (SELECT ps.*, CASE WHEN sites < 2 THEN CASE WHEN nc = 1 THEN c0 ELSE t0 END END AS sid FROM ps),
+ jn AS (SELECT rw.*, sites, c0, sid, z.ref_allele AS sr, z.alt_allele AS sa, z.src AS ss FROM rw JOIN sv USING (chrom, pos_grch38) LEFT JOIN rw z ON z.variant_id = sid),
+ hw AS (SELECT *, CASE WHEN sid IS NULL OR variant_id = sid THEN NULL WHEN ref_allele = 'N' AND alt_allele = 'N' THEN 'no_call' WHEN ref_allele = alt_allele THEN CASE WHEN ref_allele IN (sr, sa) THEN 'hom_same' WHEN {_T.format('ref_allele')} IN (sr, sa) THEN 'hom_opp' END
+   WHEN {_TWO.format(a='ref_allele', b='alt_allele')} THEN CASE WHEN list_sort([ref_allele, alt_allele]) = list_sort([sr, sa]) THEN 'swap' WHEN list_sort([{_T.format('ref_allele')}, {_T.format('alt_allele')}]) = list_sort([sr, sa]) THEN 'strandflip' END END AS how FROM jn),
+ ft AS (SELECT *, how <> 'no_call' AND sa = {_T.format('sr')} AS pal, len(list_filter(gts, lambda g: len(replace(replace(CASE WHEN how IN ('strandflip', 'hom_opp') THEN {_T.format('g')} ELSE g END, sr, ''), sa, '')) > 0)) = 0 AS fits FROM hw),
+ wk AS (SELECT chrom, pos_grch38, CAST(0 AS BIGINT) AS k, any_value(coalesce(ss, [])) AS met, CAST(NULL AS BIGINT) AS variant_id, CAST(NULL AS VARCHAR) AS verdict FROM ft GROUP BY 1, 2
+   UNION ALL SELECT f.chrom, f.pos_grch38, f.k, CASE WHEN how IS NOT NULL AND NOT pal AND len(list_intersect(f.src, w.met)) = 0 AND fits THEN list_concat(w.met, f.src) ELSE w.met END, f.variant_id,
+     CASE WHEN how IS NULL THEN NULL WHEN pal THEN 'palindromic' WHEN len(list_intersect(f.src, w.met)) > 0 THEN 'source_collision' WHEN NOT fits THEN 'genotype_mismatch' ELSE 'absorb' END FROM wk w JOIN ft f ON f.chrom = w.chrom AND f.pos_grch38 = w.pos_grch38 AND f.k = w.k + 1),
+ vd AS (SELECT ft.*, verdict, bool_or(coalesce(verdict = 'absorb', FALSE)) OVER (PARTITION BY ft.chrom, ft.pos_grch38) AS absorbed FROM ft JOIN wk ON wk.variant_id = ft.variant_id),
+ pl AS (SELECT variant_id, CASE WHEN sites >= 2 THEN CASE WHEN ref_allele = 'N' AND alt_allele = 'N' THEN 'drop' WHEN is_canonical THEN 'keep' ELSE 'genotype_mismatch' END WHEN sid IS NULL THEN 'degenerate' WHEN variant_id = sid THEN CASE WHEN absorbed THEN 'survivor' ELSE 'keep' END ELSE coalesce(verdict, 'keep') END AS action, sites, how, c0, sid FROM vd),
+ pn AS (SELECT variant_id, CASE WHEN action = 'drop' THEN c0 WHEN action IN ('absorb', 'survivor') THEN sid END AS survivor_id, CASE WHEN action = 'drop' THEN 'no_call' WHEN sites < 2 THEN how END AS mechanism, action FROM pl)"""
 for _k in ("D17", "D18"):
-    plan(_k)(lambda t: collapse.plan(flagged(t), t("s_calls")))
-plan("D19")(lambda t: collapse.collapsed_calls(t("s_calls"), collapse.plan(flagged(t), t("s_calls"))))
-plan("D14")(lambda t: collapse.collapsed_variants(t("s_variants"), collapse.plan(flagged(t), t("s_calls"))))
+    plan(_k, WALK + " SELECT * FROM pn")(lambda t: collapse.plan(flagged(t), t("s_calls")))
+_FLIP = "coalesce(mechanism IN ('strandflip', 'hom_opp'), FALSE) AND NOT is_no_call"
+plan("D19", WALK + f""", ad AS (SELECT * FROM pn WHERE action IN ('absorb', 'drop')) SELECT call_id, coalesce(survivor_id, g.variant_id) AS variant_id, source, CASE WHEN {_FLIP} THEN least({_T.format('allele_1')}, {_T.format('allele_2')}) ELSE allele_1 END AS allele_1,
+ CASE WHEN {_FLIP} THEN greatest({_T.format('allele_1')}, {_T.format('allele_2')}) ELSE allele_2 END AS allele_2, is_no_call, is_imputed, imputation_r2, is_active FROM s_calls g LEFT JOIN ad ON ad.variant_id = g.variant_id WHERE action IS NULL OR action <> 'drop'""")(lambda t: collapse.collapsed_calls(t("s_calls"), collapse.plan(flagged(t), t("s_calls"))))
+plan("D14", WALK + """, ad AS (SELECT pn.*, v.rsid FROM pn JOIN s_variants v ON v.variant_id = pn.variant_id WHERE action IN ('absorb', 'drop')), nm AS (SELECT survivor_id, (min({'k': variant_id, 'v': rsid}) FILTER (WHERE rsid IS NOT NULL))['v'] AS r FROM ad GROUP BY 1)
+ SELECT v.* REPLACE (coalesce(v.rsid, r) AS rsid) FROM s_variants v LEFT JOIN nm ON nm.survivor_id = v.variant_id WHERE v.variant_id NOT IN (SELECT variant_id FROM ad)""")(lambda t: collapse.collapsed_variants(t("s_variants"), collapse.plan(flagged(t), t("s_calls"))))
 plan("A33", "SELECT variant_id, bool_or(source NOT LIKE '%imputed') AS g, bool_or(source LIKE '%imputed') AS i FROM s_calls WHERE is_active GROUP BY 1")(lambda t: ingest.flags(t("s_variants"), t("s_calls")).filter("has_genotyped_call or has_imputed_call").select("variant_id", c("has_genotyped_call").alias("g"), c("has_imputed_call").alias("i")))
 plan("J20", "SELECT source_db, max(source_version_id) AS source_version_id FROM s_versions WHERE source_db = 'gnomad' AND source_version_id NOT IN (SELECT current_source_version_id FROM s_pointers) GROUP BY 1")(lambda t: versions.in_flight(t("s_versions"), t("s_pointers"), "gnomad"))
 
@@ -244,7 +267,7 @@ plan("A42", "SELECT count(*) AS n FROM (SELECT DISTINCT pr_key AS a, unnest(depe
 
 plan("W03", "SELECT freq_id, row_number() OVER (PARTITION BY chrom ORDER BY pos_grch38, ref_allele, alt_allele, freq_id) AS rn FROM s_gnomad")(lambda t: t("s_gnomad").withColumn("rn", F.row_number().over(Window.partitionBy("chrom").orderBy("pos_grch38", "ref_allele", "alt_allele", "freq_id"))).select("freq_id", "rn"))
 plan("W05", "SELECT freq_id FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos_grch38, ref_allele, alt_allele ORDER BY CASE WHEN freq_id % 2 = 0 THEN 0 ELSE 1 END, freq_id) AS rn FROM s_gnomad) WHERE rn = 1")(lambda t: t("s_gnomad").groupBy("chrom", "pos_grch38", "ref_allele", "alt_allele").agg(F.min(F.struct(F.when(c("freq_id") % 2 == 0, 0).otherwise(1).alias("p"), "freq_id"))["freq_id"].alias("freq_id")).select("freq_id"))
-plan("W06", "WITH d AS (SELECT DISTINCT chrom, pos_grch38 FROM s_variants WHERE variant_id % 3 = 0), n AS (SELECT *, coalesce((pos_grch38 - lag(pos_grch38) OVER (PARTITION BY chrom ORDER BY pos_grch38) > 300)::INT, 1) AS b FROM d), r AS (SELECT *, sum(b) OVER (PARTITION BY chrom ORDER BY pos_grch38) AS k FROM n) SELECT chrom, min(pos_grch38) AS start, max(pos_grch38) AS \"end\", count(*) AS n FROM r GROUP BY chrom, k")(lambda t: intervals.coalesce_positions(t("s_variants").filter("variant_id % 3 = 0"), 300))
+plan("W06", "WITH d AS (SELECT DISTINCT chrom, pos_grch38 FROM s_variants), n AS (SELECT *, coalesce((pos_grch38 - lag(pos_grch38) OVER (PARTITION BY chrom ORDER BY pos_grch38) > 150)::INT, 1) AS b FROM d), r AS (SELECT *, sum(b) OVER (PARTITION BY chrom ORDER BY pos_grch38) AS k FROM n) SELECT chrom, min(pos_grch38) AS start, max(pos_grch38) AS \"end\", count(*) AS n FROM r GROUP BY chrom, k")(lambda t: intervals.coalesce_positions(t("s_variants"), 150))
 plan("W07", "SELECT chrom, pos_grch38, CAST((row_number() OVER (PARTITION BY chrom ORDER BY pos_grch38) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT chrom, pos_grch38 FROM s_variants)")(lambda t: quality.folds(t("s_variants"), 5))
 plan("W08", "SELECT pr_key, max({'s': record_seq, 'v': state})['v'] AS state, max(record_seq) AS record_seq, min(record_seq) AS first_seen FROM s_ledger GROUP BY 1")(lambda t: ledger.latest(t("s_ledger").select("pr_key", "record_seq", "state")))
 plan("W09", "SELECT source_version_id, CAST(row_number() OVER (PARTITION BY source_db ORDER BY source_version_id DESC) AS INT) AS place, row_number() OVER (PARTITION BY source_db ORDER BY source_version_id DESC) > 1 AS deletable FROM s_versions WHERE source_version_id NOT IN (SELECT current_source_version_id FROM s_pointers)")(lambda t: versions.retention(t("s_versions"), t("s_pointers"), 1).select("source_version_id", "place", "deletable"))
@@ -276,7 +299,7 @@ def legs(t) -> list[DataFrame]:
 
 plan("U02", f"{_USER} UNION {_CL} UNION {_GW}")(lambda t: (lambda a, b, d: a.union(b).union(d).distinct())(*legs(t)))
 plan("U03", f"SELECT gene_symbol FROM s_pharmgkb WHERE {LIVE.format('pharmgkb')} UNION SELECT gene_symbol FROM s_cpic WHERE {LIVE.format('cpic')}")(lambda t: versions.live(t("s_pharmgkb"), t("s_pointers"), "pharmgkb").select("gene_symbol").union(versions.live(t("s_cpic"), t("s_pointers"), "cpic").select("gene_symbol")).distinct())
-plan("U04", "SELECT gene_symbol FROM s_cpic EXCEPT SELECT gene_symbol FROM s_pharmgkb WHERE pharmgkb_id % 60 = 0")(lambda t: t("s_cpic").select("gene_symbol").subtract(t("s_pharmgkb").filter("pharmgkb_id % 60 = 0").select("gene_symbol")))
+plan("U04", "SELECT gene_symbol FROM s_cpic EXCEPT SELECT gene_symbol FROM s_pgx WHERE phenotype_category = 'PM'")(lambda t: t("s_cpic").select("gene_symbol").subtract(t("s_pgx").filter("phenotype_category = 'PM'").select("gene_symbol")))
 for _k in ("U06", "D27"):
     plan(_k, "WITH a AS (SELECT DISTINCT gene_symbol FROM s_pharmgkb), b AS (SELECT 'Brand#' || n_nationkey AS gene_symbol FROM nation) SELECT coalesce(a.gene_symbol, b.gene_symbol) AS gene_symbol, a.gene_symbol IS NOT NULL AS is_pgx_relevant, b.gene_symbol IS NOT NULL AS is_acmg_sf FROM a FULL JOIN b ON a.gene_symbol = b.gene_symbol")(lambda t: t("s_pharmgkb").select("gene_symbol").distinct().withColumn("p", F.lit(True)).join(t("nation").select(F.concat(F.lit("Brand#"), c("n_nationkey").cast("string")).alias("gene_symbol"), F.lit(True).alias("a")), "gene_symbol", "full_outer").select("gene_symbol", F.coalesce("p", F.lit(False)).alias("is_pgx_relevant"), F.coalesce("a", F.lit(False)).alias("is_acmg_sf")))
 plan("U07", "SELECT count(*) AS n FROM (SELECT variant_id FROM s_calls WHERE is_no_call UNION SELECT freq_id FROM s_gnomad WHERE af_global IS NULL)")(lambda t: t("s_calls").filter("is_no_call").select("variant_id").union(t("s_gnomad").filter("af_global is null").select("freq_id")).distinct().agg(F.count("*").alias("n")))
@@ -298,7 +321,7 @@ for _k in ("D29", "G11"):
     plan(_k, f"SELECT record_seq, {_TR} AS is_legal FROM (SELECT *, lag(state) OVER (PARTITION BY pr_key ORDER BY record_seq) AS b FROM s_ledger)")(lambda t: ledger.transitions(t("s_ledger")).select("record_seq", "is_legal"))
 plan("D30", LATEST + ", d AS (SELECT pr_key, unnest(depends_on) AS d FROM l WHERE state = 'pending') SELECT d.pr_key FROM d LEFT JOIN l ON l.pr_key = d.d GROUP BY 1 HAVING bool_and(coalesce(l.state = 'done', FALSE))")(lambda t: ledger.promotable(now(t)))
 plan("D31", "SELECT pr_key, count(*) AS n FROM s_ledger GROUP BY 1 HAVING count(*) > 1")(lambda t: ledger.duplicates(t("s_ledger"), "pr_key"))
-plan("D31u", "SELECT DISTINCT ref FROM (SELECT unnest(depends_on) AS ref FROM s_ledger) WHERE ref NOT IN (SELECT pr_key FROM s_ledger WHERE record_seq % 3 = 0)")(lambda t: ledger.unresolved(t("s_ledger").select(F.explode("depends_on").alias("ref")), "ref", t("s_ledger").filter("record_seq % 3 = 0"), "pr_key"))
+plan("D31u", "SELECT DISTINCT ref FROM (SELECT unnest(depends_on) AS ref FROM s_ledger) WHERE ref NOT IN (SELECT pr_key FROM s_ledger)")(lambda t: ledger.unresolved(t("s_ledger").select(F.explode("depends_on").alias("ref")), "ref", t("s_ledger"), "pr_key"))
 plan("D31c", "SELECT record_seq FROM s_ledger WHERE record_seq % 4 = 0 AND delta <> 0")(lambda t: ledger.changed(t("s_ledger").select("record_seq", "delta", "knob"), t("s_ledger").select("record_seq", F.when(c("record_seq") % 4 == 0, F.lit(0).cast("long")).otherwise(c("delta")).alias("delta"), "knob"), "record_seq", ["delta", "knob"]))
 plan("D32", "SELECT external_endpoint, external_payload_hash, count(*) AS n, min(log_id) AS intent_id, max(log_id) AS result_id, count(*) % 2 = 1 AS open FROM s_audit WHERE external_call = 1 GROUP BY 1, 2")(lambda t: ledger.audit_pairs(t("s_audit")))
 plan("D34", "SELECT * FROM s_runs UNION ALL SELECT 5, 'ancestry', 'pending'")(lambda t: t("s_runs").unionByName(t("s_runs").limit(1).select(F.lit(5).cast("long").alias("run_id"), F.lit("ancestry").alias("source"), F.lit("pending").alias("status"))))
@@ -312,14 +335,29 @@ plan("F02", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT)
 
 UND = "WITH u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(w) AS BIGINT) AS w FROM s_edges WHERE a <> b GROUP BY 1, 2)"
 plan("G01", UND + " SELECT * FROM u")(lambda t: graph.undirected(t("s_edges")))
-for _k in ("G02", "K11"):
-    plan(_k, "WITH RECURSIVE " + UND[5:] + ", e AS (SELECT a, b FROM u UNION SELECT b, a FROM u), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")(lambda t: graph.connected_components(graph.undirected(t("s_edges"))))
-plan("G03", UND + ", x AS (SELECT CAST(sum(CASE WHEN CAST(substr(a, 2) AS INT) % 2 <> CAST(substr(b, 2) AS INT) % 2 THEN w ELSE 0 END) AS BIGINT) AS severed, CAST(sum(w) AS BIGINT) AS total FROM u) SELECT *, severed / total AS cost FROM x")(lambda t: graph.cut_cost(t("s_edges"), t("s_edges").select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("part", F.substring("node", 2, 9).cast("int") % 2)))
-PEERS = UND + ", h AS (SELECT node, count(DISTINCT peer) AS peers FROM (SELECT a AS node, b AS peer FROM u UNION ALL SELECT b, a FROM u) GROUP BY 1 HAVING count(DISTINCT peer) >= 20)"
-plan("G04", PEERS + " SELECT * FROM h")(lambda t: graph.hubs(t("s_edges"), 20))
-plan("G04e", PEERS + " SELECT a, b, w FROM s_edges WHERE a NOT IN (SELECT node FROM h) AND b NOT IN (SELECT node FROM h)")(lambda t: graph.without(t("s_edges"), graph.hubs(t("s_edges"), 20)))
-plan("G05", "SELECT left(a, 1) AS class, list_sort(list(DISTINCT a)) AS members FROM s_edges GROUP BY 1")(lambda t: graph.partition_by_class(t("s_edges").select(F.substring("a", 1, 1).alias("class"), c("a").alias("node"))))
-plan("G06", "SELECT 'HOLD' AS verdict")(lambda t: t("region").limit(1).select(F.lit(graph.split_verdict(t("s_edges"), t("s_edges").select(c("a").alias("node")).distinct().withColumn("part", F.lit(1)), 0.1)).alias("verdict")))
+COMPONENTS = "WITH RECURSIVE " + UND[5:] + ", e AS (SELECT a, b FROM u UNION SELECT b, a FROM u), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), cc AS (SELECT node, min(root) AS component FROM r GROUP BY 1)"
+plan("G02", COMPONENTS + " SELECT * FROM cc")(lambda t: graph.connected_components(graph.undirected(t("s_edges"))))
+plan("K11", COMPONENTS + " SELECT component, node, CAST(row_number() OVER (PARTITION BY component ORDER BY node) AS INT) AS place FROM cc")(lambda t: graph.connected_components(graph.undirected(t("s_edges"))).select("component", "node", F.row_number().over(Window.partitionBy("component").orderBy("node")).alias("place")))
+plan("G03", UND + ", x AS (SELECT CAST(sum(CASE WHEN len(a) % 2 <> len(b) % 2 THEN w ELSE 0 END) AS BIGINT) AS severed, CAST(sum(w) AS BIGINT) AS total FROM u) SELECT *, severed / total AS cost FROM x")(lambda t: graph.cut_cost(t("s_edges"), t("s_edges").select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("part", F.length("node") % 2)))
+PEERS = UND + ", h AS (SELECT node, count(DISTINCT peer) AS peers FROM (SELECT a AS node, b AS peer FROM u UNION ALL SELECT b, a FROM u) GROUP BY 1 HAVING count(DISTINCT peer) >= 3)"
+plan("G04", PEERS + " SELECT * FROM h")(lambda t: graph.hubs(t("s_edges"), 3))
+plan("G04e", PEERS + " SELECT a, b, w FROM s_edges WHERE a NOT IN (SELECT node FROM h) AND b NOT IN (SELECT node FROM h)")(lambda t: graph.without(t("s_edges"), graph.hubs(t("s_edges"), 3)))
+plan("G05", "SELECT split_part(a, '.', 2) AS class, list_sort(list(DISTINCT a)) AS members FROM s_edges GROUP BY 1")(lambda t: graph.partition_by_class(t("s_edges").select(F.split_part("a", F.lit("."), F.lit(2)).alias("class"), c("a").alias("node"))))
+
+
+def split_sql(part: str) -> str:
+    """The verdict on a division of all nodes by an expression over {node}: their cut may cost a tenth."""
+    cut = f"CASE WHEN {part.format(node='a')} <> {part.format(node='b')} THEN w ELSE 0 END"
+    return UND + f" SELECT CASE WHEN sum(w) > 0 AND sum({cut}) / sum(w) <= 0.1 THEN 'ACCEPT' ELSE 'HOLD' END AS verdict FROM u"
+
+
+def split_of(t, part) -> DataFrame:
+    parts = t("s_edges").select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("part", part)
+    return t("region").limit(1).select(F.lit(graph.split_verdict(t("s_edges"), parts, 0.1)).alias("verdict"))
+
+
+plan("G06", split_sql("len({node}) % 2"))(lambda t: split_of(t, F.length("node") % 2))
+plan("G06a", split_sql("split_part({node}, '.', 2)"))(lambda t: split_of(t, F.split_part("node", F.lit("."), F.lit(2))))
 plan("G07", "WITH x AS (SELECT record_seq, greatest(CASE WHEN delta > 0 THEN 3 ELSE 0 END + CASE WHEN state = 'done' THEN 4 ELSE 0 END + CASE WHEN knob = 'k1' THEN 2 ELSE 0 END, 1) AS score FROM s_ledger) SELECT *, CASE WHEN score < 2 THEN 'S' WHEN score < 5 THEN 'M' WHEN score < 8 THEN 'L' ELSE 'XL' END AS tier FROM x")(lambda t: t("s_ledger").select("record_seq", ledger.tier_score([(c("delta") > 0, 3), (c("state") == "done", 4), (c("knob") == "k1", 2)], 1).alias("score")).withColumn("tier", ledger.tier(c("score"))))
 plan("G08", "SELECT pr_key, max({'a': abs(delta), 'k': knob})['k'] AS knob FROM s_ledger GROUP BY 1")(lambda t: t("s_ledger").groupBy("pr_key").agg(X.best_value(c("knob"), F.abs("delta")).alias("knob")))
 plan("G09", "SELECT knob, CAST(-sign(net) AS INT) AS step FROM (SELECT knob, sum(sign(delta)) AS net FROM s_ledger GROUP BY 1) WHERE abs(net) >= 1")(lambda t: ledger.proposal(ledger.tally(t("s_ledger")), 1))

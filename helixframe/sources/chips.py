@@ -19,7 +19,7 @@ def header_lines(lines: DataFrame) -> DataFrame:
 def build(header: DataFrame) -> Column:
     """An aggregate-ready column: the genome build that a header line names, or null."""
     line = F.lower("value")
-    return F.when(line.rlike("build 38|grch38|hg38"), "GRCh38").when(line.rlike("build 37|grch37|hg19"), "GRCh37")
+    return F.when(line.rlike("build\\s*38|grch38|hg38"), "GRCh38").when(line.rlike("build\\s*37|grch37|hg19"), "GRCh37")
 
 
 def detect_build(lines: DataFrame) -> DataFrame:
