@@ -65,9 +65,9 @@ def any_true(c: Column) -> Column:
 def chromosome(c: Column) -> Column:
     """Canonical chromosome name or null: trimmed, upper-cased, without a CHR prefix, numbers and M mapped."""
     bare = F.regexp_replace(F.upper(F.trim(c)), "^CHR", "")
-    names = F.create_map(*[F.lit(x) for kv in CHROM_NAMES.items() for x in kv])
-    name = F.coalesce(names[bare], bare)
-    return F.when(name.isin(*CHROMOSOMES), name)
+    # one look-up: where this column is used several times, what is repeated stays small
+    names = F.create_map(*[F.lit(x) for kv in ({c: c for c in CHROMOSOMES} | CHROM_NAMES).items() for x in kv])
+    return names[bare]
 
 
 def allele(c: Column) -> Column:

@@ -29,11 +29,8 @@ STARS = {
 
 def digest(path: str) -> str:
     """SHA-256 of a local file."""
-    h = hashlib.sha256()
     with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def fingerprint(digests: dict[str, str]) -> str:
@@ -78,22 +75,6 @@ def delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = Tr
     return df
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array of objects; anything else fails."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
-def block_gzip_ok(path: str) -> bool:
-    """Whether a local block-gzip file has its magic number and its end-of-file block."""
-    end = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-    with open(path, "rb") as f:
-        start = f.read(18)
-        f.seek(0, os.SEEK_END)
-        size = f.tell()
-        f.seek(max(0, size - len(end)))
-        return start[:4] == b"\x1f\x8b\x08\x04" and b"BC" in start and f.read() == end
-
-
 def gunzip(path: str, to: str) -> str:
     with gzip.open(path) as a, open(to, "wb") as b:
         while block := a.read(1 << 20):

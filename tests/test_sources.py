@@ -1,5 +1,4 @@
 import gzip
-import json
 import zipfile
 
 import pytest
@@ -24,14 +23,6 @@ def test_archives_hashes_and_required_headers(spark, tmp_path):
         loaders.unpack(str(z), str(tmp_path / "out"))
 
 
-def test_json_array_and_block_gzip(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
-    assert loaders.json_array(spark, str(tmp_path / "a.json"), "id long").count() == 2
-    with gzip.open(tmp_path / "plain.gz", "wb") as f:
-        f.write(b"x")
-    assert not loaders.block_gzip_ok(str(tmp_path / "plain.gz"))
-
-
 def test_chip_file_and_header(spark, tmp_path):
     p = tmp_path / "chip.txt"
     p.write_text("# made by build 37\n# more\nrsid\tchromosome\tposition\tgenotype\nrs1\t1\t10\tGA\nrs2\tX\t20\tA\nrs3\tchr23\t30\t--\ni4\tMT\tx\tAA\nrs5\tQ\t1\tAA\n")
