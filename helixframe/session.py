@@ -46,6 +46,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/helixframe-{uuid.uuid4().hex}"
+        if not _open:
+            atexit.unregister(release)
+            atexit.register(release)  # after the context's own, so that it runs before the context ends
         _open.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -72,9 +75,6 @@ class Scratch:
             return
 
 
-atexit.register(release)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
