@@ -108,57 +108,58 @@ def _columns(table) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in table.columns), strict=True)
 
 
-def counts(parts: DataFrame) -> DataFrame:
-    """gram, b, t: how often each n-gram occurs in all parts, and in those of the target."""
+def piece_counts(parts: DataFrame) -> DataFrame:
+    """piece, gram, b, t: how often each n-gram occurs in a piece, and in its texts of the target.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for target, lead, data in _chunks(x for batch in batches for x in _columns(batch)):
-            keys, ends = grams(data, lead)
-            flag = np.repeat(np.array(target, np.uint64), np.diff(ends))
-            kinds, n = np.unique((keys << np.uint64(1)) | flag, return_counts=True)
-            flag = (kinds & np.uint64(1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((kinds >> np.uint64(1)).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(n * flag)], names=["gram", "b", "t"])
-
-    made = parts.select("target", "lead", "data").mapInArrow(run, "gram long, b long, t long")
-    return made.groupBy("gram").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-
-
-def model(both: DataFrame) -> DataFrame:
-    """gram and what its two models say of it: counts of the 5-gram, its context, its last 3-gram and that one's context.
-
-    both: gram, b, t. At most 256 n-grams share a context, 65,536 a 3-gram.
+    A piece that two tasks read gives rows from both.
     """
-    sums = lambda df, key, tag, b="b", t="t": df.groupBy(key).agg(F.sum(b).alias(f"b{tag}"), F.sum(t).alias(f"t{tag}"))
-    named = both.select("gram", F.col("b").alias("b5"), F.col("t").alias("t5"), F.shiftright("gram", 8).alias("c5"), F.col("gram").bitwiseAND(F.lit((1 << 8 * MIDDLE) - 1)).alias("g3"))
-    threes = sums(named, "g3", "3", "b5", "t5").withColumn("c3", F.shiftright("g3", 8))
-    lower = threes.join(sums(threes, "c3", "c3", "b3", "t3"), "c3").drop("c3")
-    return named.join(sums(named, "c5", "c5", "b5", "t5"), "c5").join(lower, "g3").select("gram", *_COUNTS)
-
-
-def _asked(parts: DataFrame) -> DataFrame:
-    """piece, gram: the different n-grams of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kinds = None, []
+        now, kinds, times = None, [], []
 
         def flush() -> pa.RecordBatch:
-            own = np.unique(np.concatenate(kinds)).astype(np.int64)
+            both, at = np.unique(np.concatenate(kinds), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
             kinds.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), now)), pa.array(own)], names=["piece", "gram"])
+            times.clear()
+            own = both >> np.uint64(1)
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+            b, t = np.add.reduceat(n, first), np.add.reduceat(n * (both & np.uint64(1)).astype(np.int64), first)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), now)), pa.array(own[first].astype(np.int64)), pa.array(b), pa.array(t)], names=["piece", "gram", "b", "t"])
 
-        for piece, lead, data in _chunks(x for batch in batches for x in _columns(batch)):
+        for piece, target, lead, data in _chunks(x for batch in batches for x in _columns(batch)):
             at = 0
             while at < len(piece):  # a chunk may hold the end of one piece and the start of the next
                 stop = next((i for i in range(at, len(piece)) if piece[i] != piece[at]), len(piece))
-                if kinds and piece[at] != now:
+                if sum(map(len, kinds)) and piece[at] != now:
                     yield flush()
                 now = piece[at]
-                kinds.append(np.unique(grams(data[at:stop], lead[at:stop])[0]))
+                keys, ends = grams(data[at:stop], lead[at:stop])
+                own, n = np.unique((keys << np.uint64(1)) | np.repeat(np.array(target[at:stop], np.uint64), np.diff(ends)), return_counts=True)
+                kinds.append(own)
+                times.append(n)
                 at = stop
-        if kinds:
+        if sum(map(len, kinds)):
             yield flush()
 
-    return parts.select("piece", "lead", "data").mapInArrow(run, "piece long, gram long")
+    return parts.select("piece", "target", "lead", "data").mapInArrow(run, "piece long, gram long, b long, t long")
+
+
+def counts(by_piece: DataFrame) -> DataFrame:
+    """gram, b, t over all pieces."""
+    return by_piece.groupBy("gram").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+
+
+def model(both: DataFrame) -> DataFrame:
+    """gram and what its two models say of it: counts of the 5-gram, its context, its last 3-gram and that one's context.
+
+    both: gram, b, t. At most 256 n-grams share a context, 65,536 a 3-gram.
+    """
+    sums = lambda df, key, tag, b="b", t="t": df.groupBy(key).agg(F.sum(b).alias(f"b{tag}"), F.sum(t).alias(f"t{tag}"))
+    named = both.select("gram", F.col("b").alias("b5"), F.col("t").alias("t5"), F.shiftright("gram", 8).alias("c5"), F.col("gram").bitwiseAND(F.lit((1 << 8 * MIDDLE) - 1)).alias("g3"))
+    threes = sums(named, "g3", "3", "b5", "t5").withColumn("c3", F.shiftright("g3", 8))
+    lower = threes.join(sums(threes, "c3", "c3", "b3", "t3"), "c3").drop("c3")
+    return named.join(sums(named, "c5", "c5", "b5", "t5"), "c5").join(lower, "g3").select("gram", *_COUNTS)
 
 
 def _runs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +194,8 @@ def losses(keys: np.ndarray, ends: np.ndarray, target: np.ndarray, known: np.nda
     seen = table[np.searchsorted(known, gram.astype(np.int64))].astype(float)
     total, logs = ones.sum(axis=0), []
     for k, s in enumerate(scale):
-        mine = 1.0 if k == 0 else target[row].astype(float)
-        of = lambda n, less, mine=mine, s=s: s * (n - mine * less)
+        mine = None if k == 0 else target[row].astype(float) if target.any() else 0.0
+        of = lambda n, less, mine=mine, s=s: s * (n - less) if mine is None else s * n if isinstance(mine, float) else s * (n - mine * less)
         p = (of(ones[last, k], alone) + MASS / 256) / (of(total[k], size) + MASS)
         p = (of(seen[:, 4 + k], own[0]) + MASS * p) / (of(seen[:, 6 + k], own[1]) + MASS)
         p = (of(seen[:, k], own[3]) + MASS * p) / (of(seen[:, 2 + k], own[2]) + MASS)
@@ -220,7 +221,9 @@ def score(docs: DataFrame, is_target: Column) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
     parts = scratch.save(pieces(plain), "parts")
-    both = scratch.save(counts(parts), "counts")
+    # pieces are counted once: the rows add up to the model, and are what each piece asks of it
+    by_piece = scratch.save(piece_counts(parts), "pieces")
+    both = scratch.save(counts(by_piece), "counts")
     ones = np.zeros((256, 2))
     for r in both.groupBy(F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).collect():  # at most 256 rows
         ones[r["byte"]] = r["b"], r["t"]
@@ -228,7 +231,7 @@ def score(docs: DataFrame, is_target: Column) -> DataFrame:
     scale = tuple(float(least / n) if n else 0.0 for n in ones.sum(axis=0))
     table = scratch.save(model(both), "model")
     scratch.drop("counts")
-    answers = _asked(parts).join(table, "gram").select("piece", "gram", *_COUNTS)
+    answers = by_piece.select("piece", "gram").join(table, "gram").select("piece", "gram", *_COUNTS)
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         grams_, at = np.unique(known.column("gram").to_numpy(), return_index=True)
