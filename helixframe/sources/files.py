@@ -56,7 +56,7 @@ def is_truncated(content: Column) -> Column:
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of every file below a folder."""
+    """path, content of every file below a folder that is not empty."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
