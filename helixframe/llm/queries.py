@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, chat, language, lmscore, mixing, neardup, packing, substring, topk, urls
+from helixframe.llm import ann, chat, language, lmscore, mixing, neardup, packing, substring, tokencount, topk, urls
 from helixframe.session import table
 
 
@@ -71,6 +71,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 512)
+    return counted.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_tokens").alias("n_tokens"), F.col("__over_limit").alias("over_limit"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -165,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": op8_ann,
         "op9_mixing": op9_mixing,
         "op10_urls": op10_urls,
+        "op12_tokencount": op12_tokencount,
         "pipeline": pipeline,
     }
 
