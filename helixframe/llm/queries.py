@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, chat, language, lmscore, mixing, neardup, packing, substring, tokencount, topk, urls
-from helixframe.session import table
+from helixframe.llm import ann, chat, language, lmscore, mixing, neardup, packing, quantiles, substring, tokencount, topk, urls
+from helixframe.session import Scratch, table
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,23 @@ def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_tokens").alias("n_tokens"), F.col("__over_limit").alias("over_limit"))
 
 
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream, grp, batch, x of the clicks' values and of the prices of sold items."""
+    clicks = table(spark, sf_dir, "clicks").groupBy("click_id").agg(F.min(F.struct("client_id", "value")).alias("r"))
+    value = clicks.select(F.lit("value").alias("stream"), F.col("r.client_id").cast("string").alias("grp"), F.col("click_id").alias("id"), F.col("r.value").alias("money"))
+    items = table(spark, sf_dir, "items").select("item_id", "brand", "price").hint("merge")  # items grow with the input
+    lines = table(spark, sf_dir, "sale_lines").select("item_id", "vendor_id").filter("item_id is not null")
+    price = lines.join(items, "item_id").select(F.lit("price").alias("stream"), F.col("brand").alias("grp"), F.col("vendor_id").alias("id"), F.col("price").alias("money"))
+    rows = value.unionByName(price).select("stream", "grp", quantiles.in_batch(F.col("id")).alias("batch"), quantiles.money_units(F.col("money")).alias("units"))
+    return rows.filter("grp is not null and units is not null").select("stream", "grp", "batch", (F.col("units") + 1000 * F.col("batch")).alias("x"))
+
+
+def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, by = Scratch(spark).save(streams(spark, sf_dir), "streams"), ["stream", "grp"]
+    found = quantiles.judged(rows, quantiles.sketches(rows, by, "batch", "x"), by, "batch", "x", range(4), parts=4, least=20)
+    return found.withColumn("rank_error", quantiles.rank_error()).withColumn("within", 1000 * F.col("rank_error") <= 20 * F.col("n"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -171,6 +188,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_urls": op10_urls,
         "op12_tokencount": op12_tokencount,
+        "op13_quantiles": op13_quantiles,
         "pipeline": pipeline,
     }
 
