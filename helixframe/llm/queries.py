@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, chat, language, lmscore, mixing, neardup, packing, quantiles, substring, tokencount, topk, urls
+from helixframe.llm import ann, chat, language, lmscore, merkle, mixing, neardup, packing, quantiles, substring, tokencount, topk, urls
 from helixframe.session import Scratch, table
 
 
@@ -71,6 +71,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(hit, F.translate("text", upper, upper.lower()))
+    found = merkle.proofs(table(spark, sf_dir, "documents"), tampered)
+    folded = merkle.fold(F.coalesce("altered_leaf", "leaf"), F.col("path"))
+    proof = F.sha2(merkle.proof_text(F.col("path")), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op12_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 512)
     return counted.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_tokens").alias("n_tokens"), F.col("__over_limit").alias("over_limit"))
@@ -161,6 +171,31 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 FROM e
 """
 
+OP11 = r"""
+WITH RECURSIVE bits AS (SELECT n AS i, CAST(n AS UBIGINT) AS v, 0 AS k FROM range(256) t(n)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT *, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+        lambda s, b: xor(list_extract(t, CAST(xor(s, b) & 255 AS BIGINT) + 1), s // 256))) % 5 = 0 AS hit FROM documents, crc),
+l AS (SELECT doc_id, coalesce('1' || source, '0') AS src, hit, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low FROM d),
+h AS (SELECT doc_id, src, sha256(head || body) AS leaf, sha256(head || CASE WHEN hit THEN low ELSE body END) AS own FROM l),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS idx, count(*) OVER (PARTITION BY src) AS n FROM h),
+nodes AS (SELECT src, 0 AS lvl, idx, n, leaf AS d FROM p
+  UNION ALL SELECT src, lvl + 1, idx // 16, max((n + 15) // 16), sha256(string_agg(d, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY src, lvl, idx // 16),
+subs AS (SELECT src, d, CAST(row_number() OVER (ORDER BY src) - 1 AS BIGINT) AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, idx, n, d FROM subs UNION ALL SELECT lvl + 1, idx // 16, max((n + 15) // 16), sha256(string_agg(d, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY lvl, idx // 16),
+kids AS (SELECT src, lvl, idx // 16 AS parent, list(d ORDER BY idx) AS c FROM nodes WHERE n > 1 GROUP BY ALL),
+topkids AS (SELECT lvl, idx // 16 AS parent, list(d ORDER BY idx) AS c FROM tops WHERE n > 1 GROUP BY ALL),
+up AS (SELECT doc_id, src, leaf, 0 AS lvl, idx, n, own AS f, '' AS proof FROM p
+  UNION ALL SELECT doc_id, up.src, leaf, up.lvl + 1, idx // 16, (n + 15) // 16, sha256(array_to_string(c[:idx % 16], '') || f || array_to_string(c[idx % 16 + 2:], '')), proof || array_to_string(c[:idx % 16], '') || array_to_string(c[idx % 16 + 2:], '')
+    FROM up JOIN kids k ON k.src = up.src AND k.lvl = up.lvl AND k.parent = idx // 16 WHERE n > 1),
+past AS (SELECT doc_id, leaf, s.d AS subroot, 0 AS lvl, s.idx, s.n, f, proof FROM up JOIN subs s ON s.src = up.src WHERE up.n = 1
+  UNION ALL SELECT doc_id, leaf, subroot, past.lvl + 1, idx // 16, (n + 15) // 16, sha256(array_to_string(c[:idx % 16], '') || f || array_to_string(c[idx % 16 + 2:], '')), proof || array_to_string(c[:idx % 16], '') || array_to_string(c[idx % 16 + 2:], '')
+    FROM past JOIN topkids k ON k.lvl = past.lvl AND k.parent = idx // 16 WHERE n > 1)
+SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.d AS verified FROM past, (SELECT d FROM tops WHERE n = 1) t WHERE n = 1
+"""
+
 OP10 = r"""
 WITH s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -187,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": op8_ann,
         "op9_mixing": op9_mixing,
         "op10_urls": op10_urls,
+        "op11_merkle": op11_merkle,
         "op12_tokencount": op12_tokencount,
         "op13_quantiles": op13_quantiles,
         "pipeline": pipeline,
@@ -194,4 +230,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1, "op3_chat": OP3, "op7_topk": OP7, "op9_mixing": OP9, "op10_urls": OP10}
+    return {"op1_substring": OP1, "op3_chat": OP3, "op7_topk": OP7, "op9_mixing": OP9, "op10_urls": OP10, "op11_merkle": OP11}
