@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators import scan
 from helixframe.session import Scratch
 
 
@@ -70,9 +71,21 @@ def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n, F.col("a") == F.col("node"), "left_anti").join(n, F.col("b") == F.col("node"), "left_anti")
 
 
-def partition_by_class(nodes: DataFrame) -> DataFrame:
-    """class, members sorted, from node and class."""
-    return nodes.groupBy("class").agg(F.array_sort(F.collect_set("node")).alias("members"))
+def ordered(components: DataFrame) -> DataFrame:
+    """components with place: a node's number from 1 in its component, in the order of nodes."""
+    return scan.number(components, ["node"], ["component"], "place").withColumn("place", F.col("place").cast("int"))
+
+
+def partition_by_class(nodes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """class, node, place: the different members of each class, numbered from 1 in their order. A class may have any number of members.
+
+    A node among the candidates (node) is peeled off its class into one of its own, which has its name.
+    """
+    own = nodes.select("class", "node").distinct()
+    if candidates is not None:
+        peeled = candidates.select("node", F.lit(True).alias("__peeled")).distinct()
+        own = own.join(peeled, "node", "left").select(F.when(F.col("__peeled"), F.col("node")).otherwise(F.col("class")).alias("class"), "node").distinct()
+    return scan.number(own, ["node"], ["class"], "place")
 
 
 def split_verdict(edges: DataFrame, parts: DataFrame, most: float) -> str:

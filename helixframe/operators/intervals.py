@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators import scan
+
 #: Positions of one bin.
 BIN = 1 << 17
 
@@ -38,8 +40,6 @@ def lift(points: DataFrame, blocks: DataFrame, chrom: str = "chrom", pos: str =
 
 def coalesce_positions(points: DataFrame, max_gap: int, by: str = "chrom", pos: str = "pos_grch38") -> DataFrame:
     """Runs of distinct positions whose neighbours are at most max_gap apart: chromosome, start, end, n."""
-    w = Window.partitionBy(by).orderBy(pos)
-    step = points.select(by, pos).distinct().withColumn("__new", F.coalesce((F.col(pos) - F.lag(pos).over(w) > max_gap).cast("int"), F.lit(1)))
-    return step.withColumn("__run", F.sum("__new").over(w)).groupBy(by, "__run").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n")).drop("__run")
+    return scan.runs(points, by, pos, max_gap)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from helixframe.operators import scan
+
 #: States and the states that may follow (fixed values of the transition table).
 TRANSITIONS = {"pending": ("ready", "blocked", "parked"), "ready": ("running", "parked"), "running": ("done", "blocked"), "blocked": ("ready", "parked"), "parked": ("pending",), "done": ()}
 
@@ -49,13 +51,12 @@ def overlap(rows: DataFrame, said: str, true: str) -> DataFrame:
 
 def chunks(rows: DataFrame, n: int, by: str, order: str) -> DataFrame:
     """Number of each row's chunk of n within its group, in order."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / n).cast("long"))
+    return scan.number(rows, [order], [by], "__place").withColumn("chunk", F.floor((F.col("__place") - 1) / n).cast("long")).drop("__place")
 
 
 def cap(rows: DataFrame, n: int, by: str, order: str) -> DataFrame:
     """The first n of each class stay, the rest is routed to overflow."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("route", F.when(place <= n, "kept").otherwise("overflow"))
+    return scan.number(rows, [order], [by], "__place").withColumn("route", F.when(F.col("__place") <= n, "kept").otherwise("overflow")).drop("__place")
 
 
 def not_increasing(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
+from helixframe.operators import scan
 
 LEAST_R2, LEAST_DOSE_CONFIDENCE = 0.3, 0.9
 MAF_BINS, CONFIDENCE_BINS = (0.0, 0.001, 0.01, 0.05, 0.5), (0.5, 0.8, 0.9, 0.95, 1.0)
@@ -54,8 +55,8 @@ def completeness(manifest: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def folds(positions: DataFrame, n: int, by: str = "chrom", pos: str = "pos_grch38") -> DataFrame:
     """Round-robin fold of each distinct position in order of position, chromosome by chromosome."""
-    w = Window.partitionBy(by).orderBy(pos)
-    return positions.select(by, pos).distinct().withColumn("fold", ((F.row_number().over(w) - 1) % n).cast("int"))
+    numbered = scan.number(positions.select(by, pos).distinct(), [pos], [by], "__place")
+    return numbered.select(by, pos, ((F.col("__place") - 1) % n).cast("int").alias("fold"))
 
 
 def bin_of(value: Column, edges: tuple[float, ...]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
-from helixframe.operators import canonical, collapse, graph, ingest, intervals, ledger, quality, rollup, versions
+from helixframe.operators import canonical, collapse, graph, ingest, intervals, ledger, quality, rollup, scan, versions
 from helixframe.plans.catalog import CHROM, IS_CHROM, LIVE, MAIN, PAR, PLANS, SQL, c, consensus_of, index_of, plan
 from helixframe.plans import views
 from helixframe.sources import chips, loaders, vcf
@@ -265,7 +265,7 @@ plan("A42", "SELECT count(*) AS n FROM (SELECT DISTINCT pr_key AS a, unnest(depe
 
 # 2.5 windows
 
-plan("W03", "SELECT freq_id, row_number() OVER (PARTITION BY chrom ORDER BY pos_grch38, ref_allele, alt_allele, freq_id) AS rn FROM s_gnomad")(lambda t: t("s_gnomad").withColumn("rn", F.row_number().over(Window.partitionBy("chrom").orderBy("pos_grch38", "ref_allele", "alt_allele", "freq_id"))).select("freq_id", "rn"))
+plan("W03", "SELECT clinvar_id, row_number() OVER (ORDER BY clinvar_id) AS rn FROM s_clinvar")(lambda t: scan.number(t("s_clinvar").select("clinvar_id"), ["clinvar_id"], name="rn"))
 plan("W05", "SELECT freq_id FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos_grch38, ref_allele, alt_allele ORDER BY CASE WHEN freq_id % 2 = 0 THEN 0 ELSE 1 END, freq_id) AS rn FROM s_gnomad) WHERE rn = 1")(lambda t: t("s_gnomad").groupBy("chrom", "pos_grch38", "ref_allele", "alt_allele").agg(F.min(F.struct(F.when(c("freq_id") % 2 == 0, 0).otherwise(1).alias("p"), "freq_id"))["freq_id"].alias("freq_id")).select("freq_id"))
 plan("W06", "WITH d AS (SELECT DISTINCT chrom, pos_grch38 FROM s_variants), n AS (SELECT *, coalesce((pos_grch38 - lag(pos_grch38) OVER (PARTITION BY chrom ORDER BY pos_grch38) > 150)::INT, 1) AS b FROM d), r AS (SELECT *, sum(b) OVER (PARTITION BY chrom ORDER BY pos_grch38) AS k FROM n) SELECT chrom, min(pos_grch38) AS start, max(pos_grch38) AS \"end\", count(*) AS n FROM r GROUP BY chrom, k")(lambda t: intervals.coalesce_positions(t("s_variants"), 150))
 plan("W07", "SELECT chrom, pos_grch38, CAST((row_number() OVER (PARTITION BY chrom ORDER BY pos_grch38) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT chrom, pos_grch38 FROM s_variants)")(lambda t: quality.folds(t("s_variants"), 5))
@@ -337,12 +337,12 @@ UND = "WITH u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(w) AS B
 plan("G01", UND + " SELECT * FROM u")(lambda t: graph.undirected(t("s_edges")))
 COMPONENTS = "WITH RECURSIVE " + UND[5:] + ", e AS (SELECT a, b FROM u UNION SELECT b, a FROM u), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), cc AS (SELECT node, min(root) AS component FROM r GROUP BY 1)"
 plan("G02", COMPONENTS + " SELECT * FROM cc")(lambda t: graph.connected_components(graph.undirected(t("s_edges"))))
-plan("K11", COMPONENTS + " SELECT component, node, CAST(row_number() OVER (PARTITION BY component ORDER BY node) AS INT) AS place FROM cc")(lambda t: graph.connected_components(graph.undirected(t("s_edges"))).select("component", "node", F.row_number().over(Window.partitionBy("component").orderBy("node")).alias("place")))
+plan("K11", COMPONENTS + " SELECT component, node, CAST(row_number() OVER (PARTITION BY component ORDER BY node) AS INT) AS place FROM cc")(lambda t: graph.ordered(graph.connected_components(graph.undirected(t("s_edges")))))
 plan("G03", UND + ", x AS (SELECT CAST(sum(CASE WHEN len(a) % 2 <> len(b) % 2 THEN w ELSE 0 END) AS BIGINT) AS severed, CAST(sum(w) AS BIGINT) AS total FROM u) SELECT *, severed / total AS cost FROM x")(lambda t: graph.cut_cost(t("s_edges"), t("s_edges").select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("part", F.length("node") % 2)))
 PEERS = UND + ", h AS (SELECT node, count(DISTINCT peer) AS peers FROM (SELECT a AS node, b AS peer FROM u UNION ALL SELECT b, a FROM u) GROUP BY 1 HAVING count(DISTINCT peer) >= 3)"
 plan("G04", PEERS + " SELECT * FROM h")(lambda t: graph.hubs(t("s_edges"), 3))
 plan("G04e", PEERS + " SELECT a, b, w FROM s_edges WHERE a NOT IN (SELECT node FROM h) AND b NOT IN (SELECT node FROM h)")(lambda t: graph.without(t("s_edges"), graph.hubs(t("s_edges"), 3)))
-plan("G05", "SELECT split_part(a, '.', 2) AS class, list_sort(list(DISTINCT a)) AS members FROM s_edges GROUP BY 1")(lambda t: graph.partition_by_class(t("s_edges").select(F.split_part("a", F.lit("."), F.lit(2)).alias("class"), c("a").alias("node"))))
+plan("G05", "SELECT class, node, row_number() OVER (PARTITION BY class ORDER BY node) AS place FROM (SELECT DISTINCT CASE WHEN a IN (SELECT b FROM s_edges WHERE w = 7) THEN a ELSE split_part(a, '.', 2) END AS class, a AS node FROM s_edges)")(lambda t: graph.partition_by_class(t("s_edges").select(F.split_part("a", F.lit("."), F.lit(2)).alias("class"), c("a").alias("node")), t("s_edges").filter("w = 7").select(c("b").alias("node"))))
 
 
 def split_sql(part: str) -> str:

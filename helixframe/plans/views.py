@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
@@ -158,7 +158,8 @@ def external_call_summary(log: DataFrame, at: str = "at_seconds") -> DataFrame:
 
 def latest_observations(phenotypes: DataFrame, observations: DataFrame) -> DataFrame:
     """Each phenotype with its observations of the latest time, ties kept."""
-    newest = observations.withColumn("r", F.rank().over(Window.partitionBy("phenotype_id").orderBy(F.desc("observed_at")))).filter("r = 1").select("phenotype_id", "observed_at", "value_text")
+    last = observations.groupBy("phenotype_id").agg(F.max("observed_at").alias("observed_at"))
+    newest = observations.join(last, ["phenotype_id", "observed_at"]).select("phenotype_id", "observed_at", "value_text")
     return phenotypes.join(newest, "phenotype_id", "left")
 
 
