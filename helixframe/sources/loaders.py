@@ -1,4 +1,4 @@
-"""Annotation downloads: archives are unpacked to a shared folder on the driver, their rows parsed by Spark.
+"""Annotation downloads: the rows of their files (sources/archives.py reads archives) parsed by Spark.
 
 Every parser takes a DataFrame of text columns named as in the file, so a file,
 a table and a test fixture go through the same expressions.
@@ -6,11 +6,7 @@ a table and a test fixture go through the same expressions.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import os
-import tarfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,35 +34,6 @@ def fingerprint(digests: dict[str, str]) -> str:
     return hashlib.sha256("".join(f"{k}:{digests[k]}\n" for k in sorted(digests)).encode()).hexdigest()
 
 
-def unpack(path: str, folder: str) -> list[str]:
-    """Members of a ZIP or TAR archive, written to a folder that executors share; paths outside it are refused."""
-    names = []
-    root = os.path.realpath(folder)
-
-    def put(name: str, data) -> None:
-        at = os.path.realpath(os.path.join(root, name))
-        if not at.startswith(root + os.sep):
-            raise ValueError(f"member {name!r} leaves the folder")
-        os.makedirs(os.path.dirname(at), exist_ok=True)
-        with open(at, "wb") as out:
-            while block := data.read(1 << 20):
-                out.write(block)
-        names.append(at)
-
-    if zipfile.is_zipfile(path):
-        with zipfile.ZipFile(path) as z:
-            for m in z.infolist():
-                if not m.is_dir():
-                    with z.open(m) as data:
-                        put(m.filename, data)
-    else:
-        with tarfile.open(path) as t:
-            for m in t:
-                if m.isfile():
-                    put(m.name, t.extractfile(m))
-    return names
-
-
 def delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = True, required: tuple[str, ...] = ()) -> DataFrame:
     """A delimited file with all columns as text; raises if a required column is absent."""
     df = spark.read.option("sep", sep).option("header", header).option("quote", '"').option("inferSchema", False).csv(path)
@@ -75,13 +42,6 @@ def delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = Tr
     return df
 
 
-def gunzip(path: str, to: str) -> str:
-    with gzip.open(path) as a, open(to, "wb") as b:
-        while block := a.read(1 << 20):
-            b.write(block)
-    return to
-
-
 def stars(status: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in STARS.items() for x in kv])
     return F.coalesce(table[F.lower(F.trim(status))], F.lit(0)).cast("smallint")
