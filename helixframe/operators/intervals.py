@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators import scan
 
-#: Positions of one bin.
-BIN = 1 << 17
+#: Positions of a bin of the lowest level, and how many bins of a level make one of the next.
+BIN, FACTOR, LEVELS = 1 << 14, 8, 9
+
+
+def _level(start: Column, end: Column, bin_size: int) -> Column:
+    """The lowest level at which an interval lies in one bin; LEVELS where none is large enough."""
+    level = F.lit(LEVELS)
+    for n in range(LEVELS - 1, -1, -1):
+        size = bin_size * FACTOR**n
+        level = F.when(F.floor(start / size) == F.floor(end / size), n).otherwise(level)
+    return level
+
+
+def _bin(pos: Column, level: Column, bin_size: int) -> Column:
+    return F.when(level == LEVELS, 0).otherwise(F.floor(pos / (F.lit(float(bin_size)) * F.pow(F.lit(float(FACTOR)), level)))).cast("long")
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, pos: str, start: str, end: str, by: str = "chrom", bin_size: int = BIN) -> DataFrame:
     """Each point with each interval of its chromosome that holds it, ends included.
 
-    Intervals are repeated for every bin they touch, so the join has an equality
-    on (chromosome, bin) and no chromosome is compared as a whole. A point has
-    one bin, so no pair comes twice. Nulls never match.
+    Bins of several levels, each of FACTOR bins of the one below: an interval lies
+    in the smallest bin that contains it, so it is one row however long it is, and
+    a point probes one bin of each level that some interval has, at most LEVELS + 1.
+    The join has an equality on (chromosome, level, bin), and a pair comes once, as
+    an interval has one level. Nulls never match, nor does an interval that ends
+    before it starts.
     """
-    b = intervals.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor(F.col(end) / bin_size)))).filter(F.col(start) <= F.col(end))
-    a = points.withColumn("__bin", F.floor(F.col(pos) / bin_size))
-    return a.join(b, [by, "__bin"]).filter(F.col(pos).between(F.col(start), F.col(end))).drop("__bin")
+    level = _level(F.col(start), F.col(end), bin_size)
+    b = intervals.filter(F.col(start) <= F.col(end)).withColumn("__level", level).withColumn("__bin", _bin(F.col(start), F.col("__level"), bin_size))
+    levels = sorted(r[0] for r in b.select("__level").distinct().collect())  # at most LEVELS + 1 numbers
+    a = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__bin", _bin(F.col(pos), F.col("__level"), bin_size))
+    return a.join(b, [by, "__level", "__bin"]).filter(F.col(pos).between(F.col(start), F.col(end))).drop("__level", "__bin")
 
 
 def lift(points: DataFrame, blocks: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFrame:

@@ -11,7 +11,7 @@ from helixframe.operators import consensus, guards, ingest, intervals, ledger
 from helixframe.plans.catalog import DISC, c, plan, resolved_of
 from helixframe.plans.catalog_more import _KEY, EXPORT, NORM, REGION, VCF, exported, stage
 from helixframe.session import Scratch
-from helixframe.sources import files, loaders, vcf
+from helixframe.sources import blockgzip, files, vcf
 
 
 def folder(t) -> str:
@@ -40,10 +40,13 @@ RUNS = "rg AS (SELECT chrom, pos_grch38, sum(b) OVER (PARTITION BY chrom ORDER B
 
 
 def by_regions(t) -> DataFrame:
-    """VCF records in the coalesced regions of rare positions; a region is read once, so no record comes twice."""
-    regions = intervals.coalesce_positions(t("s_gnomad").filter("af_global < 0.01"), 150)
-    records = vcf.records(t("s_vcf")).select("chrom", "pos", "id")
-    return intervals.points_in_intervals(records, regions.select("chrom", "start", "end"), "pos", "start", "end").select("chrom", "pos", "id")
+    """VCF records in the coalesced regions of rare positions, from block-gzip files by their index; a region is read once, so no record comes twice."""
+    spark, scratch = spark_of(t), Scratch(spark_of(t))
+    regions = scratch.save(intervals.coalesce_positions(t("s_gnomad").filter("af_global < 0.01"), 150).select("chrom", "start", "end"), "regions")
+    lines = t("s_vcf").withColumn("f", F.split("value", "\t")).select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"), "line_no", "value")
+    made = blockgzip.write(lines, f"{scratch.root}/vcf", "chrom", ["pos", "line_no"], "value", {x: vcf.header(x, "SAMPLE") for x in vcf.LENGTHS}, {})
+    index = scratch.save(blockgzip.index(spark, [f"{scratch.root}/vcf/{x}.vcf.gz" for x in made["files"]]), "index")
+    return vcf.records(blockgzip.in_regions(index, regions).select("value")).select("chrom", "pos", "id")
 
 
 plan("S15", VCF + f", {RUNS} SELECT r.chrom, r.pos, r.id FROM r JOIN rr ON rr.chrom = r.chrom AND r.pos BETWEEN rr.s AND rr.e")(by_regions)
@@ -59,15 +62,38 @@ plan("S18", "SELECT freq_id, chrom, pos_grch38, af_global FROM s_gnomad WHERE ch
 plan("S23", "SELECT chrom, count(*) AS n, min(pos_grch38) AS first, max(pos_grch38) AS last FROM s_gnomad GROUP BY 1")(lambda t: staged(t)[1].groupBy(c("chrom").cast("string").alias("chrom")).agg(F.count("*").alias("n"), F.min("pos_grch38").alias("first"), F.max("pos_grch38").alias("last")))
 
 
-def written(t, rows: DataFrame, by: str) -> DataFrame:
-    """The lines of VCF files that were written by a column, with its value."""
+def written(t, write, rows: DataFrame, by: str) -> DataFrame:
+    """All lines of the files that were written, header and records, with the name of their file."""
     path = folder(t)
-    vcf.write_vcf(rows, path, by)
-    return spark_of(t).read.text(path).select(c(by).cast("string").alias(by), c("value").alias("line"))
+    write(rows, path, "SAMPLE", panel="1000g")
+    name = F.regexp_extract(F.input_file_name(), "([^/]+)\\.vcf\\.gz$", 1)
+    return spark_of(t).read.text(f"{path}/*.vcf.gz").select(name.alias(by), c("value").alias("line"))
 
 
-plan("S20", EXPORT + " SELECT chrom, line FROM ex")(lambda t: written(t, exported(t), "chrom"))
-plan("S21", EXPORT + f" SELECT {REGION} AS region, CASE WHEN {REGION} = 'nonPAR' THEN CASE WHEN line LIKE '%0/0' THEN left(line, len(line) - 3) || '0' WHEN line LIKE '%1/1' THEN left(line, len(line) - 3) || '1' ELSE left(line, len(line) - 3) || '.' END ELSE line END AS line FROM ex WHERE chrom = 'X'")(lambda t: written(t, vcf.region_rows(exported(t), True), "region"))
+def headed(by: str, ids: str) -> str:
+    """SQL of the header lines of each value that ids selects, as (value, chromosome)."""
+    fixed = ["##fileformat=VCFv4.2", "##source=helixframe", "##reference=GRCh38", '##INFO=<ID=.,Number=0,Type=Flag,Description="No INFO emitted">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"]
+    texts = ", ".join("'" + x + "'" for x in fixed)
+    lengths = "map {" + ", ".join(f"'{k}': {v}" for k, v in vcf.LENGTHS.items()) + "}"
+    return f"SELECT k AS {by}, unnest([{texts}, '##contig=<ID=chr' || x || ',length=' || {lengths}[x] || ',assembly=GRCh38>']) AS line FROM ({ids}) AS ids(k, x)"
+
+
+plan("S20", EXPORT + " SELECT chrom, line FROM ex UNION ALL " + headed("chrom", "SELECT DISTINCT chrom, chrom FROM ex"))(lambda t: written(t, vcf.write_chromosomes, exported(t), "chrom"))
+plan("S21", EXPORT + f", rg AS (SELECT {REGION} AS region, CASE WHEN {REGION} = 'nonPAR' THEN CASE WHEN line LIKE '%0/0' THEN left(line, len(line) - 3) || '0' WHEN line LIKE '%1/1' THEN left(line, len(line) - 3) || '1' ELSE left(line, len(line) - 3) || '.' END ELSE line END AS line FROM ex WHERE chrom = 'X') SELECT * FROM rg UNION ALL " + headed("region", "SELECT DISTINCT region, 'X' FROM rg"))(
+    lambda t: written(t, vcf.write_regions, vcf.region_rows(exported(t), True), "region")
+)
+
+
+def manifest_of(t) -> DataFrame:
+    """The manifest of an export as it stands in its file."""
+    path = folder(t)
+    vcf.write_chromosomes(exported(t), path, "SAMPLE", panel="1000g", input_run_ids=[1, 2])
+    shape = "struct<build string, compression string, files array<string>, input_run_ids array<long>, panel string, records map<string, long>, sample_id string, total long>"
+    told = spark_of(t).read.text(f"{path}/manifest.json", wholetext=True).select(F.from_json("value", shape).alias("m")).select("m.*")
+    return told.select("build", "compression", "panel", "sample_id", "input_run_ids", "total", F.array_join("files", ",").alias("files"), F.explode("records").alias("chrom", "n"))
+
+
+plan("S22", EXPORT + " SELECT 'GRCh38' AS build, 'bgzip' AS compression, '1000g' AS panel, 'SAMPLE' AS sample_id, [1, 2]::BIGINT[] AS input_run_ids, (SELECT count(*) FROM ex) AS total, (SELECT string_agg(DISTINCT chrom, ',' ORDER BY chrom) FROM ex) AS files, chrom, count(*) AS n FROM ex GROUP BY chrom")(manifest_of)
 
 CALLS = ["call_id", "variant_id", "source", "allele_1", "allele_2", "is_no_call", "is_active"]
 

@@ -107,7 +107,7 @@ for _k in ("S14", "P13", "P16"):
 plan("P14", VCF + " SELECT line_no FROM r WHERE len(ref_allele) = 1 AND len(alt_allele) = 1")(lambda t: t("s_vcf").withColumn("f", F.split("value", "\t")).filter(X.biallelic_snv(c("f")[3], c("f")[4])).select("line_no"))
 plan("S16", VCF + " SELECT CASE WHEN regexp_full_match(id, 'rs[0-9]+') THEN id END AS rsid, chrom, pos AS pos_grch38, ref_allele, alt_allele, try_cast(nullif(regexp_extract(info, '(^|;)AF=([^;]*)', 2), '') AS DOUBLE) AS af_global, CASE WHEN flt = '.' THEN 'PASS' ELSE flt END AS filter_status FROM r WHERE NOT contains(alt_allele, ',')")(lambda t: vcf.frequencies(t("s_vcf")).select("rsid", "chrom", "pos_grch38", "ref_allele", "alt_allele", "af_global", "filter_status"))
 plan("S17", VCF + " SELECT CASE WHEN regexp_full_match(id, 'rs[0-9]+') THEN id END AS rsid, chrom, pos AS pos_grch38, ref_allele, string_split(alt_allele, ',') AS alt_alleles, FALSE AS is_clinical FROM r")(lambda t: vcf.variants(t("s_vcf")).select("rsid", "chrom", "pos_grch38", "ref_allele", "alt_alleles", "is_clinical"))
-EXPORT = MAIN + ", ex AS (SELECT v.chrom, v.pos_grch38, v.variant_id, v.chrom || chr(9) || v.pos_grch38 || chr(9) || coalesce(v.rsid, '.') || chr(9) || v.ref_allele || chr(9) || v.alt_allele || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || '.' || chr(9) || 'GT' || chr(9) || CASE dosage WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' ELSE '1/1' END AS line FROM s_variants v JOIN cs ON cs.variant_id = v.variant_id WHERE v.variant_type = 'SNV' AND v.ref_allele <> v.alt_allele AND NOT is_no_call AND dosage IS NOT NULL)"
+EXPORT = MAIN + ", ex AS (SELECT v.chrom, v.pos_grch38, v.variant_id, 'chr' || v.chrom || chr(9) || v.pos_grch38 || chr(9) || coalesce(v.rsid, '.') || chr(9) || v.ref_allele || chr(9) || v.alt_allele || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || '.' || chr(9) || 'GT' || chr(9) || CASE dosage WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' ELSE '1/1' END AS line FROM s_variants v JOIN cs ON cs.variant_id = v.variant_id WHERE v.variant_type = 'SNV' AND v.ref_allele <> v.alt_allele AND NOT is_no_call AND dosage IS NOT NULL)"
 
 
 def exported(t) -> DataFrame:
@@ -119,8 +119,6 @@ for _k in ("S19", "J22", "P17"):
 REGION = f"CASE WHEN pos_grch38 BETWEEN 10001 AND 2781479 THEN 'PAR1' WHEN pos_grch38 BETWEEN 155701383 AND 156030895 THEN 'PAR2' ELSE 'nonPAR' END"
 for _k in ("P18", "S36"):
     plan(_k, EXPORT + f" SELECT chrom, pos_grch38, variant_id, {REGION} AS region, CASE WHEN {REGION} = 'nonPAR' THEN CASE WHEN line LIKE '%0/0' THEN left(line, len(line) - 3) || '0' WHEN line LIKE '%1/1' THEN left(line, len(line) - 3) || '1' ELSE left(line, len(line) - 3) || '.' END ELSE line END AS line FROM ex WHERE chrom = 'X'")(lambda t: vcf.region_rows(exported(t), True))
-for _k in ("S22",):
-    plan(_k, EXPORT + " SELECT chrom, count(*) AS n FROM ex GROUP BY 1")(lambda t: vcf.manifest(exported(t)))
 plan("S27", "SELECT line_no, ['a', 'x|' || (line_no % 5), 'z'] AS cells FROM s_vcf")(lambda t: loaders.markdown_rows(t("s_vcf").select("line_no", F.concat(F.lit("| a | x\\|"), (c("line_no") % 5).cast("string"), F.lit(" | z |")).alias("value"))))
 plan("S28", "SELECT doc_id, 'title: ' || source AS front FROM documents")(lambda t: loaders.front_matter(t("documents").select("doc_id", F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("value"))).select("doc_id", "front"))
 plan("S30", "SELECT variant_id, 'chr' || chrom AS chrom FROM s_variants")(lambda t: loaders.genetic_map(t("s_variants").select("variant_id", F.when(c("chrom") == "X", "chr23").when(c("variant_id") % 2 == 0, F.concat(F.lit("chrchr"), "chrom")).otherwise(c("chrom")).alias("chrom"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
+from helixframe.sources import blockgzip
 
 POPULATIONS = ("afr", "ami", "amr", "asj", "eas", "fin", "mid", "nfe", "sas", "oth")
 #: Variant class names of dbSNP (fixed values); others are kept in lower case.
@@ -63,7 +64,7 @@ def variants(lines: DataFrame) -> DataFrame:
 def export_rows(variants_: DataFrame, consensus: DataFrame) -> DataFrame:
     """Called single-base variants with ref unlike alt, as VCF lines in order of position within a chromosome."""
     rows = variants_.filter("variant_type = 'SNV' and ref_allele <> alt_allele").filter(X.biallelic_snv(F.col("ref_allele"), F.col("alt_allele"))).join(consensus.filter("not is_no_call and dosage is not null").select("variant_id", "dosage"), "variant_id")
-    line = F.concat_ws("\t", "chrom", F.col("pos_grch38").cast("string"), F.coalesce("rsid", F.lit(".")), "ref_allele", "alt_allele", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), X.diploid_gt(F.col("dosage")))
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.col("pos_grch38").cast("string"), F.coalesce("rsid", F.lit(".")), "ref_allele", "alt_allele", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), X.diploid_gt(F.col("dosage")))
     return rows.select("chrom", "pos_grch38", "variant_id", line.alias("line"))
 
 
@@ -74,14 +75,29 @@ def region_rows(rows: DataFrame, male: bool) -> DataFrame:
     return x.withColumn("line", F.when(F.lit(male) & (F.col("region") == "nonPAR"), F.regexp_replace(one, "\t0/1\\z", "\t.")).otherwise(F.col("line")))
 
 
-def write_vcf(rows: DataFrame, path: str, by: str = "chrom") -> None:
-    """Gzip text under one folder for each value of `by`, each partition in order of position."""
-    dealt = rows.repartition(by).sortWithinPartitions(by, "pos_grch38", "variant_id")
-    dealt.select(by, "line").write.partitionBy(by).option("compression", "gzip").text(path)
+#: Lengths of the chromosomes of GRCh38 (fixed values), for contig lines.
+LENGTHS = {
+    "1": 248956422, "2": 242193529, "3": 198295559, "4": 190214555, "5": 181538259, "6": 170805979, "7": 159345973, "8": 145138636, "9": 138394717, "10": 133797422, "11": 135086622, "12": 133275309, "13": 114364328,
+    "14": 107043718, "15": 101991189, "16": 90338345, "17": 83257441, "18": 80373285, "19": 58617616, "20": 64444167, "21": 46709983, "22": 50818468, "X": 156040895, "Y": 57227415, "MT": 16569,
+}
 
 
-def manifest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("chrom").agg(F.count("*").alias("n"))
+def header(chrom: str, sample: str) -> str:
+    """Header lines of a file of one chromosome and one sample: only its own contig is declared."""
+    meta = ["fileformat=VCFv4.2", "source=helixframe", "reference=GRCh38", f"contig=<ID=chr{chrom},length={LENGTHS[chrom]},assembly=GRCh38>", 'INFO=<ID=.,Number=0,Type=Flag,Description="No INFO emitted">', 'FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample]
+    return "".join(f"##{m}\n" for m in meta) + "\t".join(columns) + "\n"
+
+
+def write_chromosomes(rows: DataFrame, path: str, sample: str, **provenance) -> dict:
+    """Export rows as `<path>/<chromosome>.vcf.gz` and the manifest, which is returned."""
+    return blockgzip.write(rows, path, "chrom", ["pos_grch38", "variant_id"], "line", {c: header(c, sample) for c in LENGTHS}, {"sample_id": sample, "build": "GRCh38", "compression": "bgzip"} | provenance)
+
+
+def write_regions(rows: DataFrame, path: str, sample: str, **provenance) -> dict:
+    """Rows of X by region, as region_rows() gives them, as a file for each region that has some; the manifest counts the others as 0."""
+    own = {r: header("X", sample) for r in ("PAR1", "nonPAR", "PAR2")}
+    return blockgzip.write(rows, path, "region", ["pos_grch38", "variant_id"], "line", own, {"sample_id": sample, "build": "GRCh38", "compression": "bgzip", "regions": sorted(own)} | provenance)
 
 
 def mask(lines: DataFrame, positions: DataFrame) -> DataFrame:
