@@ -42,17 +42,20 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, pos: str, start
 
 
 def lift(points: DataFrame, blocks: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
-    """points with lifted_chrom and lifted_pos from chain blocks (chrom, start, end, to_chrom, to_start, reverse); null where no block holds one.
+    """points with lifted_chrom, lifted_pos and lifted_by from blocks (chrom, start, end, to_chrom, to_start, reverse, and score and chain if they have them).
 
-    A block is half open, [start, end); a reversed one counts down from to_start.
-    A point in several blocks takes that of the smallest target.
+    A block is half open, [start, end); a reversed one counts down from to_start. Of
+    the blocks that hold a point that of the highest score counts, then that of the
+    first chain, then that of the smallest target; lifted_by is their number. Where
+    no block holds one all three are null. Each different position is lifted once.
     """
     ids = points.select(chrom, pos).distinct()
-    closed = blocks.select(F.col("chrom").alias(chrom), F.col("start").alias("__s"), (F.col("end") - 1).alias("__e"), "to_chrom", "to_start", "reverse")
+    known = lambda name: F.col(name) if name in blocks.columns else F.lit(0)
+    closed = blocks.select(F.col("chrom").alias(chrom), F.col("start").alias("__s"), (F.col("end") - 1).alias("__e"), "to_chrom", "to_start", "reverse", (-known("score")).alias("__score"), known("chain").alias("__chain"))
     hits = points_in_intervals(ids, closed, pos, "__s", "__e", chrom)
     step = F.col(pos) - F.col("__s")
-    to = F.struct(F.col("to_chrom").alias("c"), F.when(F.col("reverse"), F.col("to_start") - step).otherwise(F.col("to_start") + step).alias("p"))
-    best = hits.groupBy(chrom, pos).agg(F.min(to).alias("t")).select(chrom, pos, F.col("t.c").alias("lifted_chrom"), F.col("t.p").alias("lifted_pos"))
+    to = F.struct("__score", "__chain", F.col("to_chrom").alias("c"), F.when(F.col("reverse"), F.col("to_start") - step).otherwise(F.col("to_start") + step).alias("p"))
+    best = hits.groupBy(chrom, pos).agg(F.min(to).alias("t"), F.count("*").alias("lifted_by")).select(chrom, pos, F.col("t.c").alias("lifted_chrom"), F.col("t.p").alias("lifted_pos"), "lifted_by")
     return points.join(best, [chrom, pos], "left")
 
 

@@ -10,7 +10,7 @@ from helixframe.operators import canonical, collapse, graph, ingest, intervals,
 from helixframe.plans.catalog import CHROM, IS_CHROM, LIVE, MAIN, PAR, PLANS, SQL, c, consensus_of, index_of, plan
 from helixframe.plans import views
 from helixframe.session import Scratch
-from helixframe.sources import archives, chips, loaders, vcf
+from helixframe.sources import archives, chains, chips, loaders, vcf
 from helixframe.schemas import chrom_rank
 
 # 2.1 scans over text lines
@@ -185,8 +185,16 @@ for _k in ("J03", "D06"):
 plan("D07", NORM + f", cr AS (SELECT v.variant_id FROM st x JOIN s_variants v ON {_KEY}), tv AS (SELECT DISTINCT variant_id FROM cr), al AS (SELECT variant_id, is_active AND NOT (source = '23andme' AND variant_id IN (SELECT variant_id FROM tv)) AS is_active, source FROM s_calls UNION ALL SELECT variant_id, TRUE, '23andme' FROM cr) SELECT v.variant_id, coalesce(bool_or(source NOT LIKE '%imputed') FILTER (WHERE al.is_active), FALSE) AS has_genotyped_call, coalesce(bool_or(source LIKE '%imputed') FILTER (WHERE al.is_active), FALSE) AS has_imputed_call FROM s_variants v LEFT JOIN al ON al.variant_id = v.variant_id GROUP BY 1")(
     lambda t: ingest.write_calls(stage(t), t("s_variants"), t("s_calls"), "23andme")[0].join(t("s_variants").select("variant_id"), "variant_id", "left_semi").select("variant_id", "has_genotyped_call", "has_imputed_call")
 )
-plan("J11", "SELECT variant_id, CASE WHEN pos_grch38 BETWEEN 11000 AND 13999 THEN chrom WHEN pos_grch38 BETWEEN 15000 AND 15999 AND chrom = '2' THEN 'alt1' END AS lifted_chrom, CASE WHEN pos_grch38 BETWEEN 11000 AND 13999 THEN 50000 + pos_grch38 - 11000 WHEN pos_grch38 BETWEEN 15000 AND 15999 AND chrom = '2' THEN 9000 - (pos_grch38 - 15000) END AS lifted_pos FROM s_variants")(
-    lambda t: intervals.lift(t("s_variants").select("variant_id", "chrom", c("pos_grch38").alias("pos")), t("s_variants").select("chrom").distinct().select("chrom", F.lit(11000).cast("long").alias("start"), F.lit(14000).cast("long").alias("end"), c("chrom").alias("to_chrom"), F.lit(50000).cast("long").alias("to_start"), F.lit(False).alias("reverse")).unionByName(t("s_variants").filter("chrom = '2'").limit(1).select("chrom", F.lit(15000).cast("long").alias("start"), F.lit(16000).cast("long").alias("end"), F.lit("alt1").alias("to_chrom"), F.lit(9000).cast("long").alias("to_start"), F.lit(True).alias("reverse")))).select("variant_id", "lifted_chrom", "lifted_pos")
+CHAINS = """WITH l AS (SELECT line_no, string_split(value, ' ') AS f FROM s_chain WHERE value <> ''), g AS (SELECT *, sum((f[1] = 'chain')::INT) OVER (ORDER BY line_no) AS chain FROM l), h AS (SELECT chain, f FROM g WHERE f[1] = 'chain'),
+ z AS (SELECT chain, line_no, CAST(f[1] AS BIGINT) AS size, coalesce(CAST(f[2] AS BIGINT), 0) AS dt, coalesce(CAST(f[3] AS BIGINT), 0) AS dq FROM g WHERE f[1] <> 'chain'),
+ o AS (SELECT chain, size, coalesce(sum(size + dt) OVER w, 0) AS t, coalesce(sum(size + dq) OVER w, 0) AS q FROM z WINDOW w AS (PARTITION BY chain ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ bl AS (SELECT o.chain, CAST(f[2] AS BIGINT) AS score, CASE f[3] WHEN 'chrM' THEN 'MT' ELSE regexp_replace(f[3], '^chr', '') END AS chrom, CAST(f[6] AS BIGINT) + t AS s, CAST(f[6] AS BIGINT) + t + size AS e, CASE f[8] WHEN 'chrM' THEN 'MT' ELSE regexp_replace(f[8], '^chr', '') END AS to_chrom,
+   f[10] = '-' AS reverse, CAST(f[9] AS BIGINT) AS q_size, CAST(f[11] AS BIGINT) + q AS qs FROM o JOIN h ON h.chain = o.chain),
+ hit AS (SELECT v.variant_id, bl.*, pos_grch38 - 1 - s AS step, row_number() OVER (PARTITION BY v.variant_id ORDER BY score DESC, chain) AS place, count(*) OVER (PARTITION BY v.variant_id) AS lifted_by FROM s_variants v JOIN bl ON bl.chrom = v.chrom AND pos_grch38 - 1 >= s AND pos_grch38 - 1 < e)"""
+plan("J11", CHAINS + " SELECT v.variant_id, h.to_chrom AS lifted_chrom, CAST(CASE WHEN reverse THEN q_size - qs - step ELSE qs + step + 1 END AS BIGINT) AS lifted_pos, lifted_by, CASE WHEN h.to_chrom IS NULL THEN 'unmapped' WHEN h.to_chrom <> v.chrom THEN 'other chromosome' WHEN lifted_by > 1 THEN 'ambiguous' ELSE 'lifted' END AS outcome FROM s_variants v LEFT JOIN hit h ON h.variant_id = v.variant_id AND place = 1")(
+    lambda t: intervals.lift(t("s_variants").select("variant_id", "chrom", c("pos_grch38").alias("pos")), chains.parse(t("s_chain"))).select(
+        "variant_id", "lifted_chrom", "lifted_pos", "lifted_by", F.when(c("lifted_chrom").isNull(), "unmapped").when(c("lifted_chrom") != c("chrom"), "other chromosome").when(c("lifted_by") > 1, "ambiguous").otherwise("lifted").alias("outcome")
+    )
 )
 plan("J12", "SELECT freq_id FROM s_gnomad WHERE (chrom, pos_grch38) IN (SELECT chrom, pos_grch38 FROM s_clinvar WHERE star_rating = 3)")(lambda t: t("s_gnomad").join(t("s_clinvar").filter("star_rating = 3").select("chrom", "pos_grch38"), ["chrom", "pos_grch38"], "left_semi").select("freq_id"))
 plan("J13", "SELECT alias_rsid, min(current_rsid) AS current_rsid FROM s_aliases WHERE alias_rsid <> 'rs0' AND (alias_rsid IN (SELECT rsid FROM s_gwas) OR current_rsid IN (SELECT rsid FROM s_gwas)) GROUP BY 1")(lambda t: loaders.aliases(t("s_aliases").select(F.substring("alias_rsid", 3, 20).alias("_c0"), F.substring("current_rsid", 3, 20).alias("_c6")), t("s_gwas")))

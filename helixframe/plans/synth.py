@@ -158,6 +158,13 @@ TEXTS = {
                coalesce(rsid, '') || chr(9) || CASE v.chrom WHEN 'X' THEN CASE WHEN v.variant_id % 2 = 0 THEN '23' ELSE '25' END WHEN 'Y' THEN '24' WHEN 'MT' THEN '26' ELSE v.chrom END || chr(9) || CAST(pos_grch38 AS VARCHAR(12)) || chr(9) ||
                CASE v.variant_id % 6 WHEN 0 THEN '0' WHEN 1 THEN 'I' ELSE ref_allele END || chr(9) || CASE v.variant_id % 9 WHEN 0 THEN '0' ELSE alt_allele END END AS value
         FROM s_variants v""",
+    "s_chain": """
+        SELECT CAST(s_suppkey * 10 AS BIGINT) AS line_no, 'chain ' || CAST(1000 + s_suppkey % 7 AS VARCHAR(9)) || ' chr' || CASE s_suppkey % 25 WHEN 22 THEN 'X' WHEN 23 THEN 'Y' WHEN 24 THEN 'M' ELSE CAST(s_suppkey % 25 + 1 AS VARCHAR(9)) END || ' 250000000 + ' ||
+               CAST(9000 + s_suppkey % 7 * 300 AS VARCHAR(9)) || ' ' || CAST(9000 + s_suppkey % 7 * 300 + 3450 + s_suppkey % 5 * 100 + s_suppkey % 3 * 10 AS VARCHAR(9)) || ' chr' ||
+               CASE WHEN s_suppkey % 6 = 0 THEN '7_alt' WHEN s_suppkey % 25 = 22 THEN 'X' WHEN s_suppkey % 25 = 23 THEN 'Y' WHEN s_suppkey % 25 = 24 THEN 'M' ELSE CAST(s_suppkey % 25 + 1 AS VARCHAR(9)) END || ' 900000 ' || CASE WHEN s_suppkey % 2 = 0 THEN '-' ELSE '+' END || ' ' ||
+               CAST(1000 + s_suppkey * 3 AS VARCHAR(9)) || ' ' || CAST(1000 + s_suppkey * 3 + 3435 + s_suppkey % 5 * 100 + s_suppkey % 4 * 7 AS VARCHAR(9)) || ' ' || CAST(s_suppkey AS VARCHAR(9)) AS value FROM supplier
+        UNION ALL SELECT CAST(s_suppkey * 10 + 1 AS BIGINT), CAST(800 + s_suppkey % 5 * 100 AS VARCHAR(9)) || ' ' || CAST(50 + s_suppkey % 3 * 10 AS VARCHAR(9)) || ' ' || CAST(s_suppkey % 4 * 7 AS VARCHAR(9)) FROM supplier
+        UNION ALL SELECT CAST(s_suppkey * 10 + 2 AS BIGINT), '600 0 35' FROM supplier UNION ALL SELECT CAST(s_suppkey * 10 + 3 AS BIGINT), '2000' FROM supplier UNION ALL SELECT CAST(s_suppkey * 10 + 4 AS BIGINT), '' FROM supplier""",
     "s_vcf": """
         SELECT v.variant_id AS line_no, v.chrom || chr(9) || CAST(pos_grch38 AS VARCHAR(12)) || chr(9) || coalesce(rsid, '.') || chr(9) || ref_allele || chr(9) ||
                CASE WHEN v.variant_id % 9 = 0 THEN alt_allele || ',A' WHEN v.variant_id % 10 = 0 THEN alt_allele || 'T' ELSE alt_allele END || chr(9) || '.' || chr(9) || CASE WHEN v.variant_id % 4 = 0 THEN 'PASS' ELSE '.' END || chr(9) ||

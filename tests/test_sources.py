@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe import schemas
 from helixframe.operators import graph, ingest, intervals, ledger, versions
@@ -29,9 +30,11 @@ def test_chip_file_and_header(spark, tmp_path):
 
 def test_vcf_export_files(spark, tmp_path):
     rows = spark.createDataFrame([("1", 20, 2, "b"), ("1", 10, 1, "a"), ("2", 5, 3, "c")], "chrom string, pos_grch38 long, variant_id long, line string")
-    vcf.write_vcf(rows, str(tmp_path / "out"))
-    (one,) = (tmp_path / "out" / "chrom=1").glob("*.gz")
-    assert gzip.open(one, "rt").read() == "a\nb\n"
+    told = vcf.write_chromosomes(rows, str(tmp_path / "out"), "ME", panel="p")
+    assert gzip.open(tmp_path / "out" / "1.vcf.gz", "rt").read() == vcf.header("1", "ME") + "a\nb\n"
+    assert (told["total"], told["records"], told["panel"]) == (3, {"1": 2, "2": 1}, "p")
+    region = rows.withColumn("region", F.lit("PAR1"))
+    assert vcf.write_regions(region, str(tmp_path / "x"), "ME")["records"] == {"PAR1": 3}
 
 
 def test_ledger_reads_strictly(spark, tmp_path):
