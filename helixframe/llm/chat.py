@@ -10,6 +10,7 @@ conversation, so a conversation of any length stays spread over tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -17,29 +18,114 @@ from pyspark.sql import functions as F
 
 from helixframe.session import Scratch
 
-#: JSON types of a schema and the variant types that fulfil them.
-TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
+#: JSON types of a schema and the variant types that fulfil them; an integer is a number without a fraction, however it is written.
+TYPES = {"string": ("STRING",), "integer": ("BIGINT", "DOUBLE", "DECIMAL"), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
+#: What a value has to be: the name of a type, or a mapping of type, enum, minimum, maximum, items (of an array), fields (of an object: spec and whether required).
+Spec = str | Mapping[str, object]
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+#: A string, a number, or what stands between them; possessive, so that a string of any length needs no stack.
+_PIECE = r'"(?:[^"\\]++|\\.)*+"|' + _NUMBER + r'|[^"0-9-]++'
 
 
-def _errors(arguments: Column, parsed: Column, name: Column, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> Column:
-    """Sorted texts of what is wrong with arguments: schemas gives (type, required) by field by tool."""
-    found = F.array()
-    given = F.from_json(arguments, "map<string, variant>")  # names of any characters, unlike paths
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_PIECE), 0)
+
+
+def _is_number(piece: Column) -> Column:
+    return F.substring(piece, 1, 1).isin(*"-0123456789")
+
+
+def number_text(piece: Column) -> Column:
+    """A JSON number in its one form: whole ones under 10^21 in digits, others as the shortest double, with an exponent below 10^-6 and from 10^21 on.
+
+    No digit of a whole number that is written as one is lost, whatever its length up to 21.
+    """
+    value = piece.cast("double")
+    plain = lambda kind: F.regexp_replace(value.cast("string").cast(kind).cast("string"), r"\.?0+$", "")
+    whole = F.when(value == 0, "0").otherwise(value.cast("decimal(38,0)").cast("string"))
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    size = F.abs(value)
+    return (
+        F.when(piece.rlike("^-?[1-9][0-9]{0,20}$"), piece)
+        .when((size < 1e21) & (value == F.floor(value)), whole)
+        .when((size >= 1e-6) & (size < 1e7), plain("decimal(38,30)"))
+        .when((size >= 1e7) & (size < 1e21), plain("decimal(38,18)"))
+        .otherwise(power)
+    )
+
+
+def canonical(value: Column) -> Column:
+    """The text of a variant: keys sorted, no blanks, numbers in their one form."""
+    text = F.to_json(value)
+    again = F.array_join(F.transform(_pieces(text), lambda p: F.when(_is_number(p), number_text(p)).otherwise(p)), "")
+    return F.when(text.rlike("[0-9][.eE]|-0"), again).otherwise(text)  # only such numbers can have another form
+
+
+def _read(text: Column) -> tuple[Column, Column]:
+    """(variant, what is wrong): the one JSON value that a whole text is.
+
+    Spark's parsers stop after the first value. So a text is one value where it can
+    stand as the only element of an array and as the value of an object: whatever
+    follows a first value breaks one of the two.
+    """
+    listed, named = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"a":'), text, F.lit("}"))
+    strict = {"allowSingleQuotes": "false"}
+    formed = F.coalesce((F.size(F.from_json(listed, "array<string>", strict)) == 1) & F.from_json(named, "map<string, string>", strict).isNotNull(), F.lit(False))
+    value = F.when(F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull(), F.try_parse_json(text))
+    huge = F.exists(_pieces(text), lambda p: _is_number(p) & (F.abs(p.try_cast("double")) == float("inf")))
+    wrong = F.when(text.isNull(), "missing").when(~formed, "not JSON").when(value.isNull(), "a repeated key").when(huge, "a number out of range").when(~F.schema_of_variant(value).startswith("OBJECT"), "not an object")
+    return F.when(wrong.isNull() | (wrong == "not an object"), value), wrong
+
+
+def _wrong(at: Column, spec: Spec, path: Column) -> Column:
+    """Texts of what is wrong with a variant that is there."""
+    spec = {"type": spec} if isinstance(spec, str) else spec
+    kind, checks = spec.get("type"), []
+    say = lambda what: F.array(F.concat(path, F.lit(f": {what}")))
+    none = F.array().cast("array<string>")
+    is_kind = F.lit(True)
+    if kind is not None:
+        is_kind = F.regexp_extract(F.schema_of_variant(at), "^[A-Z]+", 0).isin(*TYPES[kind])
+        if kind == "integer":
+            value = F.try_variant_get(at, "$", "double")
+            is_kind = is_kind & (value == F.floor(value))
+    if "enum" in spec:
+        allowed = [json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for x in spec["enum"]]
+        checks.append(F.when(~canonical(at).isin(*allowed), say("none of the allowed values")).otherwise(none))
+    value = F.try_variant_get(at, "$", "double")
+    if "minimum" in spec:
+        checks.append(F.when(value < spec["minimum"], say(f"below {spec['minimum']}")).otherwise(none))
+    if "maximum" in spec:
+        checks.append(F.when(value > spec["maximum"], say(f"above {spec['maximum']}")).otherwise(none))
+    if "fields" in spec:
+        checks.append(_of_fields(F.try_variant_get(at, "$", "map<string, variant>"), spec["fields"], F.concat(path, F.lit("."))))
+    if "items" in spec:
+        items = F.try_variant_get(at, "$", "array<variant>")
+        each = F.transform(items, lambda x, i: _wrong(x, spec["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        checks.append(F.coalesce(F.flatten(each), none))
+    inside = F.concat(none, *checks)
+    return F.when(~F.coalesce(is_kind, F.lit(False)), say(f"not {kind}")).otherwise(inside)
+
+
+def _of_fields(given: Column, fields: Mapping[str, tuple[Spec, bool]], prefix: Column) -> Column:
+    """Texts of what is wrong with the fields of an object, given as a map; a null field counts as absent."""
+    checks = [F.array().cast("array<string>")]
+    for name, (spec, required) in sorted(fields.items()):
+        at, path = F.element_at(given, name), F.concat(prefix, F.lit(name))
+        missing = F.array(F.concat(path, F.lit(": missing"))) if required else F.array().cast("array<string>")
+        checks.append(F.when(at.isNull() | F.is_variant_null(at), missing).otherwise(_wrong(at, spec, path)))
+    known = F.array(*[F.lit(f) for f in sorted(fields)]).cast("array<string>")
+    extra = F.transform(F.array_except(F.coalesce(F.map_keys(given), F.array().cast("array<string>")), known), lambda k: F.concat(prefix, k, F.lit(": unknown")))
+    return F.concat(*checks, extra)
+
+
+def _errors(parsed: Column, wrong: Column, name: Column, schemas: Mapping[str, Mapping[str, tuple[Spec, bool]]]) -> Column:
+    """Sorted texts of what is wrong with arguments: schemas gives (spec, required) by field by tool."""
+    found = F.array(F.lit("no such tool"))
+    given = F.try_variant_get(parsed, "$", "map<string, variant>")  # names of any characters, unlike paths
     for tool, fields in sorted(schemas.items()):
-        checks = []
-        for field, (kind, required) in sorted(fields.items()):
-            at = F.element_at(given, field)
-            of = F.regexp_extract(F.schema_of_variant(at), "^[A-Z]+", 0)
-            wrong = F.concat(F.lit(f"{field}: not {kind}"))
-            missing = F.lit(f"{field}: missing") if required else F.lit(None).cast("string")
-            checks.append(F.when(at.isNull() | F.is_variant_null(at), missing).when(~of.isin(*TYPES[kind]), wrong))
-        known = F.array(*[F.lit(f) for f in sorted(fields)])
-        extra = F.transform(F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), known), lambda k: F.concat(k, F.lit(": unknown")))
-        of_tool = F.concat(F.filter(F.array(*checks), lambda x: x.isNotNull()), extra)
-        found = F.when(name == tool, of_tool).otherwise(found.cast("array<string>"))
-    found = F.when(name.isin(*schemas), found).otherwise(F.array(F.lit("no such tool")))
-    not_object = F.coalesce(~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(True))
-    return F.array_sort(F.when(parsed.isNull() | not_object, F.array(F.lit("arguments: not an object"))).otherwise(found))
+        found = F.when(name == tool, _of_fields(given, fields, F.lit(""))).otherwise(found)
+    return F.array_sort(F.when(wrong.isNotNull(), F.array(F.concat(F.lit("arguments: "), wrong))).otherwise(found))
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -63,7 +149,7 @@ def depths(calls: DataFrame) -> DataFrame:
     return at.select("conv_id", "call_id", F.when(F.col("__up").isNull(), F.col("__depth")).otherwise(-1).alias("__depth"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, tuple[Spec, bool]]]) -> DataFrame:
     """One record for each result, each call without one, and each further call of an identifier.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), parent_id (the
@@ -78,8 +164,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
     identifier is a record with it (linked), so rows grow with calls and results,
     never with their product. A call without a result is pending, a result without
     a call orphan, a later call of the same identifier repeated. Null identifiers
-    never link. Arguments that are null, are no JSON or are no object are invalid;
-    texts of any length are used whole. Empty inputs give no rows. Other columns
+    never link. Arguments are invalid that are null, are not one JSON value as a whole
+    (anything after it counts), name a key twice, hold a number beyond a double or
+    are no object; only an object or another value that can be read is in the
+    record. Numbers have one form there (see number_text()). Schemas may nest (see
+    Spec). Texts of any length are used whole. Empty inputs give no rows. Other columns
     are not read, so none can clash.
     """
     key = ["conv_id", "call_id"]
@@ -106,16 +195,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
     unnamed = c.filter("conv_id is null or call_id is null").select(*key, "turn", "name", "arguments", "parent_id", *no_result, F.lit(None).cast("long").alias("depth"), F.lit("pending").alias("status"))
     linked = of_result.unionByName(pending).unionByName(repeated).unionByName(unnamed)
     is_call = F.col("status") != "orphan"
-    checked = linked.withColumn("parsed", F.try_parse_json("arguments"))
-    checked = checked.withColumn("errors", F.when(is_call, _errors(F.col("arguments"), F.col("parsed"), F.coalesce("name", F.lit("")), schemas)))
+    value, wrong = _read(F.col("arguments"))
+    checked = linked.withColumns({"parsed": value, "wrong": wrong})
+    checked = checked.withColumn("errors", F.when(is_call, _errors(F.col("parsed"), F.col("wrong"), F.coalesce("name", F.lit("")), schemas)))
     checked = checked.withColumn("valid", F.size("errors") == 0)
-    record = F.to_json(
-        F.struct(
-            F.col("parsed").alias("arguments"), F.col("call_id").alias("call_id"), F.col("content").alias("content"), F.col("conv_id").alias("conv_id"),
-            F.col("name").alias("name"), F.col("parent_id").alias("parent_id"), F.col("status").alias("status"), F.col("turn").alias("turn"), F.col("valid").alias("valid"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
+    rest = F.to_json(F.struct("call_id", "content", "conv_id", "name", "parent_id", "status", "turn", "valid"), {"ignoreNullFields": "false"})
+    record = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("parsed")), F.lit("null")), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
     out = checked.select(*key, "turn", "result_turn", "status", "depth", "valid", "errors", record.alias("record"))
     order = [F.when(F.col("depth") < 0, 1).otherwise(0), F.coalesce("depth", F.lit(0)), F.coalesce("turn", "result_turn"), "call_id", "result_turn"]
     return out.orderBy("conv_id", *order)
