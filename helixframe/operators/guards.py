@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,31 +71,16 @@ def next_ids(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return every
 
 
-_TOKEN = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|;|[^;'/-]+|[/-]|'", re.DOTALL)
-
-
-def statements(script: str) -> list[str]:
-    """The statements of an SQL script; semicolons in strings and comments don't end one, and comments alone are none."""
-    out, now, real = [], [], False
-    for m in _TOKEN.finditer(script):
-        piece = m.group(0)
-        if piece == ";":
-            if real:
-                out.append("".join(now).strip())
-            now, real = [], False
-        else:
-            now.append(piece)
-            real = real or bool(piece.strip()) and not piece.startswith(("--", "/*"))
-    if real:
-        out.append("".join(now).strip())
-    return out
-
-
-def recreate_view(spark: SparkSession, script: str, name: str) -> DataFrame:
-    """The view of that name, made anew from its CREATE VIEW statement in a script; a script without one is refused."""
-    made = re.compile(rf"\bCREATE\s+VIEW\s+{re.escape(name)}\b", re.IGNORECASE)
-    found = next((s for s in statements(script) if made.search(s)), None)
-    if found is None:
-        raise ValueError(f"no CREATE VIEW {name}")
-    spark.sql(made.sub(f"CREATE OR REPLACE TEMPORARY VIEW {name}", found, count=1))
-    return spark.table(name)
+def materialise(spark: SparkSession, definitions: Mapping[str, Callable[[], DataFrame]], names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The views of some names (all by default), registered anew from what defines them now.
+
+    A view is a function that makes its DataFrame, so when a table that it reads
+    has changed its columns or its folder, calling it again is all there is to do. A
+    name without a definition is refused before any view is touched.
+    """
+    asked = list(definitions if names is None else names)
+    if unknown := [n for n in asked if n not in definitions]:
+        raise ValueError(f"no definition of {unknown}")
+    for name in asked:
+        definitions[name]().createOrReplaceTempView(name)
+    return {name: spark.table(name) for name in asked}

@@ -72,7 +72,8 @@ def index_of(t, stamped: bool = False) -> DataFrame:
     return rollup.build(t("s_variants"), t("s_clinvar"), t("s_gwas"), t("s_gnomad"), t("s_pharmgkb"), t("s_aliases"), t("s_pointers"), label)
 
 
-LABELS = """(SELECT '{' || string_agg('"' || v.source_db || '": "' || v.version || '"', ', ' ORDER BY v.source_db) || '}' FROM s_versions v JOIN s_pointers p ON p.source_db = v.source_db AND p.current_source_version_id = v.source_version_id)"""
+LABELS_OF = """(SELECT '{{' || string_agg('"' || v.source_db || '": "' || v.version || '"', ', ' ORDER BY v.source_db) || '}}' FROM {} v JOIN {} p ON p.source_db = v.source_db AND p.current_source_version_id = v.source_version_id)"""
+LABELS = LABELS_OF.format("s_versions", "s_pointers")
 
 # 2.4 roll-up
 
@@ -88,7 +89,7 @@ plan("A07", f"WITH {GNOM} SELECT * FROM nr")(lambda t: rollup.gnomad(t("s_varian
 plan("A08", f"WITH {ALIAS}, {PHARM} SELECT * FROM pr")(lambda t: rollup.pharmgkb(t("s_variants"), t("s_pharmgkb"), t("s_aliases"), t("s_pointers")))
 plan("A10", INDEX + " SELECT count(*) AS n, count(*) FILTER (WHERE clinvar_count > 0) AS with_clinvar, count(*) FILTER (WHERE gwas_trait_count > 0) AS with_gwas, count(af_global) AS with_gnomad, count(*) FILTER (WHERE has_pgx) AS with_pgx, count(*) FILTER (WHERE is_curated) AS curated FROM ix")(lambda t: rollup.summary(index_of(t)))
 plan("A11", f"SELECT alias_rsid, min(current_rsid) AS current_rsid FROM s_aliases WHERE {LIVE.format('dbsnp')} GROUP BY 1")(lambda t: rollup.alias_map(t("s_aliases"), t("s_pointers")))
-plan("A43", f"SELECT {LABELS} AS refresh_versions")(lambda t: t("s_pointers").limit(1).select(F.lit(versions.labels(t("s_versions"), t("s_pointers"))).alias("refresh_versions")))
+plan("A43", LABELS_OF.format("s_registry", "s_live").join(("SELECT c_custkey, ", " AS refresh_versions FROM customer")))(lambda t: t("customer").select("c_custkey", F.lit(versions.labels(t("s_registry"), t("s_live"))).alias("refresh_versions")))
 plan("U01", INDEX + " SELECT variant_id FROM ks")(lambda t: rollup.keys(rollup.clinvar(t("s_variants"), t("s_clinvar"), t("s_pointers")), rollup.gwas(t("s_variants"), t("s_gwas"), t("s_aliases"), t("s_pointers")), rollup.gnomad(t("s_variants"), t("s_gnomad"), t("s_pointers")), rollup.pharmgkb(t("s_variants"), t("s_pharmgkb"), t("s_aliases"), t("s_pointers"))))
 plan("J08", f"WITH {ALIAS} SELECT variant_id, canon AS canon_rsid FROM vc")(lambda t: rollup.canonical_rsid(t("s_variants").filter("rsid is not null"), rollup.alias_map(t("s_aliases"), t("s_pointers"))).select("variant_id", "canon_rsid"))
 plan("J23", INDEX + " SELECT count(DISTINCT ix.variant_id) AS n FROM ix JOIN s_variants v ON v.variant_id = ix.variant_id JOIN am ON alias_rsid = v.rsid")(lambda t: rollup.alias_lifts(index_of(t), t("s_variants"), t("s_aliases"), t("s_pointers")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators import consensus, guards, ingest, intervals, ledger
+from helixframe.operators import consensus, guards, ingest, intervals, ledger, lifecycle
+from helixframe.operators.store import Store
 from helixframe.plans.catalog import DISC, c, plan, resolved_of
 from helixframe.plans.catalog_more import _KEY, EXPORT, NORM, REGION, VCF, exported, stage
 from helixframe.session import Scratch
@@ -149,12 +151,66 @@ plan("P26", "SELECT variant_id, chrom FROM s_variants WHERE chrom IN ('2', '10',
 
 def incoming(t) -> DataFrame:
     """For each registered version, a release of the same label whose content changed for some sources."""
-    hashed = t("s_versions").withColumn("digest", F.md5(F.concat("source_db", "version")))
-    changed = F.when(c("source_db").isin("gnomad", "cpic"), F.md5("version")).otherwise(c("digest"))
-    return guards.unchanged(hashed.select("source_db", "version", changed.alias("digest")), hashed, t("s_pointers"))
-
-
-plan("D04", "SELECT v.source_db, v.version, coalesce(p.current_source_version_id = v.source_version_id AND v.source_db NOT IN ('gnomad', 'cpic'), FALSE) AS skip FROM s_versions v LEFT JOIN s_pointers p ON p.source_db = v.source_db")(incoming)
+    hashed = t("s_registry").withColumn("digest", F.md5(F.concat("source_db", "version")))
+    changed = F.when(c("source_db").isin("db1", "db4"), F.md5("version")).otherwise(c("digest"))
+    return guards.unchanged(hashed.select("source_db", "version", changed.alias("digest")), hashed, t("s_live"))
+
+
+plan("D04", "SELECT v.source_db, v.version, coalesce(p.current_source_version_id = v.source_version_id AND v.source_db NOT IN ('db1', 'db4'), FALSE) AS skip FROM s_registry v LEFT JOIN s_live p ON p.source_db = v.source_db")(incoming)
+
+
+OWNED, CHILDREN = {f"db{i}": ["rows", "weights"] if i == 0 else ["rows"] for i in range(7)}, {"rows": "source_version_id", "weights": "source_version_id", "pointers": "current_source_version_id"}
+
+
+def store_of(t) -> Store:
+    """All releases that the orders make, in a store: a folder for each release of each table, the registry and the pointers."""
+    made = Store(spark_of(t), f"{Scratch(spark_of(t)).root}/store")
+    first = made.begin()
+    rows = t("s_release_rows").select("row_id", "source_version_id", (c("is_weight") & (c("source_db") == "db0")).alias("w"))
+    first.replace("rows", rows.filter("not w").drop("w"), "source_version_id")
+    first.replace("weights", rows.filter("w").drop("w"), "source_version_id")
+    first.replace("registry", t("s_registry").select("source_version_id", "source_db", "version", F.md5(F.concat("source_db", "version")).alias("digest")))
+    first.replace("pointers", t("s_live"))
+    first.commit()
+    return made
+
+
+def flipped(t) -> DataFrame:
+    """A new release of one source loaded and flipped to, another skipped as it is the live one, in the store."""
+    made, live = store_of(t), t("s_live")
+    fresh = t("s_release_rows").filter("source_db = 'db3'").select("row_id")
+    lifecycle.load(made, "db3", "next", "h", {"rows": fresh})
+    label = t("s_registry").join(live.select(c("current_source_version_id").alias("source_version_id")), "source_version_id").filter("source_db = 'db5'").first()
+    if label:
+        lifecycle.load(made, "db5", label.version, hashlib.md5(f"db5{label.version}".encode()).hexdigest(), {"rows": fresh})
+    rows = made.read("rows").groupBy("source_version_id").agg(F.count("*").alias("n_rows"))
+    return made.read("pointers").join(rows, c("current_source_version_id") == c("source_version_id"), "left").select("source_db", "current_source_version_id", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
+
+
+_ROWS = "(SELECT count(*) FROM s_release_rows r WHERE r.source_version_id = {} AND NOT (is_weight AND source_db = 'db0'))"
+plan("D03", f"SELECT source_db, current_source_version_id, {_ROWS.format('current_source_version_id')} AS n_rows FROM s_live WHERE source_db <> 'db3' UNION ALL SELECT 'db3', (SELECT max(source_version_id) + 1 FROM s_registry), (SELECT count(*) FROM s_release_rows WHERE source_db = 'db3')")(flipped)
+
+
+def purged(t) -> DataFrame:
+    """What a purge of all sources leaves: every release that was registered, what became of it, and its rows before and after."""
+    made = store_of(t)
+    found = lifecycle.purge(made, OWNED, CHILDREN, keep=1, execute=True)
+    doomed = {i for p in found.plans for i in p.deletable}
+    said = [(i, "deleted") for i in doomed] + [(i, "orphan") for i in found.orphans] + [(p.active, "live") for p in found.plans if p.active is not None] + [(p.prior, "prior") for p in found.plans if p.active is not None and p.prior is not None]
+    roles = spark_of(t).createDataFrame(said, "source_version_id long, role string")
+    count = lambda number, name: made.read("rows", number).unionByName(made.read("weights", number)).groupBy("source_version_id").agg(F.count("*").alias(name))
+    both = made.read("registry", 1).join(roles, "source_version_id", "left").join(count(1, "rows_before"), "source_version_id", "left").join(count(None, "rows_after"), "source_version_id", "left")
+    left = made.read("registry").select("source_version_id", F.lit(True).alias("registered"))
+    return both.join(left, "source_version_id", "left").select("source_db", "source_version_id", F.coalesce("role", F.lit("kept")).alias("role"), F.coalesce("rows_before", F.lit(0).cast("long")).alias("rows_before"), F.coalesce("rows_after", F.lit(0).cast("long")).alias("rows_after"), F.coalesce("registered", F.lit(False)).alias("registered"))
+
+
+plan(
+    "D21",
+    """WITH n AS (SELECT v.source_db, v.source_version_id, p.current_source_version_id AS live, (SELECT count(*) FROM s_release_rows r WHERE r.source_version_id = v.source_version_id) AS n FROM s_registry v LEFT JOIN s_live p ON p.source_db = v.source_db),
+ k AS (SELECT *, CASE WHEN n > 0 AND source_version_id <> live THEN row_number() OVER (PARTITION BY source_db, n > 0 AND source_version_id <> live ORDER BY source_version_id DESC) END AS place FROM n),
+ r AS (SELECT *, CASE WHEN live IS NULL THEN 'kept' WHEN source_version_id = live THEN 'live' WHEN n = 0 THEN 'orphan' WHEN place = 1 THEN 'prior' ELSE 'deleted' END AS role FROM k)
+ SELECT source_db, source_version_id, role, n AS rows_before, CASE WHEN role = 'deleted' THEN 0 ELSE n END AS rows_after, role NOT IN ('deleted', 'orphan') AS registered FROM r""",
+)(purged)
 REFS = {"s_aliases": "source_version_id", "s_clinvar": "source_version_id", "s_cpic": "source_version_id", "s_dbsnp": "source_version_id", "s_gnomad": "source_version_id", "s_gwas": "source_version_id", "s_pharmgkb": "source_version_id", "s_pointers": "current_source_version_id", "s_scores": "source_version_id"}
 
 
@@ -170,20 +226,27 @@ def children_of(t) -> DataFrame:
 
 plan("D22", " UNION ALL ".join(f"SELECT '{k}' AS name, '{v}' AS \"column\", {v} AS source_version_id, count(*) AS n FROM {k} GROUP BY 3" for k, v in REFS.items()))(children_of)
 plan("D24", DISC + " SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM s_calls g WHERE g.is_imputed AND g.call_id IN (d.call_a_id, d.call_b_id))")(lambda t: consensus.preclear(consensus.discrepancy_table(resolved_of(t)), t("s_calls")).drop("discrepancy_id"))
-SCRIPT = """-- views; not a statement;
-CREATE TABLE other (a INT);
-/* a comment; with a semicolon */
-CREATE VIEW rare_variants_v AS
-  SELECT chrom, count(*) AS n, 'a;b' AS tag FROM {table} -- trailing; comment
-  WHERE af_global < 0.01 GROUP BY chrom;
-create  view all_variants_v as SELECT count(*) AS n FROM {table}"""
 
 
 def recreated(t) -> DataFrame:
-    name = f"frequencies_{uuid.uuid4().hex}"
-    t("s_gnomad").createOrReplaceTempView(name)
-    one, two = (guards.recreate_view(spark_of(t), SCRIPT.format(table=name), v) for v in ("rare_variants_v", "all_variants_v"))
-    return one.unionByName(two.select(F.lit("all").alias("chrom"), "n", F.lit("").alias("tag")))
+    """Two views over a table in a store, made anew after the table was replaced under them."""
+    made = Store(spark_of(t), f"{Scratch(spark_of(t)).root}/views")
+
+    def put(rows: DataFrame) -> None:
+        change = made.begin()
+        change.replace("frequencies", rows)
+        change.commit()
+
+    rare, every = f"rare_{uuid.uuid4().hex}", f"all_{uuid.uuid4().hex}"
+    definitions = {
+        rare: lambda: made.read("frequencies").filter("af_global < 0.01").groupBy("chrom").agg(F.count("*").alias("n"), F.lit("a;b").alias("tag")),
+        every: lambda: made.read("frequencies").agg(F.count("*").alias("n")).select(F.lit("all").alias("chrom"), "n", F.lit("").alias("tag")),
+    }
+    put(t("s_gnomad").select("chrom", "af_global").limit(1))
+    guards.materialise(spark_of(t), definitions)
+    put(t("s_gnomad").select("freq_id", "chrom", "af_global"))
+    views = guards.materialise(spark_of(t), definitions)
+    return views[rare].unionByName(views[every])
 
 
 plan("D28", "SELECT chrom, count(*) AS n, 'a;b' AS tag FROM s_gnomad WHERE af_global < 0.01 GROUP BY 1 UNION ALL SELECT 'all', count(*), '' FROM s_gnomad")(recreated)

@@ -273,7 +273,7 @@ plan("D19", WALK + f""", ad AS (SELECT * FROM pn WHERE action IN ('absorb', 'dro
 plan("D14", WALK + """, ad AS (SELECT pn.*, v.rsid FROM pn JOIN s_variants v ON v.variant_id = pn.variant_id WHERE action IN ('absorb', 'drop')), nm AS (SELECT survivor_id, (min({'k': variant_id, 'v': rsid}) FILTER (WHERE rsid IS NOT NULL))['v'] AS r FROM ad GROUP BY 1)
  SELECT v.* REPLACE (coalesce(v.rsid, r) AS rsid) FROM s_variants v LEFT JOIN nm ON nm.survivor_id = v.variant_id WHERE v.variant_id NOT IN (SELECT variant_id FROM ad)""")(lambda t: collapse.collapsed_variants(t("s_variants"), collapse.plan(flagged(t), t("s_calls"))))
 plan("A33", "SELECT variant_id, bool_or(source NOT LIKE '%imputed') AS g, bool_or(source LIKE '%imputed') AS i FROM s_calls WHERE is_active GROUP BY 1")(lambda t: ingest.flags(t("s_variants"), t("s_calls")).filter("has_genotyped_call or has_imputed_call").select("variant_id", c("has_genotyped_call").alias("g"), c("has_imputed_call").alias("i")))
-plan("J20", "SELECT source_db, max(source_version_id) AS source_version_id FROM s_versions WHERE source_db = 'gnomad' AND source_version_id NOT IN (SELECT current_source_version_id FROM s_pointers) GROUP BY 1")(lambda t: versions.in_flight(t("s_versions"), t("s_pointers"), "gnomad"))
+plan("J20", "SELECT source_db, max(source_version_id) AS source_version_id FROM s_registry WHERE source_db = 'db3' AND source_version_id NOT IN (SELECT current_source_version_id FROM s_live) GROUP BY 1")(lambda t: versions.in_flight(t("s_registry"), t("s_live"), "db3"))
 
 # 2.4 aggregates
 
@@ -308,7 +308,7 @@ plan("W05", "SELECT freq_id FROM (SELECT *, row_number() OVER (PARTITION BY chro
 plan("W06", "WITH d AS (SELECT DISTINCT chrom, pos_grch38 FROM s_variants), n AS (SELECT *, coalesce((pos_grch38 - lag(pos_grch38) OVER (PARTITION BY chrom ORDER BY pos_grch38) > 150)::INT, 1) AS b FROM d), r AS (SELECT *, sum(b) OVER (PARTITION BY chrom ORDER BY pos_grch38) AS k FROM n) SELECT chrom, min(pos_grch38) AS start, max(pos_grch38) AS \"end\", count(*) AS n FROM r GROUP BY chrom, k")(lambda t: intervals.coalesce_positions(t("s_variants"), 150))
 plan("W07", "SELECT chrom, pos_grch38, CAST((row_number() OVER (PARTITION BY chrom ORDER BY pos_grch38) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT chrom, pos_grch38 FROM s_variants)")(lambda t: quality.folds(t("s_variants"), 5))
 plan("W08", "SELECT pr_key, max({'s': record_seq, 'v': state})['v'] AS state, max(record_seq) AS record_seq, min(record_seq) AS first_seen FROM s_ledger GROUP BY 1")(lambda t: ledger.latest(t("s_ledger").select("pr_key", "record_seq", "state")))
-plan("W09", "SELECT source_version_id, CAST(row_number() OVER (PARTITION BY source_db ORDER BY source_version_id DESC) AS INT) AS place, row_number() OVER (PARTITION BY source_db ORDER BY source_version_id DESC) > 1 AS deletable FROM s_versions WHERE source_version_id NOT IN (SELECT current_source_version_id FROM s_pointers)")(lambda t: versions.retention(t("s_versions"), t("s_pointers"), 1).select("source_version_id", "place", "deletable"))
+plan("W09", "SELECT source_version_id, CAST(row_number() OVER (PARTITION BY source_db ORDER BY source_version_id DESC) AS INT) AS place, row_number() OVER (PARTITION BY source_db ORDER BY source_version_id DESC) > 1 AS deletable FROM s_registry WHERE source_version_id NOT IN (SELECT current_source_version_id FROM s_live)")(lambda t: versions.retention(t("s_registry"), t("s_live"), 1).select("source_version_id", "place", "deletable"))
 plan("W10", "SELECT record_seq FROM (SELECT *, lag(delta) OVER (PARTITION BY pr_key ORDER BY record_seq) AS b FROM s_ledger) WHERE b >= delta")(lambda t: ledger.not_increasing(t("s_ledger"), "pr_key", "record_seq", "delta").select("record_seq"))
 plan("W11", "SELECT record_seq, CAST(floor((row_number() OVER (PARTITION BY pr_key ORDER BY record_seq) - 1) / 7) AS BIGINT) AS chunk FROM s_ledger")(lambda t: ledger.chunks(t("s_ledger"), 7, "pr_key", "record_seq").select("record_seq", "chunk"))
 plan("W12", "SELECT record_seq, CASE WHEN row_number() OVER (PARTITION BY state ORDER BY record_seq) <= 50 THEN 'kept' ELSE 'overflow' END AS route FROM s_ledger")(lambda t: ledger.cap(t("s_ledger"), 50, "state", "record_seq").select("record_seq", "route"))
@@ -345,15 +345,15 @@ plan("U08", "SELECT DISTINCT pr_key, delta FROM s_ledger WHERE state = 'parked'
 
 # 2.8 lifecycle
 
-plan("D01", "SELECT source_version_id, source_db, version FROM s_versions UNION ALL SELECT 16, 'cpic', 'c3'")(lambda t: versions.register(t("s_versions"), "cpic", "c3")[0].select("source_version_id", "source_db", "version"))
-plan("D02", "SELECT v.* FROM s_versions v JOIN s_pointers p ON p.source_db = v.source_db AND p.current_source_version_id = v.source_version_id")(lambda t: versions.live_versions(t("s_versions"), t("s_pointers")).select("source_version_id", "source_db", "version", "record_count"))
-plan("D03", "SELECT source_db, CASE WHEN source_db = 'gnomad' THEN 14 ELSE current_source_version_id END AS current_source_version_id FROM s_pointers")(lambda t: versions.flip(t("s_pointers"), "gnomad", 14))
+plan("D01", "SELECT source_version_id, source_db, version FROM s_registry UNION ALL SELECT max(source_version_id) + 1, 'db2', 'next' FROM s_registry")(lambda t: versions.register(t("s_registry"), "db2", "next")[0].select("source_version_id", "source_db", "version"))
+plan("D02", "SELECT v.* FROM s_registry v JOIN s_live p ON p.source_db = v.source_db AND p.current_source_version_id = v.source_version_id")(lambda t: versions.live_versions(t("s_registry"), t("s_live")).select("source_version_id", "source_db", "version", "record_count"))
+
 plan("D08", "SELECT clinvar_id FROM s_clinvar WHERE source_version_id <> 1 UNION ALL SELECT clinvar_id FROM s_clinvar WHERE source_version_id = 1 AND star_rating > 2")(lambda t: t("s_clinvar").filter("source_version_id <> 1").select("clinvar_id").union(t("s_clinvar").filter("source_version_id = 1 and star_rating > 2").select("clinvar_id")))
-plan("D21", "SELECT source_version_id, count(*) AS n FROM s_clinvar WHERE source_version_id <> 1 GROUP BY 1")(lambda t: versions.purge(t("s_clinvar"), versions.retention(t("s_versions"), t("s_pointers"), 0)).groupBy("source_version_id").agg(F.count("*").alias("n")))
+
 plan("D21o", "SELECT source_version_id, count(*) AS n_rows FROM s_scores WHERE source_version_id NOT IN (SELECT source_version_id FROM s_versions) GROUP BY 1")(lambda t: versions.orphans(t("s_scores"), t("s_versions")))
 plan("D23", "SELECT DISTINCT chrom FROM s_gnomad WHERE source_version_id = 5")(lambda t: t("s_gnomad").filter("source_version_id = 5").select("chrom").distinct())
-plan("D25", "SELECT run_id, CASE WHEN run_id = 3 THEN 'completed' ELSE status END AS status FROM s_runs")(lambda t: t("s_runs").select("run_id", F.when(c("run_id") == 3, "completed").otherwise(c("status")).alias("status")))
-plan("D26", "SELECT qc_id, CASE qc_id WHEN 1 THEN 'a; chrx_anomalies=7' WHEN 2 THEN 'chrx_anomalies=7' ELSE 'x; chrx_anomalies=7' END AS qc_notes FROM s_qc")(lambda t: t("s_qc").select("qc_id", ledger.note_marker(c("qc_notes"), "chrx_anomalies", F.lit("7")).alias("qc_notes")))
+plan("D25", "SELECT run_id, CASE WHEN status = 'processing' AND run_id % 3 = 0 THEN 'completed' ELSE status END AS status FROM s_runs")(lambda t: t("s_runs").select("run_id", F.when((c("status") == "processing") & (c("run_id") % 3 == 0), "completed").otherwise(c("status")).alias("status")))
+plan("D26", "SELECT qc_id, CASE WHEN qc_notes IS NULL THEN 'chrx_anomalies=7' WHEN qc_notes = 'a' THEN 'a; chrx_anomalies=7' ELSE 'x; chrx_anomalies=7' END AS qc_notes FROM s_qc")(lambda t: t("s_qc").select("qc_id", ledger.note_marker(c("qc_notes"), "chrx_anomalies", F.lit("7")).alias("qc_notes")))
 _TR = "CASE b WHEN 'pending' THEN state IN ('ready', 'blocked', 'parked') WHEN 'ready' THEN state IN ('running', 'parked') WHEN 'running' THEN state IN ('done', 'blocked') WHEN 'blocked' THEN state IN ('ready', 'parked') WHEN 'parked' THEN state = 'pending' WHEN 'done' THEN FALSE ELSE TRUE END"
 for _k in ("D29", "G11"):
     plan(_k, f"SELECT record_seq, {_TR} AS is_legal FROM (SELECT *, lag(state) OVER (PARTITION BY pr_key ORDER BY record_seq) AS b FROM s_ledger)")(lambda t: ledger.transitions(t("s_ledger")).select("record_seq", "is_legal"))
@@ -362,7 +362,7 @@ plan("D31", "SELECT pr_key, count(*) AS n FROM s_ledger GROUP BY 1 HAVING count(
 plan("D31u", "SELECT DISTINCT ref FROM (SELECT unnest(depends_on) AS ref FROM s_ledger) WHERE ref NOT IN (SELECT pr_key FROM s_ledger)")(lambda t: ledger.unresolved(t("s_ledger").select(F.explode("depends_on").alias("ref")), "ref", t("s_ledger"), "pr_key"))
 plan("D31c", "SELECT record_seq FROM s_ledger WHERE record_seq % 4 = 0 AND delta <> 0")(lambda t: ledger.changed(t("s_ledger").select("record_seq", "delta", "knob"), t("s_ledger").select("record_seq", F.when(c("record_seq") % 4 == 0, F.lit(0).cast("long")).otherwise(c("delta")).alias("delta"), "knob"), "record_seq", ["delta", "knob"]))
 plan("D32", "SELECT external_endpoint, external_payload_hash, count(*) AS n, min(log_id) AS intent_id, max(log_id) AS result_id, count(*) % 2 = 1 AS open FROM s_audit WHERE external_call = 1 GROUP BY 1, 2")(lambda t: ledger.audit_pairs(t("s_audit")))
-plan("D34", "SELECT * FROM s_runs UNION ALL SELECT 5, 'ancestry', 'pending'")(lambda t: t("s_runs").unionByName(t("s_runs").limit(1).select(F.lit(5).cast("long").alias("run_id"), F.lit("ancestry").alias("source"), F.lit("pending").alias("status"))))
+plan("D34", "SELECT * FROM s_runs UNION ALL SELECT max(run_id) + 1, 'ancestry', 'pending' FROM s_runs")(lambda t: t("s_runs").unionByName(t("s_runs").agg((F.max("run_id") + 1).alias("run_id")).select("run_id", F.lit("ancestry").alias("source"), F.lit("pending").alias("status"))))
 
 # 2.11 scalar functions on real text
 

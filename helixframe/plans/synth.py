@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.session import table
 
-DRIVER = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+DRIVER = ("sales", "sale_lines", "clicks", "clients", "client_changes", "vendors", "items", "stamps", "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 TEXTS = {
     "s_variants": """
@@ -101,8 +101,20 @@ TEXTS = {
     "s_genes": """
         SELECT p_brand || '-' || v.chrom AS gene_symbol, v.chrom, min(v.pos_grch38) AS start_grch38, min(v.pos_grch38) + 137 * 6 AS end_grch38, min(p_size) % 3 = 0 AS is_acmg_sf
         FROM part JOIN s_variants v ON v.variant_id = p_partkey GROUP BY p_brand, v.chrom""",
-    "s_runs": "SELECT CAST(id AS BIGINT) AS run_id, source, status FROM (VALUES (1, '23andme', 'completed'), (2, 'ancestry', 'completed'), (3, 'beagle_imputed', 'processing'), (4, '23andme', 'failed')) t(id, source, status)",
-    "s_qc": "SELECT CAST(q AS BIGINT) AS qc_id, CAST(r AS BIGINT) AS run_id, sex_inferred, qc_notes FROM (VALUES (1, 1, 'M', 'a'), (2, 2, 'ambiguous', NULL), (3, 3, 'F', 'x; chrx_anomalies=4')) t(q, r, sex_inferred, qc_notes)",
+    "s_runs": """
+        SELECT CAST(o_orderkey AS BIGINT) AS run_id, CASE o_custkey % 3 WHEN 0 THEN '23andme' WHEN 1 THEN 'ancestry' ELSE 'beagle_imputed' END AS source,
+               CASE o_orderkey % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'pending' WHEN 2 THEN 'processing' ELSE 'failed' END AS status FROM orders""",
+    "s_qc": """
+        SELECT CAST(o_orderkey + 7 AS BIGINT) AS qc_id, CAST(o_orderkey AS BIGINT) AS run_id, CASE WHEN o_custkey % 3 = 2 THEN 'F' WHEN o_orderkey % 5 = 0 THEN 'ambiguous' ELSE 'M' END AS sex_inferred,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'a' ELSE 'x; chrx_anomalies=' || CAST(o_orderkey % 9 AS VARCHAR(3)) END AS qc_notes FROM orders""",
+    "s_release_rows": """
+        SELECT CAST(o_orderkey AS BIGINT) AS row_id, 'db' || CAST(o_custkey % 7 AS VARCHAR(3)) AS source_db, substr(CAST(o_orderdate AS VARCHAR(12)), 1, 7) AS version,
+               CAST((o_custkey % 7) * 1000 + (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS BIGINT) AS source_version_id, o_orderkey % 5 = 0 AS is_weight FROM orders""",
+    "s_registry": """
+        SELECT source_version_id, source_db, version, CAST(count(*) AS INT) AS record_count FROM s_release_rows GROUP BY source_version_id, source_db, version
+        UNION ALL SELECT CAST((n_nationkey % 7) * 1000 + 900 + n_nationkey AS BIGINT), 'db' || CAST(n_nationkey % 7 AS VARCHAR(3)), 'empty-' || n_name, 0 FROM nation""",
+    "s_live": """
+        SELECT source_db, max(source_version_id) AS current_source_version_id FROM s_release_rows WHERE version < '1997-09' AND source_db <> 'db6' GROUP BY source_db""",
     "s_cpic": """
         SELECT CAST(p_partkey AS BIGINT) AS guideline_id, p_brand AS gene_symbol, p_type AS drug_name, CASE p_size % 4 WHEN 0 THEN 'Poor Metabolizer' WHEN 1 THEN 'Poor Metabolizer, high' WHEN 2 THEN 'Normal Metabolizer' ELSE 'Rapid' END AS phenotype,
                CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 'do ' || CAST(p_size AS VARCHAR(3)) END AS recommendation, substr('ABCD', 1 + CAST(p_size % 4 AS INT), 1) AS cpic_level, CAST(CASE WHEN p_partkey % 3 = 0 THEN 11 ELSE 12 END AS BIGINT) AS source_version_id FROM part""",

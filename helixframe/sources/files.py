@@ -13,8 +13,8 @@ GZIP_EXTRA, END_BLOCK = "1f8b0804", "1f8b08040000000000ff0600424302001b000300000
 
 
 def write_partitions(rows: DataFrame, path: str, by: str = "chrom") -> None:
-    """Parquet with a folder for each value of `by`; each value has one writer."""
-    rows.repartition(by).write.partitionBy(by).parquet(path)
+    """Parquet with a folder for each value of `by`; a value has one writer, or several where it has many rows."""
+    rows.hint("rebalance", by).write.partitionBy(by).parquet(path)
 
 
 def read_partition(spark: SparkSession, path: str, value: str, by: str = "chrom") -> DataFrame:

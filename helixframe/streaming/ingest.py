@@ -1,8 +1,9 @@
 """Streaming ingest of chip exports, beyond the batch engine: a file source feeds the same upsert, batch by batch.
 
-The store is a folder of Parquet snapshots and a pointer file; each micro-batch
-writes a new snapshot and then moves the pointer, so a batch that is retried
-after a failure writes its own snapshot again and readers never see half of one.
+Variants and calls live in a snapshot store. A batch is one commit of both, whose
+note says which batch of which stream it was, so a batch that Spark gives again,
+because the commit was made but not marked, changes nothing; one that failed before
+its commit starts again from the state before it.
 """
 
 from __future__ import annotations
@@ -12,41 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from helixframe.operators import ingest
+from helixframe.operators.store import Store
 from helixframe.sources import chips
 
+VARIANTS = "variant_id long, rsid string, chrom string, pos_grch38 long, ref_allele string, alt_allele string, variant_type string"
+CALLS = "variant_id long, source string, genotype_raw string, allele_1 string, allele_2 string, is_no_call boolean, is_active boolean"
 
-def _pointer(spark: SparkSession, store: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{store}/current")
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+def upsert(store: Store, batch: DataFrame, number: int, stream: str, name: str) -> None:
+    """One batch of lines into the store, unless the store has it."""
+    change = store.begin()
+    done = store.manifest(change.base)["note"].get("batches", {})
+    if done.get(stream, -1) >= number:
+        return
+    empty = store.spark.createDataFrame
+    variants = change.read("variants") if "variants" in change.tables else empty([], VARIANTS)
+    calls = change.read("calls") if "calls" in change.tables else empty([], CALLS)
+    v, c = ingest.write_calls(ingest.normalise(chips.calls_a(batch)), variants, calls, name)
+    change.replace("variants", v)
+    change.replace("calls", c)
+    change.commit(batches=done | {stream: number})
 
-def current(spark: SparkSession, store: str) -> str | None:
-    """Folder of the live snapshot."""
-    path, fs = _pointer(spark, store)
-    return spark.read.text(f"{store}/current").first()[0] if fs.exists(path) else None
 
+def start(spark: SparkSession, source: str, root: str, checkpoint: str, name: str = "23andme") -> StreamingQuery:
+    """Upsert every new layout-A file under source into the store at root; a stream is known by its checkpoint."""
 
-def flip(spark: SparkSession, store: str, snapshot: str) -> None:
-    spark.createDataFrame([(snapshot,)], "value string").coalesce(1).write.mode("overwrite").text(f"{store}/current")
+    def each(batch: DataFrame, number: int) -> None:
+        upsert(Store(batch.sparkSession, root), batch, number, checkpoint, name)
 
-
-def start(spark: SparkSession, source: str, store: str, checkpoint: str, name: str = "23andme") -> StreamingQuery:
-    """Upsert every new layout-A file under source into the store."""
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        stage = ingest.normalise(chips.calls_a(batch))
-        at = current(batch.sparkSession, store)
-        empty = batch.sparkSession.createDataFrame
-        variants = batch.sparkSession.read.parquet(f"{at}/variants") if at else empty([], "variant_id long, rsid string, chrom string, pos_grch38 long, ref_allele string, alt_allele string, variant_type string")
-        calls = batch.sparkSession.read.parquet(f"{at}/calls") if at else empty([], "variant_id long, source string, genotype_raw string, allele_1 string, allele_2 string, is_no_call boolean, is_active boolean")
-        v, c = ingest.write_calls(stage, variants, calls, name)
-        to = f"{store}/snapshot-{number}"
-        v.write.mode("overwrite").parquet(f"{to}/variants")
-        c.write.mode("overwrite").parquet(f"{to}/calls")
-        flip(batch.sparkSession, store, to)
-
-    return spark.readStream.text(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spark.readStream.text(source).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_states(records: DataFrame, key: str = "pr_key", seq: str = "record_seq") -> DataFrame:

@@ -76,13 +76,15 @@ def test_import_guards(spark):
     assert [r.v for r in df.select(guards.import_verdict(*[F.col(c) for c in df.columns]).alias("v")).collect()] == ["ok", "sex not determined", "ok", "already imported", "ok", "ok"]
 
 
-def test_scripts_and_views(spark):
-    script = "-- a; b\nSELECT 'x;y', 'it''s' ; /* c; */ ;\n;CREATE VIEW v1 AS SELECT 1 - 2 / 4 AS n -- ; end\n"
-    assert guards.statements(script) == ["-- a; b\nSELECT 'x;y', 'it''s'", "CREATE VIEW v1 AS SELECT 1 - 2 / 4 AS n -- ; end"]
-    assert guards.statements(" -- only; a comment") == []
-    assert guards.recreate_view(spark, script, "v1").first().n == 0.5 == guards.recreate_view(spark, script, "v1").first().n
-    with pytest.raises(ValueError):
-        guards.recreate_view(spark, script, "v2")
+def test_views_are_made_anew(spark):
+    now = {"rows": spark.range(3)}
+    definitions = {"v1": lambda: now["rows"].selectExpr("count(*) AS n"), "v2": lambda: now["rows"].selectExpr("max(id) AS m")}
+    assert guards.materialise(spark, definitions)["v1"].first().n == 3
+    now["rows"] = spark.range(5).withColumn("more", F.lit(1))
+    made = guards.materialise(spark, definitions, ["v1"])
+    assert made["v1"].first().n == 5 and spark.table("v2").first().m == 2
+    with pytest.raises(ValueError, match="v3"):
+        guards.materialise(spark, definitions, ["v1", "v3"])
 
 
 def test_catalog_checks(spark):
