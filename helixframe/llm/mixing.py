@@ -7,15 +7,15 @@ after epoch, form its token stream. A document copy whose stream offset is c is
 trained on at the time t where the integrated schedule D_s(t) = T_s * (t + a_s * (t^2 - t))
 reaches c; D_s is inverted in closed form. Documents are range-sorted by t.
 
-Only DataFrame and SQL functions are used. The running sums within a source go
-over hash buckets (a source's bucket totals first, then each bucket alone), and
-those over sources over ranges of sources, so no source, however hot, and no
-list of sources, however long, is gathered into one task.
+Only DataFrame and SQL functions are used. The running sums within a source and
+those over sources are prefix scans over ranges, so no source, however hot, and no
+list of sources, however long, is gathered into one task. Rows of one id and text,
+of which there may be any number, are summed by the split that they stand in, so
+they aren't either.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,12 +23,9 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.rows import ROW, carried, returned
 from helixframe.llm.words import n_words
+from helixframe.operators import scan
 from helixframe.session import Scratch
 
-#: Rows of a source's bucket, about, where no source has all rows; the fewest and most hex digits of the order key that make a bucket.
-BUCKET_ROWS, DIGITS = 1 << 18, (2, 8)
-
-
 def _running(rows: DataFrame, scratch: Scratch, name: str, order: Sequence[str], **sums: str) -> DataFrame:
     """rows with running sums over the whole order, the row itself left out: ranges of rows first, then each range alone.
 
@@ -96,22 +93,21 @@ def _placed(docs: DataFrame, weights: Mapping[str | None, int] | None = None, cy
     of = lambda c: F.col(f"`{c}`")
     order = F.md5(F.concat(F.lit("mix "), F.coalesce(of("doc_id").cast("string"), F.lit("-"))))
     source = F.coalesce(F.concat(F.lit("s"), of("source").cast("string")), F.lit("z"))
+    place = [F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("at")]  # as written, so they stay what they are
     # words are counted once; what is read twice below is this table
-    sized = scratch.save(carried(docs, source.alias("src"), n_words(of("text")).alias("size"), order.alias("order"), of("doc_id").alias("doc"), F.xxhash64(of("text")).alias("tie"), only=keep), "sized")
-    rows = sized.count()
-    digits = min(DIGITS[1], max(DIGITS[0], math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16))))
-    bucket = F.substring("order", 1, digits)
-    buckets = scratch.save(sized.groupBy("src", bucket.alias("bucket")).agg(F.sum("size").alias("held")), "buckets")
-    plan = targets(buckets.groupBy("src").agg(F.sum("held").alias("source_size")), weights, cycle, epochs)
-    earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sized = scratch.save(carried(docs, source.alias("src"), n_words(of("text")).alias("size"), order.alias("order"), of("doc_id").alias("doc"), F.xxhash64(of("text")).alias("tie"), *place, only=keep), "sized")
+    # rows of one id and text are alike: each split has its run of them, and only runs are put in order
+    alike = ["src", "order", "tie", "split"]
+    parts = scratch.save(sized.groupBy(*alike).agg(F.sum("size").alias("held")), "parts")
+    plan = scratch.save(targets(parts.groupBy("src").agg(F.sum("held").alias("source_size")), weights, cycle, epochs), "plan")
     turn = ((F.col("rank") - 1) % len(slopes)).cast("int")
     starts = (
-        buckets.withColumn("base", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+        scan.running(parts, ["order", "tie", "split"], ["src"], upto="held")
         .join(plan, "src")
-        .select("src", "bucket", "base", "source_size", "target", F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), turn + 1).alias("slope"))
+        .select(*alike, (F.col("upto") - F.col("held")).alias("base"), "source_size", "target", F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), turn + 1).alias("slope"))
     )
-    within = Window.partitionBy("src", "bucket").orderBy("order", "doc", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("bucket", bucket).join(starts, ["src", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = Window.partitionBy(*alike).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.join(starts.hint("merge"), alike).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     taken = lambda e: ((2 * (e * F.col("source_size") + F.col("start")) + F.col("size")).cast("double") <= 2 * F.col("target")).cast("int")
     copies = sum((taken(e) for e in range(1, epochs)), taken(0)).cast("long")
     return placed.select(ROW, "doc", "size", "source_size", "target", copies.alias("copies"), "start", "slope")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import mixing
 
@@ -72,3 +73,25 @@ def test_native(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
     plan = mixing.mix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and docs.count()
+
+
+def test_rows_without_ids_and_rows_of_one_id_lie_in_many_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    n = 40000
+    text = F.when(F.col("id") % 3 == 0, "all alike here").otherwise(F.concat(F.lit("a b c "), F.col("id").cast("string")))
+    docs = spark.range(n).repartition(8).select(F.when(F.col("id") % 2 == 0, None).otherwise(7).cast("long").alias("doc_id"), text.alias("text"), F.lit("hot").alias("source"))
+    found = mixing.mix(docs, weights={"hot": 1}, epochs=3)
+    rows = found.select("__start", "__size", "__copies", "__target", "__source_size", F.spark_partition_id().alias("task")).collect()
+    at = 0
+    for r in sorted(rows, key=lambda r: r["__start"]):  # the offsets have no gap and no overlap
+        assert r["__start"] == at
+        at += r["__size"]
+    assert at == rows[0]["__source_size"] and len(rows) == n
+    by_task = {}
+    for r in rows:
+        by_task[r.task] = by_task.get(r.task, 0) + 1
+    assert len(by_task) == 8 and max(by_task.values()) < n / 4
+    assert abs(sum(r["__size"] * r["__copies"] for r in rows) - rows[0]["__target"]) <= 2
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
