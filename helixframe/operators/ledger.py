@@ -147,12 +147,6 @@ def proposal(tallied: DataFrame, least: int = 3) -> DataFrame:
     return tallied.filter(F.abs("net") >= least).select("knob", (-F.signum("net")).cast("int").alias("step"))
 
 
-def audit_pairs(log: DataFrame) -> DataFrame:
-    """Intent and result rows of a call by endpoint and payload hash: results seen and whether one is missing."""
-    ext = log.filter("external_call = 1")
-    return ext.groupBy("external_endpoint", "external_payload_hash").agg(F.count("*").alias("n"), F.min("log_id").alias("intent_id"), F.max("log_id").alias("result_id")).withColumn("open", F.col("n") % 2 == 1)
-
-
 def note_marker(notes: Column, marker: str, text: Column) -> Column:
     """notes with an earlier `marker=...` part removed and the new one at the end."""
     bare = F.regexp_replace(F.coalesce(notes, F.lit("")), f"(^|; ){marker}=[^;]*", "")

@@ -13,7 +13,7 @@ from helixframe.operators.store import Store
 from helixframe.plans.catalog import DISC, c, plan, resolved_of
 from helixframe.plans.catalog_more import _KEY, EXPORT, NORM, REGION, VCF, exported, stage
 from helixframe.session import Scratch
-from helixframe.sources import blockgzip, files, vcf
+from helixframe.sources import blockgzip, files, jsonarray, vcf
 
 
 def folder(t) -> str:
@@ -30,13 +30,14 @@ def spark_of(t):
 CPIC = "guideline_id long, gene_symbol string, drug_name string, phenotype string"
 
 
-def cpic_arrays(t) -> DataFrame:
-    path = folder(t)
-    files.write_json_arrays(t("s_cpic").select("guideline_id", "gene_symbol", "drug_name", "phenotype"), path, F.floor(c("guideline_id") / 5000))
-    return files.read_json_arrays(spark_of(t), path, CPIC)
+def cpic_array(t) -> DataFrame:
+    """All guidelines as one JSON array in one file, read back in stretches of 64 KB."""
+    path = f"{folder(t)}/cpic.json"
+    jsonarray.write(t("s_cpic").select("guideline_id", "gene_symbol", "drug_name", "phenotype"), path)
+    return jsonarray.read(spark_of(t), path, CPIC, stretch=1 << 16)
 
 
-plan("S11", "SELECT guideline_id, gene_symbol, drug_name, phenotype FROM s_cpic")(cpic_arrays)
+plan("S11", "SELECT guideline_id, gene_symbol, drug_name, phenotype FROM s_cpic")(cpic_array)
 
 RUNS = "rg AS (SELECT chrom, pos_grch38, sum(b) OVER (PARTITION BY chrom ORDER BY pos_grch38) AS k FROM (SELECT *, coalesce((pos_grch38 - lag(pos_grch38) OVER (PARTITION BY chrom ORDER BY pos_grch38) > 150)::INT, 1) AS b FROM (SELECT DISTINCT chrom, pos_grch38 FROM s_gnomad WHERE af_global < 0.01))), rr AS (SELECT chrom, min(pos_grch38) AS s, max(pos_grch38) AS e FROM rg GROUP BY chrom, k)"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
-from helixframe.operators import canonical, collapse, graph, ingest, intervals, ledger, quality, rollup, scan, versions
+from helixframe.operators import canonical, collapse, graph, ingest, intervals, ledger, matching, quality, rollup, scan, versions
 from helixframe.plans.catalog import CHROM, IS_CHROM, LIVE, MAIN, PAR, PLANS, SQL, c, consensus_of, index_of, plan
 from helixframe.plans import views
 from helixframe.session import Scratch
@@ -361,7 +361,17 @@ plan("D30", LATEST + ", d AS (SELECT pr_key, unnest(depends_on) AS d FROM l WHER
 plan("D31", "SELECT pr_key, count(*) AS n FROM s_ledger GROUP BY 1 HAVING count(*) > 1")(lambda t: ledger.duplicates(t("s_ledger"), "pr_key"))
 plan("D31u", "SELECT DISTINCT ref FROM (SELECT unnest(depends_on) AS ref FROM s_ledger) WHERE ref NOT IN (SELECT pr_key FROM s_ledger)")(lambda t: ledger.unresolved(t("s_ledger").select(F.explode("depends_on").alias("ref")), "ref", t("s_ledger"), "pr_key"))
 plan("D31c", "SELECT record_seq FROM s_ledger WHERE record_seq % 4 = 0 AND delta <> 0")(lambda t: ledger.changed(t("s_ledger").select("record_seq", "delta", "knob"), t("s_ledger").select("record_seq", F.when(c("record_seq") % 4 == 0, F.lit(0).cast("long")).otherwise(c("delta")).alias("delta"), "knob"), "record_seq", ["delta", "knob"]))
-plan("D32", "SELECT external_endpoint, external_payload_hash, count(*) AS n, min(log_id) AS intent_id, max(log_id) AS result_id, count(*) % 2 = 1 AS open FROM s_audit WHERE external_call = 1 GROUP BY 1, 2")(lambda t: ledger.audit_pairs(t("s_audit")))
+CALLS_LOG = "SELECT external_endpoint AS key, log_id AS id, at_seconds AS moment, CAST(floor(log_id / 3) AS BIGINT) % 5 IN (0, 2) AS is_intent, log_id % 7 = 0 AS failed FROM s_audit WHERE external_call = 1"
+# the queue, event by event: x counts the intents that have left
+plan("D32", f"""WITH RECURSIVE e AS ({CALLS_LOG}), n AS (SELECT *, CASE WHEN is_intent THEN 1 ELSE 2 END AS kind, sum(is_intent::INT) OVER (PARTITION BY key ORDER BY moment, CASE WHEN is_intent THEN 1 ELSE 2 END, id) AS number FROM e),
+ ev AS (SELECT key, id, moment, kind, number, failed FROM n UNION ALL SELECT key, id, moment + 900, 0, number, failed FROM n WHERE is_intent), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY moment, kind, id) AS step FROM ev),
+ q AS (SELECT key, 0::BIGINT AS step, 0::BIGINT AS x, FALSE AS closes, NULL::BIGINT AS id FROM (SELECT DISTINCT key FROM e)
+  UNION ALL SELECT q.key, o.step, CASE o.kind WHEN 0 THEN greatest(x, o.number) WHEN 2 THEN least(x + 1, o.number) ELSE x END, o.kind = 2 AND x < o.number, o.id FROM q JOIN o ON o.key = q.key AND o.step = q.step + 1),
+ c AS (SELECT key, x AS number, id AS result_id FROM q WHERE closes)
+ SELECT i.key, i.id AS intent_id, c.result_id, CASE WHEN c.result_id IS NULL THEN 'lost' WHEN r.failed THEN 'failure' ELSE 'success' END AS outcome FROM n i LEFT JOIN c ON c.key = i.key AND c.number = i.number LEFT JOIN n r ON r.id = c.result_id WHERE i.is_intent
+ UNION ALL SELECT key, NULL, id, 'stray' FROM n WHERE NOT is_intent AND id NOT IN (SELECT result_id FROM c)""")(
+    lambda t: matching.match(t("s_audit").filter("external_call = 1").select(c("external_endpoint").alias("key"), c("log_id").alias("id"), c("at_seconds").alias("at"), (F.floor(c("log_id") / 3) % 5).isin(0, 2).alias("is_intent"), (c("log_id") % 7 == 0).alias("failed")), 900)
+)
 plan("D34", "SELECT * FROM s_runs UNION ALL SELECT max(run_id) + 1, 'ancestry', 'pending' FROM s_runs")(lambda t: t("s_runs").unionByName(t("s_runs").agg((F.max("run_id") + 1).alias("run_id")).select("run_id", F.lit("ancestry").alias("source"), F.lit("pending").alias("status"))))
 
 # 2.11 scalar functions on real text
