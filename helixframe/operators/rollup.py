@@ -28,16 +28,14 @@ def canonical_rsid(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 def clinvar(variants: DataFrame, annotations: DataFrame, pointers: DataFrame) -> DataFrame:
     """Worst significance, best star rating, count and conditions by variant."""
     rows = live(annotations, pointers, "clinvar").filter("pos_grch38 is not null").join(variants.select("variant_id", *KEY), KEY)
-    # conditions are exploded on their own so that the other aggregates see a row once
-    said = rows.select("variant_id", F.explode("conditions").alias("condition")).groupBy("variant_id").agg(X.sorted_distinct(F.col("condition")).alias("clinvar_conditions"))
-    text = F.col("clinical_significance")
-    main = rows.groupBy("variant_id").agg(
+    text, none = F.col("clinical_significance"), F.array().cast("array<string>")
+    said = F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set("conditions")))))
+    return rows.groupBy("variant_id").agg(
         X.best_value(text, X.significance_rank(text)).alias("clinvar_significance"),
         F.max("star_rating").alias("clinvar_star_rating"),
         F.count("*").cast("int").alias("clinvar_count"),
+        F.coalesce(said, none).alias("clinvar_conditions"),
     )
-    empty = F.array().cast("array<string>")
-    return main.join(said, "variant_id", "left").withColumn("clinvar_conditions", F.coalesce("clinvar_conditions", empty))
 
 
 def gwas(variants: DataFrame, associations: DataFrame, aliases: DataFrame, pointers: DataFrame) -> DataFrame:
@@ -77,9 +75,16 @@ def keys(*rolls: DataFrame) -> DataFrame:
 
 def build(variants: DataFrame, clinvar_rows: DataFrame, gwas_rows: DataFrame, gnomad_rows: DataFrame, pharmgkb_rows: DataFrame, aliases: DataFrame, pointers: DataFrame, versions_json: str | None = None) -> DataFrame:
     """The index without last_refreshed: one row for each variant that any roll-up has."""
-    c, g = clinvar(variants, clinvar_rows, pointers), gwas(variants, gwas_rows, aliases, pointers)
-    f, d = gnomad(variants, gnomad_rows, pointers), pharmgkb(variants, pharmgkb_rows, aliases, pointers)
-    marked = keys(c, g, f, d).join(c.withColumn("__c", F.lit(True)), "variant_id", "left").join(g, "variant_id", "left").join(f, "variant_id", "left").join(d.withColumn("__d", F.lit(True)), "variant_id", "left")
+    rolls = {
+        "c": clinvar(variants, clinvar_rows, pointers),
+        "g": gwas(variants, gwas_rows, aliases, pointers),
+        "f": gnomad(variants, gnomad_rows, pointers),
+        "d": pharmgkb(variants, pharmgkb_rows, aliases, pointers),
+    }
+    # each roll-up is planned once: its row is one struct, and a variant's up to four rows meet in one aggregate
+    rows = [r.select("variant_id", F.struct(*r.columns[1:]).alias(f"__{k}")) for k, r in rolls.items()]
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("variant_id").agg(*[F.any_value(f"__{k}", True).alias(f"__{k}") for k in rolls])
+    marked = united.select("variant_id", "__c.*", "__g.*", "__f.*", "__d.*", *[F.when(F.col(f"__{k}").isNotNull(), True).alias(f"__{k}") for k in ("c", "d")])
     none = F.array().cast("array<string>")
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     return marked.select(

@@ -11,6 +11,7 @@ stretch, reading on until the last of them ends.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -201,7 +202,7 @@ def write(rows: DataFrame, path: str) -> None:
                 separator = b"[\n"
                 for part in parts:
                     with fs.open_input_file(part) as f:
-                        for line in f:
+                        for line in io.BufferedReader(f, MORE):
                             out.write(separator + line.rstrip(b"\n"))
                             separator = b",\n"
                 out.write(b"\n]\n" if separator[:1] == b"," else b"[]\n")
