@@ -181,8 +181,10 @@ plan("V03", _FULL + " SELECT a.*, v.rsid, v.chrom, v.pos_grch38, v.ref_allele, v
 plan("V04", "SELECT p.derived_pgs_id, p.pgs_id, s.trait_reported, s.trait_category, p.percentile, p.z_score, p.low_coverage, CASE WHEN p.percentile >= 90 THEN 'high_risk' ELSE 'low_risk' END AS bucket FROM s_pgs p JOIN s_scores s ON s.pgs_id = p.pgs_id WHERE p.is_active AND NOT p.low_coverage AND (p.percentile >= 90 OR p.percentile <= 10)")(lambda t: views.pgs_extremes(t("s_pgs"), t("s_scores")))
 for _k in ("V05", "K01"):
     plan(_k, "SELECT gene_symbol, condition_name, carrier_status FROM s_carrier WHERE is_active ORDER BY gene_symbol, condition_name")(lambda t: views.carrier_panel(t("s_carrier")))
+#: The tables of active results, by analysis.
+DERIVED = {"pgs": "s_pgs", "pgx": "s_pgx", "carrier": "s_carrier", "acmg_sf": "s_acmg", "hla": "s_hla", "roh": "s_roh", "haplogroup": "s_haplogroups", "global_ancestry": "s_global_ancestry", "archaic": "s_archaic", "compound_het": "s_compound_het"}
 for _k in ("V06", "A41"):
-    plan(_k, "SELECT 'pgs' AS analysis_type, count(*) AS active_count FROM s_pgs WHERE is_active UNION ALL SELECT 'pgx', count(*) FROM s_pgx WHERE is_active UNION ALL SELECT 'carrier', count(*) FROM s_carrier WHERE is_active UNION ALL SELECT 'acmg_sf', count(*) FROM s_acmg WHERE is_active")(lambda t: views.derived_summary({"pgs": t("s_pgs"), "pgx": t("s_pgx"), "carrier": t("s_carrier"), "acmg_sf": t("s_acmg")}))
+    plan(_k, " UNION ALL ".join(f"SELECT '{n}' AS analysis_type, count(*) AS active_count FROM {x} WHERE is_active" for n, x in DERIVED.items()))(lambda t: views.derived_summary({n: t(x) for n, x in DERIVED.items()}))
 
 
 def insights_of(t) -> DataFrame:
@@ -199,7 +201,7 @@ for _k in ("K02", "V08m"):
     plan(_k, "SELECT medication_id, drug_name, pgx_warning_count FROM s_medications WHERE is_active = 1 ORDER BY pgx_warning_count DESC, drug_name")(lambda t: views.active_medications(t("s_medications")))
 for _k in ("K03", "V08"):
     plan(_k, "SELECT * FROM s_jobs WHERE status IN ('queued', 'running') ORDER BY status DESC, priority, coalesce(scheduled_for, created_at)")(lambda t: views.pending_jobs(t("s_jobs")))
-plan("K04", "SELECT * FROM s_audit WHERE at_seconds > (SELECT max(at_seconds) FROM s_audit) - 86400 ORDER BY at_seconds DESC")(lambda t: views.recent_audit(t("s_audit"), t("s_audit").agg(F.max("at_seconds")).first()[0], window=86400))
+plan("K04", "SELECT * FROM s_audit WHERE at_seconds > (SELECT max(at_seconds) FROM s_audit) - 30 * 86400 ORDER BY at_seconds DESC")(lambda t: views.recent_audit(t("s_audit"), t("s_audit").agg(F.max("at_seconds")).scalar()))
 plan("A37", "SELECT external_endpoint, count(*) AS call_count, max(at_seconds) AS last_call, min(at_seconds) AS first_call FROM s_audit WHERE external_call = 1 GROUP BY 1")(lambda t: views.external_call_summary(t("s_audit")))
 plan("J21", "WITH o AS (SELECT *, max(observed_at) OVER (PARTITION BY phenotype_id) AS m FROM s_observations) SELECT p.*, o.observed_at, o.value_text FROM s_phenotypes p LEFT JOIN o ON o.phenotype_id = p.phenotype_id AND o.observed_at = o.m")(lambda t: views.latest_observations(t("s_phenotypes"), t("s_observations")))
 plan("V09", "SELECT term, doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS term FROM documents) GROUP BY 1, 2")(lambda t: views.note_terms(t("documents"), "doc_id", "text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
-from helixframe.operators import canonical, collapse, graph, ingest, intervals, ledger, matching, quality, rollup, scan, versions
+from helixframe.operators import canonical, collapse, graph, ingest, intervals, ledger, matching, quality, replay, rollup, scan, versions
 from helixframe.plans.catalog import CHROM, IS_CHROM, LIVE, MAIN, PAR, PLANS, SQL, c, consensus_of, index_of, plan
 from helixframe.plans import views
 from helixframe.session import Scratch
@@ -299,7 +299,7 @@ plan("A36", f"SELECT {_BIN('af_global', quality.MAF_BINS)} AS maf_bin, {_BIN('(a
 plan("A39", "SELECT knob, CAST(sum(sign(delta)) AS BIGINT) AS net, count(*) AS n FROM s_ledger GROUP BY 1")(lambda t: ledger.tally(t("s_ledger")))
 plan("K09", "SELECT * FROM (SELECT knob, CAST(sum(sign(delta)) AS BIGINT) AS net, count(*) AS n FROM s_ledger GROUP BY 1) ORDER BY abs(net) DESC, knob LIMIT 1")(lambda t: ledger.top_knob(ledger.tally(t("s_ledger"))))
 plan("A40", """WITH p AS (SELECT depends_on AS a, list_distinct([pr_key, 'PR-0', 'PR-1']) AS b FROM s_ledger), s AS (SELECT CAST(sum(len(list_intersect(a, b))) AS BIGINT) AS hit, CAST(sum(len(list_distinct(a))) AS BIGINT) AS said, CAST(sum(len(b)) AS BIGINT) AS "true" FROM p) SELECT *, round(hit / said, 6) AS precision, round(hit / "true", 6) AS recall FROM s""")(lambda t: ledger.overlap(t("s_ledger").select(c("depends_on").alias("a"), F.array("pr_key", F.lit("PR-0"), F.lit("PR-1")).alias("b")), "a", "b"))
-plan("A42", "SELECT count(*) AS n FROM (SELECT DISTINCT pr_key AS a, unnest(depends_on) AS b FROM s_ledger)")(lambda t: ledger.edges(t("s_ledger").withColumn("down", F.array().cast("array<string>")), "pr_key", "depends_on", "down").agg(F.count("*").alias("n")))
+plan("A42", "SELECT count(*) AS n FROM (SELECT pr_key AS a, unnest(depends_on) AS b FROM s_ledger UNION SELECT 'PR-' || (record_seq % 50), pr_key FROM s_ledger WHERE record_seq % 4 = 1)")(lambda t: ledger.edges(t("s_ledger").withColumn("down", F.when(c("record_seq") % 4 == 1, F.array(F.concat(F.lit("PR-"), c("record_seq") % 50)))), "pr_key", "depends_on", "down").agg(F.count("*").alias("n")))
 
 # 2.5 windows
 
@@ -355,8 +355,28 @@ plan("D23", "SELECT DISTINCT chrom FROM s_gnomad WHERE source_version_id = 5")(l
 plan("D25", "SELECT run_id, CASE WHEN status = 'processing' AND run_id % 3 = 0 THEN 'completed' ELSE status END AS status FROM s_runs")(lambda t: t("s_runs").select("run_id", F.when((c("status") == "processing") & (c("run_id") % 3 == 0), "completed").otherwise(c("status")).alias("status")))
 plan("D26", "SELECT qc_id, CASE WHEN qc_notes IS NULL THEN 'chrx_anomalies=7' WHEN qc_notes = 'a' THEN 'a; chrx_anomalies=7' ELSE 'x; chrx_anomalies=7' END AS qc_notes FROM s_qc")(lambda t: t("s_qc").select("qc_id", ledger.note_marker(c("qc_notes"), "chrx_anomalies", F.lit("7")).alias("qc_notes")))
 _TR = "CASE b WHEN 'pending' THEN state IN ('ready', 'blocked', 'parked') WHEN 'ready' THEN state IN ('running', 'parked') WHEN 'running' THEN state IN ('done', 'blocked') WHEN 'blocked' THEN state IN ('ready', 'parked') WHEN 'parked' THEN state = 'pending' WHEN 'done' THEN FALSE ELSE TRUE END"
-for _k in ("D29", "G11"):
-    plan(_k, f"SELECT record_seq, {_TR} AS is_legal FROM (SELECT *, lag(state) OVER (PARTITION BY pr_key ORDER BY record_seq) AS b FROM s_ledger)")(lambda t: ledger.transitions(t("s_ledger")).select("record_seq", "is_legal"))
+plan("D29", f"SELECT record_seq, {_TR} AS is_legal FROM (SELECT *, lag(state) OVER (PARTITION BY pr_key ORDER BY record_seq) AS b FROM s_ledger)")(lambda t: ledger.transitions(t("s_ledger")).select("record_seq", "is_legal"))
+# one event of every sub-scope a round
+G11 = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY sub_scope_id ORDER BY record_seq) AS n, split_part(event, ':', 1) AS kind, split_part(event, ':', 2) AS arg FROM s_campaign),
+ r(sub_scope_id, n, record_seq, before, after, outcome) AS (
+  SELECT sub_scope_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'pending:0', CAST(NULL AS VARCHAR) FROM e WHERE n = 1
+  UNION ALL SELECT sub_scope_id, n, record_seq, before, CASE outcome WHEN 'resplit' THEN 'pending:' || (d + 1) WHEN 'escalated' THEN 'ejected:' || d WHEN 'moved' THEN CASE arg WHEN 'still_needed' THEN 'planning' ELSE arg END || ':' || d ELSE before END, outcome FROM (
+   SELECT e.sub_scope_id, e.n, e.record_seq, r.after AS before, arg, CAST(split_part(r.after, ':', 2) AS INT) AS d,
+    CASE WHEN event IS NULL OR kind NOT IN ('to', 'approve', 'check') THEN 'unknown'
+     WHEN kind = 'check' THEN CASE WHEN r.after NOT LIKE 'ready:%' THEN 'refused' WHEN arg = 'grown' AND r.after = 'ready:0' THEN 'resplit' WHEN arg LIKE 'grown%' THEN 'escalated' WHEN arg = 'changed' THEN 'changed' ELSE 'moved' END
+     WHEN arg IN ('moot', 'ejected') AND split_part(r.after, ':', 1) IN ('pending', 'ready', 'planning') THEN 'moved' WHEN arg = 'ejected' AND r.after LIKE 'implementing:%' THEN 'moved'
+     WHEN (split_part(r.after, ':', 1), arg) IN (('pending', 'ready'), ('ready', 'planning')) THEN 'moved'
+     WHEN kind = 'approve' AND (split_part(r.after, ':', 1), arg) IN (('planning', 'implementing'), ('implementing', 'merged')) THEN 'moved' ELSE 'refused' END AS outcome
+   FROM r JOIN e ON e.sub_scope_id IS NOT DISTINCT FROM r.sub_scope_id AND e.n = r.n + 1) x)
+ SELECT record_seq, sub_scope_id, before, after, outcome FROM r WHERE n > 0"""
+
+
+@plan("G11", G11)
+def g11(t) -> DataFrame:
+    states, table = replay.revalidation()
+    return replay.fold(t("s_campaign"), "event", ["record_seq"], ["sub_scope_id"], states, table, "pending:0").select("record_seq", "sub_scope_id", "before", "after", "outcome")
+
+
 plan("D30", LATEST + ", d AS (SELECT pr_key, unnest(depends_on) AS d FROM l WHERE state = 'pending') SELECT d.pr_key FROM d LEFT JOIN l ON l.pr_key = d.d GROUP BY 1 HAVING bool_and(coalesce(l.state = 'done', FALSE))")(lambda t: ledger.promotable(now(t)))
 plan("D31", "SELECT pr_key, count(*) AS n FROM s_ledger GROUP BY 1 HAVING count(*) > 1")(lambda t: ledger.duplicates(t("s_ledger"), "pr_key"))
 plan("D31u", "SELECT DISTINCT ref FROM (SELECT unnest(depends_on) AS ref FROM s_ledger) WHERE ref NOT IN (SELECT pr_key FROM s_ledger)")(lambda t: ledger.unresolved(t("s_ledger").select(F.explode("depends_on").alias("ref")), "ref", t("s_ledger"), "pr_key"))

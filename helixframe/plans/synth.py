@@ -132,6 +132,12 @@ TEXTS = {
         SELECT CAST(s_suppkey AS BIGINT) AS derived_carrier_id, 'G' || CAST(s_nationkey AS VARCHAR(3)) AS gene_symbol, s_name AS condition_name, CASE WHEN s_suppkey % 2 = 0 THEN 'carrier' ELSE 'clear' END AS carrier_status, s_suppkey % 3 <> 0 AS is_active FROM supplier""",
     "s_acmg": """
         SELECT CAST(p_partkey AS BIGINT) AS derived_acmg_id, p_brand AS gene_symbol, CAST(p_partkey AS BIGINT) AS variant_id, CASE WHEN p_size % 2 = 0 THEN 'het' ELSE 'hom' END AS zygosity, p_size % 5 <> 0 AS is_active FROM part""",
+    "s_hla": "SELECT CAST(c_custkey AS BIGINT) AS derived_hla_id, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'DRB1' END AS locus, c_custkey % 8 <> 0 AS is_active FROM customer",
+    "s_roh": "SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS derived_roh_id, CAST(l_quantity AS BIGINT) AS length_kb, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE l_returnflag <> 'R' END AS is_active FROM lineitem",
+    "s_haplogroups": "SELECT CAST(client_id AS BIGINT) AS derived_haplogroup_id, segment AS haplogroup, CASE WHEN balance IS NOT NULL THEN balance > 0 END AS is_active FROM clients",
+    "s_global_ancestry": "SELECT CAST(change_id AS BIGINT) AS derived_ancestry_id, city AS population, op IS NOT NULL AND seq % 3 = 1 AS is_active FROM client_changes",
+    "s_archaic": "SELECT CAST(sale_id AS BIGINT) AS derived_archaic_id, total AS percent, CASE WHEN status IS NOT NULL THEN priority % 2 = 0 END AS is_active FROM sales",
+    "s_compound_het": "SELECT CAST(vendor_id AS BIGINT) AS derived_compound_het_id, name AS gene_symbol, nation_id % 4 <> 0 AS is_active FROM vendors",
     "s_insights": """
         SELECT md5('i' || CAST(o_orderkey AS VARCHAR(12))) AS insight_id, CASE o_orderkey % 4 WHEN 0 THEN 'pgx' WHEN 1 THEN 'prs' WHEN 2 THEN 'trait' ELSE 'carrier' END AS insight_type,
                CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS actionability, CASE o_orderkey % 5 WHEN 0 THEN '1A' WHEN 1 THEN '2B' WHEN 2 THEN '3' WHEN 3 THEN '1B' END AS evidence_tier,
@@ -141,7 +147,7 @@ TEXTS = {
     "s_insight_variants": "SELECT insight_id, k % 200 AS variant_id FROM s_insights WHERE k % 3 <> 1 UNION ALL SELECT insight_id, k % 90 AS variant_id FROM s_insights WHERE k % 5 = 0",
     "s_insight_traits": "SELECT insight_id, 'T' || CAST(k % 60 AS VARCHAR(5)) AS trait_id FROM s_insights WHERE k % 4 <> 2 UNION ALL SELECT insight_id, 'T' || CAST(k % 13 AS VARCHAR(5)) FROM s_insights WHERE k % 10 = 0",
     "s_audit": """
-        SELECT CAST(event_id AS BIGINT) AS log_id, CAST(event_id * 60 AS BIGINT) AS at_seconds, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS external_call, CASE WHEN event_id % 3 = 0 THEN 'host' || CAST(user_id % 6 AS VARCHAR(3)) END AS external_endpoint,
+        SELECT CAST(event_id AS BIGINT) AS log_id, CAST(event_id * 3600 AS BIGINT) AS at_seconds, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS external_call, CASE WHEN event_id % 3 = 0 THEN 'host' || CAST(user_id % 6 AS VARCHAR(3)) END AS external_endpoint,
                md5(CAST(user_id AS VARCHAR(9))) AS external_payload_hash, event_type AS action_type FROM events""",
     "s_jobs": """
         SELECT CAST(o_orderkey AS BIGINT) AS job_id, CASE o_orderkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status, CAST(o_custkey % 5 AS INT) AS priority,
@@ -154,6 +160,12 @@ TEXTS = {
                'k' || CAST(event_id % 7 AS VARCHAR(3)) AS knob, CAST(event_id % 5 AS BIGINT) - 2 AS delta, props AS payload,
                CASE WHEN event_id % 3 = 0 THEN {list}('PR-' || CAST(user_id % 10 AS VARCHAR(9)), 'PR-' || CAST(user_id + 1 AS VARCHAR(9))) ELSE {list}('PR-' || CAST(user_id % 4 AS VARCHAR(9))) END AS depends_on
         FROM events""",
+    "s_campaign": """
+        SELECT CAST(event_id AS BIGINT) AS record_seq, CASE WHEN user_id % 50 <> 0 THEN 'SS-' || CAST(user_id AS VARCHAR(9)) || '.' || CAST(event_id % 3 AS VARCHAR(9)) END AS sub_scope_id,
+               CASE (event_id + user_id) % 13 WHEN 0 THEN 'check:grown' WHEN 1 THEN 'check:still_needed' WHEN 2 THEN 'check:changed' WHEN 3 THEN 'to:implementing' WHEN 4 THEN 'approve:implementing'
+                 WHEN 5 THEN CASE WHEN event_id % 5 = 0 THEN 'approve:merged' ELSE 'to:merged' END WHEN 6 THEN 'to:planning' WHEN 7 THEN CASE WHEN event_id % 4 = 0 THEN 'check:moot' ELSE 'check:grown' END
+                 WHEN 8 THEN CASE WHEN event_id % 8 = 0 THEN 'check:grown_empty' ELSE 'noted' END WHEN 9 THEN CASE WHEN event_id % 6 = 0 THEN 'to:ejected' END ELSE 'to:ready' END AS event
+        FROM events""",
     "s_edges": """
         SELECT 's' || CAST(l_suppkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)) AS a, 'p' || CAST(l_partkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)) AS b, CAST(l_linenumber AS BIGINT) AS w FROM lineitem
         UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)), 's' || CAST(l_suppkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)), CAST(l_partkey % 3 AS BIGINT) FROM lineitem
