@@ -201,7 +201,27 @@ plan("J13", "SELECT alias_rsid, min(current_rsid) AS current_rsid FROM s_aliases
 plan("J14", "SELECT count(*) FILTER (WHERE s.publication_pmid IS NOT NULL AND n.n_nationkey IS NULL) AS lost_publications, count(*) FILTER (WHERE s.trait_category IS NOT NULL AND s.trait_category NOT IN ('cat1', 'cat2')) AS lost_traits FROM s_scores s LEFT JOIN nation n ON s.publication_pmid = 'PM' || n.n_nationkey AND n.n_nationkey < 20")(
     lambda t: loaders.pgs(t("s_scores").select("pgs_id", c("publication_pmid").alias("pgp_id"), c("trait_category").alias("efo_ids")), t("nation").filter("n_nationkey < 20").select(F.concat(F.lit("PM"), c("n_nationkey").cast("string")).alias("pgp_id"), F.lit("d").alias("doi"), F.lit("1").alias("pmid"), F.lit("2020-01-02").alias("date")), t("nation").limit(1).select(F.explode(F.array(F.lit("cat1"), F.lit("cat2"))).alias("efo_id"), F.lit("l").alias("label")), t("s_scores").select("pgs_id", F.lit("0.6").alias("auc"), F.lit(None).cast("string").alias("odds_ratio")).limit(0))[1]
 )
-plan("J15", "SELECT guideline_id, g AS gene_symbol, v AS phenotype, key_no FROM (SELECT guideline_id, unnest([gene_symbol, 'Z']) AS g, unnest([phenotype, 'p']) AS v, unnest([0, 1]) AS key_no FROM s_cpic)")(lambda t: loaders.lookup_rows(t("s_cpic").select("guideline_id", F.to_json(F.map_from_arrays(F.array("gene_symbol", F.lit("Z")), F.array("phenotype", F.lit("p")))).alias("lookupkey"))).select("guideline_id", "gene_symbol", "phenotype", "key_no"))
+plan("J15k", "SELECT guideline_id, g AS gene_symbol, v AS phenotype, key_no FROM (SELECT guideline_id, unnest([gene_symbol, 'Z']) AS g, unnest([phenotype, 'p']) AS v, unnest([0, 1]) AS key_no FROM s_cpic)")(lambda t: loaders.lookup_rows(t("s_cpic").select("guideline_id", F.to_json(F.map_from_arrays(F.array("gene_symbol", F.lit("Z")), F.array("phenotype", F.lit("p")))).alias("lookupkey"))).select("guideline_id", "gene_symbol", "phenotype", "key_no"))
+# the lookup key's forms: both genes, one, an empty object, a number for a text, no object, no JSON, null
+J15 = """WITH g AS (SELECT *, unnest(CASE WHEN form IN (0, 1) THEN [gene_a, gene_b] WHEN form = 2 THEN [gene_b] WHEN form = 3 THEN [gene_a] ELSE [] END) AS gene_symbol FROM s_recommendations),
+ d AS (SELECT drugid, (max({'o': ord, 'n': name, 'r': rxnormid})) AS x FROM s_drugs GROUP BY 1), u AS (SELECT guidelineid, max({'o': ord, 'u': url}) AS x FROM s_guidelines GROUP BY 1), p AS (SELECT drugid, genesymbol, max({'o': ord, 'l': cpiclevel, 'c': citations}) AS x FROM s_pairs GROUP BY 1, 2),
+ r AS (SELECT g.*, CASE WHEN gene_symbol = gene_a THEN ph_a ELSE 'Rapid' END AS phenotype FROM g)
+ SELECT CAST(id AS VARCHAR) AS cpic_id, gene_symbol, d.x['n'] AS drug_name, nullif(d.x['r'], '') AS drug_rxnorm_id, phenotype, nullif(drugrecommendation, '') AS recommendation, nullif(classification, '') AS classification_strength, nullif(p.x['l'], '') AS cpic_level,
+  CASE WHEN population = 'pediatrics' THEN TRUE END AS pediatric, nullif(u.x['u'], '') AS guideline_url, nullif(p.x['c'][1], '') AS publication_pmid, CAST(NULL AS DATE) AS last_updated
+ FROM r JOIN d ON d.drugid = r.drugid AND d.x['n'] <> '' LEFT JOIN u ON u.guidelineid = r.guidelineid LEFT JOIN p ON p.drugid = r.drugid AND p.genesymbol = gene_symbol WHERE phenotype <> ''"""
+
+
+@plan("J15", J15)
+def j15(t) -> DataFrame:
+    said = lambda k, v: F.concat(F.to_json(F.struct(v.alias("x"))))
+    pair = lambda k, v: F.concat(F.lit('"'), k, F.lit('":'), F.substring(said(k, v), 6, 1 << 20))
+    both = F.concat(F.lit("{"), F.regexp_replace(pair(c("gene_a"), c("ph_a")), r"\}$", ","), pair(c("gene_b"), F.lit("Rapid")))
+    one = F.concat(F.lit("{"), pair(c("gene_b"), F.lit("Rapid")))
+    odd = F.concat(F.lit('{"Z": 5, '), pair(c("gene_a"), c("ph_a")))
+    key = F.when(c("form") < 2, both).when(c("form") == 2, one).when(c("form") == 3, odd).when(c("form") == 4, "{}").when(c("form") == 5, '["x"]')
+    return loaders.cpic(t("s_recommendations").withColumn("lookupkey", key), t("s_drugs"), t("s_guidelines"), t("s_pairs"))
+
+
 for _k in ("J16",):
     plan(_k, "SELECT count(*) AS unmatched FROM s_variants v WHERE NOT EXISTS (SELECT 1 FROM s_gnomad x WHERE " + _KEY + ")")(lambda t: quality.match_anchors(t("s_variants").select("chrom", c("pos_grch38").alias("pos"), "ref_allele", "alt_allele").distinct().join(t("s_variants").select("variant_id", "chrom", c("pos_grch38").alias("pos"), "ref_allele", "alt_allele"), ["chrom", "pos", "ref_allele", "alt_allele"]), t("s_gnomad").select("chrom", c("pos_grch38").alias("pos"), "ref_allele", "alt_allele", c("af_global").alias("dose")).dropDuplicates(["chrom", "pos", "ref_allele", "alt_allele"]))[1])
 ALTS = f"da AS (SELECT chrom, pos_grch38, ref_allele AS dref, alt_b FROM (SELECT *, unnest(alt_alleles) AS alt_b FROM s_dbsnp WHERE {LIVE.format('dbsnp')} AND lower(variant_class) = 'snv' AND pos_grch38 IS NOT NULL AND ref_allele IN ('A','C','G','T')) WHERE alt_b IN ('A','C','G','T'))"

@@ -118,6 +118,17 @@ TEXTS = {
     "s_cpic": """
         SELECT CAST(p_partkey AS BIGINT) AS guideline_id, p_brand AS gene_symbol, p_type AS drug_name, CASE p_size % 4 WHEN 0 THEN 'Poor Metabolizer' WHEN 1 THEN 'Poor Metabolizer, high' WHEN 2 THEN 'Normal Metabolizer' ELSE 'Rapid' END AS phenotype,
                CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 'do ' || CAST(p_size AS VARCHAR(3)) END AS recommendation, substr('ABCD', 1 + CAST(p_size % 4 AS INT), 1) AS cpic_level, CAST(CASE WHEN p_partkey % 3 = 0 THEN 11 ELSE 12 END AS BIGINT) AS source_version_id FROM part""",
+    "s_recommendations": """
+        SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_custkey % 31 <> 0 THEN 'RxNorm:' || CAST(o_custkey % 90 AS VARCHAR(9)) END AS drugid, CASE WHEN o_orderkey % 8 <> 0 THEN CAST(o_custkey % 45 AS BIGINT) END AS guidelineid,
+               'G' || CAST(o_custkey % 23 AS VARCHAR(9)) AS gene_a, 'H' || CAST(o_orderkey % 5 AS VARCHAR(9)) AS gene_b, CASE o_orderkey % 3 WHEN 0 THEN 'Poor, "slow"' WHEN 1 THEN 'Normal' ELSE '' END AS ph_a, o_orderkey % 7 AS form,
+               CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'use ' || o_orderpriority END AS drugrecommendation, o_orderstatus AS classification, CASE o_orderkey % 4 WHEN 0 THEN 'pediatrics' WHEN 1 THEN 'pediatrics only' WHEN 2 THEN 'adults' END AS population
+        FROM orders""",
+    "s_drugs": "SELECT 'RxNorm:' || CAST(p_partkey % 80 AS VARCHAR(9)) AS drugid, CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN NULL ELSE p_name END AS name, CASE WHEN p_size % 5 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR(9)) END AS rxnormid FROM part",
+    "s_guidelines": "SELECT CAST(s_suppkey % 40 AS BIGINT) AS guidelineid, CAST(s_suppkey AS BIGINT) AS ord, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'https://g.example/' || s_name END AS url FROM supplier",
+    "s_pairs": """
+        SELECT 'RxNorm:' || CAST(l_partkey % 80 AS VARCHAR(9)) AS drugid, CASE WHEN l_linenumber = 4 THEN 'H' || CAST(l_suppkey % 5 AS VARCHAR(9)) ELSE 'G' || CAST(l_suppkey % 20 AS VARCHAR(9)) END AS genesymbol, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord,
+               CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE l_returnflag END AS cpiclevel, CASE l_orderkey % 4 WHEN 0 THEN {list}(CAST(l_orderkey AS VARCHAR(9)), '1') WHEN 1 THEN {list}('', '2') WHEN 2 THEN {list}(CAST(l_partkey AS VARCHAR(9))) END AS citations
+        FROM lineitem""",
     "s_pgx": """
         SELECT CAST(s_suppkey AS BIGINT) AS derived_pgx_id, 'Brand#' || CAST(1 + s_suppkey % 5 AS VARCHAR(3)) || CAST(1 + s_nationkey % 5 AS VARCHAR(3)) AS gene_symbol, '*1/*' || CAST(s_suppkey % 7 AS VARCHAR(3)) AS diplotype,
                CASE s_suppkey % 4 WHEN 0 THEN 'Poor%' WHEN 1 THEN 'Normal' WHEN 2 THEN 'Poor Metabolizer' ELSE 'Ultra' END AS phenotype, substr('PNIU', 1 + CAST(s_suppkey % 4 AS INT), 1) || 'M' AS phenotype_category,

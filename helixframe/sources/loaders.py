@@ -86,8 +86,10 @@ def pharmgkb(rows: DataFrame) -> DataFrame:
 
 
 def lookup_rows(rows: DataFrame, column: str = "lookupkey") -> DataFrame:
-    """One row for each (gene, phenotype) of a JSON object, in the order of its keys."""
-    return rows.select("*", F.posexplode(F.map_entries(F.from_json(column, "map<string,string>"))).alias("key_no", "kv")).select("*", F.col("kv.key").alias("gene_symbol"), F.col("kv.value").alias("phenotype")).drop("kv")
+    """One row for each (gene, phenotype) of a JSON object, in the order of its keys; an entry counts only if both are texts that aren't empty."""
+    found = rows.select("*", F.posexplode(F.map_entries(F.from_json(column, "map<string,variant>"))).alias("key_no", "kv"))
+    text = F.when(F.schema_of_variant("kv.value") == "STRING", F.variant_get("kv.value", "$", "string"))
+    return found.select("*", F.col("kv.key").alias("gene_symbol"), text.alias("phenotype")).drop("kv").filter("gene_symbol <> '' and phenotype <> ''")
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -97,12 +99,24 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def cpic(recommendations: DataFrame, drugs: DataFrame, guidelines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Recommendations with their drug (required), guideline and gene-drug pair, a row for each gene of the lookup key."""
-    d = last_wins(drugs, "drugid", "ord").select("drugid", F.col("name").alias("drug_name"), F.col("rxnormid").alias("drug_rxnorm_id"))
-    g = last_wins(guidelines, "guidelineid", "ord").select("guidelineid", F.col("url").alias("guideline_url"))
-    p = pairs.groupBy("drugid", "genesymbol").agg(F.max(F.struct("ord", "cpiclevel", "citations")).alias("p")).select("drugid", F.col("genesymbol").alias("gene_symbol"), F.col("p.cpiclevel").alias("cpic_level"), F.get("p.citations", F.lit(0)).alias("publication_pmid"))
+    """Rows of gene, drug and phenotype from recommendations, one for each gene of the lookup key.
+
+    A recommendation needs a drug that has a name; its guideline and the pair of
+    drug and gene may be missing. Of drugs, guidelines and pairs with one key the
+    last by ord counts, also if it has no name. Empty texts are null; of a pair's
+    citations the first counts; pediatric is true or null, as other populations
+    say nothing of age.
+    """
+    text = lambda x: F.nullif(F.col(x), F.lit(""))
+    d = last_wins(drugs, "drugid", "ord").select("drugid", text("name").alias("drug_name"), text("rxnormid").alias("drug_rxnorm_id")).filter("drug_name is not null")
+    g = last_wins(guidelines, "guidelineid", "ord").select("guidelineid", text("url").alias("guideline_url"))
+    p = pairs.groupBy("drugid", "genesymbol").agg(F.max(F.struct("ord", "cpiclevel", "citations")).alias("p")).select("drugid", F.col("genesymbol").alias("gene_symbol"), F.nullif("p.cpiclevel", F.lit("")).alias("cpic_level"), F.nullif(F.get("p.citations", F.lit(0)), F.lit("")).alias("publication_pmid"))
     r = lookup_rows(recommendations.join(d, "drugid"))
-    return r.join(g, "guidelineid", "left").join(p, ["drugid", "gene_symbol"], "left").withColumn("pediatric", F.when(F.lower("population").contains("pediatric"), True))
+    met = r.join(g, "guidelineid", "left").join(p, ["drugid", "gene_symbol"], "left")
+    return met.select(
+        F.col("id").cast("string").alias("cpic_id"), "gene_symbol", "drug_name", "drug_rxnorm_id", "phenotype", text("drugrecommendation").alias("recommendation"), text("classification").alias("classification_strength"),
+        "cpic_level", F.when(F.col("population") == "pediatrics", True).alias("pediatric"), "guideline_url", "publication_pmid", F.lit(None).cast("date").alias("last_updated"),
+    )
 
 
 def categories(payload: DataFrame, column: str = "value") -> DataFrame:

@@ -89,3 +89,26 @@ def test_schemas(spark):
     ranks = spark.createDataFrame([("10",), ("2",), ("X",), ("Q",)], "c string")
     assert [r.c for r in ranks.orderBy(schemas.chrom_rank(ranks.c).asc_nulls_last()).collect()] == ["2", "10", "X", "Q"]
     assert schemas.unknown(ranks, "c", "chromosome").count() == 1
+
+
+def test_recommendation_rows(spark):
+    """The last drug of an id counts even without a name; texts only; strict pediatric flag; first citation."""
+    from helixframe.sources import loaders
+
+    recs = spark.createDataFrame(
+        [
+            (1, "d1", 7, '{"A": "Poor", "B": "", "C": 5, "D": null, "": "x"}', "go", "Strong", "pediatrics"), (2, "d1", 9, '{"B": "Rapid", "A": "Poor"}', "", None, "pediatrics only"), (3, "d2", 7, '{"A": "Poor"}', "x", "y", None),
+            (4, None, 7, '{"A": "Poor"}', "x", "y", None), (5, "d1", None, "[1]", "x", "y", None), (6, "d1", None, "no JSON", "x", "y", None), (7, "d1", None, None, "x", "y", None), (8, "dz", 7, '{"A": "Poor"}', "x", "y", None),
+        ],
+        "id long, drugid string, guidelineid long, lookupkey string, drugrecommendation string, classification string, population string",
+    )
+    drugs = spark.createDataFrame([("d1", 0, "old", "1"), ("d1", 1, "new", ""), ("d2", 0, "named", "2"), ("d2", 1, "", "2"), (None, 2, "none", "3")], "drugid string, ord long, name string, rxnormid string")
+    guides = spark.createDataFrame([(7, 0, "u"), (None, 1, "v")], "guidelineid long, ord long, url string")
+    pairs = spark.createDataFrame([("d1", "A", 0, "B", ["9"]), ("d1", "A", 1, "A", ["5", "6"]), ("d1", "B", 0, "", []), (None, "A", 2, "C", ["1"])], "drugid string, genesymbol string, ord long, cpiclevel string, citations array<string>")
+    got = sorted((tuple(r) for r in loaders.cpic(recs, drugs, guides, pairs).collect()), key=lambda r: r[:2])
+    assert got == [
+        ("1", "A", "new", None, "Poor", "go", "Strong", "A", True, "u", "5", None),
+        ("2", "A", "new", None, "Poor", None, None, "A", None, None, "5", None),
+        ("2", "B", "new", None, "Rapid", None, None, None, None, None, None, None),
+    ]
+    assert loaders.cpic(recs.limit(0), drugs.limit(0), guides.limit(0), pairs.limit(0)).count() == 0
