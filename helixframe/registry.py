@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import catalog, catalog_files, catalog_more  # noqa: F401  the latter two register their queries
+from helixframe.plans import catalog, catalog_files, catalog_more, catalog_notes  # noqa: F401  the others register their queries
 
 queries = catalog.queries
 oracle_sql = catalog.oracle_sql
