@@ -201,7 +201,7 @@ for _k in ("K02", "V08m"):
     plan(_k, "SELECT medication_id, drug_name, pgx_warning_count FROM s_medications WHERE is_active = 1 ORDER BY pgx_warning_count DESC, drug_name")(lambda t: views.active_medications(t("s_medications")))
 for _k in ("K03", "V08"):
     plan(_k, "SELECT * FROM s_jobs WHERE status IN ('queued', 'running') ORDER BY status DESC, priority, coalesce(scheduled_for, created_at)")(lambda t: views.pending_jobs(t("s_jobs")))
-plan("K04", "SELECT * FROM s_audit WHERE at_seconds > (SELECT max(at_seconds) FROM s_audit) - 30 * 86400 ORDER BY at_seconds DESC")(lambda t: views.recent_audit(t("s_audit"), t("s_audit").agg(F.max("at_seconds")).scalar()))
+plan("K04", "WITH g AS (SELECT * REPLACE (at_seconds * 60 AS at_seconds) FROM s_audit) SELECT * FROM g WHERE at_seconds > (SELECT max(at_seconds) FROM g) - 30 * 86400 ORDER BY at_seconds DESC")(lambda t: (lambda log: views.recent_audit(log, log.agg(F.max("at_seconds")).scalar()))(t("s_audit").withColumn("at_seconds", c("at_seconds") * 60)))
 plan("A37", "SELECT external_endpoint, count(*) AS call_count, max(at_seconds) AS last_call, min(at_seconds) AS first_call FROM s_audit WHERE external_call = 1 GROUP BY 1")(lambda t: views.external_call_summary(t("s_audit")))
 plan("J21", "WITH o AS (SELECT *, max(observed_at) OVER (PARTITION BY phenotype_id) AS m FROM s_observations) SELECT p.*, o.observed_at, o.value_text FROM s_phenotypes p LEFT JOIN o ON o.phenotype_id = p.phenotype_id AND o.observed_at = o.m")(lambda t: views.latest_observations(t("s_phenotypes"), t("s_observations")))
 plan("V09", "SELECT term, doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS term FROM documents) GROUP BY 1, 2")(lambda t: views.note_terms(t("documents"), "doc_id", "text"))
