@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
-from helixframe.operators import canonical, collapse, graph, ingest, intervals, ledger, matching, quality, replay, rollup, scan, versions
+from helixframe.operators import calibrate, canonical, collapse, graph, ingest, intervals, ledger, matching, quality, replay, rollup, scan, versions
 from helixframe.plans.catalog import CHROM, IS_CHROM, LIVE, MAIN, PAR, PLANS, SQL, c, consensus_of, index_of, plan
 from helixframe.plans import views
 from helixframe.session import Scratch
@@ -449,5 +449,33 @@ plan("G06a", split_sql("split_part({node}, '.', 2)"))(lambda t: split_of(t, F.sp
 plan("G07", "WITH x AS (SELECT record_seq, greatest(CASE WHEN delta > 0 THEN 3 ELSE 0 END + CASE WHEN state = 'done' THEN 4 ELSE 0 END + CASE WHEN knob = 'k1' THEN 2 ELSE 0 END, 1) AS score FROM s_ledger) SELECT *, CASE WHEN score < 2 THEN 'S' WHEN score < 5 THEN 'M' WHEN score < 8 THEN 'L' ELSE 'XL' END AS tier FROM x")(lambda t: t("s_ledger").select("record_seq", ledger.tier_score([(c("delta") > 0, 3), (c("state") == "done", 4), (c("knob") == "k1", 2)], 1).alias("score")).withColumn("tier", ledger.tier(c("score"))))
 plan("G08", "SELECT pr_key, max({'a': abs(delta), 'k': knob})['k'] AS knob FROM s_ledger GROUP BY 1")(lambda t: t("s_ledger").groupBy("pr_key").agg(X.best_value(c("knob"), F.abs("delta")).alias("knob")))
 plan("G09", "SELECT knob, CAST(-sign(net) AS INT) AS step FROM (SELECT knob, sum(sign(delta)) AS net FROM s_ledger GROUP BY 1) WHERE abs(net) >= 1")(lambda t: ledger.proposal(ledger.tally(t("s_ledger")), 1))
+TIERS = """wc AS (SELECT scope_id, value + CASE WHEN w.knob = k.knob THEN k.step ELSE 0 END AS v, k.knob AS kk FROM (SELECT scope_id, unnest(list_distinct(classes)) AS l FROM s_scopes) JOIN s_weights w ON w.knob = 'c.' || l CROSS JOIN k), cc AS (SELECT scope_id, kk, max(v) AS v FROM wc GROUP BY 1, 2),
+ kw AS (SELECT k.knob AS kk, w.knob, w.value + CASE WHEN w.knob = k.knob THEN k.step ELSE 0 END AS v FROM k CROSS JOIN s_weights w),
+ x AS (SELECT s.*, k.knob AS kk, coalesce(cc.v, 0) + CASE WHEN len(list_filter(list_distinct(classes), lambda y: y <> 'docs')) >= 3 THEN 1 ELSE 0 END + coalesce(b.v, 0) + coalesce(p.v, 0) AS score, t1.v AS t1, t2.v AS t2
+  FROM s_scopes s CROSS JOIN k LEFT JOIN cc ON cc.scope_id = s.scope_id AND cc.kk = k.knob LEFT JOIN kw b ON b.kk = k.knob AND b.knob = 'b.' || reach LEFT JOIN kw p ON p.kk = k.knob AND p.knob = 'p.' || precedent JOIN kw t1 ON t1.kk = k.knob AND t1.knob = 't1' JOIN kw t2 ON t2.kk = k.knob AND t2.knob = 't2'),
+ y AS (SELECT *, least(2, greatest(CASE WHEN score < t1 THEN 0 WHEN score < t2 THEN 1 ELSE 2 END, CASE WHEN floored THEN 2 ELSE 0 END) + CASE WHEN bumped THEN 1 ELSE 0 END) AS tier FROM x),
+ z AS (SELECT y.*, o.tier AS old, CASE WHEN NOT y.witness THEN o.tier END AS expected FROM y JOIN y o ON o.scope_id = y.scope_id AND o.kk = '')"""
+TALLY = """wm AS (SELECT side, value, arg_min(knob, ord) AS knob FROM s_weights WHERE side <> 't' GROUP BY 1, 2),
+ oc AS (SELECT o.*, CASE WHEN blocked THEN 2 WHEN cycles >= 2 THEN 1 ELSE predicted END - predicted AS err, b.knob AS bk, m.knob AS ck, p.knob AS pk, CASE WHEN b.knob IS NULL THEN -1 ELSE o.b END AS bv, CASE WHEN m.knob IS NULL THEN -1 ELSE o.c END AS cv, CASE WHEN p.knob IS NULL THEN -1 ELSE o.p END AS pv FROM s_outcomes o
+  LEFT JOIN wm b ON b.side = 'b' AND b.value = o.b AND o.b > 0 LEFT JOIN wm m ON m.side = 'c' AND m.value = o.c AND o.c > 0 LEFT JOIN wm p ON p.side = 'p' AND p.value = o.p AND o.p > 0),
+ ty AS (SELECT knob, CAST(sum(sign(err)) AS BIGINT) AS net, count(*) AS n FROM (SELECT err, CASE WHEN greatest(bv, cv, pv) < 0 THEN NULL WHEN bv = greatest(bv, cv, pv) THEN bk WHEN cv = greatest(bv, cv, pv) THEN ck ELSE pk END AS knob FROM oc) WHERE err <> 0 AND knob IS NOT NULL GROUP BY 1),
+ st AS (SELECT *, CAST(sign(net) AS INT) AS step, CASE WHEN abs(net) < 3 THEN 'hysteresis' ELSE 'go' END AS gate, knob = (SELECT max({'a': abs(net), 'k': knob})['k'] FROM ty) AS chosen FROM ty)"""
+TESTED = """ts AS (SELECT kk AS knob, bool_or(tier < old) AS loosens, count(*) FILTER (WHERE tier <> expected) AS flips, min(scope_id) FILTER (WHERE tier <> expected) AS first_flip, bool_or(expected IS NOT NULL AND NOT floored AND (kk = 'b.' || reach OR kk = 'p.' || precedent OR list_contains(classes, substr(kk, 3)) AND kk LIKE 'c.%')) AS covered FROM z WHERE kk <> '' GROUP BY 1)"""
+
+
+def scopes_of(t) -> DataFrame:
+    known = calibrate.tiered(t("s_scopes"), t("s_weights"))
+    return t("s_scopes").join(known.select("scope_id", F.when(~c("witness"), c("tier")).alias("expected")), "scope_id")
+
+
+plan("G09r", f"""WITH {TALLY}, k AS (SELECT knob, step FROM st WHERE gate = 'go' UNION ALL SELECT '', 0), {TIERS}, {TESTED}
+ SELECT st.*, CASE WHEN loosens THEN 'loosen' WHEN gate = 'go' THEN 'tighten' END AS direction, flips, first_flip, covered, CASE WHEN gate <> 'go' THEN 'no_op' WHEN loosens THEN 'park' WHEN flips > 0 THEN 'suppressed' WHEN NOT coalesce(covered, FALSE) THEN 'park' ELSE 'commit' END AS disposition FROM st LEFT JOIN ts ON ts.knob = st.knob""")(
+    lambda t: calibrate.ratchet(t("s_outcomes"), t("s_weights"), scopes_of(t), t("s_outcomes").agg(F.count_if(c("cycles") == 0)).scalar())
+)
+# every knob, thresholds too, a step up and down in turn
+plan("G09b", f"WITH k AS (SELECT knob, CASE WHEN value % 2 = 0 THEN 1 ELSE -1 END AS step FROM s_weights UNION ALL SELECT '', 0), {TIERS}, {TESTED} SELECT knob, loosens, flips, first_flip, coalesce(covered, FALSE) AS covered FROM ts")(
+    lambda t: calibrate.backtest(t("s_weights").select("knob", F.when(c("value") % 2 == 0, 1).otherwise(-1).alias("step")), scopes_of(t), t("s_weights"))
+)
+plan("G09t", f"WITH k AS (SELECT '' AS knob, 0 AS step), {TIERS} SELECT scope_id, CAST(score AS INT) AS score, CAST(tier AS INT) AS tier FROM y")(lambda t: calibrate.tiered(t("s_scopes"), t("s_weights")).select("scope_id", "score", "tier"))
 plan("G10", "SELECT pr_key, CASE WHEN bool_or(state = 'parked' AND delta = 2) THEN 'UNKNOWN' WHEN bool_or(state = 'blocked') THEN 'BLOCKED' ELSE 'GREEN' END AS verdict FROM s_ledger GROUP BY 1")(lambda t: t("s_ledger").groupBy("pr_key").agg(ledger.verdict(c("state") == "blocked", (c("state") == "parked") & (c("delta") == 2)).alias("verdict")))
 plan("G12", "SELECT DISTINCT ref FROM (SELECT unnest(regexp_extract_all(url, '([a-z]+)[.]example', 1)) AS ref FROM pages) WHERE ref NOT IN (SELECT lower(n_name) FROM nation)")(lambda t: ledger.unresolved(t("pages").select(F.explode(F.regexp_extract_all("url", F.lit("([a-z]+)[.]example"), 1)).alias("ref")), "ref", t("nation").select(F.lower("n_name").alias("k")), "k"))

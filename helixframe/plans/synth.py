@@ -177,6 +177,17 @@ TEXTS = {
                  WHEN 5 THEN CASE WHEN event_id % 5 = 0 THEN 'approve:merged' ELSE 'to:merged' END WHEN 6 THEN 'to:planning' WHEN 7 THEN CASE WHEN event_id % 4 = 0 THEN 'check:moot' ELSE 'check:grown' END
                  WHEN 8 THEN CASE WHEN event_id % 8 = 0 THEN 'check:grown_empty' ELSE 'noted' END WHEN 9 THEN CASE WHEN event_id % 6 = 0 THEN 'to:ejected' END ELSE 'to:ready' END AS event
         FROM events""",
+    "s_weights": """
+        SELECT 'c' AS side, 'c.' || o_orderpriority AS knob, CAST(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 WHEN '4' THEN 2 ELSE 0 END AS INT) AS value, o_orderpriority AS ord FROM orders GROUP BY o_orderpriority
+        UNION ALL SELECT 'b', 'b.' || o_orderstatus, CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE 6 END AS INT), o_orderstatus FROM orders GROUP BY o_orderstatus
+        UNION ALL SELECT 'p', 'p.' || CAST(r_regionkey AS VARCHAR(3)), CAST(CASE WHEN r_regionkey = 4 THEN 4 ELSE r_regionkey % 3 END AS INT), CAST(r_regionkey AS VARCHAR(3)) FROM region
+        UNION ALL SELECT 't', 't1', 2, 't1' UNION ALL SELECT 't', 't2', 5, 't2'""",
+    "s_scopes": """
+        SELECT CAST(o_orderkey AS BIGINT) AS scope_id, CASE o_orderkey % 5 WHEN 0 THEN {list}(o_orderpriority, 'docs') WHEN 1 THEN {list}(o_orderpriority, '1-URGENT', '3-MEDIUM', '5-LOW') WHEN 2 THEN {list}(o_orderpriority, o_orderpriority, '2-HIGH') WHEN 3 THEN {list}(o_orderpriority) END AS classes,
+               o_orderstatus AS reach, CASE WHEN o_orderkey % 6 = 0 THEN '4' WHEN o_custkey % 17 <> 0 THEN CAST(o_custkey % 4 AS VARCHAR(3)) END AS precedent, o_orderkey % 6 = 0 AS floored, CASE WHEN o_orderkey % 8 = 0 THEN TRUE END AS bumped, o_orderkey % 10 = 7 AS witness FROM orders""",
+    "s_outcomes": """
+        SELECT CAST(event_id AS BIGINT) AS outcome_id, CAST(event_id % 4 AS INT) AS c, CAST(CASE event_id % 9 WHEN 0 THEN 6 WHEN 1 THEN 7 WHEN 2 THEN 2 ELSE event_id % 2 END AS INT) AS b, CAST(CASE WHEN user_id % 11 = 0 THEN 4 ELSE user_id % 3 END AS INT) AS p,
+               CAST(CASE WHEN event_id % 4 = 2 THEN 2 ELSE event_id % 3 END AS INT) AS predicted, CASE WHEN user_id % 13 <> 0 THEN event_id % 5 = 0 END AS blocked, CAST(CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id % 4 END AS INT) AS cycles FROM events""",
     "s_edges": """
         SELECT 's' || CAST(l_suppkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)) AS a, 'p' || CAST(l_partkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)) AS b, CAST(l_linenumber AS BIGINT) AS w FROM lineitem
         UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)), 's' || CAST(l_suppkey AS VARCHAR(9)) || '.' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS VARCHAR(12)), CAST(l_partkey % 3 AS BIGINT) FROM lineitem
