@@ -62,6 +62,20 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return every
 
 
+def seeded(existing: DataFrame, fresh: DataFrame, force: bool = False) -> DataFrame:
+    """One row on a seed of genes: already_populated, rows, acmg_sf_genes, pgx_genes and source_version_id of what stands after it.
+
+    What exists stays, and is what is reported, unless it is empty or force is set;
+    then it is fresh. Both have gene_symbol, is_acmg_sf, is_pgx_relevant and
+    source_version_id. A null flag is false. Counted before anything is shuffled.
+    """
+    columns = ("is_acmg_sf", "is_pgx_relevant", "source_version_id")
+    both = existing.select(F.lit(True).alias("old"), *columns).unionByName(fresh.select(F.lit(False).alias("old"), *columns))
+    of = lambda old: F.struct(F.count_if(F.col("old") == old).alias("genes_rows"), F.count_if((F.col("old") == old) & F.col("is_acmg_sf")).alias("acmg_sf_genes"), F.count_if((F.col("old") == old) & F.col("is_pgx_relevant")).alias("pgx_genes"), F.max(F.when(F.col("old") == old, F.col("source_version_id"))).alias("source_version_id"))
+    stands = (F.col("a.genes_rows") > 0) & F.lit(not force)
+    return both.agg(of(True).alias("a"), of(False).alias("b")).select(stands.alias("already_populated"), F.when(stands, F.col("a")).otherwise(F.col("b")).alias("x")).select("already_populated", "x.*")
+
+
 def next_ids(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """name, next_id: the least id that is greater than all of a table; 1 for an empty one."""
     every = None

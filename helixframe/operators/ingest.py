@@ -13,6 +13,8 @@ KEY = ["chrom", "pos_grch38", "ref_allele", "alt_allele"]
 #: Sex and quality thresholds (fixed values).
 Y_CALLS_MALE, X_HET_MALE, X_HET_FEMALE = 5, 0.05, 0.10
 CHIP_RATES, IMPUTED_RATES = (0.97, 0.90), (0.99, 0.95)
+#: What a note says of an unknown sex (fixed values).
+CHIP_WHY, IMPUTED_WHY = "sex inference ambiguous (X het / Y call counts inconclusive)", "sex inference ambiguous from imputed X / Y data"
 
 
 def normalise(calls: DataFrame, native_build: str = "GRCh38", blocks: DataFrame | None = None) -> DataFrame:
@@ -89,18 +91,18 @@ def qc_status(call_rate: Column, rates: tuple[float, float]) -> Column:
     return F.when(call_rate >= rates[0], "pass").when(call_rate >= rates[1], "warn").otherwise("fail")
 
 
-def qc_notes(call_rate: Column, sex_: Column, rates: tuple[float, float], prefix: str = "", why: str = "sex inference ambiguous (X het / Y call counts inconclusive)") -> Column:
+def qc_notes(call_rate: Column, sex_: Column, rates: tuple[float, float], prefix: str = "", why: str = CHIP_WHY) -> Column:
     say = lambda bound, name: F.concat(F.lit(f"{prefix}call_rate="), F.format_string("%.4f", F.bround(call_rate, 4)), F.lit(f" below {bound:.2f} {name} threshold"))
     rate = F.when(call_rate >= rates[0], None).when(call_rate >= rates[1], say(rates[0], "pass")).otherwise(say(rates[1], "warn"))
     return F.concat_ws("; ", rate, F.when(sex_ == "ambiguous", why))
 
 
-def sample_qc(calls: DataFrame, rates: tuple[float, float] = CHIP_RATES) -> DataFrame:
-    """One row over calls with chrom, allele_1, allele_2, is_no_call: totals, rates, sex, status, notes."""
+def sample_qc(calls: DataFrame, rates: tuple[float, float] = CHIP_RATES, by: tuple[str, ...] = (), prefix: str = "", why: str = CHIP_WHY) -> DataFrame:
+    """One row over calls with chrom, allele_1, allele_2, is_no_call, or one for each group: totals, rates, sex, status, notes."""
     ok = ~F.col("is_no_call")
     het = ok & (F.col("allele_1") != F.col("allele_2"))
     auto = ~F.col("chrom").isin("X", "Y", "MT")
-    n = calls.agg(
+    n = calls.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if(ok).alias("called"), F.count_if(ok & auto).alias("auto"), F.count_if(het & auto).alias("auto_het"),
         F.count_if(ok & (F.col("chrom") == "X")).alias("x"), F.count_if(het & (F.col("chrom") == "X")).alias("x_het"), F.count_if(ok & (F.col("chrom") == "Y")).alias("y"),
     )
@@ -109,6 +111,11 @@ def sample_qc(calls: DataFrame, rates: tuple[float, float] = CHIP_RATES) -> Data
     n = n.withColumn("sex_inferred", sex(F.col("xh"), F.col("y")))
     four = lambda c: F.bround(F.col(c), 4).cast("decimal(5,4)")
     return n.select(
-        F.col("total").alias("variants_total"), F.col("called").alias("variants_called"), (F.col("total") - F.col("called")).alias("variants_no_call"), four("rate").alias("call_rate"), four("het").alias("heterozygosity_rate"),
-        four("xh").alias("chr_x_het_rate"), "sex_inferred", qc_status(F.col("rate"), rates).alias("qc_status"), qc_notes(F.col("rate"), F.col("sex_inferred"), rates).alias("qc_notes"),
+        *by, F.col("total").alias("variants_total"), F.col("called").alias("variants_called"), (F.col("total") - F.col("called")).alias("variants_no_call"), four("rate").alias("call_rate"), four("het").alias("heterozygosity_rate"),
+        four("xh").alias("chr_x_het_rate"), "sex_inferred", qc_status(F.col("rate"), rates).alias("qc_status"), qc_notes(F.col("rate"), F.col("sex_inferred"), rates, prefix, why).alias("qc_notes"),
     )
+
+
+def imputed_qc(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """sample_qc() of imputed calls, whose call rate should be near 1."""
+    return sample_qc(calls, IMPUTED_RATES, by, "imputed ", IMPUTED_WHY)

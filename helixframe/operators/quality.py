@@ -76,7 +76,12 @@ def concordance_table(rows: DataFrame) -> DataFrame:
 
 
 def match_anchors(anchors: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Anchors with their result of equal position and alleles, and the count of those without one."""
+    """Anchors with each result of equal position and alleles that has a dose, and the count of those without any result.
+
+    results: chrom, pos, ref_allele, alt_allele, dose and, if known, af, which gives
+    maf, the rarer allele's part. A result without a dose is none, but its anchor isn't unmatched.
+    """
     key = ["chrom", "pos", "ref_allele", "alt_allele"]
-    met = anchors.join(results.select(*key, F.col("dose"), F.lit(True).alias("__m")), key, "left")
-    return met.filter("__m").drop("__m"), met.agg(F.count_if(F.col("__m").isNull()).alias("unmatched"))
+    found = results.select(*key, "dose", *([F.least("af", 1 - F.col("af")).alias("maf")] if "af" in results.columns else []))
+    met = anchors.join(found, key).filter("dose is not null")
+    return met, anchors.join(results, key, "left_anti").agg(F.count("*").alias("unmatched"))

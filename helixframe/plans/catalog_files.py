@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import consensus, guards, ingest, intervals, ledger, lifecycle
 from helixframe.operators.store import Store
-from helixframe.plans.catalog import DISC, c, plan, resolved_of
+from helixframe.plans import views
+from helixframe.plans.catalog import DISC, SQL, c, plan, resolved_of
 from helixframe.plans.catalog_more import _KEY, EXPORT, NORM, REGION, VCF, exported, stage
 from helixframe.session import Scratch
 from helixframe.sources import blockgzip, files, jsonarray, vcf
@@ -145,6 +146,18 @@ plan("S32", "SELECT CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 7 = 0
 TABLES = ("s_acmg", "s_calls", "s_clinvar", "s_cpic", "s_dbsnp", "s_gnomad", "s_gwas", "s_pharmgkb", "s_pgs", "s_scores", "s_variants", "s_versions")
 plan("S37", " UNION ALL ".join(f"SELECT '{x}' AS name, count(*) AS n FROM {x}" for x in TABLES))(lambda t: guards.counts({x: t(x) for x in TABLES}))
 
+
+def status(t) -> DataFrame:
+    """Rows of the registered views, of profiles and of their settings."""
+    spark = t("region").sparkSession
+    views_of = guards.materialise(spark, {"hx_carrier_panel": lambda: views.carrier_panel(t("s_carrier")), "hx_active_medications": lambda: views.active_medications(t("s_medications")), "hx_pgs_extremes": lambda: views.pgs_extremes(t("s_pgs"), t("s_scores"))})
+    settings = t("clients").select("client_id", F.explode(F.array("segment", F.col("nation_id").cast("string"))).alias("setting")).filter("setting is not null and client_id is not null")
+    return guards.counts({**views_of, "profiles": t("clients").filter("client_id is not null").select("client_id").distinct(), "settings": settings})
+
+
+plan("S37v", f"""SELECT 'hx_carrier_panel' AS name, count(*) AS n FROM ({SQL['V05']}) UNION ALL SELECT 'hx_active_medications', count(*) FROM ({SQL['K02']}) UNION ALL SELECT 'hx_pgs_extremes', count(*) FROM ({SQL['V04']})
+ UNION ALL SELECT 'profiles', count(DISTINCT client_id) FROM clients UNION ALL SELECT 'settings', count(segment) FILTER (WHERE client_id IS NOT NULL) + count(nation_id) FILTER (WHERE client_id IS NOT NULL) FROM clients""")(status)
+
 # checks and lifecycle
 
 plan("P26", "SELECT variant_id, chrom FROM s_variants WHERE chrom IN ('2', '10', 'X')")(lambda t: guards.of_chromosomes(t("s_variants"), "chr2, x ,,10,CHRX").select("variant_id", "chrom"))

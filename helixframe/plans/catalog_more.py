@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import expr as X
-from helixframe.operators import calibrate, canonical, collapse, graph, ingest, intervals, ledger, matching, quality, replay, rollup, scan, versions
+from helixframe.operators import calibrate, canonical, collapse, graph, guards, ingest, intervals, ledger, matching, quality, replay, rollup, scan, versions
 from helixframe.plans.catalog import CHROM, IS_CHROM, LIVE, MAIN, PAR, PLANS, SQL, c, consensus_of, index_of, plan
 from helixframe.plans import views
 from helixframe.session import Scratch
@@ -198,8 +198,26 @@ plan("J11", CHAINS + " SELECT v.variant_id, h.to_chrom AS lifted_chrom, CAST(CAS
 )
 plan("J12", "SELECT freq_id FROM s_gnomad WHERE (chrom, pos_grch38) IN (SELECT chrom, pos_grch38 FROM s_clinvar WHERE star_rating = 3)")(lambda t: t("s_gnomad").join(t("s_clinvar").filter("star_rating = 3").select("chrom", "pos_grch38"), ["chrom", "pos_grch38"], "left_semi").select("freq_id"))
 plan("J13", "SELECT alias_rsid, min(current_rsid) AS current_rsid FROM s_aliases WHERE alias_rsid <> 'rs0' AND (alias_rsid IN (SELECT rsid FROM s_gwas) OR current_rsid IN (SELECT rsid FROM s_gwas)) GROUP BY 1")(lambda t: loaders.aliases(t("s_aliases").select(F.substring("alias_rsid", 3, 20).alias("_c0"), F.substring("current_rsid", 3, 20).alias("_c6")), t("s_gwas")))
-plan("J14", "SELECT count(*) FILTER (WHERE s.publication_pmid IS NOT NULL AND n.n_nationkey IS NULL) AS lost_publications, count(*) FILTER (WHERE s.trait_category IS NOT NULL AND s.trait_category NOT IN ('cat1', 'cat2')) AS lost_traits FROM s_scores s LEFT JOIN nation n ON s.publication_pmid = 'PM' || n.n_nationkey AND n.n_nationkey < 20")(
-    lambda t: loaders.pgs(t("s_scores").select("pgs_id", c("publication_pmid").alias("pgp_id"), c("trait_category").alias("efo_ids")), t("nation").filter("n_nationkey < 20").select(F.concat(F.lit("PM"), c("n_nationkey").cast("string")).alias("pgp_id"), F.lit("d").alias("doi"), F.lit("1").alias("pmid"), F.lit("2020-01-02").alias("date")), t("nation").limit(1).select(F.explode(F.array(F.lit("cat1"), F.lit("cat2"))).alias("efo_id"), F.lit("l").alias("label")), t("s_scores").select("pgs_id", F.lit("0.6").alias("auc"), F.lit(None).cast("string").alias("odds_ratio")).limit(0))[1]
+
+
+def metadata(t) -> tuple[DataFrame, DataFrame]:
+    """Scores, publications, traits, categories (of another download) and figures of cohorts as the bundle's files."""
+    n, key = t("nation"), c("n_nationkey").cast("string")
+    publications = n.filter("n_nationkey % 5 <> 4").select(F.concat(F.lit("PM"), key).alias("pgp_id"), F.lower("n_name").alias("doi"), F.concat(F.lit("P"), key).alias("pmid"), F.when(c("n_nationkey") % 7 != 0, F.concat((c("n_nationkey") + 1990).cast("string"), F.lit("-01-02"))).otherwise("n/a").alias("date"))
+    traits = n.filter("n_regionkey % 2 = 1").select(F.concat(F.lit("cat"), key).alias("efo_id"), c("n_name").alias("label"))
+    categories = n.filter("n_regionkey < 3").select(F.concat(F.lit("cat"), key).alias("efo_id"), c("n_name").alias("label"))
+    tenths = lambda lead: F.concat(F.lit(lead), c("percentile").cast("string"), F.lit(" [0.1-9]"))
+    figures = t("s_pgs").select("pgs_id", tenths("0.").alias("auc"), F.when(~c("low_coverage"), tenths("1.")).alias("odds_ratio"))
+    scores = t("s_scores").select("score_record_id", "pgs_id", c("publication_pmid").alias("pgp_id"), F.concat(c("trait_category"), F.lit(", x")).alias("efo_ids"))
+    return loaders.pgs(scores, publications, traits, figures, categories)
+
+
+METADATA = """WITH pf AS (SELECT pgs_id, max(CAST('0.' || percentile AS DOUBLE)) AS a, max(CASE WHEN NOT low_coverage THEN CAST('1.' || percentile AS DOUBLE) END) AS o, count(*) AS n FROM s_pgs GROUP BY 1),
+ j AS (SELECT s.score_record_id, s.pgs_id, s.publication_pmid AS pgp_id, s.trait_category AS trait_efo, p.n_nationkey AS pk, p.n_name AS pn, m.n_nationkey AS tk, g.n_name AS category, pf.* EXCLUDE (pgs_id) FROM s_scores s LEFT JOIN nation p ON s.publication_pmid = 'PM' || p.n_nationkey AND p.n_nationkey % 5 <> 4
+  LEFT JOIN nation m ON s.trait_category = 'cat' || m.n_nationkey AND m.n_regionkey % 2 = 1 LEFT JOIN nation g ON s.trait_category = 'cat' || g.n_nationkey AND g.n_regionkey < 3 LEFT JOIN pf ON pf.pgs_id = s.pgs_id)"""
+plan("J14", METADATA + " SELECT count(*) FILTER (WHERE pgp_id IS NOT NULL AND pk IS NULL) AS lost_publications, count(*) FILTER (WHERE trait_efo IS NOT NULL AND tk IS NULL) AS lost_traits, count(*) FILTER (WHERE n IS NULL) AS without_performance, count(*) FILTER (WHERE n > 1) AS several_cohorts FROM j")(lambda t: metadata(t)[1])
+plan("J14r", METADATA + " SELECT score_record_id, pgs_id, trait_efo, category AS trait_category, 'P' || pk AS publication_pmid, lower(pn) AS publication_doi, CASE WHEN pk % 7 <> 0 THEN pk + 1990 END AS publication_year, a AS performance_auc, o AS performance_or_per_sd FROM j")(
+    lambda t: metadata(t)[0].select("score_record_id", "pgs_id", "trait_efo", "trait_category", "publication_pmid", "publication_doi", "publication_year", "performance_auc", "performance_or_per_sd")
 )
 plan("J15k", "SELECT guideline_id, g AS gene_symbol, v AS phenotype, key_no FROM (SELECT guideline_id, unnest([gene_symbol, 'Z']) AS g, unnest([phenotype, 'p']) AS v, unnest([0, 1]) AS key_no FROM s_cpic)")(lambda t: loaders.lookup_rows(t("s_cpic").select("guideline_id", F.to_json(F.map_from_arrays(F.array("gene_symbol", F.lit("Z")), F.array("phenotype", F.lit("p")))).alias("lookupkey"))).select("guideline_id", "gene_symbol", "phenotype", "key_no"))
 # the lookup key's forms: both genes, one, an empty object, a number for a text, no object, no JSON, null
@@ -222,8 +240,13 @@ def j15(t) -> DataFrame:
     return loaders.cpic(t("s_recommendations").withColumn("lookupkey", key), t("s_drugs"), t("s_guidelines"), t("s_pairs"))
 
 
-for _k in ("J16",):
-    plan(_k, "SELECT count(*) AS unmatched FROM s_variants v WHERE NOT EXISTS (SELECT 1 FROM s_gnomad x WHERE " + _KEY + ")")(lambda t: quality.match_anchors(t("s_variants").select("chrom", c("pos_grch38").alias("pos"), "ref_allele", "alt_allele").distinct().join(t("s_variants").select("variant_id", "chrom", c("pos_grch38").alias("pos"), "ref_allele", "alt_allele"), ["chrom", "pos", "ref_allele", "alt_allele"]), t("s_gnomad").select("chrom", c("pos_grch38").alias("pos"), "ref_allele", "alt_allele", c("af_global").alias("dose")).dropDuplicates(["chrom", "pos", "ref_allele", "alt_allele"]))[1])
+def anchors_met(t) -> tuple[DataFrame, DataFrame]:
+    at = ("chrom", c("pos_grch38").alias("pos"), "ref_allele", "alt_allele")
+    return quality.match_anchors(t("s_variants").select("variant_id", *at), t("s_gnomad").select(*at, c("af_global").alias("dose"), c("af_afr").alias("af")))
+
+
+plan("J16", "SELECT count(*) AS unmatched FROM s_variants v WHERE NOT EXISTS (SELECT 1 FROM s_gnomad x WHERE " + _KEY + ")")(lambda t: anchors_met(t)[1])
+plan("J16r", "SELECT variant_id, v.chrom, v.pos_grch38 AS pos, v.ref_allele, v.alt_allele, af_global AS dose, CASE WHEN af_afr IS NOT NULL THEN least(af_afr, 1 - af_afr) END AS maf FROM s_variants v JOIN s_gnomad x ON " + _KEY + " WHERE af_global IS NOT NULL")(lambda t: anchors_met(t)[0])
 ALTS = f"da AS (SELECT chrom, pos_grch38, ref_allele AS dref, alt_b FROM (SELECT *, unnest(alt_alleles) AS alt_b FROM s_dbsnp WHERE {LIVE.format('dbsnp')} AND lower(variant_class) = 'snv' AND pos_grch38 IS NOT NULL AND ref_allele IN ('A','C','G','T')) WHERE alt_b IN ('A','C','G','T'))"
 plan("J17", f"WITH {ALTS} SELECT * FROM da")(lambda t: canonical.dbsnp_alts(t("s_dbsnp"), t("s_pointers")))
 MAP = f"""WITH {ALTS}, vs AS (SELECT * FROM s_variants WHERE variant_type = 'SNV'), m AS (SELECT variant_id, vs.chrom, vs.pos_grch38, ref_allele AS r, alt_allele AS a, dref, alt_b FROM vs JOIN da ON da.chrom = vs.chrom AND da.pos_grch38 = vs.pos_grch38),
@@ -298,10 +321,23 @@ plan("J20", "SELECT source_db, max(source_version_id) AS source_version_id FROM
 # 2.4 aggregates
 
 QC = NORM + ", q AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT is_no_call) AS called, count(*) FILTER (WHERE NOT is_no_call AND chrom NOT IN ('X','Y','MT')) AS au, count(*) FILTER (WHERE NOT is_no_call AND chrom NOT IN ('X','Y','MT') AND allele_1 <> allele_2) AS ah, count(*) FILTER (WHERE NOT is_no_call AND chrom = 'X') AS x, count(*) FILTER (WHERE NOT is_no_call AND chrom = 'X' AND allele_1 <> allele_2) AS xh, count(*) FILTER (WHERE NOT is_no_call AND chrom = 'Y') AS y FROM st)"
-for _k in ("A18", "A19", "A20"):
+for _k in ("A18", "A19"):
     plan(_k, QC + """ SELECT total AS variants_total, called AS variants_called, total - called AS variants_no_call, CAST(round_even(called / total, 4) AS DECIMAL(5,4)) AS call_rate, CAST(round_even(ah / au, 4) AS DECIMAL(5,4)) AS heterozygosity_rate, CAST(round_even(xh / x, 4) AS DECIMAL(5,4)) AS chr_x_het_rate,
  CASE WHEN y >= 5 AND xh / x <= 0.05 THEN 'M' WHEN y < 5 AND xh / x >= 0.10 THEN 'F' ELSE 'ambiguous' END AS sex_inferred, CASE WHEN called / total >= 0.97 THEN 'pass' WHEN called / total >= 0.90 THEN 'warn' ELSE 'fail' END AS qc_status,
  'call_rate=' || CAST(CAST(round_even(called / total, 4) AS DECIMAL(5,4)) AS VARCHAR) || CASE WHEN called / total >= 0.90 THEN ' below 0.97 pass threshold' ELSE ' below 0.90 warn threshold' END || CASE WHEN NOT (y >= 5 AND xh / x <= 0.05) AND NOT (y < 5 AND xh / x >= 0.10) THEN '; sex inference ambiguous (X het / Y call counts inconclusive)' ELSE '' END AS qc_notes FROM q""")(lambda t: ingest.sample_qc(stage(t)))
+# imputed samples: 13 of them, which miss no call, one in 37 or one in 7
+IMPUTED = """WITH g AS (SELECT variant_id % 13 AS sample, chrom, allele_1, allele_2, CASE variant_id % 13 % 3 WHEN 0 THEN variant_id % 7 = 0 WHEN 1 THEN variant_id % 37 = 0 ELSE FALSE END AS is_no_call FROM s_calls JOIN s_variants USING (variant_id) WHERE is_imputed),
+ q AS (SELECT sample, count(*) AS total, count(*) FILTER (WHERE NOT is_no_call) AS called, count(*) FILTER (WHERE NOT is_no_call AND chrom NOT IN ('X','Y','MT')) AS au, count(*) FILTER (WHERE NOT is_no_call AND chrom NOT IN ('X','Y','MT') AND allele_1 <> allele_2) AS ah,
+  nullif(count(*) FILTER (WHERE NOT is_no_call AND chrom = 'X'), 0) AS x, count(*) FILTER (WHERE NOT is_no_call AND chrom = 'X' AND allele_1 <> allele_2) AS xh, count(*) FILTER (WHERE NOT is_no_call AND chrom = 'Y') AS y FROM g GROUP BY 1),
+ r AS (SELECT *, CAST(round_even(called / total, 4) AS DECIMAL(5,4)) AS rate, CASE WHEN y >= 5 AND coalesce(xh / x <= 0.05, TRUE) THEN 'M' WHEN y < 5 AND coalesce(xh / x >= 0.10, FALSE) THEN 'F' ELSE 'ambiguous' END AS sex_inferred FROM q)
+ SELECT sample, total AS variants_total, called AS variants_called, total - called AS variants_no_call, rate AS call_rate, CAST(round_even(ah / au, 4) AS DECIMAL(5,4)) AS heterozygosity_rate, CAST(round_even(xh / x, 4) AS DECIMAL(5,4)) AS chr_x_het_rate, sex_inferred,
+  CASE WHEN called / total >= 0.99 THEN 'pass' WHEN called / total >= 0.95 THEN 'warn' ELSE 'fail' END AS qc_status,
+  concat_ws('; ', CASE WHEN called / total >= 0.99 THEN NULL ELSE 'imputed call_rate=' || rate || CASE WHEN called / total >= 0.95 THEN ' below 0.99 pass threshold' ELSE ' below 0.95 warn threshold' END END, CASE WHEN sex_inferred = 'ambiguous' THEN 'sex inference ambiguous from imputed X / Y data' END) AS qc_notes FROM r"""
+plan("A20", IMPUTED)(
+    lambda t: (lambda s: ingest.imputed_qc(
+        t("s_calls").filter("is_imputed").join(t("s_variants").select("variant_id", "chrom"), "variant_id").select(s.alias("sample"), "chrom", "allele_1", "allele_2", F.when(s % 3 == 0, c("variant_id") % 7 == 0).when(s % 3 == 1, c("variant_id") % 37 == 0).otherwise(False).alias("is_no_call")), ("sample",)
+    ))(c("variant_id") % 13)
+)
 plan("A25", f"SELECT count(*) AS n, count(DISTINCT variation_id) AS variations, count(DISTINCT rsid) AS rsids FROM s_clinvar WHERE {LIVE.format('clinvar')}")(lambda t: versions.live(t("s_clinvar"), t("s_pointers"), "clinvar").agg(F.count("*").alias("n"), F.count_distinct("variation_id").alias("variations"), F.count_distinct("rsid").alias("rsids")))
 plan("A25d", f"SELECT clinical_significance, star_rating, count(*) AS n FROM s_clinvar WHERE {LIVE.format('clinvar')} GROUP BY 1, 2")(lambda t: versions.live(t("s_clinvar"), t("s_pointers"), "clinvar").groupBy("clinical_significance", "star_rating").agg(F.count("*").alias("n")))
 plan("A26", f"SELECT count(*) AS n, count(DISTINCT study_accession) AS studies, count(DISTINCT rsid) AS rsids, count(DISTINCT trait_id) AS traits, count(DISTINCT trait_name) AS names FROM s_gwas WHERE {LIVE.format('gwas_catalog')}")(lambda t: versions.live(t("s_gwas"), t("s_pointers"), "gwas_catalog").agg(F.count("*").alias("n"), F.count_distinct("study_accession").alias("studies"), F.count_distinct("rsid").alias("rsids"), F.count_distinct("trait_id").alias("traits"), F.count_distinct("trait_name").alias("names")))
@@ -358,8 +394,21 @@ def legs(t) -> list[DataFrame]:
 plan("U02", f"{_USER} UNION {_CL} UNION {_GW}")(lambda t: (lambda a, b, d: a.union(b).union(d).distinct())(*legs(t)))
 plan("U03", f"SELECT gene_symbol FROM s_pharmgkb WHERE {LIVE.format('pharmgkb')} UNION SELECT gene_symbol FROM s_cpic WHERE {LIVE.format('cpic')}")(lambda t: versions.live(t("s_pharmgkb"), t("s_pointers"), "pharmgkb").select("gene_symbol").union(versions.live(t("s_cpic"), t("s_pointers"), "cpic").select("gene_symbol")).distinct())
 plan("U04", "SELECT gene_symbol FROM s_cpic EXCEPT SELECT gene_symbol FROM s_pgx WHERE phenotype_category = 'PM'")(lambda t: t("s_cpic").select("gene_symbol").subtract(t("s_pgx").filter("phenotype_category = 'PM'").select("gene_symbol")))
-for _k in ("U06", "D27"):
-    plan(_k, "WITH a AS (SELECT DISTINCT gene_symbol FROM s_pharmgkb), b AS (SELECT 'Brand#' || n_nationkey AS gene_symbol FROM nation) SELECT coalesce(a.gene_symbol, b.gene_symbol) AS gene_symbol, a.gene_symbol IS NOT NULL AS is_pgx_relevant, b.gene_symbol IS NOT NULL AS is_acmg_sf FROM a FULL JOIN b ON a.gene_symbol = b.gene_symbol")(lambda t: t("s_pharmgkb").select("gene_symbol").distinct().withColumn("p", F.lit(True)).join(t("nation").select(F.concat(F.lit("Brand#"), c("n_nationkey").cast("string")).alias("gene_symbol"), F.lit(True).alias("a")), "gene_symbol", "full_outer").select("gene_symbol", F.coalesce("p", F.lit(False)).alias("is_pgx_relevant"), F.coalesce("a", F.lit(False)).alias("is_acmg_sf")))
+GENES = "WITH a AS (SELECT DISTINCT gene_symbol FROM s_pharmgkb), b AS (SELECT 'Brand#' || n_nationkey AS gene_symbol FROM nation) SELECT coalesce(a.gene_symbol, b.gene_symbol) AS gene_symbol, a.gene_symbol IS NOT NULL AS is_pgx_relevant, b.gene_symbol IS NOT NULL AS is_acmg_sf FROM a FULL JOIN b ON a.gene_symbol = b.gene_symbol"
+
+
+def genes(t) -> DataFrame:
+    return t("s_pharmgkb").select("gene_symbol").distinct().withColumn("p", F.lit(True)).join(t("nation").select(F.concat(F.lit("Brand#"), c("n_nationkey").cast("string")).alias("gene_symbol"), F.lit(True).alias("a")), "gene_symbol", "full_outer").select("gene_symbol", F.coalesce("p", F.lit(False)).alias("is_pgx_relevant"), F.coalesce("a", F.lit(False)).alias("is_acmg_sf"))
+
+
+plan("U06", GENES)(genes)
+# a seed over genes that are there, one over none, and one that is forced
+GENES_OLD = "SELECT gene_symbol, is_acmg_sf, chrom IN ('1', '2') AS is_pgx_relevant, CAST(1 AS BIGINT) AS source_version_id FROM s_genes"
+for _k, _none, _force in (("D27", False, False), ("D27e", True, False), ("D27f", False, True)):
+    _stands = not _none and not _force
+    plan(_k, f"SELECT {_stands} AS already_populated, count(*) AS genes_rows, count(*) FILTER (WHERE is_acmg_sf) AS acmg_sf_genes, count(*) FILTER (WHERE is_pgx_relevant) AS pgx_genes, max(source_version_id) AS source_version_id FROM ({GENES_OLD if _stands else 'SELECT *, CAST(2 AS BIGINT) AS source_version_id FROM (' + GENES + ')'})")(
+        lambda t, none=_none, force=_force: guards.seeded(t("s_genes").filter(F.lit(not none)).select("gene_symbol", "is_acmg_sf", c("chrom").isin("1", "2").alias("is_pgx_relevant"), F.lit(1).cast("long").alias("source_version_id")), genes(t).withColumn("source_version_id", F.lit(2).cast("long")), force)
+    )
 plan("U07", "SELECT count(*) AS n FROM (SELECT variant_id FROM s_calls WHERE is_no_call UNION SELECT freq_id FROM s_gnomad WHERE af_global IS NULL)")(lambda t: t("s_calls").filter("is_no_call").select("variant_id").union(t("s_gnomad").filter("af_global is null").select("freq_id")).distinct().agg(F.count("*").alias("n")))
 plan("U08", "SELECT DISTINCT pr_key, delta FROM s_ledger WHERE state = 'parked' EXCEPT SELECT pr_key, delta FROM s_ledger WHERE state = 'done'")(lambda t: ledger.parked_minus_applied(t("s_ledger").filter("state = 'parked'").select("pr_key", "delta"), t("s_ledger").filter("state = 'done'").select("pr_key", "delta")))
 

@@ -132,14 +132,24 @@ def best_performance(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pgs_id").agg(F.max(lead(F.col("auc"))).alias("performance_auc"), F.max(lead(F.col("odds_ratio"))).alias("performance_or_per_sd"))
 
 
-def pgs(scores: DataFrame, publications: DataFrame, traits: DataFrame, performance: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(joined scores, one row of orphan counters: references that name no row)."""
+def pgs(scores: DataFrame, publications: DataFrame, traits: DataFrame, performance: DataFrame, categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(joined scores, one row of counters: references that name no row, scores without figures and with those of several cohorts).
+
+    A score's category is that of its first trait in categories (efo_id, label),
+    by default in traits; a trait that traits lacks is lost even if it has a category.
+    Keys of publications, traits and categories are single.
+    """
     p = publications.select("pgp_id", F.col("doi").alias("publication_doi"), F.col("pmid").alias("publication_pmid"), F.year(F.col("date").try_cast("date")).alias("publication_year"), F.lit(True).alias("__p"))
-    t = traits.select(F.col("efo_id").alias("trait_efo"), F.col("label").alias("trait_category"), F.lit(True).alias("__t"))
+    t = traits.select(F.col("efo_id").alias("trait_efo"), F.lit(True).alias("__t"))
+    c = (traits if categories is None else categories).select(F.col("efo_id").alias("trait_efo"), F.col("label").alias("trait_category"))
+    figures = best_performance(performance).join(performance.groupBy("pgs_id").agg(F.count("*").alias("__n")), "pgs_id")
     s = scores.withColumn("trait_efo", F.element_at(X.split_list(F.col("efo_ids"), ","), 1))
-    met = s.join(p, "pgp_id", "left").join(t, "trait_efo", "left").join(best_performance(performance), "pgs_id", "left")
-    lost = met.agg(F.count_if(F.col("pgp_id").isNotNull() & F.col("__p").isNull()).alias("lost_publications"), F.count_if(F.col("trait_efo").isNotNull() & F.col("__t").isNull()).alias("lost_traits"))
-    return met.drop("__p", "__t"), lost
+    met = s.join(p, "pgp_id", "left").join(t, "trait_efo", "left").join(c, "trait_efo", "left").join(figures, "pgs_id", "left")
+    lost = met.agg(
+        F.count_if(F.col("pgp_id").isNotNull() & F.col("__p").isNull()).alias("lost_publications"), F.count_if(F.col("trait_efo").isNotNull() & F.col("__t").isNull()).alias("lost_traits"),
+        F.count_if(F.col("__n").isNull()).alias("without_performance"), F.count_if(F.col("__n") > 1).alias("several_cohorts"),
+    )
+    return met.drop("__p", "__t", "__n"), lost
 
 
 def aliases(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
