@@ -85,14 +85,14 @@ def test_filter_keeps_every_trigram_it_was_given(spark):
 @pytest.mark.parametrize("words", [1 << 22, 1 << 14])
 def test_more_trigrams_than_the_least_filter_holds(spark, monkeypatch, words):
     monkeypatch.setattr(language, "SLOTS", 1 << 8)
-    monkeypatch.setattr(language, "WORDS", words, raising=False)
+    monkeypatch.setattr(language, "WORDS", words)
     rnd = random.Random(2)
     text = lambda low: "".join(chr(low + rnd.randrange(400)) for _ in range(1500))
     rows = [(2 * i + j, text(0x4E00 + 2000 * j), "ab"[j]) for i in range(8) for j in range(2)]
     rows += [(100 + i, f"{rows[i][1][200:260]}", None) for i in range(16)] + [(200, "abc", None), (201, None, None), (202, rows[1][1][:60], None), (202, rows[1][1][:60], None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.train(docs)
-    assert (getattr(model, "rare", None) is not None) == (words == 1 << 14)
+    assert (model.shards > 1) == (words == 1 << 14)
     got = language.predict(docs, model).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -115,9 +115,36 @@ def test_two_million_trigrams_of_a_language(spark):
 
 @pytest.mark.parametrize("words", [1 << 22, 1 << 10])
 def test_more_languages_than_a_word_has_bits(spark, monkeypatch, words):
-    monkeypatch.setattr(language, "WORDS", words, raising=False)
+    monkeypatch.setattr(language, "WORDS", words)
     rnd = random.Random(8)
     rows = [(i, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(30)), f"l{i:03d}") for i in range(130)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language.predict(docs, language.train(docs)).collect()
     assert len(got) == 130 and all(r["__lang"] == r.lang for r in got)
+
+
+@pytest.mark.parametrize("tasks", ["1", "7"])
+def test_shards_judge_as_one_filter_does(spark, monkeypatch, tasks):
+    """Same texts by one filter and by many shards, with few and with more tasks than shards; copies, long texts, nulls."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(9001, None, "en"), (9002, "", None), (9003, "12 ?", "de")] + [(9100 + i, "the cat and the dog " * 4, None) for i in range(300)] + [(9500, "".join(chr(0x4E00 + i % 9000) for i in range(120_000)), None)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema)).repartition(3)
+    monkeypatch.setattr(language, "SLOTS", 1 << 8)
+    one = {r.doc_id: (r["__lang"], r["__score"]) for r in language.identify(docs).collect()}
+    monkeypatch.setattr(language, "WORDS", 1 << 11)
+    monkeypatch.setattr(language, "LONG", 50)
+    monkeypatch.setattr(language, "SEEN", 20)
+    monkeypatch.setattr(language, "CHUNK", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        model = language.train(docs.filter(~language.held_out(docs)))
+        assert model.shards > 1
+        many = {r.doc_id: (r["__lang"], r["__score"]) for r in language.predict(docs, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert one.keys() == many.keys() and len(one) == docs.count()
+    assert all(many[i] == ("und", 0.0) for i in (9001, 9002, 9003))
+    assert all(abs(one[i][1] - many[i][1]) < 0.06 for i in one)
+    assert sum(one[i][0] == many[i][0] for i in one) > 0.98 * len(one)
+    assert len({many[9100 + i] for i in range(300)}) == 1
