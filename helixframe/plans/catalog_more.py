@@ -512,18 +512,23 @@ TALLY = """wm AS (SELECT side, value, arg_min(knob, ord) AS knob FROM s_weights
 TESTED = """ts AS (SELECT kk AS knob, bool_or(tier < old) AS loosens, count(*) FILTER (WHERE tier <> expected) AS flips, min(scope_id) FILTER (WHERE tier <> expected) AS first_flip, bool_or(expected IS NOT NULL AND NOT floored AND (kk = 'b.' || reach OR kk = 'p.' || precedent OR list_contains(classes, substr(kk, 3)) AND kk LIKE 'c.%')) AS covered FROM z WHERE kk <> '' GROUP BY 1)"""
 
 
-def scopes_of(t) -> DataFrame:
-    known = calibrate.tiered(t("s_scopes"), t("s_weights"))
+def weights_of(t) -> DataFrame:
+    """The weights, written once, as every expression that reads them has them in a subquery of its own."""
+    return Scratch(t("region").sparkSession).save(t("s_weights"), "weights")
+
+
+def scopes_of(t, weights: DataFrame) -> DataFrame:
+    known = calibrate.tiered(t("s_scopes"), weights)
     return t("s_scopes").join(known.select("scope_id", F.when(~c("witness"), c("tier")).alias("expected")), "scope_id")
 
 
 plan("G09r", f"""WITH {TALLY}, k AS (SELECT knob, step FROM st WHERE gate = 'go' UNION ALL SELECT '', 0), {TIERS}, {TESTED}
  SELECT st.*, CASE WHEN loosens THEN 'loosen' WHEN gate = 'go' THEN 'tighten' END AS direction, flips, first_flip, covered, CASE WHEN gate <> 'go' THEN 'no_op' WHEN loosens THEN 'park' WHEN flips > 0 THEN 'suppressed' WHEN NOT coalesce(covered, FALSE) THEN 'park' ELSE 'commit' END AS disposition FROM st LEFT JOIN ts ON ts.knob = st.knob""")(
-    lambda t: calibrate.ratchet(t("s_outcomes"), t("s_weights"), scopes_of(t), t("s_outcomes").agg(F.count_if(c("cycles") == 0)).scalar())
+    lambda t: (lambda w: calibrate.ratchet(t("s_outcomes"), w, scopes_of(t, w), t("s_outcomes").agg(F.count_if(c("cycles") == 0)).scalar()))(weights_of(t))
 )
 # every knob, thresholds too, a step up and down in turn
 plan("G09b", f"WITH k AS (SELECT knob, CASE WHEN value % 2 = 0 THEN 1 ELSE -1 END AS step FROM s_weights UNION ALL SELECT '', 0), {TIERS}, {TESTED} SELECT knob, loosens, flips, first_flip, coalesce(covered, FALSE) AS covered FROM ts")(
-    lambda t: calibrate.backtest(t("s_weights").select("knob", F.when(c("value") % 2 == 0, 1).otherwise(-1).alias("step")), scopes_of(t), t("s_weights"))
+    lambda t: (lambda w: calibrate.backtest(w.select("knob", F.when(c("value") % 2 == 0, 1).otherwise(-1).alias("step")), scopes_of(t, w), w))(weights_of(t))
 )
 plan("G09t", f"WITH k AS (SELECT '' AS knob, 0 AS step), {TIERS} SELECT scope_id, CAST(score AS INT) AS score, CAST(tier AS INT) AS tier FROM y")(lambda t: calibrate.tiered(t("s_scopes"), t("s_weights")).select("scope_id", "score", "tier"))
 plan("G10", "SELECT pr_key, CASE WHEN bool_or(state = 'parked' AND delta = 2) THEN 'UNKNOWN' WHEN bool_or(state = 'blocked') THEN 'BLOCKED' ELSE 'GREEN' END AS verdict FROM s_ledger GROUP BY 1")(lambda t: t("s_ledger").groupBy("pr_key").agg(ledger.verdict(c("state") == "blocked", (c("state") == "parked") & (c("delta") == 2)).alias("verdict")))
