@@ -26,14 +26,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: Jaccard similarity of 0.8 or more over five-word shingles.
 
-    That of the smallest doc_id stays; a row without doc_id only where its whole
+    Pairs of SimHash fingerprints within 3 bits come from the covering tables of
+    op5_neardup, those further apart from sketches; both are checked on the shingles. That of the smallest doc_id stays; a row without doc_id only where its whole
     group has none. Repeated rows are copies, one stays; of rows that share doc_id
     and text the least hash of their other columns decides. Null texts, empty ones
     and those without words are copies of each other. Texts are used whole. Rows of
     one doc_id with unlike texts all stay. An empty table gives none. Columns
     return as they are, whatever their names.
     """
-    return neardup.deduplicate(docs, similarity=0.8, size=5)
+    return neardup.deduplicate(docs, similarity=0.8, size=5, radius=3)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ code has an odd product with v. For any set of at most `radius` differing bits
 some v is orthogonal to all their codes, so the two fingerprints agree under that
 mask and meet in its table: no pair within the radius is missed.
 
-Similarity mode: a Jaccard similarity of 0.8 over word shingles moves about 15 %
-of a SimHash's bits, far more than a radius that tables can cover. Documents
-there meet by short sketches of their shingles (pairs of minima), are compared by
-a 256-bit SimHash, and each link is verified on the full shingle sets. Where a
-bucket is too crowded for all its pairs, those that the SimHash ranks first are
-tried first; the components that are then left in it are compared in full.
+Similarity mode: the same tables give the pairs within the radius, none missed,
+and each is verified on the full shingle sets. A Jaccard similarity of 0.8 moves
+about 15 % of a SimHash's bits, more than a radius that tables can cover, so the
+links beyond the radius are found besides: documents meet by short sketches of
+their shingles (pairs of minima), are compared by a 256-bit SimHash, and are
+verified alike. Where a bucket of either kind is too crowded for all its pairs,
+those that the SimHash ranks first are tried first; the components that are then
+left in it are compared in full.
 
 Documents with equal fingerprints or shingle sets are one node from the start,
 so a group of copies of any size costs one node.
@@ -91,6 +93,16 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i, c in enumerate(codes) if (c & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
 
 
+def _table_keys(node: str, radius: int):
+    """The bucket of a fingerprint, a signed long, in each of the covering tables."""
+    return F.array(*[F.xxhash64(F.lit(t), F.col(node).bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(radius))])
+
+
+def _sign(node: str):
+    """A fingerprint's eight bytes."""
+    return F.unhex(F.lpad(F.hex(node), 16, "0"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -113,26 +125,27 @@ def _mark():
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, mark (hash of the text), node (hash of the shingle set), sign (256-bit SimHash), keys (sketches) of every row."""
+    """doc_id, mark (hash of the text), node (hash of the shingle set), print (64-bit SimHash), sign (256-bit SimHash), keys (sketches) of every row."""
 
-    def one(text: str | None) -> tuple[int, bytes, list[int]]:
+    def one(text: str | None) -> tuple[int, int, bytes, list[int]]:
         h = np.unique(shingle_hashes(text, size))
         node = xxhash.xxh3_64_intdigest(h.astype("<u8").tobytes())
         sign = b"".join(majority(_mixed(h, 100 + k)).to_bytes(8, "little") for k in range(4))
         least = [int(_mixed(h, k).min()) if len(h) else 0 for k in range(2 * SKETCHES)]
         keys = [_signed(xxhash.xxh3_64_intdigest(b"%d %d %d" % (k, least[2 * k], least[2 * k + 1]))) for k in range(SKETCHES)]
-        return _signed(node), sign, keys
+        return _signed(node), _signed(majority(h)), sign, keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("neardup")
         for batch in batches:
-            nodes, signs, keys = zip(*map(one, batch.column(1).to_pylist()), strict=True) if len(batch) else ((), (), ())
+            nodes, prints, signs, keys = zip(*map(one, batch.column(1).to_pylist()), strict=True) if len(batch) else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "sign", "keys"]
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "node", "print", "sign", "keys"],
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark().alias("mark"))
-    return plain.mapInArrow(run, "doc_id long, mark long, node long, sign binary, keys array<long>")
+    return plain.mapInArrow(run, "doc_id long, mark long, node long, print long, sign binary, keys array<long>")
 
 
 def _distance(signs: np.ndarray, i: int) -> np.ndarray:
@@ -243,9 +256,7 @@ def by_radius(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     made = scratch.save(fingerprints(docs, size), "fingerprints")
     nodes = scratch.save(made.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("node").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(radius))])
-    sign = F.unhex(F.lpad(F.hex("node"), 16, "0"))
-    edges = scratch.save(links(nodes.select(F.explode(keys).alias("key"), "node", sign.alias("sign")), radius), "links")
+    edges = scratch.save(links(nodes.select(F.explode(_table_keys("node", radius)).alias("key"), "node", _sign("node").alias("sign")), radius), "links")
     return _with_components(made, nodes, connected_components(edges))
 
 
@@ -359,20 +370,22 @@ def _missed(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(docs: DataFrame, similarity: float, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar(docs: DataFrame, similarity: float, size: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, node), nodes (node, least and mark of the first row by doc_id, nulls last) and roots (node, component) of linked nodes."""
     scratch = Scratch(docs.sparkSession)
     made = scratch.save(sketches(docs, size), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    nodes = made.groupBy("node").agg(first, F.any_value("sign").alias("sign"), F.any_value("keys").alias("keys"))
-    nodes = scratch.save(nodes.select("node", F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark"), "sign", "keys"), "nodes")
+    nodes = made.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("print", "sign", "keys")])
+    nodes = scratch.save(nodes.select("node", F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark"), "print", "sign", "keys"), "nodes")
+    covered = nodes.select(F.explode(_table_keys("print", radius)).alias("key"), "node", _sign("print").alias("sign"))
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "sign")
-    near = scratch.save(links(keyed, SLACK, True), "near")
+    within = scratch.save(links(covered, radius, True), "within")
+    near = scratch.save(within.union(links(keyed, SLACK, True)).distinct(), "near")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = _shingle_sets(_texts(docs, nodes, ends), size)
     edges = scratch.save(_verified(near, sets, similarity), "links")
     roots = connected_components(edges)
-    crowded = scratch.save(_crowded(keyed.select("key", "node"), roots), "crowded")
+    crowded = scratch.save(_crowded(covered.select("key", "node").union(keyed.select("key", "node")), roots), "crowded")
     if not crowded.isEmpty():
         sets = scratch.save(_shingle_sets(_texts(docs, nodes, crowded.select("node").distinct()), size), "sets")
         missed = scratch.save(_missed(crowded, sets, similarity), "missed")
@@ -381,20 +394,21 @@ def _similar(docs: DataFrame, similarity: float, size: int) -> tuple[DataFrame,
     return made.select("doc_id", "node"), nodes, roots
 
 
-def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+def by_similarity(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3) -> DataFrame:
     """doc_id, node, component_id of every row: linked if the Jaccard similarity of the shingle sets is at least that.
 
     Rows as in by_radius. Rows without words have equal, empty shingle sets and
-    are copies of each other. A pair at the similarity bound shares a sketch with
+    are copies of each other. A pair at the similarity bound whose 64-bit
+    fingerprints differ in at most radius bits is never missed. Another pair at the similarity bound shares a sketch with
     probability 1 - (1 - similarity**2)**SKETCHES, 0.99996 at 0.8. Where its
     texts have 4 and 5 shingles, the worst case, a bit of the SimHash differs with
     probability 0.1875, so over SLACK of 256 bits do with 5.5e-7: a pair at 0.8 is
     missed with 3.7e-5 in all.
     """
-    return _with_components(*_similar(docs, similarity, size))
+    return _with_components(*_similar(docs, similarity, size, radius))
 
 
-def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 3) -> DataFrame:
     """The rows of docs of which each group of near-duplicates keeps one: that of its smallest doc_id.
 
     Columns are those of docs, whatever their names. Repeated rows of one doc_id
@@ -403,7 +417,7 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Data
     group has none. Null and empty texts, and texts without words, are copies of
     each other. Texts are used whole. An empty table gives no rows.
     """
-    _, nodes, roots = _similar(docs, similarity, size)
+    _, nodes, roots = _similar(docs, similarity, size, radius)
     root = F.coalesce("component", "node")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node", "mark")).alias("first")
     kept = nodes.join(roots, "node", "left").groupBy(root.alias("root")).agg(first).select(F.col("first.least").alias("keep"), F.col("first.mark").alias("kept"))

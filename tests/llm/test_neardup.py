@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from helixframe.llm import neardup
 
@@ -140,3 +141,19 @@ def test_short_texts_at_the_bound_are_within_the_slack():
         a, b = (np.unique(neardup.shingle_hashes(" ".join(words[:n]), 5)) for n in (8, 9))
         assert len(np.intersect1d(a, b)) == 4 and len(b) == 5
         assert sum((x ^ y).bit_count() for x, y in zip(sign(a), sign(b), strict=True)) <= neardup.SLACK
+
+
+def test_similarity_mode_links_by_the_covering_tables(spark, monkeypatch):
+    made = neardup.sketches
+    monkeypatch.setattr(neardup, "sketches", lambda docs, size: made(docs, size).withColumn("keys", F.array("node")))  # no two texts share a sketch
+    rnd = random.Random(12)
+    data = []
+    for i in range(40):
+        words = [f"w{rnd.getrandbits(40)}" for _ in range(400)]
+        data += [(i, " ".join(words)), (100 + i, " ".join(words[:200] + ["edited"] + words[201:]))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.by_similarity(docs).collect()}
+    print_ = lambda t: neardup.majority(np.unique(neardup.shingle_hashes(t, 5)))
+    near = [i for i in range(40) if (print_(data[2 * i][1]) ^ print_(data[2 * i + 1][1])).bit_count() <= 3]
+    assert len(near) > 20
+    assert all(got[100 + i] == (i if i in near else 100 + i) for i in range(40))
