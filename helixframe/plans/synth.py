@@ -232,7 +232,9 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     needs = _needs(TEXTS[name])
     for n in needs:
         text = re.sub(rf"\b{n}\b(?!\.)(?=[\s,)]|$)", "{" + n + "}", text)
-    return spark.sql(text, **{n: spark_table(spark, sf_dir, n) for n in needs})
+    # variants are as many as parts, and small only in their files: where other tables are made with them they are never broadcast
+    read = {n: spark_table(spark, sf_dir, n) for n in needs}
+    return spark.sql(text, **{n: df.hint("merge") if n == "s_variants" else df for n, df in read.items()})
 
 
 def duckdb_with(text: str) -> str:
